@@ -190,6 +190,3 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
-
-#: All pairs of one label; the dot product in double precision over stored floats.
-SQL = None

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +26,9 @@ ROUNDS, ADDED = 3, 0.05
 #: Characters of the longest piece that is used, and of the words that are scored side by side.
 LONGEST, SIDE_BY_SIDE = 8, 40
 
+#: Score below which a filter rejects a text.
+LEAST = 0.5
+
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -236,6 +240,22 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return rows.mapInPandas(run, f"`{id_col}` long, lang_pred string, score double")
 
 
+def in_known_language(docs: DataFrame, model: Model, text_col: str = "text", least: float = LEAST) -> DataFrame:
+    """The rows of ``docs`` with a language: not ``und``, and a score of at least ``least``. All columns pass through."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.pieces, model.p))
+    key = id(shared)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if key not in _scorers:
+            _scorers.clear()
+            _scorers[key] = Scorer(Model(*shared.value))
+        for b in batches:
+            langs, scores = _scorers[key].score([t or "" for t in b.column(text_col).to_pylist()])
+            yield b.filter(pa.array([lang != UNKNOWN and s >= least for lang, s in zip(langs, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 _scorers: dict[int, Scorer] = {}
 
 

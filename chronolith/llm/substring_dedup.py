@@ -279,3 +279,22 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+#: Words carry their ASCII white space classes as the operator's do; every window of 13 words is compared by its text.
+SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), starts AS (
+  SELECT doc_id, unnest(range(1, len(words) - 11)) AS pos, words FROM w WHERE len(words) >= 13
+), runs AS (
+  SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY array_to_string(words[pos:pos + 12], ' ')) AS first FROM starts
+), covered AS (
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + 13)) AS pos FROM runs WHERE first < doc_id
+), gone AS (
+  SELECT doc_id, list(pos) AS gone FROM covered GROUP BY doc_id
+)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(list_filter(words, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)), ' '), '')) AS kept_sha256
+FROM w LEFT JOIN gone USING (doc_id)
+"""
