@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,23 +89,153 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mixed(out)
 
 
-class WordHashes(dict):
-    """64-bit hash of a word, remembered; the memory is bounded by starting anew."""
+def _byte_values(lower: bool) -> np.ndarray:
+    """A random 64-bit number for every byte, 0 for white space; with ``lower`` A-Z have those of a-z."""
+    out = np.random.default_rng(20240301).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    if lower:
+        out[65:91] = out[97:123]
+    return out
 
-    LIMIT = 400_000
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_VALUES = {lower: _byte_values(lower) for lower in (False, True)}
+_BASE, _powers = np.uint64(0x9E3779B97F4A7C17), [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
 
+def _powers_to(n: int) -> list[np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2**64."""
+    if len(_powers[0]) < n:
+        inverse = np.uint64(pow(int(_BASE), -1, 2**64))
+        for k, base in enumerate((_BASE, inverse)):
+            factors = np.full(n, base)
+            factors[0] = 1
+            _powers[k] = np.multiply.accumulate(factors)
+    return _powers
 
-_memory = WordHashes()
 
+class WordBatch:
+    """64-bit hashes of all words of some texts, and where each text's words begin.
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    get = _memory.__getitem__
-    return np.fromiter(map(get, words), np.uint64, len(words))
+    Words are what ASCII white space parts. A word's hash is a polynomial of its bytes, taken from prefix sums over
+    the whole batch, so that no word becomes an object.
+    """
+
+    def __init__(self, texts: list[str], lower: bool = False) -> None:
+        raw = [t.encode("utf-8", "replace") for t in texts]
+        data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+        space = _SPACE[data]
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        if not space[0]:
+            edge = np.concatenate([[0], edge])
+        start, end = edge[::2], edge[1::2]
+        powers, inverse = _powers_to(len(data) + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUES[lower][data] * powers[: len(data)])])
+        self.hashes = mixed((sums[end] - sums[start]) * inverse[start])
+        begin = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])
+        self.first = np.searchsorted(start, begin)
+
+    def text_of_word(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+
+    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of all runs of ``n`` words inside one text, the text of each and its place there."""
+        of = self.text_of_word()
+        inside = np.flatnonzero(of[: len(of) - n + 1] == of[n - 1 :]) if len(of) >= n else np.empty(0, np.int64)
+        text = of[inside]
+        return gram_hashes(self.hashes, n)[inside] if len(inside) else np.empty(0, np.uint64), text, inside - self.first[text]
+
+
+def batches_of(texts: list[str], characters: int = 1_000_000) -> list[slice]:
+    """Slices of about so many characters, of one text at least."""
+    out, lo, size = [], 0, 0
+    for k, t in enumerate(texts):
+        if size and size + len(t) > characters:
+            out.append(slice(lo, k))
+            lo, size = k, 0
+        size += len(t)
+    return [*out, slice(lo, len(texts))] if len(texts) > lo else out
+
+
+class BitFilter:
+    """Membership of 64-bit hashes, with false hits and no misses; the high bits of a hash choose its slice."""
+
+    #: Places of a hash, and log2 of the slices that a filter is built in.
+    PLACES, SLICES = 3, 6
+
+    def __init__(self, bits: np.ndarray) -> None:
+        self.bits = bits
+        self.log2_bits = (len(bits) * 8).bit_length() - 1
+
+    @classmethod
+    def places(cls, h: np.ndarray, log2_bits: int) -> Iterator[np.ndarray]:
+        within = np.uint64((1 << (log2_bits - cls.SLICES)) - 1)
+        base = (h >> np.uint64(64 - cls.SLICES)) << np.uint64(log2_bits - cls.SLICES)
+        for k in range(cls.PLACES):
+            yield base | ((h >> np.uint64(k * 15)) * np.uint64(0x9E3779B97F4A7C15 + 2 * k) >> np.uint64(20) & within)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        found = np.arange(len(h))
+        for k in range(self.PLACES):  # most fall out at the first place
+            for j, p in enumerate(self.places(h[found], self.log2_bits)):
+                if j == k:
+                    found = found[(self.bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+                    break
+        out = np.zeros(len(h), bool)
+        out[found] = True
+        return out
+
+
+#: Rows that carry packed hashes to where the filters are built.
+PACKED = "slice int, payload binary, again boolean"
+
+
+def packed(h: np.ndarray) -> pd.DataFrame:
+    """Hashes by slice, sorted, once each; ``again`` marks those that occur more than once here."""
+    value, n = np.unique(h, return_counts=True)
+    rows = []
+    for again in (False, True):
+        own = value[(n > 1) == again]
+        cuts = np.searchsorted(own, np.arange(1, 1 << BitFilter.SLICES, dtype=np.uint64) << np.uint64(64 - BitFilter.SLICES))
+        rows += [(s, part.tobytes(), again) for s, part in enumerate(np.split(own, cuts)) if len(part)]
+    return pd.DataFrame(rows, columns=["slice", "payload", "again"])
+
+
+def bit_filters(sent: DataFrame, log2_bits: int) -> Broadcast:
+    """Two filters of PACKED hashes: of all, and of those that came more than once.
+
+    Only the bits reach the driver: 2**log2_bits / 8 bytes each, whatever the input.
+    """
+    size = 1 << (log2_bits - BitFilter.SLICES)
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list[np.ndarray]] = {}
+        mask = np.uint64(size - 1)
+        for b in batches:
+            for s, payload, again in zip(b["slice"], b["payload"], b["again"], strict=True):
+                once, more = held.setdefault(s, [np.zeros(size, bool), np.zeros(size, bool)])
+                new = [p & mask for p in BitFilter.places(np.frombuffer(payload, np.uint64), log2_bits)]
+                old = np.full(len(new[0]), again)
+                if not again:
+                    old = once[new[0]]
+                    for p in new[1:]:
+                        old &= once[p]
+                for p in new:
+                    once[p] = True
+                    more[p[old]] = True
+        for s, flags in held.items():
+            once, more = (np.packbits(f, bitorder="little").tobytes() for f in flags)
+            yield pd.DataFrame({"slice": [s], "once": [once], "more": [more]})
+
+    dealt = sent.repartition(1 << BitFilter.SLICES, "slice").mapInPandas(build, "slice int, once binary, more binary")
+    bits = [np.zeros(1 << (log2_bits - 3), np.uint8) for _ in range(2)]
+    for row in dealt.toLocalIterator():
+        at = row["slice"] * (size >> 3)
+        for own, name in zip(bits, ("once", "more"), strict=True):
+            own[at : at + (size >> 3)] = np.frombuffer(row[name], np.uint8)
+    return sent.sparkSession.sparkContext.broadcast(bits)
+
+
+def small_side(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``df`` (a few numbers a row) to be broadcast if it has at most so many rows, some 32 MB; else as it is, and both sides are shuffled."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -13,7 +13,7 @@ what may repeat. A filter's false hits cost work and never change the result, as
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,77 +21,11 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, parts_for, table, word_hashes, written
+from .common import PACKED, BitFilter, WordBatch, batches_of, bit_filters, packed, parts_for, table, written
 
 WINDOW = 13
-#: log2 of a filter's bits (32 MB each), and places that a hash has in it.
-FILTER_BITS, PLACES = 28, 3
-#: log2 of the slices that a filter is built in, and documents handled side by side.
-SLICES, SIDE_BY_SIDE = 6, 1000
-
-
-class BitFilter:
-    """Membership of 64-bit hashes, with false hits and no misses; the high bits of a hash choose its slice."""
-
-    def __init__(self, bits: np.ndarray) -> None:
-        self.bits = bits
-
-    @staticmethod
-    def places(h: np.ndarray, log2_bits: int) -> Iterator[np.ndarray]:
-        within = np.uint64((1 << (log2_bits - SLICES)) - 1)
-        base = (h >> np.uint64(64 - SLICES)) << np.uint64(log2_bits - SLICES)
-        for k in range(PLACES):
-            yield base | ((h >> np.uint64(k * 15)) * np.uint64(0x9E3779B97F4A7C15 + 2 * k) >> np.uint64(20) & within)
-
-    def has(self, h: np.ndarray) -> np.ndarray:
-        found = np.ones(len(h), bool)
-        log2_bits = (len(self.bits) * 8).bit_length() - 1
-        for p in self.places(h, log2_bits):
-            found &= (self.bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
-        return found
-
-
-def filters(sent: DataFrame, spark: SparkSession, log2_bits: int) -> Broadcast:
-    """Two filters of packed hashes (slice, payload): of all, and of those that occur in more than one place.
-
-    Only the bits reach the driver: 2**log2_bits / 8 bytes each, whatever the input.
-    """
-    size = 1 << (log2_bits - SLICES)
-
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list] = {}
-        for b in batches:
-            for s, payload, again in zip(b["slice"], b["payload"], b["again"], strict=True):
-                h = np.frombuffer(payload, np.uint64)
-                flags = held.setdefault(s, [np.zeros(size, bool), np.zeros(size, bool)])
-                mask = np.uint64(size - 1)
-                new = [p & mask for p in BitFilter.places(h, log2_bits)]
-                old = np.ones(len(h), bool)
-                for p in new:
-                    old &= flags[0][p]  # as likely as a false hit
-                if again:
-                    old[:] = True
-                for p in new:
-                    flags[0][p] = True
-                    flags[1][p[old]] = True
-        for s, (once, more) in held.items():
-            yield pd.DataFrame({"slice": [s], "once": [np.packbits(once, bitorder="little").tobytes()], "more": [np.packbits(more, bitorder="little").tobytes()]})
-
-    dealt = sent.repartition(1 << SLICES, "slice").mapInPandas(build, "slice int, once binary, more binary")
-    bits = [np.zeros(1 << (log2_bits - 3), np.uint8) for _ in range(2)]
-    for row in dealt.toLocalIterator():
-        at = row["slice"] * (size >> 3)
-        for k, name in enumerate(("once", "more")):
-            bits[k][at : at + (size >> 3)] = np.frombuffer(row[name], np.uint8)
-    return spark.sparkContext.broadcast(bits)
-
-
-def packed(h: np.ndarray, again: bool) -> Iterator[tuple[int, bytes, bool]]:
-    h = np.sort(h)
-    cuts = np.searchsorted(h, (np.arange(1, 1 << SLICES, dtype=np.uint64) << np.uint64(64 - SLICES)))
-    for s, own in enumerate(np.split(h, cuts)):
-        if len(own):
-            yield s, own.tobytes(), again
+#: log2 of a filter's bits (32 MB).
+FILTER_BITS = 28
 
 
 def words_of(text: str) -> list[bytes]:
@@ -99,147 +33,145 @@ def words_of(text: str) -> list[bytes]:
 
 
 class Passes:
-    """What each pass over the texts does; rows of a batch are handled some documents at a time."""
+    """What each pass over the texts does, over some documents at a time."""
 
     def __init__(self, window: int) -> None:
         self.window = window
         self.block = (window + 1) // 2
 
     @staticmethod
-    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list]]:
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, WordBatch]]:
         for b in batches:
-            ids, texts = b["id"].tolist(), b["text"].tolist()
-            for lo in range(0, len(ids), SIDE_BY_SIDE):
-                yield ids[lo : lo + SIDE_BY_SIDE], texts[lo : lo + SIDE_BY_SIDE]
+            ids, texts = b["id"].to_numpy(np.int64), b["text"].tolist()
+            for part in batches_of(texts, 3_000_000):
+                yield ids[part], WordBatch(texts[part])
 
     def blocks(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The index: hashes of every document's non-overlapping blocks."""
-        for _, texts in self.parts(batches):
-            h = [gram_hashes(word_hashes(words_of(t)), self.block)[:: self.block] for t in texts]
-            value, n = np.unique(np.concatenate(h), return_counts=True)
-            yield pd.DataFrame([*packed(value[n == 1], False), *packed(value[n > 1], True)], columns=["slice", "payload", "again"])
+        for _, words in self.words(batches):
+            h, _, place = words.grams(self.block)
+            yield packed(h[place % self.block == 0])
 
-    def hits(self, index: Broadcast) -> object:
+    def hits(self, index: Broadcast) -> Callable:
         """Rolling windows that hit a block of another document: all but a document's own place in the grid."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             once, more = map(BitFilter, index.value)
-            for _, texts in self.parts(batches):
-                found = []
-                for t in texts:
-                    h = gram_hashes(word_hashes(words_of(t)), self.block)
-                    own = np.arange(len(h)) % self.block == 0
-                    keep = np.zeros(len(h), bool)
-                    keep[~own] = once.has(h[~own])
-                    keep[own] = more.has(h[own])
-                    found.append(h[keep])
-                yield pd.DataFrame([*packed(np.unique(np.concatenate(found)), False)], columns=["slice", "payload", "again"])
+            for _, words in self.words(batches):
+                h, _, place = words.grams(self.block)
+                own = place % self.block == 0
+                found = np.concatenate([h[~own][once.has(h[~own])], h[own][more.has(h[own])]])
+                yield packed(np.unique(found))
 
         return run
 
-    def runs(self, hit: Broadcast) -> object:
-        """Runs of ``window`` words around the hits: sent by hash with the earliest document of this part.
+    def runs(self, hit: Broadcast, parts: int) -> Callable:
+        """Runs of ``window`` words around the hits, dealt by hash with the earliest document that has them here.
 
-        Runs that an earlier document of the same part has are settled here, so a run's hash is sent once a part.
+        Runs that an earlier document of the same task has are settled here, so a run's hash is sent once by a task
+        (or once by every SEND runs of it), however common it is.
         """
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             live = BitFilter(hit.value[0])
-            for ids, texts in self.parts(batches):
-                hashes, docs, at = [], [], []
-                for doc, t in zip(ids, texts, strict=True):
-                    w = word_hashes(words_of(t))
-                    h = gram_hashes(w, self.window)
-                    if not len(h):
-                        continue
-                    near = live.has(gram_hashes(w, self.block))
-                    total = np.concatenate([[0], np.cumsum(near)])
-                    inside = self.window - self.block + 1
-                    where = np.flatnonzero(total[inside : inside + len(h)] - total[: len(h)] > 0)
-                    hashes.append(h[where])
-                    docs.append(np.full(len(where), doc, np.int64))
-                    at.append(where.astype(np.int32))
-                if not hashes:
-                    continue
-                h, d, p = map(np.concatenate, (hashes, docs, at))
-                order = np.lexsort((d, h))
-                h, d, p = h[order], d[order], p[order]
-                new = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
-                first = d[np.flatnonzero(new)][np.cumsum(new) - 1] if len(h) else d
-                later = d > first
-                yield from _settled(d[later], p[later])
-                h, d, p = h[~later], d[~later], p[~later]
-                cuts = np.searchsorted(h, (np.arange(1, 1 << SLICES, dtype=np.uint64) << np.uint64(64 - SLICES)))
-                rows = [(s, None, None, a.tobytes(), b.tobytes(), c.tobytes()) for s, (a, b, c) in enumerate(zip(*(np.split(x, cuts) for x in (h, d, p)), strict=True)) if len(a)]
-                yield pd.DataFrame(rows, columns=_RUNS).astype({"doc": "Int64"})
+            held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            size = 0
+            inside = self.window - self.block
+            for ids, words in self.words(batches):
+                near = np.zeros(len(words.hashes) + 1, np.int32)
+                h, text, place = words.grams(self.block)
+                near[words.first[text] + place + 1] = live.has(h)
+                total = np.cumsum(near)
+                h, text, place = words.grams(self.window)
+                at = words.first[text] + place
+                keep = total[at + inside + 1] > total[at]
+                held.append((h[keep], ids[text[keep]], place[keep].astype(np.int32)))
+                size += int(keep.sum())
+                if size >= SEND:
+                    yield from self.sent(held, parts)
+                    held, size = [], 0
+            if size:
+                yield from self.sent(held, parts)
 
         return run
 
-
-_RUNS = ["slice", "doc", "starts", "hashes", "docs", "places"]
-_RUNS_SCHEMA = "slice int, doc long, starts binary, hashes binary, docs binary, places binary"
+    @staticmethod
+    def sent(held: list, parts: int) -> Iterator[pd.DataFrame]:
+        h, d, p = map(np.concatenate, zip(*held, strict=True))
+        later = after_first(h, d)
+        yield from settled(d[later], p[later], parts)
+        h, d, p = h[~later], d[~later], p[~later]
+        part = ((h >> np.uint64(16)) % np.uint64(parts)).astype(np.int32)
+        order = np.lexsort((p, d, part))
+        h, d, p, part = h[order], d[order], p[order], part[order]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
+        rows = []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if hi > lo:  # differences are small numbers, which shuffles compress
+                rows.append((int(part[lo]), None, None, h[lo:hi].tobytes(), np.diff(d[lo:hi], prepend=0).tobytes(), np.diff(p[lo:hi], prepend=np.int32(0)).astype(np.int32).tobytes()))
+        yield pd.DataFrame(rows, columns=_COLUMNS).astype({"doc": "Int64"})
+
+
+#: Runs that a task gathers before it sends them.
+SEND = 3_000_000
+_COLUMNS = ["part", "doc", "starts", "hashes", "docs", "places"]
+_SCHEMA = "part int, doc long, starts binary, hashes binary, docs binary, places binary"
+
+
+def after_first(h: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Which entries have an earlier document under the same hash."""
+    out = np.zeros(len(h), bool)
+    if len(h):
+        order = np.lexsort((d, h))
+        new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+        out[order] = d[order] > d[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    return out
 
 
-def _settled(docs: np.ndarray, places: np.ndarray) -> Iterator[pd.DataFrame]:
-    """Repeated runs by document: the places where they start."""
+def settled(docs: np.ndarray, places: np.ndarray, parts: int) -> Iterator[pd.DataFrame]:
+    """Repeated runs by document: the places where they start, as differences."""
     if not len(docs):
         return
     order = np.lexsort((places, docs))
     docs, places = docs[order], places[order]
     cuts = np.flatnonzero(np.diff(docs)) + 1
-    rows = [(-1, int(d[0]), np.unique(p).tobytes(), None, None, None) for d, p in zip(np.split(docs, cuts), np.split(places, cuts), strict=True)]
-    yield pd.DataFrame(rows, columns=_RUNS)
+    rows = [(int(d[0]) % parts, int(d[0]), np.diff(p, prepend=np.int32(0)).astype(np.int32).tobytes(), None, None, None) for d, p in zip(np.split(docs, cuts), np.split(places, cuts), strict=True)]
+    yield pd.DataFrame(rows, columns=_COLUMNS)
 
 
-def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of all parts' runs of one slice: those whose hash an earlier document has."""
-    held: list[tuple[bytes, bytes, bytes]] = []
-    for b in batches:
-        held += zip(b["hashes"], b["docs"], b["places"], strict=True)
-    if not held:
-        return
-    h = np.frombuffer(b"".join(x[0] for x in held), np.uint64)
-    d = np.frombuffer(b"".join(x[1] for x in held), np.int64)
-    p = np.frombuffer(b"".join(x[2] for x in held), np.int32)
-    order = np.lexsort((d, h))
-    h, d, p = h[order], d[order], p[order]
-    new = np.concatenate([[True], h[1:] != h[:-1]])
-    later = d > d[np.flatnonzero(new)][np.cumsum(new) - 1]
-    for x in _settled(d[later], p[later]):
-        yield x[["doc", "starts"]]
+def compare(parts: int) -> Callable:
+    """Of all tasks' runs of one part: those whose hash an earlier document has. What is settled passes through."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        h, d, p = [], [], []
+        for b in batches:
+            for doc, starts, hashes, docs, places in zip(b["doc"], b["starts"], b["hashes"], b["docs"], b["places"], strict=True):
+                if starts is not None:
+                    yield pd.DataFrame({"doc": [int(doc)], "starts": [starts]})
+                else:
+                    h.append(np.frombuffer(hashes, np.uint64))
+                    d.append(np.cumsum(np.frombuffer(docs, np.int64)))
+                    p.append(np.cumsum(np.frombuffer(places, np.int32), dtype=np.int32))
+        if h:
+            h, d, p = map(np.concatenate, (h, d, p))
+            later = after_first(h, d)
+            for x in settled(d[later], p[later], parts):
+                yield x[["doc", "starts"]]
+
+    return run
 
 
 def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """``doc, starts``: the places (from 0, in words) where a run starts that also starts in a document with a smaller id."""
-    spark = docs.sparkSession
+    """``doc, starts``: the places (in words, as differences) where a run starts that also starts in a document with a smaller id."""
     todo = Passes(window)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null")
-    sent = "slice int, payload binary, again boolean"
-    index = filters(rows.mapInPandas(todo.blocks, sent), spark, filter_bits)
-    hit = filters(rows.mapInPandas(todo.hits(index), sent), spark, filter_bits)
-    runs = written(rows.mapInPandas(todo.runs(hit), _RUNS_SCHEMA), "substring-runs")
-    # A slice of hashes may be cut finer, so that each task's share stays small as the input grows.
+    index = bit_filters(rows.mapInPandas(todo.blocks, PACKED), filter_bits)
+    hit = bit_filters(rows.mapInPandas(todo.hits(index), PACKED), filter_bits)
     parts = parts_for(docs, 32 << 20)
-    split = runs.where("slice >= 0").select("hashes", "docs", "places").mapInPandas(_finer(parts), "part int, hashes binary, docs binary, places binary")
-    compared = split.repartition(parts, "part").mapInPandas(_compare, "doc long, starts binary")
-    out = written(compared.union(runs.where("slice < 0").select("doc", "starts")), "substring-repeats")
-    index.destroy()
-    hit.destroy()
-    return out
-
-
-def _finer(parts: int) -> object:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for hashes, docs, places in zip(b["hashes"], b["docs"], b["places"], strict=True):
-                h, d, p = np.frombuffer(hashes, np.uint64), np.frombuffer(docs, np.int64), np.frombuffer(places, np.int32)
-                part = ((h >> np.uint64(16)) % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                cuts = np.searchsorted(part[order], np.arange(1, parts))
-                rows = [(k, h[o].tobytes(), d[o].tobytes(), p[o].tobytes()) for k, o in enumerate(np.split(order, cuts)) if len(o)]
-                yield pd.DataFrame(rows, columns=["part", "hashes", "docs", "places"])
-
-    return run
+    dealt = rows.mapInPandas(todo.runs(hit, parts), _SCHEMA).repartition(parts, "part")
+    # A document's repeats are bounded by its own length.
+    found = dealt.mapInPandas(compare(parts), "doc long, starts binary").groupBy("doc").agg(F.collect_list("starts").alias("starts"))
+    return written(found, "substring-covered")
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, filter_bits: int = FILTER_BITS) -> DataFrame:
@@ -250,9 +182,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     document's rows: they never repeat one another. Rows with a null id are left whole. An empty table gives an empty
     result; other columns are ignored.
     """
-    starts = removed_words(docs, id_col, text_col, window, filter_bits)
-    # A document's repeats are bounded by its own length.
-    covered = written(starts.groupBy("doc").agg(F.collect_list("starts").alias("starts")), "substring-covered")
+    covered = removed_words(docs, id_col, text_col, window, filter_bits)
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -262,7 +192,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 n = len(words)
                 if starts is not None and n:
                     change = np.zeros(n + window + 1, np.int32)
-                    at = np.unique(np.concatenate([np.frombuffer(s, np.int32) for s in starts]))
+                    at = np.unique(np.concatenate([np.cumsum(np.frombuffer(s, np.int32), dtype=np.int32) for s in starts]))
                     at = at[at + window <= n]
                     change[at] += 1
                     np.add.at(change, at + window, -1)
