@@ -21,24 +21,27 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, mixed, table, word_hashes, written
+from .common import PACKED, BitFilter, WordBatch, batches_of, bit_filters, gram_hashes, mixed, packed, small_side, table, written
 from .components import components
 
 #: Words of a shingle; similarity in percent.
 WORDS, PERCENT = 5, 80
+#: log2 of the bits of the filter of shared columns (32 MB), and partners of a pivot that are multiplied in one task.
+FILTER_BITS, BLOCK = 28, 4096
 #: Shingles that the order knows to be frequent (it may know any number: the order only moves work), and the least count of one in a chunk.
 FREQUENT, OFTEN, CHUNK = 1 << 16, 12, 2_000_000
 
 
-def shingles(text: str, n: int = WORDS) -> np.ndarray:
-    """The distinct shingle hashes of a text, sorted; fewer words than ``n`` are one shingle."""
-    words = text.encode("utf-8", "replace").lower().split()  # of bytes: lowers A-Z only, and parts at ASCII white space only
-    if not words:
-        return np.empty(0, np.uint64)
-    h = word_hashes(words)
-    if len(h) < n:
-        return mixed(np.array([len(h)], np.uint64) * np.uint64(0x9E3779B97F4A7C15) + gram_hashes(h, len(h)))
-    return np.unique(gram_hashes(h, n))
+def shingle_sets(texts: list[str], n: int = WORDS) -> Iterator[np.ndarray]:
+    """The distinct shingle hashes of each text, sorted; fewer words than ``n`` are one shingle. Only A-Z are lowered."""
+    for part in batches_of(texts):
+        words = WordBatch(texts[part], lower=True)
+        h, text, _ = words.grams(n)
+        cuts = np.searchsorted(text, np.arange(1, len(words.first) - 1))
+        for own, first, end in zip(np.split(h, cuts), words.first[:-1], words.first[1:], strict=True):
+            if 0 < end - first < n:
+                own = mixed(gram_hashes(words.hashes[first:end], int(end - first)) + np.uint64(end - first))
+            yield np.unique(own)
 
 
 def class_of(s: np.ndarray) -> tuple[int, int]:
@@ -61,9 +64,9 @@ def column_order(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
         for b in batches:
-            for text in b["text"]:
-                held.append(shingles(text, words))
-                size += len(held[-1])
+            for row in shingle_sets(b["text"].tolist(), words):
+                held.append(row)
+                size += len(row)
                 if size >= CHUNK:
                     yield often(held)
                     held, size = [], 0
@@ -107,10 +110,9 @@ def incidence(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
         seen: set[int] = set()
         for b in batches:
             ids, texts = b["id"].tolist(), b["text"].tolist()
-            for lo in range(0, len(ids), 2000):
+            for part in batches_of(texts, 8_000_000):
                 rows = []
-                for doc, text in zip(ids[lo : lo + 2000], texts[lo : lo + 2000], strict=True):
-                    s = shingles(text, words)
+                for doc, s in zip(ids[part], shingle_sets(texts[part], words), strict=True):
                     one, two = class_of(s)
                     columns = np.empty(0, np.int64) if one in seen or not len(s) else first_columns(s, frequent, rank, percent).view(np.int64)
                     seen.add(one)
@@ -126,65 +128,98 @@ def _need(n: Column, m: Column, percent: int) -> Column:
     return F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
 
 
+def shared_columns(rows: DataFrame) -> DataFrame:
+    """(class, n, at, column) of the first columns, without nearly all that only one class has."""
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield packed(np.concatenate(b["columns"].to_numpy()).view(np.uint64))
+
+    full = rows.where(F.size("columns") > 0)
+    seen = bit_filters(full.select("columns").mapInPandas(send, PACKED), FILTER_BITS)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        more = BitFilter(seen.value[1])
+        for b in batches:
+            column = np.concatenate(b["columns"].to_numpy())
+            sizes = b["columns"].map(len).to_numpy()
+            at = np.arange(len(column)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            keep = more.has(column.view(np.uint64))
+            of = np.repeat(np.arange(len(b)), sizes)[keep]
+            yield pd.DataFrame({"class": b["class"].to_numpy()[of], "n": b["n"].to_numpy()[of], "at": at[keep], "column": column[keep]})
+
+    return full.select("class", "n", "columns").mapInPandas(run, "class long, n long, at long, column long")
+
+
 def links(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """Links (a, b) between classes, enough of them to connect all that is connected."""
-    entries = rows.where(F.size("columns") > 0).select("class", "n", F.posexplode("columns").alias("at", "column"))
-    # Of each column the smallest and the largest class: its pivots. Columns of one class link nothing.
-    pivots = entries.groupBy("column").agg(F.min(F.struct("class", "n")).alias("low"), F.max(F.struct("class", "n")).alias("high")).where("low.class <> high.class")
-    pivots = written(pivots, "ngram-pivots")
-    shared = written(entries.join(pivots, "column"), "ngram-shared")
-
-    def fits(n: Column, m: Column) -> Column:
-        return (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
-
-    tries = shared.select("class", "n", F.explode(F.array("low", "high")).alias("p")).where(F.col("class") != F.col("p.class")).where(fits(F.col("n"), F.col("p.n")))
-    # One pivot of each kind is enough for a row; what it leaves open is multiplied out below.
-    tries = tries.groupBy("class").agg(F.min("p.class").alias("low"), F.max("p.class").alias("high")).select("class", F.explode(F.array("low", "high")).alias("other"))
-    pairs = tries.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
-    texts = rows.groupBy("class").agg(F.min("id").alias("id"))
-    first = verified(written(pairs, "ngram-pairs"), texts, docs, id_col, text_col, words, percent)
-
-    known = written(components(first), "ngram-known")
-    placed = shared.drop("low", "high").join(known, shared["class"] == known["node"], "left").withColumn("component", F.coalesce("component", "class")).drop("node")
-    placed = written(placed, "ngram-placed")
-    open_ = placed.groupBy("column").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("column")
-    placed = written(placed.join(open_, "column", "left_semi").distinct(), "ngram-open")
+    entries = written(shared_columns(rows).distinct(), "ngram-columns")
+    texts = rows.where("n > 0").groupBy("class").agg(F.min("id").alias("id"))
+    of = (docs, texts, id_col, text_col, words, percent)
+
+    def meets(n: Column, m: Column, i: Column, j: Column) -> Column:
+        """Whether sizes leave room for a link, if this column is the first that the two rows share."""
+        return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(n - i, m - j) >= _need(n, m, percent))
+
+    found: DataFrame | None = None
+    placed = entries.withColumn("component", F.col("class"))
+    for pivot in (F.min, F.max):
+        # A row is tried with one pivot: of the pivots of its columns the smallest, then the largest class.
+        pivots = placed.groupBy("column").agg(pivot(F.struct("class", "n", "at", "component")).alias("p"), F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d")
+        pivots = written(pivots.select("column", "p"), "ngram-pivots")
+        tries = placed.join(pivots, "column").where(F.col("component") != F.col("p.component")).where(meets(F.col("n"), F.col("p.n"), F.col("at"), F.col("p.at")))
+        pairs = tries.groupBy("class").agg(pivot("p.class").alias("pivot"))
+        new = verified(written(pairs, "ngram-pairs"), *of)
+        found = new if found is None else found.union(new)
+        known = written(components(found), "ngram-known")
+        placed = entries.join(known, entries["class"] == known["node"], "left").withColumn("component", F.coalesce("component", "class")).drop("node")
+        open_ = placed.groupBy("column").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("column")
+        placed = written(placed.join(open_, "column", "left_semi"), "ngram-open")
     x, y = (placed.select("column", *(F.col(c).alias(f"{c}_{side}") for c in ("class", "n", "at", "component"))) for side in "xy")
-    n, m, i, j = F.col("n_x"), F.col("n_y"), F.col("at_x"), F.col("at_y")
-    most = F.least(n - i, m - j)  # the columns from here on, at most, if this is the first that the two share
-    met = x.join(y, "column").where("class_x < class_y and component_x <> component_y").where(fits(n, m) & (most >= _need(n, m, percent)))
-    pairs = written(met.select(F.col("class_x").alias("a"), F.col("class_y").alias("b")).distinct(), "ngram-pairs")
-    second = verified(pairs, texts, docs, id_col, text_col, words, percent)
-    return first.union(second)
+    met = x.join(y, "column").where("class_x < class_y and component_x <> component_y").where(meets(F.col("n_x"), F.col("n_y"), F.col("at_x"), F.col("at_y")))
+    pairs = written(met.select(F.col("class_x").alias("class"), F.col("class_y").alias("pivot")).distinct(), "ngram-pairs")
+    return found.union(verified(pairs, *of))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """The pairs that reach the threshold, by the overlap of whole rows."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(texts, "class")
-    wanted = written(wanted, "ngram-wanted")
+def verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """Of the pairs (class, pivot) those that reach the threshold, by the overlap of whole rows.
+
+    Rows of a block of a pivot's partners stream past the pivot's own row: each row travels once a pair.
+    """
+    wanted = pairs.select(F.explode(F.array("class", "pivot")).alias("class")).distinct().join(texts, "class")
+    wanted = small_side(written(wanted, "ngram-wanted"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for lo in range(0, len(b), 1000):
-                part = b.iloc[lo : lo + 1000]
-                sets = [shingles(t, words) for t in part["text"]]
-                right = [class_of(s)[0] == c for s, c in zip(sets, part["class"], strict=True)]  # else a row that repeats the id
-                yield pd.DataFrame({"class": part["class"], "row": [s.view(np.int64) for s in sets]})[right]
+            texts = b["text"].tolist()
+            for part in batches_of(texts, 8_000_000):
+                own = b["class"].to_numpy()[part]
+                sets = list(shingle_sets(texts[part], words))
+                right = [class_of(s)[0] == c for s, c in zip(sets, own, strict=True)]  # else a row that repeats the id
+                yield pd.DataFrame({"class": own, "row": [s.view(np.int64) for s in sets]})[right]
 
     body = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    matrix = written(body.join(wanted, "id").mapInPandas(run, "class long, row array<long>"), "ngram-rows")
+    matrix = body.join(wanted, "id").select("class", "text").mapInPandas(run, "class long, row array<long>")
+    blocks = written(pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks")), "ngram-blocks")
+    partners = pairs.join(blocks, "pivot").select("class", "pivot", F.pmod(F.xxhash64("class"), "blocks").alias("block"))
+    itself = blocks.select(F.col("pivot").alias("class"), "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    places = small_side(written(partners.union(itself), "ngram-places"))
 
     def product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, x = None, None
         for b in batches:
-            keep = np.zeros(len(b), bool)
-            for k, (x, y) in enumerate(zip(b["x"], b["y"], strict=True)):
-                need = -(-percent * (len(x) + len(y)) // (100 + percent))
-                keep[k] = min(len(x), len(y)) >= need and overlap(x, y) >= need
-            yield b.loc[keep, ["a", "b"]]
-
-    left = pairs.join(matrix.select(F.col("class").alias("a"), F.col("row").alias("x")), "a")
-    both = left.join(matrix.select(F.col("class").alias("b"), F.col("row").alias("y")), "b")
-    return written(both.select("a", "b", "x", "y").mapInPandas(product, "a long, b long").distinct(), "ngram-verified")
+            out = []
+            for own, pivot, block, row in zip(b["class"], b["pivot"], b["block"], b["row"], strict=True):
+                if own == pivot:
+                    now, x = (pivot, block), row
+                elif now == (pivot, block):  # sorted behind its pivot
+                    need = -(-percent * (len(x) + len(row)) // (100 + percent))
+                    if min(len(x), len(row)) >= need and overlap(x, row) >= need:
+                        out.append((pivot, own))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    dealt = matrix.join(places, "class").repartition("pivot", "block").sortWithinPartitions("pivot", "block", (F.col("class") != F.col("pivot")))
+    return written(dealt.select("class", "pivot", "block", "row").mapInPandas(product, "a long, b long").distinct(), "ngram-verified")
 
 
 def overlap(x: np.ndarray, y: np.ndarray) -> int:
