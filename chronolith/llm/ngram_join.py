@@ -3,8 +3,8 @@
 Rows of the incidence matrix are distinct shingle sets ("classes": documents with equal sets are one
 row). Columns are put in a global order, rare shingles first. Sizes bound the product: a pair that
 reaches the threshold overlaps in at least ``need(n, m)`` shingles, so it meets in the first columns of both
-rows, and a meeting in column positions i and j leaves at most 1 + min(n - i, m - j) - 1 for the overlap. Only
-those columns are multiplied out to find candidates; overlaps are then accumulated over whole rows.
+rows. Only these columns are multiplied out; overlap counts are accumulated over them, and a pair goes on only
+if its count and what its sizes leave behind them can reach ``need``. Then whole rows are multiplied.
 
 No group is expanded into its pairs: in every column each row is first multiplied with the column's two
 pivot rows only. What is linked is contracted to components, and just the pairs of one column that lie in
@@ -129,7 +129,7 @@ def _need(n: Column, m: Column, percent: int) -> Column:
 
 
 def shared_columns(rows: DataFrame) -> DataFrame:
-    """(class, n, at, column) of the first columns, without nearly all that only one class has."""
+    """(class, n, column) of the first columns, without nearly all that only one class has."""
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -143,12 +143,11 @@ def shared_columns(rows: DataFrame) -> DataFrame:
         for b in batches:
             column = np.concatenate(b["columns"].to_numpy())
             sizes = b["columns"].map(len).to_numpy()
-            at = np.arange(len(column)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             keep = more.has(column.view(np.uint64))
             of = np.repeat(np.arange(len(b)), sizes)[keep]
-            yield pd.DataFrame({"class": b["class"].to_numpy()[of], "n": b["n"].to_numpy()[of], "at": at[keep], "column": column[keep]})
+            yield pd.DataFrame({"class": b["class"].to_numpy()[of], "n": b["n"].to_numpy()[of], "column": column[keep]})
 
-    return full.select("class", "n", "columns").mapInPandas(run, "class long, n long, at long, column long")
+    return full.select("class", "n", "columns").mapInPandas(run, "class long, n long, column long")
 
 
 def links(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
@@ -157,28 +156,39 @@ def links(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: i
     texts = rows.where("n > 0").groupBy("class").agg(F.min("id").alias("id"))
     of = (docs, texts, id_col, text_col, words, percent)
 
-    def meets(n: Column, m: Column, i: Column, j: Column) -> Column:
-        """Whether sizes leave room for a link, if this column is the first that the two rows share."""
-        return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(n - i, m - j) >= _need(n, m, percent))
+    def fits(n: Column, m: Column) -> Column:
+        return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+
+    def enough(count: Column, n: Column, m: Column) -> Column:
+        """Whether an overlap of the first columns leaves room for a link.
+
+        The row whose first columns end first in the global order has all else behind them, and what it shares before
+        that end lies in the first columns of both: so the whole overlap is at most this count and that rest.
+        """
+        rest = F.greatest(*(x - F.expr(f"{x_} - ({percent} * {x_} + 99) div 100 + 1") for x, x_ in ((n, "n"), (m, "m"))))
+        return count + rest >= _need(n, m, percent)
 
     found: DataFrame | None = None
     placed = entries.withColumn("component", F.col("class"))
+    n, m = F.col("n"), F.col("m")
     for pivot in (F.min, F.max):
-        # A row is tried with one pivot: of the pivots of its columns the smallest, then the largest class.
-        pivots = placed.groupBy("column").agg(pivot(F.struct("class", "n", "at", "component")).alias("p"), F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d")
+        # A row is multiplied with the pivots of its columns, the smallest and then the largest classes there.
+        pivots = placed.groupBy("column").agg(pivot(F.struct("class", "n", "component")).alias("p"), F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d")
         pivots = written(pivots.select("column", "p"), "ngram-pivots")
-        tries = placed.join(pivots, "column").where(F.col("component") != F.col("p.component")).where(meets(F.col("n"), F.col("p.n"), F.col("at"), F.col("p.at")))
-        pairs = tries.groupBy("class").agg(pivot("p.class").alias("pivot"))
+        tries = placed.join(pivots, "column").where(F.col("component") != F.col("p.component")).select("class", "n", F.col("p.class").alias("pivot"), F.col("p.n").alias("m"))
+        tries = tries.where(fits(n, m)).groupBy("class", "n", "pivot", "m").agg(F.count(F.lit(1)).alias("count")).where(enough(F.col("count"), n, m))
+        pairs = tries.groupBy("class").agg(pivot("pivot").alias("pivot"))  # one is enough: what it leaves open is multiplied out below
         new = verified(written(pairs, "ngram-pairs"), *of)
         found = new if found is None else found.union(new)
         known = written(components(found), "ngram-known")
         placed = entries.join(known, entries["class"] == known["node"], "left").withColumn("component", F.coalesce("component", "class")).drop("node")
         open_ = placed.groupBy("column").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("column")
         placed = written(placed.join(open_, "column", "left_semi"), "ngram-open")
-    x, y = (placed.select("column", *(F.col(c).alias(f"{c}_{side}") for c in ("class", "n", "at", "component"))) for side in "xy")
-    met = x.join(y, "column").where("class_x < class_y and component_x <> component_y").where(meets(F.col("n_x"), F.col("n_y"), F.col("at_x"), F.col("at_y")))
-    pairs = written(met.select(F.col("class_x").alias("class"), F.col("class_y").alias("pivot")).distinct(), "ngram-pairs")
-    return found.union(verified(pairs, *of))
+    x = placed.select("column", "class", "n", "component")
+    y = placed.select("column", F.col("class").alias("pivot"), F.col("n").alias("m"), F.col("component").alias("other"))
+    met = x.join(y, "column").where("class < pivot and component <> other").where(fits(n, m))
+    pairs = met.groupBy("class", "n", "pivot", "m").agg(F.count(F.lit(1)).alias("count")).where(enough(F.col("count"), n, m))
+    return found.union(verified(written(pairs.select("class", "pivot"), "ngram-pairs"), *of))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:

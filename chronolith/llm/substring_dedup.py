@@ -108,14 +108,14 @@ class Passes:
         rows = []
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             if hi > lo:  # differences are small numbers, which shuffles compress
-                rows.append((int(part[lo]), None, None, h[lo:hi].tobytes(), np.diff(d[lo:hi], prepend=0).tobytes(), np.diff(p[lo:hi], prepend=np.int32(0)).astype(np.int32).tobytes()))
-        yield pd.DataFrame(rows, columns=_COLUMNS).astype({"doc": "Int64"})
+                rows.append((int(part[lo]), h[lo:hi].tobytes(), np.diff(d[lo:hi], prepend=0).tobytes(), np.diff(p[lo:hi], prepend=np.int32(0)).astype(np.int32).tobytes()))
+        yield pd.DataFrame(rows, columns=_COLUMNS)
 
 
 #: Runs that a task gathers before it sends them.
 SEND = 3_000_000
-_COLUMNS = ["part", "doc", "starts", "hashes", "docs", "places"]
-_SCHEMA = "part int, doc long, starts binary, hashes binary, docs binary, places binary"
+_COLUMNS = ["part", "hashes", "docs", "places"]
+_SCHEMA = "part int, hashes binary, docs binary, places binary"
 
 
 def after_first(h: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -129,40 +129,55 @@ def after_first(h: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 
 def settled(docs: np.ndarray, places: np.ndarray, parts: int) -> Iterator[pd.DataFrame]:
-    """Repeated runs by document: the places where they start, as differences."""
+    """Places where repeated runs start, packed by parts of the documents; differences are small numbers."""
     if not len(docs):
         return
-    order = np.lexsort((places, docs))
-    docs, places = docs[order], places[order]
-    cuts = np.flatnonzero(np.diff(docs)) + 1
-    rows = [(int(d[0]) % parts, int(d[0]), np.diff(p, prepend=np.int32(0)).astype(np.int32).tobytes(), None, None, None) for d, p in zip(np.split(docs, cuts), np.split(places, cuts), strict=True)]
+    part = docs % parts
+    order = np.lexsort((places, docs, part))
+    docs, places, part = docs[order], places[order].astype(np.int32), part[order]
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
+    rows = [(int(part[lo]), None, np.diff(docs[lo:hi], prepend=0).tobytes(), np.diff(places[lo:hi], prepend=np.int32(0)).astype(np.int32).tobytes()) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
     yield pd.DataFrame(rows, columns=_COLUMNS)
 
 
+def unpacked(docs: bytes, places: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(np.frombuffer(docs, np.int64)), np.cumsum(np.frombuffer(places, np.int32), dtype=np.int32)
+
+
 def compare(parts: int) -> Callable:
     """Of all tasks' runs of one part: those whose hash an earlier document has. What is settled passes through."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         h, d, p = [], [], []
         for b in batches:
-            for doc, starts, hashes, docs, places in zip(b["doc"], b["starts"], b["hashes"], b["docs"], b["places"], strict=True):
-                if starts is not None:
-                    yield pd.DataFrame({"doc": [int(doc)], "starts": [starts]})
-                else:
-                    h.append(np.frombuffer(hashes, np.uint64))
-                    d.append(np.cumsum(np.frombuffer(docs, np.int64)))
-                    p.append(np.cumsum(np.frombuffer(places, np.int32), dtype=np.int32))
+            done = b["hashes"].isna()
+            yield b[done]
+            for hashes, docs, places in b.loc[~done, ["hashes", "docs", "places"]].itertuples(index=False):
+                h.append(np.frombuffer(hashes, np.uint64))
+                for own, x in zip((d, p), unpacked(docs, places), strict=True):
+                    own.append(x)
         if h:
             h, d, p = map(np.concatenate, (h, d, p))
             later = after_first(h, d)
-            for x in settled(d[later], p[later], parts):
-                yield x[["doc", "starts"]]
+            yield from settled(d[later], p[later], parts)
 
     return run
 
 
+def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All places of one part of the documents, by document."""
+    found = [unpacked(*x) for b in batches for x in b[["docs", "places"]].itertuples(index=False)]
+    if not found:
+        return
+    d, p = map(np.concatenate, zip(*found, strict=True))
+    order = np.lexsort((p, d))
+    d, p = d[order], p[order]
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(d)) + 1, [len(d)]])
+    yield pd.DataFrame({"doc": d[cuts[:-1]], "starts": [p[lo:hi].tobytes() for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]})
+
+
 def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """``doc, starts``: the places (in words, as differences) where a run starts that also starts in a document with a smaller id."""
+    """``doc, starts``: the places (in words) where a run starts that also starts in a document with a smaller id."""
     todo = Passes(window)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null")
     index = bit_filters(rows.mapInPandas(todo.blocks, PACKED), filter_bits)
@@ -170,7 +185,7 @@ def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     parts = parts_for(docs, 32 << 20)
     dealt = rows.mapInPandas(todo.runs(hit, parts), _SCHEMA).repartition(parts, "part")
     # A document's repeats are bounded by its own length.
-    found = dealt.mapInPandas(compare(parts), "doc long, starts binary").groupBy("doc").agg(F.collect_list("starts").alias("starts"))
+    found = dealt.mapInPandas(compare(parts), _SCHEMA).repartition(parts, "part").mapInPandas(gather, "doc long, starts binary")
     return written(found, "substring-covered")
 
 
@@ -192,7 +207,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 n = len(words)
                 if starts is not None and n:
                     change = np.zeros(n + window + 1, np.int32)
-                    at = np.unique(np.concatenate([np.cumsum(np.frombuffer(s, np.int32), dtype=np.int32) for s in starts]))
+                    at = np.unique(np.frombuffer(starts, np.int32))
                     at = at[at + window <= n]
                     change[at] += 1
                     np.add.at(change, at + window, -1)
