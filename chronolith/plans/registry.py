@@ -1,9 +1,290 @@
-"""All queries of the library itself, and their SQL."""
+"""All queries of the library itself, each with SQL that gives the same rows where SQL can."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql() -> dict:
-    return {}
+from ..functions import expr, ontology
+from ..operators import documents, graph, resolve, store
+from ..sources import payloads
+from . import fixtures as X
+from .view import edges, literal, nodes, read, same_as, sql, values
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+#: Marks of a Latin-script corpus, in place of the Korean defaults, for queries over ``documents``.
+LATIN = (r"\b(?:idiot|clown|moron|loser)\b", r"\b(?:license|version|licensed)\b", r"\d{4}")
+_RE2 = (r"\b(?:idiot|clown|moron|loser)\b", r"\b(?:license|version|licensed)\b", r"\d{4}")
+
+
+def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if oracle:
+            _SQL[name] = oracle
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def lit(spark: SparkSession, fixture: tuple) -> DataFrame:
+    return literal(spark, *fixture)
+
+
+def fixture_nodes(spark: SparkSession) -> DataFrame:
+    return lit(spark, X.NODES)
+
+
+# --- the graph itself -------------------------------------------------------------------------
+
+query("node_union", sql("SELECT id, type, label, source, start_date, props FROM nodes"))(lambda s, d: nodes(s, d).select("id", "type", "label", "source", "start_date", "props"))
+query("edge_union", sql("SELECT src, dst, type, source, label FROM edges"))(lambda s, d: edges(s, d).select("src", "dst", "type", "source", "label"))
+query("stats_node_type", sql("SELECT type, count(*) AS n FROM nodes GROUP BY type"))(lambda s, d: store.counts(nodes(s, d), "type"))
+query("stats_edge_type", sql("SELECT type, count(*) AS n FROM edges GROUP BY type"))(lambda s, d: store.counts(edges(s, d), "type"))
+query("stats_source", sql("SELECT source, count(*) AS n FROM nodes GROUP BY source"))(lambda s, d: store.counts(nodes(s, d), "source"))
+
+
+@query("dangling_edges", sql("SELECT src, dst, type, source FROM edges e WHERE NOT EXISTS (SELECT 1 FROM nodes WHERE id = e.src AND NOT (type = 'artwork' AND substr(id, 3)::BIGINT % 97 = 0)) OR NOT EXISTS (SELECT 1 FROM nodes WHERE id = e.dst AND NOT (type = 'artwork' AND substr(id, 3)::BIGINT % 97 = 0))"))
+def _dangling(s: SparkSession, d: str) -> DataFrame:
+    known = nodes(s, d).where("not (type = 'artwork' and cast(substr(id, 3) as bigint) % 97 = 0)")
+    return store.dangling(edges(s, d), known).select("src", "dst", "type", "source")
+
+
+query("degree", sql("SELECT n.id, coalesce(k, 0) AS degree FROM nodes n LEFT JOIN (SELECT id, count(*) AS k FROM inc GROUP BY id) USING (id)"))(lambda s, d: graph.degree(nodes(s, d), edges(s, d)).select("id", "degree"))
+query("gazetteer_topn", sql("SELECT type, rank::INTEGER AS rank, label FROM (SELECT n.type, n.label, row_number() OVER (PARTITION BY n.type ORDER BY coalesce(k, 0) DESC, length(n.label), n.id) AS rank FROM nodes n LEFT JOIN (SELECT id, count(*) AS k FROM inc GROUP BY id) USING (id) WHERE n.type IN ('person', 'event', 'place', 'period') AND length(n.label) >= 2) WHERE rank <= 150"))(
+    lambda s, d: graph.gazetteer(nodes(s, d), edges(s, d))
+)
+
+_NEAR = """, l0 AS (SELECT '{start}' AS id), l1 AS (SELECT DISTINCT other AS id FROM {links} WHERE id IN (SELECT id FROM l0) EXCEPT SELECT id FROM l0),
+ l2 AS (SELECT DISTINCT other AS id FROM {links} WHERE id IN (SELECT id FROM l1) EXCEPT (SELECT id FROM l0 UNION SELECT id FROM l1)),
+ seen AS (SELECT id FROM l0 UNION SELECT id FROM l1 {more})
+SELECT 'node' AS kind, id AS a, '' AS b, type FROM nodes WHERE id IN (SELECT id FROM seen)
+UNION ALL SELECT DISTINCT 'edge', src, dst, type FROM edges WHERE src IN (SELECT id FROM seen) AND dst IN (SELECT id FROM seen) AND (src IN (SELECT id FROM l0 {walked}) OR dst IN (SELECT id FROM l0 {walked}))
+UNION ALL SELECT 'same', a, b, method FROM same_as WHERE {same} AND a IN (SELECT id FROM seen) AND b IN (SELECT id FROM seen) AND (a IN (SELECT id FROM l0 {walked}) OR b IN (SELECT id FROM l0 {walked}))"""
+
+
+def _near_sql(start: str, depth: int, same: bool) -> str:
+    two = depth == 2
+    return sql(_NEAR.format(start=start, links="links" if same else "inc", more="UNION SELECT id FROM l2" if two else "", walked="UNION SELECT id FROM l1" if two else "", same="true" if same else "false"))
+
+
+def _flat(g: graph.Subgraph) -> DataFrame:
+    out = g.nodes.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.lit("").alias("b"), "type")
+    return out.union(g.edges.select(F.lit("edge"), "src", "dst", "type")).union(g.same_as.select(F.lit("same"), "a", "b", "method"))
+
+
+query("neighbors_d1", _near_sql("c:1", 1, True))(lambda s, d: _flat(graph.neighbors(nodes(s, d), edges(s, d), same_as(s, d), "c:1", 1)))
+query("neighbors_d2", _near_sql("c:1", 2, True))(lambda s, d: _flat(graph.neighbors(nodes(s, d), edges(s, d), same_as(s, d), "c:1", 2, max_nodes=1_000_000)))
+query("neighbors_same_as", _near_sql("n:3", 1, True))(lambda s, d: _flat(graph.neighbors(nodes(s, d), edges(s, d), same_as(s, d), "n:3", 1, max_nodes=1_000_000)))
+query("neighbors_no_same_as", _near_sql("n:3", 1, False))(lambda s, d: _flat(graph.neighbors(nodes(s, d), edges(s, d), same_as(s, d), "n:3", 1, max_nodes=1_000_000, follow_same_as=False)))
+query("neighbors_truncated", sql("SELECT id, type FROM nodes WHERE id = 'n:3' OR id IN (SELECT DISTINCT other FROM links WHERE id = 'n:3' ORDER BY other LIMIT 9)"))(lambda s, d: graph.neighbors(nodes(s, d), edges(s, d), same_as(s, d), "n:3", 2, max_nodes=10).nodes.select("id", "type"))
+
+_SEEDS = "seeds AS (SELECT id FROM nodes WHERE type = 'person' AND props LIKE '%\"BUILDING\"%')"
+_ALL = f", {_SEEDS}, wide AS (SELECT id FROM seeds UNION SELECT other FROM links WHERE id IN (SELECT id FROM seeds)), keep AS (SELECT id FROM wide UNION SELECT 'r:0'), kept AS (SELECT id FROM keep WHERE id IN (SELECT id FROM links))"
+query("era_seeds", sql(f", {_SEEDS} SELECT id FROM seeds"))(lambda s, d: graph.era_seeds(nodes(s, d), edges(s, d), same_as(s, d), "BUILDING", "r:0"))
+query("expand_1hop", sql(f"{_ALL} SELECT id FROM wide"))(lambda s, d: graph.expand(graph.era_seeds(nodes(s, d), edges(s, d), same_as(s, d), "BUILDING", "r:0"), edges(s, d), same_as(s, d)))
+query("scope_nodes", sql(f"{_ALL} SELECT id, type FROM nodes WHERE id IN (SELECT id FROM kept)"))(lambda s, d: graph.scope(nodes(s, d), edges(s, d), same_as(s, d), "BUILDING", "r:0")[0].select("id", "type"))
+query("scope_edges", sql(f"{_ALL} SELECT src, dst, type, source FROM edges WHERE src IN (SELECT id FROM kept) AND dst IN (SELECT id FROM kept)"))(lambda s, d: graph.scope(nodes(s, d), edges(s, d), same_as(s, d), "BUILDING", "r:0")[1].select("src", "dst", "type", "source"))
+query("isolated", sql("SELECT id FROM nodes WHERE id NOT IN (SELECT id FROM links)"))(lambda s, d: graph.isolated(nodes(s, d).select("id"), edges(s, d), same_as(s, d)))
+
+_T = f"t AS {values(*X.TRIPLES)}"
+query("class_closure", f"WITH RECURSIVE {_T}, c AS (SELECT s AS id, o AS class FROM t WHERE p = 'P31' UNION SELECT c.id, t.o FROM c JOIN t ON t.s = c.class AND t.p = 'P279') SELECT id, class FROM c")(
+    lambda s, d: graph.closure(*(lit(s, X.TRIPLES).where(F.col("p") == p).select(F.col("s").alias(a), F.col("o").alias(b)) for p, a, b in (("P31", "id", "class"), ("P279", "class", "parent"))))
+)
+
+# --- merging ----------------------------------------------------------------------------------
+
+_UPSERT = "SELECT id, type, CASE WHEN k % 3 = 0 THEN label || '*' ELSE label END AS label, source, CASE WHEN k % 3 = 0 THEN coalesce(start_date, '2000') ELSE start_date END AS start_date, CASE WHEN k % 3 = 0 THEN '{\"v\":2}' ELSE props END AS props FROM (SELECT *, substr(id, 3)::BIGINT AS k FROM nodes)"
+
+
+@query("upsert_nodes", sql(_UPSERT))
+def _upsert_nodes(s: SparkSession, d: str) -> DataFrame:
+    """Every third node comes again twice: first with a description and a date, then with a new label and props only."""
+    old = nodes(s, d)
+    again = old.where("cast(substr(id, 3) as bigint) % 3 = 0").withColumn("source", F.lit("new")).withColumn("type", F.lit("role"))
+    first = again.withColumn("start_date", F.coalesce("start_date", F.lit("2000"))).withColumn("seq", F.lit(0))
+    second = again.withColumn("start_date", F.lit(None).cast("string")).withColumn("label", F.concat("label", F.lit("*"))).withColumn("props", F.lit('{"v":2}')).withColumn("seq", F.lit(1))
+    return store.upsert_nodes(old, first.unionByName(second)).select("id", "type", "label", "source", "start_date", "props")
+
+
+@query("upsert_edges", sql("SELECT src, dst, type, source, CASE WHEN type = 'born_in' THEN 'again' ELSE label END AS label, CASE WHEN type = 'born_in' THEN 0.5 ELSE 1.0 END::DOUBLE AS confidence FROM edges"))
+def _upsert_edges(s: SparkSession, d: str) -> DataFrame:
+    new = edges(s, d).where("type = 'born_in'").withColumn("label", F.lit("again")).withColumn("confidence", F.lit(0.5)).withColumn("seq", F.lit(0))
+    return store.upsert_edges(edges(s, d), new).select("src", "dst", "type", "source", "label", "confidence")
+
+
+@query("aliases_insert_ignore", sql("SELECT DISTINCT 'n:' || n_nationkey AS node_id, alias FROM nation, (VALUES ('one'), ('two')) AS v(alias)"))
+def _aliases(s: SparkSession, d: str) -> DataFrame:
+    own = nodes(s, d).where("source = 'nat'").withColumn("aliases", F.array(F.lit("one"), F.lit(""), F.col("label"), F.lit("two"), F.lit("one")))
+    old = own.select(F.col("id").alias("node_id"), F.lit("one").alias("alias")).limit(5)
+    return store.insert_aliases(old, own)
+
+
+@query("same_as_replace", sql("SELECT a, b, CASE WHEN substr(a, 3)::INTEGER % 2 = 0 THEN 'hand' ELSE method END AS method, CASE WHEN substr(a, 3)::INTEGER % 2 = 0 THEN 1.0 ELSE score END::DOUBLE AS score FROM same_as"))
+def _same_as(s: SparkSession, d: str) -> DataFrame:
+    old = same_as(s, d)
+    return store.replace_same_as(old, old.where("cast(substr(a, 3) as int) % 2 = 0").withColumn("method", F.lit("hand")).withColumn("score", F.lit(1.0)).withColumn("seq", F.lit(0)))
+
+
+@query("prune_by_label", sql("SELECT src, dst, type, source FROM edges WHERE src NOT IN (SELECT id FROM nodes WHERE type = 'event' AND label LIKE '%7') AND dst NOT IN (SELECT id FROM nodes WHERE type = 'event' AND label LIKE '%7')"))
+def _prune(s: SparkSession, d: str) -> DataFrame:
+    n = nodes(s, d)
+    none = s.createDataFrame([], "node_id string, alias string")
+    return store.delete_nodes(n, edges(s, d), none, n.where("type = 'event' and label like '%7'").select("id"))[1].select("src", "dst", "type", "source")
+
+
+query("prune_by_class", f"WITH RECURSIVE {_T}, c AS (SELECT s AS id, o AS class FROM t WHERE p = 'P31' UNION SELECT c.id, t.o FROM c JOIN t ON t.s = c.class AND t.p = 'P279') SELECT DISTINCT id FROM c WHERE class IN ('Q13406554', 'Q16510064', 'Q46190676', 'Q500834')")(
+    lambda s, d: _QUERIES["class_closure"](s, d).where("class in ('Q13406554', 'Q16510064', 'Q46190676', 'Q500834')").select("id").distinct()
+)
+
+# --- checks -----------------------------------------------------------------------------------
+
+query("validate_nodes", sql("SELECT violation, count(*) AS n FROM (SELECT CASE WHEN id LIKE 's:%' THEN 'type' WHEN id LIKE 'r:%' THEN 'id' WHEN id LIKE 'n:%' THEN 'label' END AS violation FROM nodes) GROUP BY violation"))(
+    lambda s, d: nodes(s, d).select(ontology.node_violation(F.when(F.startswith("id", F.lit("s:")), "bad").otherwise(F.col("type")), F.when(F.startswith("id", F.lit("r:")), "bad").otherwise(F.col("id")), F.when(F.startswith("id", F.lit("n:")), "").otherwise(F.col("label"))).alias("violation")).groupBy("violation").agg(F.count(F.lit(1)).alias("n"))
+)
+query("validate_edges", sql("SELECT src, dst, 'created' AS type, 'src' AS problem FROM edges WHERE type = 'occurred_at' UNION ALL SELECT src, dst, 'participated_in', 'dst' FROM edges WHERE type = 'born_in'"))(
+    lambda s, d: ontology.endpoint_problems(edges(s, d).withColumn("type", F.when(F.col("type") == "occurred_at", "created").when(F.col("type") == "born_in", "participated_in").otherwise(F.col("type"))), nodes(s, d)).select("src", "dst", "type", "problem")
+)
+query("orient_edges", sql("SELECT src, dst, type, true AS flipped FROM (SELECT dst AS src, src AS dst, type FROM edges WHERE type IN ('participated_in', 'created')) UNION ALL SELECT src, dst, type, false FROM edges WHERE type NOT IN ('participated_in', 'created')"))(
+    lambda s, d: ontology.oriented(ontology.with_end_types(edges(s, d).withColumns({k: F.when(F.col("type").isin("participated_in", "created"), F.col(v)).otherwise(F.col(k)) for k, v in (("src", "dst"), ("dst", "src"))}), nodes(s, d))).select("src", "dst", "type", "flipped")
+)
+
+# --- scalar functions over literals -----------------------------------------------------------
+
+_HANGUL_END = r"(?:[^\p{L}\p{N}_]|$)"
+_HANGUL_START = r"(?:^|[^\p{L}\p{N}_])"
+
+
+def _re2(pattern: str) -> str:
+    """Word borders that know letters of every script, for RE2."""
+    out = pattern.replace(r"\b(?:doubles|singles)\b", f"{_HANGUL_START}(?:doubles|singles){_HANGUL_END}").replace(r"\bGames\b", f"{_HANGUL_START}Games{_HANGUL_END}").replace(r"\bCup\b", f"{_HANGUL_START}Cup{_HANGUL_END}")
+    return out.replace(r"\b", _HANGUL_END).replace("'", "''")
+
+
+query("is_sports", f"SELECT label, class, coalesce(class IN ({', '.join(repr(c) for c in expr.SPORTS_CLASSES)}), false) OR coalesce(regexp_matches(label, '(?i)(?:{_re2(expr.SPORTS_WORDS)})'), false) AS sports FROM {values(*X.SPORTS)}")(
+    lambda s, d: lit(s, X.SPORTS).withColumn("sports", expr.is_sports(F.col("label"), F.col("class")))
+)
+_SUFFIX = expr.ADMIN_SUFFIX
+_PLACE_SQL = f"CASE WHEN regexp_replace({{0}}, '{_SUFFIX}', '') = '' THEN {{0}} ELSE regexp_replace({{0}}, '{_SUFFIX}', '') END"
+query("normalize_place", f"SELECT label, {_PLACE_SQL.format('trim(label)')} AS name FROM {values(*X.PLACES)}")(lambda s, d: lit(s, X.PLACES).withColumn("name", expr.normalize_place(F.col("label"))))
+query("normalize_period", f"SELECT label, regexp_replace(trim(label), '\\s*시대$', '') AS name FROM {values(*X.PERIODS)}")(lambda s, d: lit(s, X.PERIODS).withColumn("name", expr.normalize_period(F.col("label"))))
+_POL = "통일신라|대한제국|고구려|고려|발해|백제|신라|조선"
+_POL_SQL = f"(SELECT label, CASE WHEN list_contains(p, '통일신라') THEN list_filter(p, lambda x: x <> '신라') ELSE p END AS p FROM (SELECT label, list_filter(a, lambda x, i: list_position(a, x) = i) AS p FROM (SELECT label, regexp_extract_all(label, '{_POL}') AS a FROM {values(*X.PERIODS)})))"
+query("extract_polities", f"SELECT label, array_to_string(p, ',') AS polities FROM {_POL_SQL}")(lambda s, d: lit(s, X.PERIODS).withColumn("polities", F.array_join(expr.polities(F.col("label")), ",")))
+_YEARS_SQL = "CASE WHEN regexp_extract({0}, '(?:기원전|서기전|B\\.?C\\.?)\\s*(\\d{{1,4}})', 1) <> '' THEN [-regexp_extract({0}, '(?:기원전|서기전|B\\.?C\\.?)\\s*(\\d{{1,4}})', 1)::INTEGER] ELSE list_filter(list_transform(regexp_extract_all({0}, '(?:^|[^0-9])([0-9]{{3,4}})', 1), lambda y: y::INTEGER), lambda y: y BETWEEN 100 AND 2100) END"
+query("parse_years", f"SELECT label, array_to_string({_YEARS_SQL.format('label')}, ',') AS years FROM {values(*X.PERIODS)}")(lambda s, d: lit(s, X.PERIODS).withColumn("years", F.array_join(F.transform(expr.parse_years(F.col("label")), lambda y: y.cast("string")), ",")))
+query("year_of", f"SELECT date, CASE WHEN y BETWEEN 1 AND 2100 THEN CASE WHEN trim(date) LIKE '-%' THEN -y ELSE y END END AS year FROM (SELECT date, TRY_CAST(regexp_extract(trim(date), '^-?(\\d+)(?:-|$)', 1) AS INTEGER) AS y FROM {values(*X.DATES)})")(lambda s, d: lit(s, X.DATES).withColumn("year", expr.year_of(F.col("date"))))
+query("redact", f"SELECT url, regexp_replace(url, '((?:serviceKey|apiKey|authKey)=)[^&\\s]+', '\\1***', 'gi') AS shown FROM {values(*X.URLS)}")(lambda s, d: lit(s, X.URLS).select("url", expr.redact(F.col("url")).alias("shown")))
+query("cache_key", f"SELECT url, substr(sha256(url || '|' || coalesce(body, '')), 1, 32) AS key FROM {values(*X.URLS)}")(lambda s, d: lit(s, X.URLS).select("url", expr.cache_key(F.col("url"), F.col("body")).alias("key")))
+query("parse_designated_date", f"SELECT day, CASE WHEN regexp_matches(day, '^\\d{{8}}$') THEN substr(day, 1, 4) || '-' || substr(day, 5, 2) || '-' || substr(day, 7, 2) END AS iso FROM {values(*X.SCALARS)}")(lambda s, d: lit(s, X.SCALARS).select("day", expr.designated_date(F.col("day")).alias("iso")))
+query("as_float", f"SELECT number, TRY_CAST(trim(number) AS DOUBLE) AS value FROM {values(*X.SCALARS)}")(lambda s, d: lit(s, X.SCALARS).select("number", expr.to_double(F.col("number")).alias("value")))
+query("json_coerce")(lambda s, d: lit(s, X.ANSWERS).select("id", F.to_json(expr.relations_json(F.col("text"))).alias("relations")))
+query("json_set_props", "SELECT event_id, '{\"k\":' || json_extract_string(props, '$.k') || ',\"seen\":\"yes\"}' AS props FROM events")(lambda s, d: read(s, d, "events").select("event_id", expr.json_set(F.col("props"), "seen", F.lit("yes")).alias("props")))
+query("event_years", "SELECT year(ts)::INTEGER AS year, count(*) AS n, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS k FROM events GROUP BY 1")(lambda s, d: read(s, d, "events").groupBy(F.year("ts").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k")))
+
+# --- resolution and time ----------------------------------------------------------------------
+
+_N = f"nodes AS {values(*X.NODES)}, edges AS {values(*X.EDGES)}, same_as AS {values(*X.SAME_AS)}, aliases AS {values(*X.ALIASES)}"
+_POL_ID = "CASE p[1] " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in expr.POLITY_IDS.items()) + " END"
+query("link_periods", f"WITH {_N} SELECT id AS a, 'wd:' || {_POL_ID} AS b, 'period_polity' AS method, 1.0::DOUBLE AS score FROM (SELECT id, CASE WHEN list_contains(p, '통일신라') THEN list_filter(p, lambda x: x <> '신라') ELSE p END AS p FROM (SELECT id, list_distinct(regexp_extract_all(label, '{_POL}')) AS p FROM nodes WHERE type = 'period' AND source = 'khs')) WHERE len(p) = 1 AND 'wd:' || {_POL_ID} IN (SELECT id FROM nodes)")(
+    lambda s, d: resolve.link_periods(fixture_nodes(s))
+)
+query("link_places", f"WITH {_N}, known AS (SELECT {_PLACE_SQL.format('trim(label)')} AS name, min(id) AS id FROM nodes WHERE type = 'place' AND source = 'wd' GROUP BY 1 HAVING count(*) = 1), own AS (SELECT id, {_PLACE_SQL.format(chr(40) + 'json_extract_string(props, ' + repr('$.sigungu') + '))')} AS g, {_PLACE_SQL.format(chr(40) + 'json_extract_string(props, ' + repr('$.sido') + '))')} AS s FROM nodes WHERE type = 'place' AND source = 'khs') SELECT o.id AS a, coalesce(x.id, y.id) AS b, 'place_label_exact' AS method, 0.9::DOUBLE AS score FROM own o LEFT JOIN known x ON x.name = g LEFT JOIN known y ON y.name = s WHERE coalesce(x.id, y.id) IS NOT NULL")(
+    lambda s, d: resolve.link_places(fixture_nodes(s))
+)
+query("bridge_report", sql("SELECT 'total' AS metric, count(*) AS n FROM same_as UNION ALL SELECT 'cross_source', count(*) FROM same_as JOIN nodes x ON x.id = a JOIN nodes y ON y.id = b WHERE x.source <> y.source UNION ALL SELECT 'reaching', count(DISTINCT src) FROM edges JOIN same_as ON a = dst JOIN nodes n ON n.id = src WHERE n.source = 'cust' UNION ALL SELECT 'method:' || method, count(*) FROM same_as GROUP BY method"))(
+    lambda s, d: resolve.bridge_report(nodes(s, d), edges(s, d), same_as(s, d), "cust")
+)
+query("timeline_label_links", f"WITH {_N} SELECT id AS a, 'time:' || y[1] AS b, 'year_from_label' AS method, 0.95::DOUBLE AS score FROM (SELECT id, {_YEARS_SQL.format('label')} AS y FROM nodes WHERE type = 'period' AND NOT starts_with(id, 'time:')) WHERE len(y) > 0")(lambda s, d: resolve.year_links(fixture_nodes(s)))
+query("timeline_dated_to", sql("SELECT id AS src, 'time:' || substr(start_date, 1, 4)::INTEGER AS dst, 'dated_to' AS type, 'timeline' AS source, '시작' AS label FROM nodes WHERE start_date IS NOT NULL"))(lambda s, d: resolve.dated_edges(nodes(s, d)))
+query("timeline_year_nodes", sql("SELECT DISTINCT 'time:' || y AS id, 'period' AS type, y || '년' AS label, 'timeline' AS source, lpad(y::VARCHAR, 4, '0') AS start_date FROM (SELECT substr(start_date, 1, 4)::INTEGER AS y FROM nodes WHERE start_date IS NOT NULL)"))(
+    lambda s, d: resolve.year_nodes(resolve.dated_edges(nodes(s, d)).select(F.substring_index("dst", ":", -1).cast("int").alias("year")))
+)
+query("whats_in", sql("SELECT label, type, '시작' AS rel, 'dated_to' AS via FROM nodes WHERE start_date LIKE '1996%' ORDER BY type, label LIMIT 20"))(lambda s, d: resolve.whats_in(nodes(s, d), resolve.dated_edges(nodes(s, d)), same_as(s, d), 1996))
+
+# --- documents and extraction -----------------------------------------------------------------
+
+
+def prose(spark: SparkSession, d: str) -> DataFrame:
+    t = read(spark, d, "documents")
+    return t.select(F.concat(F.lit("d:"), F.col("doc_id").cast("string")).alias("id"), F.when(F.col("doc_id") % 2 == 0, "event").otherwise("org").alias("type"), F.col("source").alias("label"), F.col("text").alias("description"))
+
+
+_PROSE = "prose AS (SELECT 'd:' || doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'event' ELSE 'org' END AS type, source AS label, text AS description FROM documents)"
+_SCORE = f"(CASE WHEN regexp_matches(description, '{LATIN[0]}') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(description, '{LATIN[1]}') THEN 1 ELSE 0 END - CASE WHEN regexp_matches(description, '{LATIN[2]}') THEN 0.5 ELSE 0 END + least(length(description) / 4000, 0.5))::DOUBLE"
+query("narrative_score", f"WITH {_PROSE} SELECT id, round({_SCORE}, 6) AS score FROM prose")(lambda s, d: prose(s, d).select("id", F.round(expr.narrative_score(F.col("description"), *LATIN), 6).alias("score")))
+_DENSITY = f"coalesce((len(regexp_extract_all({{0}}, '{LATIN[0]}')) + len(regexp_extract_all({{0}}, '{LATIN[1]}'))) / nullif(length({{0}}) / 1000, 0), 0)::DOUBLE"
+query("chunk_density", f"WITH {_PROSE} SELECT id, round({_DENSITY.format('description')}, 6) AS density FROM prose")(lambda s, d: prose(s, d).select("id", F.round(expr.hint_density(F.col("description"), *LATIN[:2]), 6).alias("density")))
+_SPLIT = """, paragraphs AS (SELECT id, label, string_split(description, chr(10)) AS p, description FROM prose),
+ fold AS (
+  SELECT id, label, p, 1 AS i, p[1] AS held, []::VARCHAR[] AS done FROM paragraphs WHERE length(description) > 6000
+  UNION ALL
+  SELECT id, label, p, i + 1, CASE WHEN held <> '' AND length(held) + length(p[i + 1]) + 1 > 6000 THEN right(held, 400) || chr(10) || p[i + 1] WHEN held <> '' THEN held || chr(10) || p[i + 1] ELSE p[i + 1] END,
+         CASE WHEN held <> '' AND length(held) + length(p[i + 1]) + 1 > 6000 THEN list_append(done, held) ELSE done END
+  FROM fold WHERE i < len(p)
+ ), ends AS (
+  SELECT id, label, CASE WHEN trim(held, ' ' || chr(9) || chr(10) || chr(13)) <> '' THEN list_append(done, held) ELSE done END AS c FROM fold WHERE i = len(p)
+  UNION ALL SELECT id, label, [description] FROM paragraphs WHERE length(description) <= 6000
+ ), chunks AS (SELECT id AS node_id, label, len(c)::INTEGER AS total_chunks, (k - 1)::INTEGER AS chunk, c[k] AS text FROM (SELECT *, unnest(range(1, len(c) + 1)) AS k FROM ends))
+"""
+query("split_documents", f"WITH RECURSIVE {_PROSE}{_SPLIT} SELECT node_id, label, total_chunks, chunk, text FROM chunks")(lambda s, d: documents.split_documents(prose(s, d)))
+query("pick_chunks", f"WITH RECURSIVE {_PROSE}{_SPLIT} SELECT node_id, chunk FROM (SELECT node_id, chunk, row_number() OVER (PARTITION BY node_id ORDER BY {_DENSITY.format('text')} DESC, chunk) AS r FROM chunks) WHERE r <= 2")(lambda s, d: documents.pick_chunks(documents.split_documents(prose(s, d)), 2, *LATIN[:2]).select("node_id", "chunk"))
+query("load_documents", f"WITH RECURSIVE {_PROSE}{_SPLIT}, best AS (SELECT id FROM (SELECT id, {_SCORE} AS score FROM prose WHERE type = 'event' AND length(description) > 100) WHERE score >= 1 ORDER BY score DESC, id LIMIT 50) SELECT node_id, chunk, text FROM chunks WHERE node_id IN (SELECT id FROM best)")(
+    lambda s, d: documents.load_documents(prose(s, d), edges(s, d).limit(0), limit=50, types=("event",), hints=LATIN).select("node_id", "chunk", "text")
+)
+query("structural_coverage", f"WITH {_N} SELECT id, array_to_string(list_sort(list(DISTINCT type)), ',') AS types FROM (SELECT src AS id, type, source FROM edges UNION ALL SELECT dst, type, source FROM edges) WHERE source IN ('khs', 'kowiki:infobox', 'kowiki', 'wd') GROUP BY id")(lambda s, d: documents.coverage(lit(s, X.EDGES)).select("id", F.array_join("types", ",").alias("types")))
+query("worth_extracting", f"WITH {_N} SELECT id FROM nodes WHERE CASE WHEN type = 'heritage' THEN regexp_matches(description, '{expr.MAKER}') WHEN type = 'event' THEN NOT (id IN (SELECT unnest([src, dst]) FROM edges WHERE type = 'participated_in' AND source = 'kowiki:infobox') AND coalesce(length(description), 5000) < 4000) ELSE true END")(
+    lambda s, d: documents.worth_extracting(fixture_nodes(s).withColumn("description", F.when(F.col("type") == "event", F.rpad(F.coalesce("description", F.lit("")), 5000, ".")).otherwise(F.col("description"))), lit(s, X.EDGES)).select("id")
+)
+query("evidence_supported", "SELECT doc_id, length(ev) >= 8 AND contains(body, left(ev, 25)) AS supported FROM (SELECT doc_id, regexp_replace(CASE WHEN doc_id % 3 = 0 THEN substr(text, 11, 40) WHEN doc_id % 3 = 1 THEN left(text, 5) ELSE 'not in any document at all' END, '\\s+', '', 'g') AS ev, regexp_replace(text, '\\s+', '', 'g') AS body FROM documents)")(
+    lambda s, d: read(s, d, "documents").select("doc_id", expr.evidence_supported(F.when(F.col("doc_id") % 3 == 0, F.substring("text", 11, 40)).when(F.col("doc_id") % 3 == 1, F.left("text", F.lit(5))).otherwise("not in any document at all"), F.col("text")).alias("supported"))
+)
+query("resolve_names", sql(", names AS (SELECT DISTINCT p_name AS name, 'artwork' AS kind FROM part UNION SELECT n_name, 'event' FROM nation UNION SELECT 'nobody', 'person') SELECT name, kind, coalesce((SELECT min(id) FROM nodes WHERE label = name AND type = kind), (SELECT min(id) FROM nodes WHERE label = name), 'ex:' || kind || ':' || name) AS id FROM names"))(
+    lambda s, d: documents.resolve_names(read(s, d, "part").select(F.col("p_name").alias("name"), F.lit("artwork").alias("kind")).union(read(s, d, "nation").select("n_name", F.lit("event"))).union(s.createDataFrame([("nobody", "person")], "name string, kind string")).distinct(), nodes(s, d), s.createDataFrame([], "node_id string, alias string")).select("name", "kind", "id")
+)
+
+
+def _extracted(s: SparkSession) -> tuple[DataFrame, DataFrame]:
+    text = fixture_nodes(s).select(F.col("id").alias("source_node"), F.col("description").alias("text"))
+    return documents.to_graph(lit(s, X.RELATIONS).join(text, "source_node"), fixture_nodes(s), lit(s, X.ALIASES))
+
+
+_EXTRACTED = [("wd:Q37682", "wd:Q10", "participated_in", 0.9), ("wd:Q37682", "wd:Q10", "participated_in", 0.7), ("ex:person:장영실", "ex:artwork:자격루", "created", 0.5)]
+query("to_graph_nodes", f"SELECT * FROM {values([('ex:person:장영실', 'person', '장영실'), ('ex:artwork:자격루', 'artwork', '자격루'), ('ex:place:경복궁', 'place', '경복궁')], 'id string, type string, label string')}")(lambda s, d: _extracted(s)[0].select("id", "type", "label"))
+query("to_graph_edges", f"SELECT * FROM {values(_EXTRACTED, 'src string, dst string, type string, confidence double')}")(lambda s, d: _extracted(s)[1].select("src", "dst", "type", "confidence"))
+query("extraction_quality", f"SELECT type, count(*) AS n, sum(CASE WHEN src NOT LIKE 'ex:%' AND dst NOT LIKE 'ex:%' THEN 1 ELSE 0 END)::BIGINT AS linked FROM {values(_EXTRACTED, 'src string, dst string, type string, confidence double')} GROUP BY type")(lambda s, d: documents.extraction_quality(_extracted(s)[1]))
+
+# --- sources ----------------------------------------------------------------------------------
+
+query("infobox_links")(lambda s, d: payloads.infobox_links(lit(s, X.WIKITEXT)))
+query("infobox_edges", f"SELECT * FROM {values([('wd:Q31', 'wd:E1', 'participated_in', 0.95), ('wd:Q32', 'wd:E1', 'participated_in', 0.95), ('wd:E1', 'wd:Q34', 'occurred_at', 0.95)], 'src string, dst string, type string, confidence double')}")(
+    lambda s, d: payloads.infobox_edges(payloads.infobox_links(lit(s, X.WIKITEXT)), lit(s, X.TITLES), lit(s, X.KNOWN), lit(s, X.FETCHED)).select("src", "dst", "type", "confidence")
+)
+query("redirect_map", f"WITH w AS {values(*X.WANTED)}, n AS {values([('b', 'B')], 'a string, b string')}, r AS {values([('B', 'Bee'), ('A', 'Aye')], 'a string, b string')} SELECT title, coalesce(r.b, n.b, title) AS final FROM w LEFT JOIN n ON n.a = title LEFT JOIN r ON r.a = coalesce(n.b, title)")(
+    lambda s, d: payloads.requested_titles(lit(s, X.WANTED), lit(s, X.NORMALIZED), lit(s, X.REDIRECTS))
+)
+query("labels_lookup", f"WITH {_T} SELECT s AS id, coalesce(min(o) FILTER (WHERE p = 'label' AND lang = 'ko'), min(o) FILTER (WHERE p = 'label' AND lang = 'en'), s) AS label, min(o) FILTER (WHERE p = 'P31') AS class FROM t GROUP BY s")(lambda s, d: payloads.labels(lit(s, X.TRIPLES)))
+query("aliases_lookup", f"WITH {_T} SELECT DISTINCT 'wd:' || s AS node_id, o AS alias FROM t WHERE p = 'altLabel' AND lang = 'ko'")(lambda s, d: payloads.aliases(lit(s, X.TRIPLES)))
+query("sparql_persons", f"WITH {_T}, q AS {values(*X.POLITIES)}, h AS (SELECT t.s, q.label, row_number() OVER (PARTITION BY t.s ORDER BY seq) AS k FROM t JOIN q ON t.o = q.qid WHERE t.p = 'P27' AND t.s IN (SELECT s FROM t WHERE p = 'P31' AND o = 'Q5')) SELECT 'wd:' || h.s AS id, label AS polity, (SELECT min(split_part(o, 'T', 1)) FROM t WHERE t.s = h.s AND p = 'P569') AS start_date, (SELECT min(split_part(o, 'T', 1)) FROM t WHERE t.s = h.s AND p = 'P570') AS end_date FROM h WHERE k = 1")(
+    lambda s, d: payloads.persons(lit(s, X.TRIPLES), lit(s, X.POLITIES))
+)
+query("sparql_relations_downgrade", f"SELECT * FROM {values([('wd:Q10', 'wd:Q50', 'born_in', None), ('wd:Q10', 'wd:Q11', 'spouse_of', None), ('wd:Q10', 'wd:Q60', 'held_position', None), ('wd:Q10', 'wd:Q70', 'related_to', 'created')], 'src string, dst string, type string, original_type string')}")(
+    lambda s, d: payloads.person_relations(lit(s, X.TRIPLES), payloads.persons(lit(s, X.TRIPLES), lit(s, X.POLITIES)))
+)
+query("sparql_events", f"WITH RECURSIVE {_T}, c AS (SELECT s AS id, o AS class FROM t WHERE p = 'P31' UNION SELECT c.id, t.o FROM c JOIN t ON t.s = c.class AND t.p = 'P279') SELECT DISTINCT id FROM c WHERE class IN ('Q1190554', 'Q178561', 'Q198', 'Q13418847')")(lambda s, d: _QUERIES["class_closure"](s, d).where(F.col("class").isin(payloads.EVENT_ROOTS)).select("id").distinct())
+query("sparql_media", f"WITH {_T} SELECT 'wd:' || s AS src, 'wd:' || o AS dst, 'depicts' AS type FROM t WHERE p = 'P921' AND s IN (SELECT s FROM t WHERE p = 'P31' AND o IN ('Q11424', 'Q5398426')) AND s IN (SELECT s FROM t WHERE p = 'P495' AND o = 'Q884')")(lambda s, d: payloads.media(lit(s, X.TRIPLES)))
+query("xml_heritage")(lambda s, d: payloads.heritage(payloads.xml_items(lit(s, X.ITEMS)))[0])
+query("enrich_update", f"WITH {_N}, x AS {values(*X.EXTRACTS)} SELECT n.id, CASE WHEN x.id IS NOT NULL THEN x.extract ELSE n.description END AS description FROM nodes n LEFT JOIN x ON x.id = n.id")(lambda s, d: payloads.enrich(fixture_nodes(s), lit(s, X.EXTRACTS)).select("id", "description"))

@@ -1,0 +1,29 @@
+"""Graph tables as immutable Parquet snapshots, ``root/table/v=N``, with the current version in a pointer table."""
+
+from __future__ import annotations
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+class Snapshots:
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def version(self, table: str) -> int:
+        """The newest whole version, -1 if there is none; the pointer is written after the data."""
+        try:
+            found = self.spark.read.schema("v long").json(f"{self.root}/{table}/_pointer").agg(F.max("v")).first()[0]
+        except AnalysisException:
+            return -1
+        return -1 if found is None else int(found)
+
+    def read(self, table: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{table}/v={self.version(table)}")
+
+    def write(self, table: str, df: DataFrame) -> DataFrame:
+        v = self.version(table) + 1
+        df.write.mode("overwrite").parquet(f"{self.root}/{table}/v={v}")
+        self.spark.range(1).select(F.lit(v).alias("v")).coalesce(1).write.mode("append").json(f"{self.root}/{table}/_pointer")
+        return self.read(table)
