@@ -201,8 +201,13 @@ def packed(h: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["slice", "payload", "again"])
 
 
-def bit_filters(sent: DataFrame, log2_bits: int) -> Broadcast:
-    """Two filters of PACKED hashes: of all, and of those that came more than once.
+def filter_bits(df: DataFrame, largest: int = 28) -> int:
+    """log2 of the bits of a filter for ``df``: about half to one bit a byte of the input's files, 2**``largest`` (32 MB) at most."""
+    return min(largest, max(20, (input_bytes(df) // 2).bit_length()))
+
+
+def bit_filters(sent: DataFrame, log2_bits: int, which: tuple[str, ...] = ("once", "more")) -> Broadcast:
+    """Filters of PACKED hashes: ``once`` of all, ``more`` of those that came more than once.
 
     Only the bits reach the driver: 2**log2_bits / 8 bytes each, whatever the input.
     """
@@ -227,11 +232,11 @@ def bit_filters(sent: DataFrame, log2_bits: int) -> Broadcast:
             once, more = (np.packbits(f, bitorder="little").tobytes() for f in flags)
             yield pd.DataFrame({"slice": [s], "once": [once], "more": [more]})
 
-    dealt = sent.repartition(1 << BitFilter.SLICES, "slice").mapInPandas(build, "slice int, once binary, more binary")
-    bits = [np.zeros(1 << (log2_bits - 3), np.uint8) for _ in range(2)]
+    dealt = sent.repartition(1 << BitFilter.SLICES, "slice").mapInPandas(build, "slice int, once binary, more binary").select("slice", *which)
+    bits = [np.zeros(1 << (log2_bits - 3), np.uint8) for _ in which]
     for row in dealt.toLocalIterator():
         at = row["slice"] * (size >> 3)
-        for own, name in zip(bits, ("once", "more"), strict=True):
+        for own, name in zip(bits, which, strict=True):
             own[at : at + (size >> 3)] = np.frombuffer(row[name], np.uint8)
     return sent.sparkSession.sparkContext.broadcast(bits)
 

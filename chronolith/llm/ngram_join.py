@@ -21,13 +21,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PACKED, BitFilter, WordBatch, batches_of, bit_filters, gram_hashes, mixed, packed, small_side, table, written
+from .common import PACKED, BitFilter, WordBatch, batches_of, bit_filters, filter_bits, gram_hashes, mixed, packed, small_side, table, written
 from .components import components
 
 #: Words of a shingle; similarity in percent.
 WORDS, PERCENT = 5, 80
-#: log2 of the bits of the filter of shared columns (32 MB), and partners of a pivot that are multiplied in one task.
-FILTER_BITS, BLOCK = 28, 4096
+#: Partners of a pivot that are multiplied in one task.
+BLOCK = 4096
 #: Shingles that the order knows to be frequent (it may know any number: the order only moves work), and the least count of one in a chunk.
 FREQUENT, OFTEN, CHUNK = 1 << 16, 12, 2_000_000
 
@@ -53,9 +53,12 @@ def class_of(s: np.ndarray) -> tuple[int, int]:
     return int(one[0].view(np.int64)), int(two[0].view(np.int64))
 
 
-def prefix_length(n: Column | np.ndarray, percent: int) -> int:
-    """First columns of a row that meet any partner: a partner overlaps in at least percent of n."""
-    return n - -(-percent * n // 100) + 1
+def prefix_length(n: int, percent: int) -> int:
+    """First columns of a row that are multiplied out.
+
+    n - ceil(percent * n / 100) + 1 of them meet any partner; as many again make the counts tell more.
+    """
+    return min(n, 2 * (n + -percent * n // 100) + 1)
 
 
 def column_order(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,10 +139,10 @@ def shared_columns(rows: DataFrame) -> DataFrame:
             yield packed(np.concatenate(b["columns"].to_numpy()).view(np.uint64))
 
     full = rows.where(F.size("columns") > 0)
-    seen = bit_filters(full.select("columns").mapInPandas(send, PACKED), FILTER_BITS)
+    seen = bit_filters(full.select("columns").mapInPandas(send, PACKED), filter_bits(rows), ("more",))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        more = BitFilter(seen.value[1])
+        more = BitFilter(seen.value[0])
         for b in batches:
             column = np.concatenate(b["columns"].to_numpy())
             sizes = b["columns"].map(len).to_numpy()
@@ -165,7 +168,7 @@ def links(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: i
         The row whose first columns end first in the global order has all else behind them, and what it shares before
         that end lies in the first columns of both: so the whole overlap is at most this count and that rest.
         """
-        rest = F.greatest(*(x - F.expr(f"{x_} - ({percent} * {x_} + 99) div 100 + 1") for x, x_ in ((n, "n"), (m, "m"))))
+        rest = F.greatest(*(x - F.expr(f"least({x_}, 2 * ({x_} - ({percent} * {x_} + 99) div 100) + 1)") for x, x_ in ((n, "n"), (m, "m"))))
         return count + rest >= _need(n, m, percent)
 
     found: DataFrame | None = None

@@ -10,7 +10,9 @@ about one open bin each, and no task sees more, however large the input.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -99,23 +101,39 @@ def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
 class Tokens:
     """Ids of texts by a public tokenizer whose pre-tokens never hold white space; chunks are remembered, in bounded memory."""
 
-    LIMIT = 600_000
+    LIMIT = 1_000_000
+    WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
+
     def __init__(self, path: str) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        # A text with one of these goes to the tokenizer whole: special tokens, and what only Python's split takes for white space.
-        self.odd = [*(t.content for t in self.tokenizer.get_added_tokens_decoder().values()), "\x1c", "\x1d", "\x1e", "\x1f"]
+        # A text with one of these goes to the tokenizer whole: special tokens, what only Python's split takes for white
+        # space, and the letter whose lower case Python chooses by its place in a word.
+        self.odd = [*(t.content for t in self.tokenizer.get_added_tokens_decoder().values()), "\x1c", "\x1d", "\x1e", "\x1f", "Σ"]
+        self.words = regex.compile(self.WORDS)
         self.of_chunk: dict[str, bytes] = {}
+        self.of_word: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Chunks by their words, so that punctuation around a word makes nothing new; composed characters only."""
+        if len(self.of_word) > self.LIMIT:
+            self.of_word.clear()
+        split = {c: self.words.findall(c) if is_normalized("NFC", c) else [c] for c in chunks}
+        new = list({w for own in split.values() for w in own if w not in self.of_word})
+        self.of_word.update(zip(new, self._plain(new), strict=True))
+        get = self.of_word.__getitem__
+        self.of_chunk.update((c, b"".join(map(get, own))) for c, own in split.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.of_chunk) > self.LIMIT:
@@ -125,12 +143,12 @@ class Tokens:
             if any(map(text.__contains__, self.odd)):
                 found.append((self._plain([text]), None))
                 continue
-            chunks = text.split()
+            chunks = text.lower().split()
             ids = list(map(get, chunks))
             if missing := None in ids:
                 new.update(c for c, i in zip(chunks, ids, strict=True) if i is None)
             found.append((ids, chunks if missing else None))
-        self.of_chunk.update(zip(order := list(new), self._plain(order), strict=True))
+        self._learn(list(new))
         get = self.of_chunk.__getitem__
         return [b"".join(ids if chunks is None else map(get, chunks)) for ids, chunks in found]
 

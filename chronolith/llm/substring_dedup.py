@@ -21,13 +21,9 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PACKED, BitFilter, WordBatch, batches_of, bit_filters, packed, parts_for, table, written
+from .common import PACKED, BitFilter, WordBatch, batches_of, bit_filters, filter_bits, packed, parts_for, table, written
 
 WINDOW = 13
-#: log2 of a filter's bits (32 MB).
-FILTER_BITS = 28
-
-
 def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").split()  # of bytes: parts at ASCII white space only
 
@@ -176,12 +172,13 @@ def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"doc": d[cuts[:-1]], "starts": [p[lo:hi].tobytes() for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]})
 
 
-def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, filter_bits: int = FILTER_BITS) -> DataFrame:
+def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``doc, starts``: the places (in words) where a run starts that also starts in a document with a smaller id."""
     todo = Passes(window)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null")
-    index = bit_filters(rows.mapInPandas(todo.blocks, PACKED), filter_bits)
-    hit = bit_filters(rows.mapInPandas(todo.hits(index), PACKED), filter_bits)
+    bits = filter_bits(docs)
+    index = bit_filters(rows.mapInPandas(todo.blocks, PACKED), bits)
+    hit = bit_filters(rows.mapInPandas(todo.hits(index), PACKED), bits, ("once",))
     parts = parts_for(docs, 32 << 20)
     dealt = rows.mapInPandas(todo.runs(hit, parts), _SCHEMA).repartition(parts, "part")
     # A document's repeats are bounded by its own length.
@@ -189,7 +186,7 @@ def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return written(found, "substring-covered")
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, filter_bits: int = FILTER_BITS) -> DataFrame:
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``id_col, n_words, n_removed, kept_text``: the words of every text that no repeat covers, joined by one space.
 
     A window is ``window`` consecutive words of one document; it is a repeat if the same words also start in a
@@ -197,7 +194,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     document's rows: they never repeat one another. Rows with a null id are left whole. An empty table gives an empty
     result; other columns are ignored.
     """
-    covered = removed_words(docs, id_col, text_col, window, filter_bits)
+    covered = removed_words(docs, id_col, text_col, window)
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
