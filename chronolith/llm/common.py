@@ -46,14 +46,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The planner's estimate of the input's size, from file sizes; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(df: DataFrame) -> int | None:
+    """The planner's estimate of the input's size, from file sizes; no job runs. None where nothing is known."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else None
 
 
 def parts_for(df: DataFrame, bytes_each: int) -> int:
     """A partition count that follows the input, at least the session's own."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // bytes_each))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(input_bytes(df) or 0) // bytes_each))
 
 
 def id_remainder(doc_id: Column, divisor: int) -> Column:
@@ -203,7 +204,8 @@ def packed(h: np.ndarray) -> pd.DataFrame:
 
 def filter_bits(df: DataFrame, largest: int = 28) -> int:
     """log2 of the bits of a filter for ``df``: about half to one bit a byte of the input's files, 2**``largest`` (32 MB) at most."""
-    return min(largest, max(20, (input_bytes(df) // 2).bit_length()))
+    size = input_bytes(df)
+    return largest if size is None else min(largest, max(20, (size // 2).bit_length()))
 
 
 def bit_filters(sent: DataFrame, log2_bits: int, which: tuple[str, ...] = ("once", "more")) -> Broadcast:
