@@ -35,7 +35,7 @@ def byte_characters() -> dict[str, int]:
 
 
 class Vocabulary:
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, to_encode: bool = True) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         chars = byte_characters()
@@ -43,6 +43,8 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of = {i: bytes(chars[c] for c in piece) for piece, i in ids.items()}
         self.bytes_of.update({i: s.encode() for s, i in self.special.items()})
+        if not to_encode:
+            return
         self.byte_id = [0] * 256
         for c, b in chars.items():
             self.byte_id[b] = ids[c]
@@ -101,7 +103,7 @@ def merge_all(words: list[bytes], vocabulary: Vocabulary) -> list[bytes]:
 class Encoder:
     """Encodes texts, remembering the ids of segments and pre-tokens; both memories are bounded."""
 
-    LIMIT = 600_000
+    LIMIT = 350_000
 
     def __init__(self, path: str) -> None:
         import regex
@@ -187,7 +189,7 @@ def decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id") -> DataFr
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        piece = encoder(tokenizer).vocabulary.bytes_of.__getitem__
+        piece = Vocabulary(tokenizer, to_encode=False).bytes_of.__getitem__
         for b in batches:
             ids = [x or b"" for x in b["ids"]]
             texts = [b"".join(map(piece, struct.unpack(f"<{len(x) // 4}I", x))).decode("utf-8", "replace") for x in ids]

@@ -200,7 +200,7 @@ class Scorer:
     def score(self, texts: list[str]) -> tuple[list[str], list[float]]:
         langs, scores = [], []
         for lo in range(0, len(texts), 500):
-            split = [t.split() for t in texts[lo : lo + 500]]
+            split = [t.lower().split() for t in texts[lo : lo + 500]]
             if len(self.row) > self.LIMIT:
                 self._clear()
             self._learn(list({c for own in split for c in own if c not in self.row}))
