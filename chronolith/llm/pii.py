@@ -207,11 +207,14 @@ def replace_private(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
     # A document's own mentions are bounded by its length.
     of_row = named.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("at", "surrogate"))).alias("_new"))
     of_row = written(of_row.select("_row", F.col("_new.surrogate").alias("_new")), "pii-rows")
-    joined = docs.drop("n_replaced").withColumn("_row", row).join(of_row, "_row", "left")
+    # Only rows with personal data are joined; the others never leave their task.
+    rest = docs.drop("n_replaced")
+    has = F.coalesce(F.col(text_col).rlike(PATTERN), F.lit(False))
+    joined = rest.where(has).withColumn("_row", row).join(of_row.hint("merge"), "_row")
     between = F.split(F.col(text_col), PATTERN, -1)
     merged = F.array_join(F.zip_with(between, F.col("_new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    out = joined.withColumn(text_col, F.when(F.col("_new").isNull(), F.col(text_col)).otherwise(merged)).withColumn("n_replaced", F.coalesce(F.size("_new"), F.lit(0)).cast("long"))
-    return out.select(*docs.drop("n_replaced").columns, F.when(F.col("_new").isNull(), F.lit(0)).otherwise(F.col("n_replaced")).cast("long").alias("n_replaced"))
+    done = joined.withColumn(text_col, merged).select(*rest.columns, F.size("_new").cast("long").alias("n_replaced"))
+    return done.unionByName(rest.where(~has).withColumn("n_replaced", F.lit(0).cast("long")))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str, key: str = "surrogates") -> DataFrame:
