@@ -265,13 +265,14 @@ def train(texts: list[str], toxic: np.ndarray, weight_toxic: float = 1.0, weight
     whiten = (vector / np.sqrt(np.maximum(value, 1e-3))) @ vector.T  # the Nyström map
     z = np.c_[x @ whiten, np.ones(len(x))]
     y = np.where(toxic[of], 1.0, -1.0) if len(of) else np.zeros(0)
+    blank = np.r_[np.zeros(len(strings)), 1.0][None, :]  # the sentences without a trace of a landmark, all of them one point
     keep = np.ones(len(y), bool)
     w = np.zeros(len(strings) + 1)
     w[-1] = -1.0
     for _ in range(ROUNDS):
         if not keep.any():
             break
-        w = squared_hinge(z[keep], y[keep])
+        w = squared_hinge(np.r_[z[keep], blank], np.r_[y[keep], -1.0])
         out = z @ w
         worst = np.full(len(texts), -np.inf)
         np.maximum.at(worst, of, out)
