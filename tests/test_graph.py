@@ -58,7 +58,7 @@ def test_neighbors_cross_identity_links(spark):
     tables = [literal(spark, *t) for t in (X.NODES, X.EDGES, X.SAME_AS)]
     far = graph.neighbors(*tables, "khs:1", 3)
     near = graph.neighbors(*tables, "khs:1", 3, follow_same_as=False)
-    assert far.nodes.where("id = 'wd:Q37682'").count() == 1 and near.nodes.where("id = 'wd:Q37682'").isEmpty()
+    assert far.nodes.where("id = 'wd:Q10'").count() == 1 and near.nodes.where("id = 'wd:Q10'").isEmpty()
     assert graph.neighbors(*tables, "khs:1", 0).nodes.count() == 1
 
 
