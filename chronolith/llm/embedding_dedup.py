@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +68,8 @@ def forest(x: np.ndarray, ids: np.ndarray, y: np.ndarray, ids_y: np.ndarray, thr
     """A spanning forest of the links between the rows of x and those of y (which may be the same)."""
     near = x @ y.T >= threshold
     rows, columns = np.nonzero(near)
+    if x is y and len(rows) <= len(x):  # each is near itself alone
+        return []
     parent: dict[int, int] = {}
 
     def root(a: int) -> int:
@@ -108,6 +111,42 @@ def _unit(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
+def _vectors(column: pa.ListArray) -> np.ndarray:
+    """Vectors of one length as the rows of a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.RecordBatch]:
+    """The groups of rows sorted by ``key``. Most buckets hold two or three rows, so no group is a call of its own."""
+    rest: pa.RecordBatch | None = None
+    for b in batches:
+        if rest is not None:
+            b = pa.concat_batches([rest, b])
+        if not len(b):
+            continue
+        code = b.select(key).to_pandas()
+        edges = np.flatnonzero((code.to_numpy()[1:] != code.to_numpy()[:-1]).any(1)) + 1
+        cuts = [0, *edges.tolist()]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if hi - lo > 1:
+                yield b.slice(lo, hi - lo)
+        rest = b.slice(cuts[-1])
+    if rest is not None and len(rest) > 1:
+        yield rest
+
+
+def _sides(group: pa.RecordBatch) -> tuple[pa.RecordBatch, pa.RecordBatch, bool]:
+    """The two blocks of a group, and whether they are one."""
+    if group["i"][0].as_py() == group["j"][0].as_py():
+        return group, group, True
+    side = group["side"].to_numpy()
+    return group.filter(pa.array(side == 0)), group.filter(pa.array(side == 1)), False
+
+
+def _dealt(rows: DataFrame, key: list[str]) -> DataFrame:
+    return rows.repartition(*key).sortWithinPartitions(*key)
+
+
 def _in_blocks(rows: DataFrame, key: list[str], block: int) -> DataFrame:
     """Rows of every group dealt to pairs of blocks: (key, i, j, side), so that a task holds two blocks at most.
 
@@ -148,36 +187,48 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 for t in range(tables):
                     number = buckets(x, t)
                     for k in range(number.shape[1]):
-                        yield pd.DataFrame({"id": own["id"].to_numpy(), "label": own["label"].to_numpy(), "bucket": number[:, k] * tables + t, "v": own["v"].to_numpy()})
-
-    def linked(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.drop_duplicates(["id", "side"])
-        x, y = b[b["side"] == 0], b[b["side"] == 1]
-        if b["i"].iloc[0] == b["j"].iloc[0]:
-            y = x
-        out = forest(_unit(x["v"]), x["id"].to_numpy(), _unit(y["v"]), y["id"].to_numpy(), threshold) if len(x) and len(y) else []
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    stored = points.select("id", "label", "v").mapInPandas(hashed, "id long, label string, bucket long, v array<double>")
-    stored = written(stored, "embedding-buckets")
-    dealt = _in_blocks(stored, ["label", "bucket"], block)
-    links = written(dealt.groupBy("label", "bucket", "i", "j").applyInPandas(linked, "a long, b long").distinct(), "embedding-links")
+                        yield pd.DataFrame({"id": own["id"].to_numpy(), "label": own["label"].to_numpy(), "bucket": number[:, k] * tables + t})
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
+        for group in _groups(batches, ["label", "bucket", "i", "j"]):
+            x, y, same = _sides(group)
+            if len(x) and len(y):
+                left, ids = _vectors(x["v"]), x["id"].to_numpy()
+                out += forest(left, ids, left, ids, threshold) if same else forest(left, ids, _vectors(y["v"]), y["id"].to_numpy(), threshold)
+            if len(out) >= 100_000:
+                yield pairs(out)
+                out = []
+        yield pairs(out)
+
+    def pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    stored = written(points.select("id", "label", "v").mapInPandas(hashed, "id long, label string, bucket long"), "embedding-buckets")
+    # Only what shares its bucket fetches its vector.
+    shared = _in_blocks(stored, ["label", "bucket"], block).join(points.select("id", "label", "v"), ["id", "label"])
+    key = ["label", "bucket", "i", "j"]
+    links = written(_dealt(shared.select(*key, "side", "id", "v"), key).mapInArrow(linked, "a long, b long").distinct(), "embedding-links")
     groups = written(components(links), "embedding-components")
 
-    def counted(b: pd.DataFrame) -> pd.DataFrame:
-        x, y = b[b["side"] == 0], b[b["side"] == 1]
-        same = b["i"].iloc[0] == b["j"].iloc[0]
-        y = x if same else y
-        near = (_unit(x["v"]) @ _unit(y["v"]).T >= threshold).astype(np.int64) if len(x) and len(y) else np.zeros((len(x), len(y)), np.int64)
-        if same:
-            np.fill_diagonal(near, 0)
-        out = pd.DataFrame({"id": x["id"].to_numpy(), "n": near @ y["copies"].to_numpy()})
-        if not same:
-            out = pd.concat([out, pd.DataFrame({"id": y["id"].to_numpy(), "n": near.T @ x["copies"].to_numpy()})])
-        return out
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, ["component", "i", "j"]):
+            x, y, same = _sides(group)
+            if not (len(x) and len(y)):
+                continue
+            near = (_vectors(x["v"]) @ _vectors(y["v"]).T >= threshold).astype(np.int64)
+            if same:
+                np.fill_diagonal(near, 0)
+            ids, n = [x["id"].to_numpy()], [near @ y["copies"].to_numpy()]
+            if not same:
+                ids.append(y["id"].to_numpy())
+                n.append(near.T @ x["copies"].to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(n))], ["id", "n"])
 
     members = points.join(groups, points["id"] == groups["node"]).select("id", "v", "copies", "component")
-    counts = _in_blocks(members, ["component"], block).groupBy("component", "i", "j").applyInPandas(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    key = ["component", "i", "j"]
+    counts = _dealt(_in_blocks(members, ["component"], block), key).mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     point = points.select("id", "copies", "label", "v").join(groups.select(F.col("node").alias("id"), "component"), "id", "left").join(counts, "id", "left")
     point = written(point.select(F.xxhash64("label", "v").alias("h"), "label", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "embedding-result")
     # Back to every vector through its point.
