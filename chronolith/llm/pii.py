@@ -207,14 +207,14 @@ def replace_private(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
     # A document's own mentions are bounded by its length.
     of_row = named.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("at", "surrogate"))).alias("_new"))
     of_row = written(of_row.select("_row", F.col("_new.surrogate").alias("_new")), "pii-rows")
-    # Only rows with personal data are joined; the others never leave their task.
+    # Every row is joined, so no pattern scan tells rows apart here; only rows with entities are split. Merged at every
+    # size: rows are shuffled once, in proportion to the input, with or without personal data.
     rest = docs.drop("n_replaced")
-    has = F.coalesce(F.col(text_col).rlike(PATTERN), F.lit(False))
-    joined = rest.where(has).withColumn("_row", row).join(of_row.hint("merge"), "_row")
+    joined = rest.withColumn("_row", row).join(of_row.hint("merge"), "_row", "left")
     between = F.split(F.col(text_col), PATTERN, -1)
     merged = F.array_join(F.zip_with(between, F.col("_new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    done = joined.withColumn(text_col, merged).select(*rest.columns, F.size("_new").cast("long").alias("n_replaced"))
-    return done.unionByName(rest.where(~has).withColumn("n_replaced", F.lit(0).cast("long")))
+    text = F.when(F.col("_new").isNull(), F.col(text_col)).otherwise(merged)
+    return joined.withColumn(text_col, text).select(*rest.columns, F.when(F.col("_new").isNull(), 0).otherwise(F.size("_new")).cast("long").alias("n_replaced"))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str, key: str = "surrogates") -> DataFrame:
