@@ -198,8 +198,9 @@ def replace_private(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
     which is replaced. An empty table gives an empty result.
     """
     row = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
-    found = docs.select(row.alias("_row"), entities_in(F.col(text_col)).alias("_entities")).where(F.size("_entities") > 0)
-    found = written(found.dropDuplicates(["_row"]), "pii-found")
+    # Written before it is filtered: a filter on top would be pushed below and extract again.
+    found = written(docs.select(row.alias("_row"), entities_in(F.col(text_col)).alias("_entities")), "pii-found")
+    found = found.where(F.size("_entities") > 0).dropDuplicates(["_row"])
     one = found.select("_row", F.posexplode("_entities").alias("at", "entity"))
     one = one.withColumn("kind", kind_of(F.col("entity")))
     one = written(one.withColumn("entity", canonical(F.col("entity"), F.col("kind"))), "pii-mentions")
