@@ -9,6 +9,7 @@ the posterior of its best language under equal priors, over all its words.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -225,7 +226,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     empty result; other columns are ignored. Ties go to the language that sorts first.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.pieces, model.p))
-    key = id(shared)
+    key = uuid.uuid4().hex  # a worker that is reused must not take the scorer of another model
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = _scorers.get(key)
@@ -243,7 +244,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 def in_known_language(docs: DataFrame, model: Model, text_col: str = "text", least: float = LEAST) -> DataFrame:
     """The rows of ``docs`` with a language: not ``und``, and a score of at least ``least``. All columns pass through."""
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.pieces, model.p))
-    key = id(shared)
+    key = uuid.uuid4().hex  # a worker that is reused must not take the scorer of another model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _scorers:
@@ -256,7 +257,7 @@ def in_known_language(docs: DataFrame, model: Model, text_col: str = "text", lea
     return docs.mapInArrow(run, docs.schema)
 
 
-_scorers: dict[int, Scorer] = {}
+_scorers: dict[str, Scorer] = {}
 
 
 def held_out(doc_id: Column) -> Column:
