@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
-import pandas as pd
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,14 +17,17 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` named.
 
-    Only where the session leaves it unset (a local run, the tests) a folder of our own is made.
+    Only a local master that has neither gets a folder of its own; on a cluster executors would write where nobody reads.
     """
     global _own_dir
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="chronolith-")
     return _own_dir
@@ -86,13 +89,13 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     out = words[:m] * _ODD[0]
     for i in range(1, n):
-        out = out + words[i : i + m] * _ODD[i]
+        out += words[i : i + m] * _ODD[i]
     return mixed(out)
 
 
-def _byte_values(lower: bool) -> np.ndarray:
+def _byte_values(seed: int, lower: bool) -> np.ndarray:
     """A random 64-bit number for every byte, 0 for white space; with ``lower`` A-Z have those of a-z."""
-    out = np.random.default_rng(20240301).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    out = np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     if lower:
         out[65:91] = out[97:123]
     return out
@@ -100,41 +103,68 @@ def _byte_values(lower: bool) -> np.ndarray:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_VALUES = {lower: _byte_values(lower) for lower in (False, True)}
-_BASE, _powers = np.uint64(0x9E3779B97F4A7C17), [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Two independent hash functions of words: their byte values, as they are and lowered, their odd bases, and powers of these.
+_SEEDS, _BASES = (20240301, 20240302), (0x9E3779B97F4A7C17, 0xD1B54A32D192ED03)
+_VALUES = {(k, lower): _byte_values(seed, lower) for k, seed in enumerate(_SEEDS) for lower in (False, True)}
+_powers: dict[int, list[np.ndarray]] = {}
+#: Bytes of text that are hashed at once.
+SEGMENT = 1 << 20
+
+
+def _powers_to(k: int, n: int) -> list[np.ndarray]:
+    """Powers of a base and of its inverse modulo 2**64."""
+    if k not in _powers or len(_powers[k][0]) < n:
+        _powers[k] = []
+        for base in (_BASES[k], pow(_BASES[k], -1, 2**64)):
+            factors = np.full(n, np.uint64(base))
+            factors[0] = 1
+            _powers[k].append(np.multiply.accumulate(factors))
+    return _powers[k]
 
 
-def _powers_to(n: int) -> list[np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64."""
-    if len(_powers[0]) < n:
-        inverse = np.uint64(pow(int(_BASE), -1, 2**64))
-        for k, base in enumerate((_BASE, inverse)):
-            factors = np.full(n, base)
-            factors[0] = 1
-            _powers[k] = np.multiply.accumulate(factors)
-    return _powers
+def cuts_of(keys: np.ndarray) -> list[tuple[int, int]]:
+    """Where each run of equal keys begins and ends."""
+    if not len(keys):
+        return []
+    edge = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+    return list(zip(edge[:-1], edge[1:], strict=True))
 
 
 class WordBatch:
     """64-bit hashes of all words of some texts, and where each text's words begin.
 
     Words are what ASCII white space parts. A word's hash is a polynomial of its bytes, taken from prefix sums over
-    the whole batch, so that no word becomes an object.
+    a segment of the batch, so that no word becomes an object. ``again`` gives a second, independent hash of every word.
     """
 
     def __init__(self, texts: list[str], lower: bool = False) -> None:
         raw = [t.encode("utf-8", "replace") for t in texts]
-        data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
-        space = _SPACE[data]
+        self.lower, self.data = lower, np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+        space = _SPACE[self.data]
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1
         if not space[0]:
             edge = np.concatenate([[0], edge])
-        start, end = edge[::2], edge[1::2]
-        powers, inverse = _powers_to(len(data) + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUES[lower][data] * powers[: len(data)])])
-        self.hashes = mixed((sums[end] - sums[start]) * inverse[start])
+        self.start, self.end = edge[::2], edge[1::2]
+        self.hashes = self._hashed(0)
         begin = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])
-        self.first = np.searchsorted(start, begin)
+        self.first = np.searchsorted(self.start, begin)
+
+    def _hashed(self, k: int) -> np.ndarray:
+        out = np.empty(len(self.start), np.uint64)
+        lo = 0
+        while lo < len(out):  # words that begin in one segment
+            base = self.start[lo]
+            hi = max(lo + 1, int(np.searchsorted(self.start, base + SEGMENT)))
+            data = self.data[base : self.end[hi - 1]]
+            powers, inverse = _powers_to(k, len(data) + 1)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUES[k, self.lower][data] * powers[: len(data)])])
+            a, b = self.start[lo:hi] - base, self.end[lo:hi] - base
+            out[lo:hi] = (sums[b] - sums[a]) * inverse[a]
+            lo = hi
+        return mixed(out)
+
+    def again(self) -> np.ndarray:
+        return self._hashed(1)
 
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
@@ -158,91 +188,47 @@ def batches_of(texts: list[str], characters: int = 1_000_000) -> list[slice]:
     return [*out, slice(lo, len(texts))] if len(texts) > lo else out
 
 
-class BitFilter:
-    """Membership of 64-bit hashes, with false hits and no misses; the high bits of a hash choose its slice."""
-
-    #: Places of a hash, and log2 of the slices that a filter is built in.
-    PLACES, SLICES = 3, 6
-
-    def __init__(self, bits: np.ndarray) -> None:
-        self.bits = bits
-        self.log2_bits = (len(bits) * 8).bit_length() - 1
-
-    @classmethod
-    def places(cls, h: np.ndarray, log2_bits: int) -> Iterator[np.ndarray]:
-        within = np.uint64((1 << (log2_bits - cls.SLICES)) - 1)
-        base = (h >> np.uint64(64 - cls.SLICES)) << np.uint64(log2_bits - cls.SLICES)
-        for k in range(cls.PLACES):
-            yield base | ((h >> np.uint64(k * 15)) * np.uint64(0x9E3779B97F4A7C15 + 2 * k) >> np.uint64(20) & within)
-
-    def has(self, h: np.ndarray) -> np.ndarray:
-        found = np.arange(len(h))
-        for k in range(self.PLACES):  # most fall out at the first place
-            for j, p in enumerate(self.places(h[found], self.log2_bits)):
-                if j == k:
-                    found = found[(self.bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-                    break
-        out = np.zeros(len(h), bool)
-        out[found] = True
-        return out
-
-
-#: Rows that carry packed hashes to where the filters are built.
-PACKED = "slice int, payload binary, again boolean"
-
-
-def packed(h: np.ndarray) -> pd.DataFrame:
-    """Hashes by slice, sorted, once each; ``again`` marks those that occur more than once here."""
-    value, n = np.unique(h, return_counts=True)
-    rows = []
-    for again in (False, True):
-        own = value[(n > 1) == again]
-        cuts = np.searchsorted(own, np.arange(1, 1 << BitFilter.SLICES, dtype=np.uint64) << np.uint64(64 - BitFilter.SLICES))
-        rows += [(s, part.tobytes(), again) for s, part in enumerate(np.split(own, cuts)) if len(part)]
-    return pd.DataFrame(rows, columns=["slice", "payload", "again"])
-
-
-def filter_bits(df: DataFrame, largest: int = 28) -> int:
-    """log2 of the bits of a filter for ``df``: about half to one bit a byte of the input's files, 2**``largest`` (32 MB) at most."""
-    size = input_bytes(df)
-    return largest if size is None else min(largest, max(20, (size // 2).bit_length()))
+_slot: dict[str, Any] = {}
 
 
-def bit_filters(sent: DataFrame, log2_bits: int, which: tuple[str, ...] = ("once", "more")) -> Broadcast:
-    """Filters of PACKED hashes: ``once`` of all, ``more`` of those that came more than once.
+def worker_slot(key: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, kept by this Python worker for its next tasks, until a function asks for another key.
 
-    Only the bits reach the driver: 2**log2_bits / 8 bytes each, whatever the input.
+    Spark reuses workers across stages: a worker that kept a model and a memory for every operator would grow with their number.
     """
-    size = 1 << (log2_bits - BitFilter.SLICES)
-
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list[np.ndarray]] = {}
-        mask = np.uint64(size - 1)
-        for b in batches:
-            for s, payload, again in zip(b["slice"], b["payload"], b["again"], strict=True):
-                once, more = held.setdefault(s, [np.zeros(size, bool), np.zeros(size, bool)])
-                new = [p & mask for p in BitFilter.places(np.frombuffer(payload, np.uint64), log2_bits)]
-                old = np.full(len(new[0]), again)
-                if not again:
-                    old = once[new[0]]
-                    for p in new[1:]:
-                        old &= once[p]
-                for p in new:
-                    once[p] = True
-                    more[p[old]] = True
-        for s, flags in held.items():
-            once, more = (np.packbits(f, bitorder="little").tobytes() for f in flags)
-            yield pd.DataFrame({"slice": [s], "once": [once], "more": [more]})
-
-    dealt = sent.repartition(1 << BitFilter.SLICES, "slice").mapInPandas(build, "slice int, once binary, more binary").select("slice", *which)
-    bits = [np.zeros(1 << (log2_bits - 3), np.uint8) for _ in which]
-    for row in dealt.toLocalIterator():
-        at = row["slice"] * (size >> 3)
-        for own, name in zip(bits, which, strict=True):
-            own[at : at + (size >> 3)] = np.frombuffer(row[name], np.uint8)
-    return sent.sparkSession.sparkContext.broadcast(bits)
-
-
-def small_side(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """``df`` (a few numbers a row) to be broadcast if it has at most so many rows, some 32 MB; else as it is, and both sides are shuffled."""
-    return F.broadcast(df) if df.count() <= rows else df
+    if key not in _slot:
+        release()
+        _slot[key] = make()
+    return _slot[key]
+
+
+def release() -> None:
+    """Forget what earlier stages left in this worker, and give the memory back."""
+    if _slot:
+        _slot.clear()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except OSError:
+            pass  # another C library
+
+
+class Memo(dict):
+    """What strings map to, forgotten as a whole once keys and values take about ``limit`` bytes; long keys are not kept."""
+
+    #: What an entry takes besides its characters, and the longest key that is kept.
+    ENTRY, KEY = 200, 100
+
+    def __init__(self, limit: int) -> None:
+        super().__init__()
+        self.limit, self.bytes = limit, 0
+
+    def tidy(self) -> None:
+        """Called between texts, so that what one of them looks up is there."""
+        if self.bytes > self.limit:
+            self.clear()
+            self.bytes = 0
+
+    def learn(self, items: Iterable[tuple[str, Any]], size: Callable[[Any], int]) -> None:
+        for key, value in items:
+            self[key] = value
+            self.bytes += self.ENTRY + len(key) + size(value)

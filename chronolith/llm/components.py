@@ -1,6 +1,7 @@
 """Connected components of a link table by alternating large and small stars.
 
-Every round is joins and aggregations; only two numbers per round reach the driver.
+Every round is joins and aggregations; only two numbers per round reach the driver. The smallest neighbour of every node is
+stored before it is joined back, so that both sides of the join are plain shuffles and the links of a hub can be split over tasks.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(edges, "links")
     state = _state(edges)
     while state[0]:
-        edges = written(_small_star(_large_star(edges)), "links")
+        edges = written(_small_star(written(_large_star(edges), "stars")), "links")
         if (now := _state(edges)) == state:
             break
         state = now
@@ -35,12 +36,12 @@ def _state(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Links every larger neighbour of a node to the smallest of its neighbourhood."""
     both = edges.union(edges.select("v", "u"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-    return both.join(least, both["u"] == least["k"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), "least")
+    return both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Links a node and its smaller neighbours to the smallest of these."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    rest = edges.join(least.withColumnRenamed("u", "k"), edges["u"] == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return rest.union(least.select("u", F.col("m").alias("v"))).distinct()
+    least = written(edges.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k"), "least")
+    rest = edges.join(least, F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return rest.union(least.select("k", "m")).distinct()

@@ -1,35 +1,49 @@
 """N-gram Jaccard join as a blocked sparse product of the document by n-gram incidence.
 
 Rows of the incidence matrix are distinct shingle sets ("classes": documents with equal sets are one
-row). Columns are put in a global order, rare shingles first. Sizes bound the product: a pair that
-reaches the threshold overlaps in at least ``need(n, m)`` shingles, so it meets in the first columns of both
-rows. Only these columns are multiplied out; overlap counts are accumulated over them, and a pair goes on only
-if its count and what its sizes leave behind them can reach ``need``. Then whole rows are multiplied.
-
-No group is expanded into its pairs: in every column each row is first multiplied with the column's two
-pivot rows only. What is linked is contracted to components, and just the pairs of one column that lie in
-different components are multiplied out after that. So components are exact, with about one product per row
-in a group of near copies.
+row); its columns are shingles. The matrix is cut into blocks of columns, one a task. A block counts the rows of
+each of its columns, and gives back to a row only the columns that it shares. Sizes bound what is left:
+
+- a row that shares too few columns in all cannot link and goes before any product;
+- the shared columns of a row are ordered by their counts, rare ones first. Of a pair that reaches the threshold, the
+  first common column stands among the first few of either row, and among fewer still of the smaller one. Rows
+  are multiplied only in such columns, and only if sizes, positions and sketches leave room for enough overlap;
+- the product accumulates the overlap of a pair block by block of columns, and drops the pair once the
+  count and all that is left of the row cannot reach the bound.
+
+No group is expanded into its pairs: in every column each row is first multiplied with one pivot row. What is
+linked is contracted to components; only rows of a column that lie in different components are compared after
+that, block by block inside the tasks, and only pairs that pass all bounds leave a task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PACKED, BitFilter, WordBatch, batches_of, bit_filters, filter_bits, gram_hashes, mixed, packed, small_side, table, written
+from .common import WordBatch, batches_of, cuts_of, gram_hashes, mixed, parts_for, release, table, written
 from .components import components
 
 #: Words of a shingle; similarity in percent.
 WORDS, PERCENT = 5, 80
-#: Partners of a pivot that are multiplied in one task.
-BLOCK = 4096
-#: Shingles that the order knows to be frequent (it may know any number: the order only moves work), and the least count of one in a chunk.
-FREQUENT, OFTEN, CHUNK = 1 << 16, 12, 2_000_000
+#: Characters of a chunk of texts; bytes of the input that one block of columns stands for.
+CHUNK, PART = 4_000_000, 16 << 20
+#: Partners of a pivot that are multiplied in one task, and rows of a block of one column.
+PARTNERS, BLOCK = 256, 512
+#: Bits of a sketch at least and at most.
+LEAST_BITS, MOST_BITS = 256, 1 << 16
+#: Column blocks that a pair's overlap is accumulated in (a power of two), and entries that a task multiplies at once.
+PIECES, ENTRIES = 8, 1_000_000
+
+_DOC = np.dtype([("id", "<i8"), ("null", "?"), ("n", "<i8"), ("class", "<i8"), ("check", "<i8")])
+_COLUMNS = ["part", "chunk", "docs", "hashes", "rows", "counts"]
+_SENT = "part int, chunk long, docs binary, hashes binary, rows binary, counts binary"
+_ROWS = "id long, n long, class long, check long, columns array<long>, sketch binary"
 
 
 def shingle_sets(texts: list[str], n: int = WORDS) -> Iterator[np.ndarray]:
@@ -45,7 +59,7 @@ def shingle_sets(texts: list[str], n: int = WORDS) -> Iterator[np.ndarray]:
 
 
 def class_of(s: np.ndarray) -> tuple[int, int]:
-    """Two independent 64-bit hashes of a set; 0 and 0 for the empty one."""
+    """Two independent 64-bit hashes of a set, which name its class together; 0 and 0 for the empty one."""
     if not len(s):
         return 0, 0
     one = mixed(s.sum(keepdims=True) + np.uint64(len(s)))
@@ -53,216 +67,361 @@ def class_of(s: np.ndarray) -> tuple[int, int]:
     return int(one[0].view(np.int64)), int(two[0].view(np.int64))
 
 
-def prefix_length(n: int, percent: int) -> int:
-    """First columns of a row that are multiplied out.
+def need(n, m, percent: int):  # noqa: ANN001, ANN201
+    """The least overlap of a link, of numbers or arrays: 100 * o >= percent * (n + m - o)."""
+    return -(-percent * (n + m) // (100 + percent))
 
-    n - ceil(percent * n / 100) + 1 of them meet any partner; as many again make the counts tell more.
-    """
-    return min(n, 2 * (n + -percent * n // 100) + 1)
 
+def probe_length(n, percent: int):  # noqa: ANN001, ANN201
+    """First columns of a row that hold the first column common with any partner."""
+    return n - -(-percent * n // 100) + 1
 
-def column_order(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles, sorted by hash, and their ranks by count. At most FREQUENT of them reach the driver."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
-        for b in batches:
-            for row in shingle_sets(b["text"].tolist(), words):
-                held.append(row)
-                size += len(row)
-                if size >= CHUNK:
-                    yield often(held)
-                    held, size = [], 0
-        if held:
-            yield often(held)
+def index_length(n, percent: int):  # noqa: ANN001, ANN201
+    """First columns of a row that hold the first column common with a partner that is no smaller."""
+    return n - need(n, n, percent) + 1
 
-    def often(held: list[np.ndarray]) -> pd.DataFrame:
-        value, n = np.unique(np.concatenate(held), return_counts=True)
-        return pd.DataFrame({"h": value[n >= OFTEN].view(np.int64), "n": n[n >= OFTEN]})
 
-    counted = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(count, "h long, n long")
-    top = counted.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
-    value = top["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(value)
-    return value[order], np.arange(len(value), 0, -1)[order]  # the most frequent shingle has the highest rank
+def sketch_of(columns: np.ndarray) -> bytes:
+    """Parities of the columns that fall to each bit: where two rows' bits differ, the rows differ in at least one column."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * len(columns)).bit_length()))
+    odd = np.bincount((mixed(columns) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
 
-def first_columns(row: np.ndarray, frequent: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
-    """The first columns of a row in the global order: rare shingles by hash, then frequent ones by rank."""
-    take = int(prefix_length(len(row), percent))
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, row), len(frequent) - 1)
-        is_frequent = frequent[at] == row
-        rare = row[~is_frequent]
-        if len(rare) < take:
-            own = row[is_frequent]
-            return np.concatenate([rare, own[np.argsort(rank[at[is_frequent]])]])[:take]
-        return rare[:take]
-    return row[:take]
+def blocks_of_columns(words: int, parts: int) -> Callable:
+    """Chunks of texts as blocks of columns, and a head with the chunk's documents.
 
-
-def incidence(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """(id, n, class, check, columns): a set's size, its 64-bit class, a second hash of it, and its first columns.
-
-    Rows of a class that a task has given already come without columns: that combines copies where they are read.
+    A chunk sends a shingle once: with its row if one row of the chunk has it, else with the number of its rows, which the
+    head keeps. So a block gets no more of a common shingle than there are chunks. Sets that the task has sent go without columns.
     """
-    order = docs.sparkSession.sparkContext.broadcast(column_order(docs, text_col, words))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frequent, rank = order.value
-        seen: set[int] = set()
-        for b in batches:
-            ids, texts = b["id"].tolist(), b["text"].tolist()
-            for part in batches_of(texts, 8_000_000):
-                rows = []
-                for doc, s in zip(ids[part], shingle_sets(texts[part], words), strict=True):
-                    one, two = class_of(s)
-                    columns = np.empty(0, np.int64) if one in seen or not len(s) else first_columns(s, frequent, rank, percent).view(np.int64)
-                    seen.add(one)
-                    rows.append((doc, len(s), one, two, columns))
-                yield pd.DataFrame(rows, columns=["id", "n", "class", "check", "columns"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null")
-    return rows.mapInPandas(run, "id long, n long, class long, check long, columns array<long>")
-
-
-def _need(n: Column, m: Column, percent: int) -> Column:
-    """The least overlap of a link: 100 * o >= percent * (n + m - o)."""
-    return F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
-
-
-def shared_columns(rows: DataFrame) -> DataFrame:
-    """(class, n, column) of the first columns, without nearly all that only one class has."""
-
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
+        task, number, seen = TaskContext.get().partitionId(), 0, set()
         for b in batches:
-            yield packed(np.concatenate(b["columns"].to_numpy()).view(np.uint64))
-
-    full = rows.where(F.size("columns") > 0)
-    seen = bit_filters(full.select("columns").mapInPandas(send, PACKED), filter_bits(rows), ("more",))
+            ids, lost, texts = b["id"].tolist(), b["lost"].tolist(), b["text"].tolist()
+            for part in batches_of(texts, CHUNK):
+                docs, fresh, rows = np.zeros(len(texts[part]), _DOC), [], []
+                for k, (doc, null, s) in enumerate(zip(ids[part], lost[part], shingle_sets(texts[part], words), strict=True)):
+                    key = class_of(s)
+                    docs[k] = (doc, null, len(s), *key)
+                    if len(s) and key not in seen:
+                        seen.add(key)
+                        fresh.append(k)
+                        rows.append(s)
+                yield sent((task << 32) | number, docs, np.array(fresh, np.int32), rows, parts)
+                number += 1
+
+    return run
+
+
+def sent(chunk: int, docs: np.ndarray, fresh: np.ndarray, rows: list[np.ndarray], parts: int) -> pd.DataFrame:
+    h = np.concatenate(rows) if rows else np.empty(0, np.uint64)
+    of = np.repeat(fresh, [len(s) for s in rows])
+    value, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
+    alone = count[inverse] == 1
+    out = [(chunk % parts, chunk, docs.tobytes(), h[~alone].tobytes(), of[~alone].tobytes(), None)]
+    again = count > 1
+    blocks: dict[int, list] = {}
+    for place, own, more in ((3, h[alone], of[alone]), (5, value[again], count[again].astype(np.int32))):
+        part = ((own >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        part, own, more = part[order], own[order], more[order]
+        for lo, hi in cuts_of(part):
+            row = blocks.setdefault(int(part[lo]), [int(part[lo]), chunk, None, b"", b"", b""])
+            row[3] += own[lo:hi].tobytes()
+            # Rows go as differences, which shuffles compress.
+            row[4 if place == 3 else 5] = np.diff(more[lo:hi], prepend=np.int32(0)).tobytes() if place == 3 else more[lo:hi].tobytes()
+    return pd.DataFrame(out + list(blocks.values()), columns=_COLUMNS)
+
+
+def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each block: the columns that several rows have, with their counts, back to the chunks. Heads pass through."""
+    release()
+    now, held = None, []
+    for b in batches:  # sorted by block
+        head = b["docs"].notna()
+        yield b[head]
+        for part, chunk, hashes, rows, counts in b.loc[~head, ["part", "chunk", "hashes", "rows", "counts"]].itertuples(index=False):
+            if part != now and held:
+                yield from replies(held)
+                held = []
+            now = part
+            held.append((chunk, np.frombuffer(hashes, np.uint64), np.frombuffer(rows, np.int32), np.frombuffer(counts, np.int32)))
+    if held:
+        yield from replies(held)
+
+
+def replies(held: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
+    _, inverse = np.unique(np.concatenate([x[1] for x in held]), return_inverse=True)
+    weight = np.concatenate([np.concatenate([np.ones(len(rows), np.int32), counts]) for _, _, rows, counts in held])
+    total = np.minimum(np.bincount(inverse, weight), 2**31 - 1).astype(np.int32)[inverse]
+    at = 0
+    for chunk, hashes, rows, _ in held:
+        own = total[at : at + len(hashes)]
+        at += len(hashes)
+        one, many = slice(0, len(rows)), slice(len(rows), None)
+        keep = own[one] > 1
+        out = []
+        if keep.any():
+            out.append((0, chunk, None, hashes[one][keep].tobytes(), np.cumsum(rows, dtype=np.int32)[keep].tobytes(), own[one][keep].tobytes()))
+        if len(hashes) > len(rows):
+            out.append((0, chunk, None, hashes[many].tobytes(), None, own[many].tobytes()))
+        if out:
+            yield pd.DataFrame(out, columns=_COLUMNS)
+
+
+def shared_columns(percent: int) -> Callable:
+    """A row per document of a chunk; those that share enough columns with other rows get these, by count and hash."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        more = BitFilter(seen.value[0])
-        for b in batches:
-            column = np.concatenate(b["columns"].to_numpy())
-            sizes = b["columns"].map(len).to_numpy()
-            keep = more.has(column.view(np.uint64))
-            of = np.repeat(np.arange(len(b)), sizes)[keep]
-            yield pd.DataFrame({"class": b["class"].to_numpy()[of], "n": b["n"].to_numpy()[of], "column": column[keep]})
+        release()
+        now, held = None, []
+        for b in batches:  # sorted by chunk
+            for row in b[["chunk", "docs", "hashes", "rows", "counts"]].itertuples(index=False):
+                if row.chunk != now and held:
+                    yield finished(held, percent)
+                    held = []
+                now = row.chunk
+                held.append(row)
+        if held:
+            yield finished(held, percent)
+
+    return run
+
+
+def finished(held: list, percent: int) -> pd.DataFrame:
+    def joined(rows: list, kind: type, name: str) -> np.ndarray:
+        return np.concatenate([np.empty(0, kind), *(np.frombuffer(getattr(r, name), kind) for r in rows)])
+
+    head = next(r for r in held if r.docs is not None)
+    docs = np.frombuffer(head.docs, _DOC)
+    one, many = [r for r in held if r.docs is None and r.rows is not None], [r for r in held if r.docs is None and r.rows is None]
+    common, counts = joined(many, np.uint64, "hashes"), joined(many, np.int32, "counts")
+    order = np.argsort(common)
+    own = np.frombuffer(head.hashes, np.uint64)
+    own_count = counts[order][np.searchsorted(common[order], own)] if len(own) else np.empty(0, np.int32)
+    h = np.concatenate([joined(one, np.uint64, "hashes"), own])
+    of = np.concatenate([joined(one, np.int32, "rows"), np.frombuffer(head.rows, np.int32)])
+    count = np.concatenate([joined(one, np.int32, "counts"), own_count])
+    shared = np.bincount(of, minlength=len(docs))
+    live = (docs["n"] > 0) & (shared >= -(-percent * docs["n"] // 100))
+    keep = live[of]
+    h, of, count = h[keep], of[keep], count[keep]
+    order = np.lexsort((h, count, of))
+    h, of = h[order], of[order]
+    columns, sketches = [None] * len(docs), [None] * len(docs)
+    for lo, hi in cuts_of(of):
+        columns[of[lo]], sketches[of[lo]] = h[lo:hi].view(np.int64), sketch_of(h[lo:hi])
+    ids = pd.array(docs["id"], "Int64")
+    ids[docs["null"]] = pd.NA
+    return pd.DataFrame({"id": ids, "n": docs["n"], "class": docs["class"], "check": docs["check"], "columns": columns, "sketch": sketches})
 
-    return full.select("class", "n", "columns").mapInPandas(run, "class long, n long, column long")
 
+def incidence(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """(id, n, class, check, columns, sketch) of every document: its set's size and class, and what it shares if that may be enough."""
+    parts = parts_for(docs, PART)
+    own = F.col(id_col).cast("long")
+    rows = docs.select(F.coalesce(own, F.lit(0)).alias("id"), own.isNull().alias("lost"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = rows.mapInPandas(blocks_of_columns(words, parts), _SENT).repartition(parts, "part").sortWithinPartitions("part").mapInPandas(counted, _SENT)
+    return found.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInPandas(shared_columns(percent), _ROWS)
 
-def links(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """Links (a, b) between classes, enough of them to connect all that is connected."""
-    entries = written(shared_columns(rows).distinct(), "ngram-columns")
-    texts = rows.where("n > 0").groupBy("class").agg(F.min("id").alias("id"))
-    of = (docs, texts, id_col, text_col, words, percent)
 
-    def fits(n: Column, m: Column) -> Column:
-        return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+def _need(n: Column, m: Column, percent: int) -> Column:
+    return F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
 
-    def enough(count: Column, n: Column, m: Column) -> Column:
-        """Whether an overlap of the first columns leaves room for a link.
 
-        The row whose first columns end first in the global order has all else behind them, and what it shares before
-        that end lies in the first columns of both: so the whole overlap is at most this count and that rest.
-        """
-        rest = F.greatest(*(x - F.expr(f"least({x_}, 2 * ({x_} - ({percent} * {x_} + 99) div 100) + 1)") for x, x_ in ((n, "n"), (m, "m"))))
-        return count + rest >= _need(n, m, percent)
+def links(live: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between nodes, enough of them to connect all that is connected.
 
+    ``live``: node, n, columns and sketch of each class that may link, a stored table.
+    """
+    n, own = F.col("n"), F.size("columns").cast("long")
+    first = live.select("node", "n", own.alias("s"), F.posexplode(F.slice("columns", F.lit(1), (n - F.ceil(n * percent / 100) + 1 - (n - own)).cast("int"))).alias("at", "column"))
+    place = F.col("n") - F.col("s") + F.col("at")  # what only this row has comes first in the order
+    entries = written(first.select("node", "n", "s", place.alias("i"), "column", (place < F.col("n") - _need(n, n, percent) + 1).alias("index")), "ngram-entries")
+    placed = entries.withColumn("component", F.col("node"))
     found: DataFrame | None = None
-    placed = entries.withColumn("component", F.col("class"))
-    n, m = F.col("n"), F.col("m")
-    for pivot in (F.min, F.max):
-        # A row is multiplied with the pivots of its columns, the smallest and then the largest classes there.
-        pivots = placed.groupBy("column").agg(pivot(F.struct("class", "n", "component")).alias("p"), F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d")
-        pivots = written(pivots.select("column", "p"), "ngram-pivots")
-        tries = placed.join(pivots, "column").where(F.col("component") != F.col("p.component")).select("class", "n", F.col("p.class").alias("pivot"), F.col("p.n").alias("m"))
-        tries = tries.where(fits(n, m)).groupBy("class", "n", "pivot", "m").agg(F.count(F.lit(1)).alias("count")).where(enough(F.col("count"), n, m))
-        pairs = tries.groupBy("class").agg(pivot("pivot").alias("pivot"))  # one is enough: what it leaves open is multiplied out below
-        new = verified(written(pairs, "ngram-pairs"), *of)
+    for order in (F.xxhash64("node"), -F.xxhash64(F.bitwise_not("node"))):
+        # A row is multiplied with one pivot of each column, the same one in many columns.
+        pivots = placed.groupBy("column").agg(F.min_by(F.struct("node", "n", "s", "i", "component", "index"), F.struct(~F.col("index"), order)).alias("p"), F.min("component").alias("c"), F.max("component").alias("d"))
+        pivots = written(pivots.where("c <> d and p.index").select("column", "p"), "ngram-pivots")
+        x = {k: F.col(k) for k in ("n", "s", "i", "index", "component")}
+        y = {k: F.col(f"p.{k}") for k in x}
+        tries = placed.join(pivots, "column").where(x["component"] != y["component"]).where(_may_link(x, y, percent))
+        new = verified(written(tries.select("node", F.col("p.node").alias("pivot")).distinct(), "ngram-pairs"), live, percent)
         found = new if found is None else found.union(new)
         known = written(components(found), "ngram-known")
-        placed = entries.join(known, entries["class"] == known["node"], "left").withColumn("component", F.coalesce("component", "class")).drop("node")
-        open_ = placed.groupBy("column").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("column")
+        placed = entries.join(known, entries["node"] == known["node"], "left").select(entries["*"], F.coalesce("component", entries["node"]).alias("component"))
+        open_ = placed.groupBy("column").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.max("index").alias("any")).where("c <> d and any").select("column")
         placed = written(placed.join(open_, "column", "left_semi"), "ngram-open")
-    x = placed.select("column", "class", "n", "component")
-    y = placed.select("column", F.col("class").alias("pivot"), F.col("n").alias("m"), F.col("component").alias("other"))
-    met = x.join(y, "column").where("class < pivot and component <> other").where(fits(n, m))
-    pairs = met.groupBy("class", "n", "pivot", "m").agg(F.count(F.lit(1)).alias("count")).where(enough(F.col("count"), n, m))
-    return found.union(verified(written(pairs.select("class", "pivot"), "ngram-pairs"), *of))
+    pairs = written(open_pairs(placed, live.select("node", "sketch"), percent).distinct(), "ngram-pairs")
+    return found.union(verified(pairs, live, percent))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """Of the pairs (class, pivot) those that reach the threshold, by the overlap of whole rows.
+def _may_link(x: dict[str, Column], y: dict[str, Column], percent: int) -> Column:
+    """Whether sizes, shared columns and the places of one common column leave room for a link; y's place is indexed."""
+    n, m, i, j = x["n"], y["n"], x["i"], y["i"]
+    least = _need(n, m, percent)
+    room = F.least(i, j) + 1 + F.least(n - 1 - i, m - 1 - j)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & ((n >= m) | x["index"]) & (F.least(x["s"], y["s"]) >= least) & (room >= least)
 
-    Rows of a block of a pivot's partners stream past the pivot's own row: each row travels once a pair.
+
+def open_pairs(placed: DataFrame, sketches: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Pairs (node, pivot) of different components that share a column and pass all bounds.
+
+    The rows of a column are dealt in blocks, those of its most frequent component apart from the rest: its rows meet the rest only.
     """
-    wanted = pairs.select(F.explode(F.array("class", "pivot")).alias("class")).distinct().join(texts, "class")
-    wanted = small_side(written(wanted, "ngram-wanted"))
+    sizes = placed.groupBy("column", "component").agg(F.count(F.lit(1)).alias("k"))
+    sizes = sizes.groupBy("column").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.max("k").alias("g"), F.sum("k").alias("k"))
+    sizes = written(sizes.select("column", "main", F.ceil(F.col("g") / block).cast("int").alias("g"), F.ceil((F.col("k") - F.col("g")) / block).cast("int").alias("o")), "ngram-sizes")
+    rows = placed.join(sizes, "column")
+    main = F.col("component") == F.col("main")
+    own = F.when(main, F.pmod(F.xxhash64("node"), F.col("g"))).otherwise(F.col("g") + F.pmod(F.xxhash64("node"), F.col("o"))).cast("int")
+    other = F.explode(F.sequence(F.when(main, F.col("g")).otherwise(0), F.col("g") + F.col("o") - 1))
+    dealt = rows.withColumn("own", own).withColumn("other", other)
+    key = [F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")]
+    dealt = dealt.join(sketches, "node").select("column", *key, (F.col("own") > F.col("other")).alias("side"), "node", "n", "s", "i", "index", "component", "sketch")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = b["text"].tolist()
-            for part in batches_of(texts, 8_000_000):
-                own = b["class"].to_numpy()[part]
-                sets = list(shingle_sets(texts[part], words))
-                right = [class_of(s)[0] == c for s, c in zip(sets, own, strict=True)]  # else a row that repeats the id
-                yield pd.DataFrame({"class": own, "row": [s.view(np.int64) for s in sets]})[right]
-
-    body = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    matrix = body.join(wanted, "id").select("class", "text").mapInPandas(run, "class long, row array<long>")
-    blocks = written(pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks")), "ngram-blocks")
-    partners = pairs.join(blocks, "pivot").select("class", "pivot", F.pmod(F.xxhash64("class"), "blocks").alias("block"))
-    itself = blocks.select(F.col("pivot").alias("class"), "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    places = small_side(written(partners.union(itself), "ngram-places"))
+        release()
+        rest = None
+        for b in batches:  # sorted by column and blocks
+            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            code = b[["column", "low", "high"]].to_numpy()
+            cuts = cuts_of_rows(code)
+            for lo, hi in cuts[:-1]:
+                yield from close_pairs(b.iloc[lo:hi], percent)
+            rest = b.iloc[cuts[-1][0] :] if cuts else b
+        if rest is not None and len(rest):
+            yield from close_pairs(rest, percent)
+
+    dealt = dealt.repartition("column", "low", "high").sortWithinPartitions("column", "low", "high")
+    return dealt.mapInPandas(run, "node long, pivot long")
+
+
+def cuts_of_rows(code: np.ndarray) -> list[tuple[int, int]]:
+    edge = [0, *(np.flatnonzero((code[1:] != code[:-1]).any(1)) + 1).tolist(), len(code)]
+    return list(zip(edge[:-1], edge[1:], strict=True)) if len(code) else []
+
+
+def close_pairs(b: pd.DataFrame, percent: int) -> Iterator[pd.DataFrame]:
+    """Of two blocks (or one with itself) of a column: the pairs that all bounds and the sketches leave."""
+    if len(b) < 2:
+        return
+    same = b["low"].iloc[0] == b["high"].iloc[0]
+    side = b["side"].to_numpy(bool)
+    left, right = (np.arange(len(b)),) * 2 if same else (np.flatnonzero(~side), np.flatnonzero(side))
+    n, s, i, index, component, node = (b[k].to_numpy() for k in ("n", "s", "i", "index", "component", "node"))
+    x, y = left[:, None], right[None, :]
+    smaller = np.where(n[x] < n[y], index[x], np.where(n[x] > n[y], index[y], index[x] | index[y]))
+    least = need(n[x], n[y], percent)
+    room = np.minimum(i[x], i[y]) + 1 + np.minimum(n[x] - 1 - i[x], n[y] - 1 - i[y])
+    ok = (component[x] != component[y]) & smaller & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent) & (np.minimum(s[x], s[y]) >= least) & (room >= least)
+    if same:
+        ok &= x < y
+    p, q = np.nonzero(ok)
+    p, q = left[p], right[q]
+    if not len(p):
+        return
+    size = b["sketch"].map(len).to_numpy() * 8
+    both = np.minimum(size[p], size[q])
+    for bits in np.unique(both):
+        on = np.flatnonzero(both == bits)
+        rows = np.unique(np.concatenate([p[on], q[on]]))
+        bit = np.zeros((len(rows), bits // 64), np.uint64)
+        for k, r in enumerate(rows):
+            bit[k] = np.bitwise_xor.reduce(np.frombuffer(b["sketch"].iloc[r], np.uint64).reshape(-1, bits // 64), axis=0)
+        for lo in range(0, len(on), 1 << 14):
+            part = on[lo : lo + (1 << 14)]
+            a, c = p[part], q[part]
+            apart = np.bitwise_count(bit[np.searchsorted(rows, a)] ^ bit[np.searchsorted(rows, c)]).sum(1, dtype=np.int64)
+            keep = (s[a] + s[c] - apart) // 2 >= need(n[a], n[c], percent)
+            if keep.any():
+                yield pd.DataFrame({"node": np.maximum(node[a], node[c])[keep], "pivot": np.minimum(node[a], node[c])[keep]})
+
+
+def verified(pairs: DataFrame, live: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (node, pivot) those that reach the threshold, by the overlap of their shared columns.
 
-    def product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, x = None, None
-        for b in batches:
-            out = []
-            for own, pivot, block, row in zip(b["class"], b["pivot"], b["block"], b["row"], strict=True):
-                if own == pivot:
-                    now, x = (pivot, block), row
-                elif now == (pivot, block):  # sorted behind its pivot
-                    need = -(-percent * (len(x) + len(row)) // (100 + percent))
-                    if min(len(x), len(row)) >= need and overlap(x, row) >= need:
-                        out.append((pivot, own))
-            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    Rows of a block of a pivot's partners stream past the pivot's own row: each row travels once a pair.
+    """
+    blocks = written(pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("long").alias("blocks")), "ngram-blocks")
+    partners = pairs.join(blocks, "pivot").select("node", "pivot", F.pmod(F.xxhash64("node"), "blocks").alias("block"))
+    itself = blocks.select(F.col("pivot").alias("node"), "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    places = written(partners.union(itself), "ngram-places")
 
-    dealt = matrix.join(places, "class").repartition("pivot", "block").sortWithinPartitions("pivot", "block", (F.col("class") != F.col("pivot")))
-    return written(dealt.select("class", "pivot", "block", "row").mapInPandas(product, "a long, b long").distinct(), "ngram-verified")
+    def product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
+        now, pivot, held, size = None, None, [], 0
 
+        def done() -> pd.DataFrame:
+            linked = overlaps(pivot, held, percent)
+            return pd.DataFrame({"a": np.full(len(linked), now[0]), "b": np.array(linked, np.int64)})
 
-def overlap(x: np.ndarray, y: np.ndarray) -> int:
-    """Of two rows sorted as unsigned numbers."""
-    x, y = np.asarray(x).view(np.uint64), np.asarray(y).view(np.uint64)
-    at = np.searchsorted(y, x)
-    return int((y[np.minimum(at, len(y) - 1)] == x).sum())
+        for b in batches:
+            for node, own, block, n, row in zip(b["node"], b["pivot"], b["block"], b["n"], b["columns"], strict=True):
+                row = np.asarray(row).view(np.uint64)
+                if (own, block) != now or size > ENTRIES:
+                    if held:
+                        yield done()
+                    now, held, size = (own, block), [], 0
+                if node == own:  # sorted before its partners
+                    pivot = (n, np.sort(row))
+                else:
+                    held.append((node, n, row))
+                    size += len(row)
+        if held:
+            yield done()
+
+    dealt = live.select("node", "n", "columns").join(places, "node").repartition("pivot", "block").sortWithinPartitions("pivot", "block", F.col("node") != F.col("pivot"))
+    return written(dealt.select("node", "pivot", "block", "n", "columns").mapInPandas(product, "a long, b long"), "ngram-verified")
+
+
+def overlaps(pivot: tuple[int, np.ndarray], partners: list[tuple[int, int, np.ndarray]], percent: int) -> list[int]:
+    """The partners that link with the pivot: overlaps accumulate over blocks of columns, and who cannot reach its bound falls out."""
+    m, x = pivot
+    shift = np.uint64(64 - (PIECES.bit_length() - 1))
+    columns = np.concatenate([row for _, _, row in partners])
+    left = np.array([len(row) for _, _, row in partners])
+    of = np.repeat(np.arange(len(partners)), left)
+    least = need(np.array([n for _, n, _ in partners], np.int64), m, percent)
+    count = np.zeros(len(partners), np.int64)
+    on = left >= least
+    for piece in range(PIECES):
+        entries = np.flatnonzero(((columns >> shift) == piece) & on[of])
+        own = x[(x >> shift) == piece]
+        if len(own):
+            at = np.minimum(np.searchsorted(own, columns[entries]), len(own) - 1)
+            count += np.bincount(of[entries[own[at] == columns[entries]]], minlength=len(partners))
+        left = left - np.bincount(of[entries], minlength=len(partners))
+        on &= count + left >= least
+    return [node for (node, _, _), good in zip(partners, on, strict=True) if good]
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``id_col, n_shingles, component_id``: one row per document.
 
     Documents link when 100 * intersection >= percent * union of their distinct shingles. Null and empty texts, and
-    texts of nothing but white space, have no shingle and link with nothing. Rows whose id is null come back with
-    a null component and size; rows that repeat an id are documents of their own that share it, one row each. An
-    empty table gives an empty result; other columns are ignored.
+    texts of nothing but white space, have no shingle and link with nothing. Rows whose id is null are documents like others,
+    but their id is nobody's ``component_id``, which is null where a component has no other. Rows that repeat an id are documents of
+    their own that share it, one row each. An empty table gives an empty result; other columns are ignored.
     """
-    rows = written(incidence(docs, id_col, text_col, words, percent), "ngram-incidence")
-    classes = rows.where("n > 0").groupBy("class").agg(F.min("id").alias("first"), F.min("check").alias("c"), F.max("check").alias("d"))
-    # Two sets of one 64-bit class would be taken for one: this must not pass unseen.
-    classes = classes.select("class", F.when(F.col("c") == F.col("d"), F.col("first")).otherwise(F.raise_error(F.lit("two shingle sets share a class"))).alias("first"))
-    classes = written(classes, "ngram-classes")
-    found = components(links(rows, docs, id_col, text_col, words, percent))
-    placed = classes.join(found, classes["class"] == found["node"], "left").select("class", "first", F.coalesce("component", "class").alias("component"))
-    smallest = placed.groupBy("component").agg(F.min("first").alias("component_id"))
-    of_class = written(placed.join(smallest, "component").select("class", "component_id"), "ngram-components")
-    out = rows.select("id", "n", F.when(F.col("n") > 0, F.col("class")).alias("class")).join(of_class, "class", "left")
-    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
-    lost = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias(id_col), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return out.unionByName(lost)
+    rows = written(incidence(docs, id_col, text_col, words, percent), "ngram-rows")
+    key = ["class", "check"]
+    live = rows.where("columns is not null").groupBy(*key).agg(F.first("n").alias("n"), F.first("columns").alias("columns"), F.first("sketch").alias("sketch"))
+    live = written(live.withColumn("node", F.monotonically_increasing_id()), "ngram-live")
+    found = written(components(links(live, percent)), "ngram-components")
+    classes = rows.where("n > 0").groupBy(*key).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    node = live.join(found, "node").select(*key, "component")
+    classes = written(classes.join(node, key, "left"), "ngram-classes")
+    smallest = classes.where("component is not null").groupBy("component").agg(F.min("first").alias("smallest"))
+    # Only classes of several documents or with links differ from their document.
+    of_class = classes.where("component is not null or copies > 1").join(smallest, "component", "left").select(*key, F.coalesce("smallest", "first").alias("component_id"), F.lit(True).alias("linked"))
+    of_class = written(of_class, "ngram-result")
+    out = rows.select("id", "n", *key).join(of_class, key, "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
