@@ -1,7 +1,7 @@
 """Byte-level BPE, encoded and decoded by our own merges over a pair occurrence index.
 
-The distinct pre-tokens of a batch are laid end to end. An index maps every adjacent pair that has
-a merge rank to all its positions; active ranks leave a heap in ascending order, all positions of the
+The distinct pre-tokens of a partition are laid end to end, some hundred thousand characters of texts at a time so that
+memory stays bounded. An index maps every adjacent pair that has a merge rank to all its positions; active ranks leave a heap in ascending order, all positions of the
 pair are merged from left to right, and the lists of the pairs around each merge are updated. A merge
 makes only pairs of higher rank, so one ascending sweep gives what merging word by word gives.
 """
@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Memo, batches_of, table, worker_slot
 
 #: The pre-tokenizer's pattern; \s there is Unicode white space, which \s of Python is not quite.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -51,6 +51,9 @@ class Vocabulary:
         merges = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
         self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(merges)}
 
+    def text_of(self, ids: bytes) -> str:
+        return b"".join(map(self.bytes_of.__getitem__, struct.unpack(f"<{len(ids) // 4}I", ids))).decode("utf-8", "replace")
+
 
 def merge_all(words: list[bytes], vocabulary: Vocabulary) -> list[bytes]:
     """The ids of each word, as little-endian unsigned 32-bit integers."""
@@ -101,9 +104,10 @@ def merge_all(words: list[bytes], vocabulary: Vocabulary) -> list[bytes]:
 
 
 class Encoder:
-    """Encodes texts, remembering the ids of segments and pre-tokens; both memories are bounded."""
+    """Encodes texts, remembering the ids of segments and pre-tokens; both memories are bounded by bytes."""
 
-    LIMIT = 350_000
+    #: Bytes of each memory, and characters of texts that are learned from at once.
+    LIMIT, BATCH = 60_000_000, 500_000
 
     def __init__(self, path: str) -> None:
         import regex
@@ -111,32 +115,24 @@ class Encoder:
         self.vocabulary = Vocabulary(path)
         self.pattern, self.segment = regex.compile(PATTERN), re.compile(SEGMENT)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.vocabulary.special, key=len, reverse=True))) + ")") if self.vocabulary.special else None
-        self.of_segment: dict[str, bytes] = {}
-        self.of_word: dict[str, bytes] = {}
+        self.of_segment, self.of_word = Memo(self.LIMIT), Memo(self.LIMIT)
 
     def _learn(self, segments: set[str]) -> None:
-        if len(self.of_word) > self.LIMIT:
-            self.of_word.clear()
+        self.of_word.tidy()
         split = {s: self.pattern.findall(s) for s in segments}
         words = list({w for own in split.values() for w in own if w not in self.of_word})
-        self.of_word.update(zip(words, merge_all([w.encode() for w in words], self.vocabulary), strict=True))
+        self.of_word.learn(zip(words, merge_all([w.encode() for w in words], self.vocabulary), strict=True), len)
         get = self.of_word.__getitem__
-        self.of_segment.update((s, b"".join(map(get, own))) for s, own in split.items())
+        self.of_segment.learn(((s, b"".join(map(get, own))) for s, own in split.items()), len)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        at = 0
-        while at < len(texts):  # some millions of characters at a time, or one text
-            end, size = at, 0
-            while end < len(texts) and (end == at or size < 2_000_000):
-                size += len(texts[end])
-                end += 1
-            if len(self.of_segment) > self.LIMIT:
-                self.of_segment.clear()
+        for part in batches_of(texts, self.BATCH):
+            self.of_segment.tidy()
             get, new, found = self.of_segment.get, set(), []
-            for text in texts[at:end]:
+            for text in texts[part]:
                 own = []
-                for kind, part in self._parts(text):
-                    segments = [] if kind is not None else self.segment.findall(part)
+                for kind, stretch in self._parts(text):
+                    segments = [] if kind is not None else self.segment.findall(stretch)
                     ids = list(map(get, segments)) if kind is None else [struct.pack("<I", kind)]
                     if missing := None in ids:
                         new.update(s for s, i in zip(segments, ids, strict=True) if i is None)
@@ -146,7 +142,6 @@ class Encoder:
             get = self.of_segment.__getitem__
             for own in found:
                 yield b"".join(b"".join(ids if segments is None else map(get, segments)) for ids, segments in own)
-            at = end
 
     def _parts(self, text: str) -> list[tuple[int | None, str]]:
         """Stretches of ordinary text (kind None) and special tokens (kind: their id)."""
@@ -156,13 +151,16 @@ class Encoder:
         return [(ids.get(p), p) for p in self.special.split(text) if p]
 
 
-_encoders: dict[str, Encoder] = {}
+def encoder(path: str) -> Encoder:
+    return worker_slot(f"bpe:{path}", lambda: Encoder(path))
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+#: Characters of the texts that an operator gives back at once.
+GIVEN = 2_000_000
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,10 +174,11 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(tokenizer)
         for b in batches:
-            yield pd.DataFrame({id_col: b[id_col], "ids": list(enc.encode(b["text"].tolist()))})
+            texts = b["text"].tolist()
+            for part in batches_of(texts, GIVEN):
+                yield pd.DataFrame({id_col: b[id_col].iloc[part], "ids": list(enc.encode(texts[part]))})
 
-    rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, f"`{id_col}` long, ids binary")
+    return _rows(docs, id_col, text_col).mapInPandas(run, f"`{id_col}` long, ids binary")
 
 
 def decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id") -> DataFrame:
@@ -189,22 +188,35 @@ def decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id") -> DataFr
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        piece = Vocabulary(tokenizer, to_encode=False).bytes_of.__getitem__
+        vocabulary = worker_slot(f"bpe-decode:{tokenizer}", lambda: Vocabulary(tokenizer, to_encode=False))
         for b in batches:
             ids = [x or b"" for x in b["ids"]]
-            texts = [b"".join(map(piece, struct.unpack(f"<{len(x) // 4}I", x))).decode("utf-8", "replace") for x in ids]
-            yield pd.DataFrame({id_col: b[id_col], "ids": ids, "text": texts})
+            for part in batches_of(ids, 4 * GIVEN):
+                yield pd.DataFrame({id_col: b[id_col].iloc[part], "ids": ids[part], "text": list(map(vocabulary.text_of, ids[part]))})
 
     return encoded.select(id_col, "ids").mapInPandas(run, f"`{id_col}` long, ids binary, text string")
 
 
+def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, ids, text``: what ``decode`` gives for what ``encode`` gives, in one pass with one vocabulary."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enc = encoder(tokenizer)
+        for b in batches:
+            texts = b["text"].tolist()
+            for part in batches_of(texts, GIVEN):
+                ids = list(enc.encode(texts[part]))
+                yield pd.DataFrame({id_col: b[id_col].iloc[part], "ids": ids, "text": list(map(enc.vocabulary.text_of, ids))})
+
+    return _rows(docs, id_col, text_col).mapInPandas(run, f"`{id_col}` long, ids binary, text string")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     if tokenizer is None:
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    both = decode(encode(table(spark, sf_dir, "documents"), tokenizer), tokenizer)
-    return both.select(
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

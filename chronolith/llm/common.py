@@ -69,6 +69,17 @@ def id_remainder_of(doc_id: int, divisor: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % divisor
 
 
+def sample_by_hash(rows: DataFrame, id_col: str, class_col: str, sample: int) -> DataFrame:
+    """About ``sample`` rows of every class, whole classes if they have no more, chosen by the hash of their id.
+
+    Only the classes are counted; no class meets in one task. A class's share is what ``sample`` is of its rows, so the number
+    varies by a few of its square root.
+    """
+    counts = written(rows.groupBy(F.col(class_col).alias("_class")).agg(F.count(F.lit(1)).alias("_n")), "sample-classes")
+    chosen = F.pmod(F.xxhash64(id_col, F.lit("sample")), F.lit(1 << 40)) * F.col("_n") < F.lit(sample).cast("double") * (1 << 40)
+    return rows.join(counts, rows[class_col] == counts["_class"]).where(chosen).select(*rows.columns)
+
+
 #: Odd 64-bit multipliers, fixed so that every worker and every run agrees.
 _ODD = np.random.default_rng(20240229).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -213,10 +224,10 @@ def release() -> None:
 
 
 class Memo(dict):
-    """What strings map to, forgotten as a whole once keys and values take about ``limit`` bytes; long keys are not kept."""
+    """What strings map to, forgotten as a whole once keys and values take about ``limit`` bytes."""
 
-    #: What an entry takes besides its characters, and the longest key that is kept.
-    ENTRY, KEY = 200, 100
+    #: What an entry takes besides its characters.
+    ENTRY = 200
 
     def __init__(self, limit: int) -> None:
         super().__init__()

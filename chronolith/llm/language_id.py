@@ -8,20 +8,20 @@ the posterior of its best language under equal priors, over all its words.
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_remainder, table, written
+from .common import batches_of, id_remainder, sample_by_hash, table, worker_slot
 
-#: Documents of each language that the probabilities are learned from, chosen by the hash of their id.
-SAMPLE = 400
+#: Documents of each language that the probabilities are learned from, chosen by the hash of their id, and their characters at most.
+SAMPLE, LONGEST_TEXT = 400, 100_000
 #: Rounds of expectation maximisation, and what is added to every expected count.
 ROUNDS, ADDED = 3, 0.05
 #: Characters of the longest piece that is used, and of the words that are scored side by side.
@@ -30,7 +30,7 @@ LONGEST, SIDE_BY_SIDE = 8, 40
 #: Score below which a filter rejects a text.
 LEAST = 0.5
 
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 UNKNOWN = "und"
 
 
@@ -95,8 +95,9 @@ class Lattice:
         for idx, own in by_length(words):
             ends, w = self.ends(own), weights[idx]
             n = ends.shape[1]
-            if n > SIDE_BY_SIDE:
-                continue  # so long a word says little of a language's pieces; it is scored all the same
+            if n > SIDE_BY_SIDE:  # their sums leave the range of numbers
+                counts += self._expected_in_logs(ends, w, p)
+                continue
             a = np.zeros((n + 1, len(own)))
             b = np.zeros((n + 1, len(own)))
             a[0] = b[n] = 1.0
@@ -113,6 +114,25 @@ class Lattice:
         counts[0] = 0
         return counts
 
+    def _expected_in_logs(self, ends: np.ndarray, w: np.ndarray, p: np.ndarray) -> np.ndarray:
+        counts = np.zeros(self.size)
+        rows, n, _ = ends.shape
+        with np.errstate(divide="ignore"):
+            log = np.log(p)
+        a, b = np.full((n + 1, rows), -np.inf), np.full((n + 1, rows), -np.inf)
+        a[0] = b[n] = 0.0
+        for end in range(1, n + 1):
+            for size in range(1, min(LONGEST, end) + 1):
+                a[end] = np.logaddexp(a[end], a[end - size] + log[ends[:, end - 1, size - 1]])
+        for end in range(n, 0, -1):
+            for size in range(1, min(LONGEST, end) + 1):
+                b[end - size] = np.logaddexp(b[end - size], b[end] + log[ends[:, end - 1, size - 1]])
+        for end in range(1, n + 1):
+            for size in range(1, min(LONGEST, end) + 1):
+                e = ends[:, end - 1, size - 1]
+                counts += np.bincount(e, np.exp(a[end - size] + log[e] + b[end] - a[n]) * w, self.size)
+        return counts
+
 
 def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
     sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -135,11 +155,12 @@ class Model:
 
 
 def learn(labelled: DataFrame, pieces: list[str], id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE) -> Model:
-    """Piece probabilities by language from at most ``sample`` documents of each."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    ids = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where("lang is not null and id is not null")
-    chosen = ids.withColumn("rank", rank).where(F.col("rank") <= sample).select("id", "lang")  # ranked in each task first, so that a task passes on no more than the sample
-    chosen = F.broadcast(written(chosen, "language-sample"))  # at most ``sample`` ids a language
+    """Piece probabilities by language from about ``sample`` documents of each, of at most LONGEST_TEXT characters.
+
+    The model, and what the driver gets, grows with the number of languages and not with the documents.
+    """
+    own = labelled.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = sample_by_hash(own.where("lang is not null and id is not null").where(F.length("text") <= LONGEST_TEXT), "id", "lang", sample)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from collections import Counter
@@ -151,7 +172,6 @@ def learn(labelled: DataFrame, pieces: list[str], id_col: str, text_col: str, la
         for lang, own in total.items():
             yield pd.DataFrame({"lang": lang, "word": list(own), "n": list(own.values())})
 
-    rows = labelled.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, "id")
     counted = rows.select("lang", "text").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
     lattice = Lattice(pieces)
     languages = sorted(counted["lang"].unique())
@@ -172,7 +192,8 @@ def learn(labelled: DataFrame, pieces: list[str], id_col: str, text_col: str, la
 class Scorer:
     """Log probabilities of chunks (what stands between white space), remembered in bounded memory."""
 
-    LIMIT = 400_000
+    #: Bytes of the memory.
+    LIMIT = 100_000_000
 
     def __init__(self, model: Model) -> None:
         self.model, self.lattice = model, Lattice(model.pieces)
@@ -180,6 +201,7 @@ class Scorer:
 
     def _clear(self) -> None:
         self.row: dict[str, int] = {}
+        self.bytes = 0
         self.logs = np.zeros((1024, len(self.model.languages) + 1))  # the last column: letters
 
     def _learn(self, chunks: list[str]) -> None:
@@ -197,12 +219,13 @@ class Scorer:
             self.logs[start : start + len(chunks), k] = np.bincount(to - start, logs[flat, k], len(chunks)) if len(flat) else 0
         self.logs[start : start + len(chunks), -1] = sizes
         self.row.update(zip(chunks, range(start, start + len(chunks)), strict=True))
+        self.bytes += sum(map(len, chunks)) + len(chunks) * (150 + 8 * self.logs.shape[1])
 
     def score(self, texts: list[str]) -> tuple[list[str], list[float]]:
         langs, scores = [], []
-        for lo in range(0, len(texts), 500):
-            split = [t.lower().split() for t in texts[lo : lo + 500]]
-            if len(self.row) > self.LIMIT:
+        for part in batches_of(texts):
+            split = [t.lower().split() for t in texts[part]]
+            if self.bytes > self.LIMIT:
                 self._clear()
             self._learn(list({c for own in split for c in own if c not in self.row}))
             get = self.row.__getitem__
@@ -229,10 +252,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     key = uuid.uuid4().hex  # a worker that is reused must not take the scorer of another model
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = _scorers.get(key)
-        if scorer is None:
-            _scorers.clear()
-            scorer = _scorers[key] = Scorer(Model(*shared.value))
+        scorer = worker_slot(key, lambda: Scorer(Model(*shared.value)))
         for b in batches:
             langs, scores = scorer.score([t or "" for t in b["text"]])
             yield pd.DataFrame({id_col: b[id_col], "lang_pred": langs, "score": scores})
@@ -242,24 +262,23 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def in_known_language(docs: DataFrame, model: Model, text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """The rows of ``docs`` with a language: not ``und``, and a score of at least ``least``. All columns pass through."""
+    """The rows of ``docs`` with a language: not ``und``, and a score of at least ``least``; all columns pass through.
+
+    Null texts and texts without a letter have no language and go, and so does every row if nothing was learned. Null and repeated
+    ids, and columns of any name, pass through. An empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.pieces, model.p))
     key = uuid.uuid4().hex  # a worker that is reused must not take the scorer of another model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(Model(*shared.value))
+        scorer = worker_slot(key, lambda: Scorer(Model(*shared.value)))
         for b in batches:
-            langs, scores = _scorers[key].score([t or "" for t in b.column(text_col).to_pylist()])
+            langs, scores = scorer.score([t or "" for t in b.column(text_col).to_pylist()])
             yield b.filter(pa.array([lang != UNKNOWN and s >= least for lang, s in zip(langs, scores, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def held_out(doc_id: Column) -> Column:
     return id_remainder(doc_id, 5) == 0
 

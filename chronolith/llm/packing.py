@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import Memo, batches_of, table, worker_slot, written
 
 #: Pieces a shard has about.
 SHARD = 20_000
@@ -101,7 +101,8 @@ def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
 class Tokens:
     """Ids of texts by a public tokenizer whose pre-tokens never hold white space; chunks are remembered, in bounded memory."""
 
-    LIMIT = 1_000_000
+    #: Bytes of each of two memories.
+    LIMIT = 100_000_000
     WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
 
     def __init__(self, path: str) -> None:
@@ -118,8 +119,7 @@ class Tokens:
         # space, and the letter whose lower case Python chooses by its place in a word.
         self.odd = [*(t.content for t in self.tokenizer.get_added_tokens_decoder().values()), "\x1c", "\x1d", "\x1e", "\x1f", "Σ"]
         self.words = regex.compile(self.WORDS)
-        self.of_chunk: dict[str, bytes] = {}
-        self.of_word: dict[str, bytes] = {}
+        self.of_chunk, self.of_word = Memo(self.LIMIT), Memo(self.LIMIT)
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -127,17 +127,15 @@ class Tokens:
 
     def _learn(self, chunks: list[str]) -> None:
         """Chunks by their words, so that punctuation around a word makes nothing new; composed characters only."""
-        if len(self.of_word) > self.LIMIT:
-            self.of_word.clear()
+        self.of_word.tidy()
         split = {c: self.words.findall(c) if is_normalized("NFC", c) else [c] for c in chunks}
         new = list({w for own in split.values() for w in own if w not in self.of_word})
-        self.of_word.update(zip(new, self._plain(new), strict=True))
+        self.of_word.learn(zip(new, self._plain(new), strict=True), len)
         get = self.of_word.__getitem__
-        self.of_chunk.update((c, b"".join(map(get, own))) for c, own in split.items())
+        self.of_chunk.learn(((c, b"".join(map(get, own))) for c, own in split.items()), len)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.of_chunk) > self.LIMIT:
-            self.of_chunk.clear()
+        self.of_chunk.tidy()
         get, new, found = self.of_chunk.get, set(), []
         for text in texts:
             if any(map(text.__contains__, self.odd)):
@@ -153,13 +151,8 @@ class Tokens:
         return [b"".join(ids if chunks is None else map(get, chunks)) for ids, chunks in found]
 
 
-_tokens: dict[str, Tokens] = {}
-
-
 def tokens(path: str) -> Tokens:
-    if path not in _tokens:
-        _tokens[path] = Tokens(path)
-    return _tokens[path]
+    return worker_slot(f"packing:{path}", lambda: Tokens(path))
 
 
 def cut(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -170,13 +163,13 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "do
         step = capacity * 4
         for b in batches:
             texts, ids = b["text"].tolist(), b[id_col].tolist()
-            for lo in range(0, len(texts), 500):
+            for part in batches_of(texts):
                 rows = []
-                for doc, own in zip(ids[lo : lo + 500], tok.encode(texts[lo : lo + 500]), strict=True):
+                for doc, own in zip(ids[part], tok.encode(texts[part]), strict=True):
                     own += END
                     for piece, at in enumerate(range(0, len(own), step)):
-                        part = own[at : at + step]
-                        rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part), part))
+                        cut_ids = own[at : at + step]
+                        rows.append((doc, piece, at // 4, len(cut_ids) // 4, zlib.crc32(cut_ids), cut_ids))
                 out = pd.DataFrame(rows, columns=[id_col, "piece", "start", "length", "ids_crc32", "ids"])
                 out[id_col] = out[id_col].astype("Int64")
                 yield out if with_ids else out.drop(columns="ids")
