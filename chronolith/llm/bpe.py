@@ -14,11 +14,12 @@ import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, batches_of, table, worker_slot
+from .common import Memo, batches_of, cuts_of, table, worker_slot
 
 #: The pre-tokenizer's pattern; \s there is Unicode white space, which \s of Python is not quite.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -57,57 +58,57 @@ class Vocabulary:
 
 def merge_all(words: list[bytes], vocabulary: Vocabulary) -> list[bytes]:
     """The ids of each word, as little-endian unsigned 32-bit integers."""
-    ids, merges = vocabulary.byte_id, vocabulary.merges
-    symbol: list[int] = []
-    starts = []
-    for word in words:
-        starts.append(len(symbol))
-        symbol.extend([ids[b] for b in word])
-        symbol.append(-1)  # no pair reaches over it
+    if not words:
+        return []
+    merges = vocabulary.merges
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    flat = np.full(int(sizes.sum()) + len(words), -1, np.int64)  # -1 ends a word, and no pair reaches over it
+    of = np.repeat(np.arange(len(words)), sizes)
+    flat[np.arange(len(of)) + of] = np.array(vocabulary.byte_id)[np.frombuffer(b"".join(words), np.uint8)]
+    symbol = flat.tolist()
     after = list(range(1, len(symbol) + 1))
     before = list(range(-1, len(symbol) - 1))
     positions: dict[tuple[int, int], list[int]] = {}
     active: list[tuple[int, tuple[int, int], int]] = []
-
-    def add(pair: tuple[int, int], at: int) -> None:
-        if pair in positions:
-            positions[pair].append(at)
-        elif found := merges.get(pair):
-            positions[pair] = [at]
+    # The index at first: places sorted by their pair.
+    code = (flat[:-1] << 32) | (flat[1:] & 0xFFFFFFFF)
+    order = np.argsort(code, kind="stable")
+    for lo, hi in cuts_of(code[order]):
+        pair = (symbol[order[lo]], symbol[order[lo] + 1])
+        if found := merges.get(pair):
+            positions[pair] = order[lo:hi].tolist()
             heapq.heappush(active, (found[0], pair, found[1]))
-
-    for at, pair in enumerate(zip(symbol, symbol[1:], strict=False)):
-        add(pair, at)
+    where, rank_of = positions.get, merges.get
     while active:
-        _, pair, new = heapq.heappop(active)
-        left, right = pair
-        for at in sorted(positions.pop(pair)):
+        _, (left, right), new = heapq.heappop(active)
+        places = positions.pop((left, right))
+        places.sort()
+        for at in places:
             nxt = after[at]
-            if symbol[at] != left or nxt >= len(symbol) or symbol[nxt] != right:
+            if symbol[at] != left or symbol[nxt] != right:
                 continue  # an earlier merge took one of the two
             symbol[at], symbol[nxt] = new, -2
             after[at] = end = after[nxt]
-            if end < len(symbol):
-                before[end] = at
-                if symbol[end] >= 0:
-                    add((new, symbol[end]), at)
-            if (start := before[at]) >= 0 and symbol[start] >= 0:
-                add((symbol[start], new), start)
-    out = []
-    for at, word in zip(starts, words, strict=True):
-        own, end = [], at + len(word)
-        while at < end:
-            own.append(symbol[at])
-            at = after[at]
-        out.append(struct.pack(f"<{len(own)}I", *own))
-    return out
+            before[end] = at
+            start = before[at]  # before the first word stands the last one's end
+            for pair, place in (((new, symbol[end]), at), ((symbol[start], new), start)):
+                if (own := where(pair)) is not None:
+                    own.append(place)
+                elif (found := rank_of(pair)) is not None:
+                    positions[pair] = [place]
+                    heapq.heappush(active, (found[0], pair, found[1]))
+    flat = np.array(symbol, np.int64)
+    live = flat >= 0
+    ids = flat[live].astype("<u4").tobytes()
+    ends = np.cumsum(np.bincount(np.cumsum(flat == -1)[live], minlength=len(words))) * 4
+    return [ids[lo:hi] for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
 class Encoder:
-    """Encodes texts, remembering the ids of segments and pre-tokens; both memories are bounded by bytes."""
+    """Encodes texts, remembering the ids of segments and pre-tokens in a memory bounded by bytes; a pre-token is its own only one."""
 
-    #: Bytes of each memory, and characters of texts that are learned from at once.
-    LIMIT, BATCH = 60_000_000, 500_000
+    #: Bytes of the memory, and characters of texts that are learned from at once.
+    LIMIT, BATCH = 200_000_000, 500_000
 
     def __init__(self, path: str) -> None:
         import regex
@@ -115,20 +116,20 @@ class Encoder:
         self.vocabulary = Vocabulary(path)
         self.pattern, self.segment = regex.compile(PATTERN), re.compile(SEGMENT)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.vocabulary.special, key=len, reverse=True))) + ")") if self.vocabulary.special else None
-        self.of_segment, self.of_word = Memo(self.LIMIT), Memo(self.LIMIT)
+        self.ids = Memo(self.LIMIT)
 
     def _learn(self, segments: set[str]) -> None:
-        self.of_word.tidy()
+        ids = self.ids
         split = {s: self.pattern.findall(s) for s in segments}
-        words = list({w for own in split.values() for w in own if w not in self.of_word})
-        self.of_word.learn(zip(words, merge_all([w.encode() for w in words], self.vocabulary), strict=True), len)
-        get = self.of_word.__getitem__
-        self.of_segment.learn(((s, b"".join(map(get, own))) for s, own in split.items()), len)
+        words = list({w for own in split.values() for w in own if w not in ids})
+        ids.learn(words, merge_all([w.encode() for w in words], self.vocabulary))
+        rest = [s for s in segments if s not in ids]
+        ids.learn(rest, [b"".join([ids[w] for w in split[s]]) for s in rest])
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for part in batches_of(texts, self.BATCH):
-            self.of_segment.tidy()
-            get, new, found = self.of_segment.get, set(), []
+            self.ids.tidy()
+            get, new, found = self.ids.get, set(), []
             for text in texts[part]:
                 own = []
                 for kind, stretch in self._parts(text):
@@ -139,7 +140,7 @@ class Encoder:
                     own.append((ids, segments if missing else None))
                 found.append(own)
             self._learn(new)
-            get = self.of_segment.__getitem__
+            get = self.ids.__getitem__
             for own in found:
                 yield b"".join(b"".join(ids if segments is None else map(get, segments)) for ids, segments in own)
 

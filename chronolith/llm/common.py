@@ -6,7 +6,7 @@ import ctypes
 import tempfile
 import uuid
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
@@ -239,7 +239,6 @@ class Memo(dict):
             self.clear()
             self.bytes = 0
 
-    def learn(self, items: Iterable[tuple[str, Any]], size: Callable[[Any], int]) -> None:
-        for key, value in items:
-            self[key] = value
-            self.bytes += self.ENTRY + len(key) + size(value)
+    def learn(self, keys: list[str], values: list) -> None:
+        self.update(zip(keys, values, strict=True))
+        self.bytes += self.ENTRY * len(keys) + sum(map(len, keys)) + sum(map(len, values))

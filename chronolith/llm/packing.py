@@ -130,9 +130,9 @@ class Tokens:
         self.of_word.tidy()
         split = {c: self.words.findall(c) if is_normalized("NFC", c) else [c] for c in chunks}
         new = list({w for own in split.values() for w in own if w not in self.of_word})
-        self.of_word.learn(zip(new, self._plain(new), strict=True), len)
+        self.of_word.learn(new, self._plain(new))
         get = self.of_word.__getitem__
-        self.of_chunk.learn(((c, b"".join(map(get, own))) for c, own in split.items()), len)
+        self.of_chunk.learn(list(split), [b"".join(map(get, own)) for own in split.values()])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         self.of_chunk.tidy()
