@@ -3,7 +3,8 @@
 Entities are found by one pattern. Each distinct entity gets a surrogate from a keyed hash: the same
 entity always gets the same one (coreference), digits stay digits, letters stay in their script and
 case, card numbers and IBANs keep valid check digits, and given names keep the gender that their title
-tells. Surrogates that meet, or that equal an entity of the corpus, are drawn again until all are distinct.
+tells. A name that a document has given with a title is found there without it, too. Surrogates that meet, or that equal
+an entity of the corpus, are drawn again, and made longer where their form is too narrow, until all are distinct.
 """
 
 from __future__ import annotations
@@ -20,16 +21,19 @@ MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Don")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Doña")
 NEUTRAL = ("Dr", "Prof", "Professor")
 _TITLES = "|".join(MALE + FEMALE + NEUTRAL)
-_NAME = r"\p{Lu}[\p{L}'’]{0,40}+(?:-\p{Lu}[\p{L}'’]{0,40}+)?"
+_PART = r"\p{Lu}\p{L}{0,40}+(?:['’]\p{Lu}\p{L}{0,40}+)?"
+_NAME = rf"{_PART}(?:-{_PART})?"
 #: Kind and pattern, the first that matches an entity names its kind. All but names and what follows a keyword start
 #: where no ASCII letter or digit stands before; PATTERN checks that once for all of them.
 _KEYED = r"(?i:token|secret|passwd|password|api_?key)\s{0,2}[=:]\s{0,2}[\"'][^\s\"']{8,}+[\"']"
 _BARE = r"[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])|AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"
 KINDS = {
     "secret": f"{_KEYED}|{_BARE}",
-    "email": r"(?<![._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+(?<=\.[A-Za-z]{2,24})",
+    # The host is one run of characters: a group that repeats would recurse for every label of a long one.
+    "email": r"(?<![._%+-])[A-Za-z0-9._%+-]++@(?=[A-Za-z0-9])[A-Za-z0-9.-]+(?<=\.[A-Za-z]{2,24})(?![A-Za-z0-9-])",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
-    "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?![0-9A-Za-z])|(?<!\()\(\d{3}\) ?\d{3}[ .-]\d{4}(?![0-9A-Za-z])|(?<![.-])\d{3}[.-]\d{3}[.-]\d{4}(?![0-9A-Za-z])",
+    "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?![0-9A-Za-z])|(?<!\()\(\d{3}\) ?\d{3}[ .-]\d{4}(?![0-9A-Za-z])|(?<![.-])\d{3}[.-]\d{3}[.-]\d{4}(?![0-9A-Za-z])"
+    r"|(?<![./-])0\d{2,4}[ /-]\d{5,8}(?![0-9A-Za-z]|-\d)|(?<![./-])\d{3}-\d{4}(?![0-9A-Za-z]|-\d)",
     "ip": r"(?<!\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![0-9A-Za-z]|\.\d)",
     "ssn": r"(?<!-)\d{3}-\d{2}-\d{4}(?![0-9A-Za-z]|-\d)",
     "card": r"(?<![.-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![0-9A-Za-z]|[.-]\d)",
@@ -58,8 +62,8 @@ _SCRIPTS = {
     r"\p{IsHan}": ("".join(chr(0x4E00 + 37 * k) for k in range(200)), False),
 }
 _LATIN = "abcdefghijklmnopqrstuvwxyz"
-#: Drawings of a surrogate before the run gives up.
-DRAWS = 16
+#: Drawings of a surrogate before the run gives up, and those of the entity's own length.
+DRAWS, SAME_LENGTH = 24, 3
 
 
 def entities_in(text: Column) -> Column:
@@ -154,14 +158,17 @@ def surrogate(entity: Column, kind: Column, key: str, draw: Column) -> Column:
     """The ``draw``-th surrogate of an entity."""
     head = F.coalesce(reduce(lambda a, b: a.when(kind == b[0], F.regexp_extract(entity, b[1], 0)), _HEADS.items(), F.when(F.lit(False), "")), F.lit(""))
     seed = F.concat_ws("|", F.lit(key), kind, entity, draw.cast("string"))
+    # A form that is too narrow for all its entities gets longer with every further drawing.
+    more = F.repeat(F.lit("0"), F.greatest(draw - F.lit(SAME_LENGTH - 1), F.lit(0)))
     body = F.substr(entity, F.length(head) + 1)
+    body = F.when(kind.isin("phone", "ssn", "card"), F.concat(body, more)).otherwise(F.concat(more, body))
     drawn = _drawn(body, seed)
     secret = F.when(body.rlike(r"^[0-9A-Fa-f]+[\"']?$"), _hex_only(drawn)).otherwise(drawn)
     # The part after the last dot of an address stays; its other labels are drawn by themselves, so that hosts keep together.
     local, host = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
     top = F.concat(F.lit("."), F.substring_index(host, ".", -1))
     labels = F.substr(host, F.lit(1), F.length(host) - F.length(top))
-    email = F.concat(_drawn(local, seed), F.lit("@"), _drawn(labels, F.concat_ws("|", F.lit(key), F.lit("host"), labels)), top)
+    email = F.concat(_drawn(F.concat(F.repeat(F.lit("a"), F.length(more)), local), seed), F.lit("@"), _drawn(labels, F.concat_ws("|", F.lit(key), F.lit("host"), labels)), top)
     octets = F.transform(F.split(entity, r"\."), lambda o, i: (_number(seed, i) % 254 + 1).cast("string"))
     digits = F.regexp_replace(F.concat(head, drawn), r"\D", "")
     check = (F.lit(10) - _luhn(F.concat(F.substr(digits, F.lit(1), F.length(digits) - 1), F.lit("0")))) % 10
@@ -203,32 +210,60 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     raise RuntimeError(f"surrogates still meet after {DRAWS} draws")
 
 
+def bare_names(named: DataFrame) -> DataFrame:
+    """``row, known, pattern`` of rows whose names have a title: their words with surrogates, and a pattern of these words.
+
+    Words of one or two Latin letters are left out: as words they are too common.
+    """
+    title = rf"^(?:{_TITLES})\.? "
+    old, new = (F.split(F.regexp_replace(c, title, ""), " ") for c in ("entity", "surrogate"))
+    word = named.where("kind = 'name'").select("row", F.explode(F.arrays_zip(old.alias("old"), new.alias("new"))).alias("w"))
+    word = word.where((F.length("w.old") > 2) | ~F.col("w.old").rlike(r"^[\p{IsLatin}'’-]+$"))
+    one = word.groupBy("row", F.col("w.old").alias("old")).agg(F.min("w.new").alias("new"))
+    known = one.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("old", "new"))).alias("known"))
+    # Longer words first: no shorter one may take their beginning.
+    words = F.reverse(F.array_sort(F.transform(F.map_keys("known"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))))
+    return known.withColumn("pattern", F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.transform(words, lambda x: x["w"]), "|"), F.lit(r")(?!\p{L})")))
+
+
 def replace_private(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs``, with the personal data in ``text_col`` replaced, and ``n_replaced`` (long).
 
-    Null texts stay null with 0 replaced, empty texts stay empty. Ids may be null or repeat: rows are told apart by id
-    and text, and equal rows get equal results. Other columns pass through whatever their names, save ``n_replaced``,
-    which is replaced. An empty table gives an empty result.
+    Null texts stay null with 0 replaced, empty texts stay empty. Ids may be null or repeat: rows are told apart by 256 bits of
+    id and text, and equal rows get equal results. Other columns pass through whatever their names, save ``n_replaced``,
+    which is replaced. An empty table gives an empty result. One entity may stand in any share of the rows: surrogates are joined to
+    mentions by two plain shuffles, which Spark splits where they are skewed.
     """
-    row = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+    row = F.unhex(F.sha2(F.concat_ws("|", F.col(id_col).cast("string"), F.length(text_col).cast("string"), F.col(text_col)).cast("binary"), 256))
     # Written before it is filtered: a filter on top would be pushed below and extract again.
-    found = written(docs.select(row.alias("_row"), entities_in(F.col(text_col)).alias("_entities")), "pii-found")
-    found = found.where(F.size("_entities") > 0).dropDuplicates(["_row"])
-    one = found.select("_row", F.posexplode("_entities").alias("at", "entity"))
+    found = written(docs.select(row.alias("row"), entities_in(F.col(text_col)).alias("entities")), "pii-found")
+    found = found.where(F.size("entities") > 0).dropDuplicates(["row"])
+    one = found.select("row", F.posexplode("entities").alias("at", "entity"))
     one = one.withColumn("kind", kind_of(F.col("entity")))
     one = written(one.withColumn("entity", canonical(F.col("entity"), F.col("kind"))), "pii-mentions")
-    named = one.join(surrogates(one, key), ["kind", "entity"])
+    named = written(one.join(surrogates(one, key), ["kind", "entity"]), "pii-named")
     # A document's own mentions are bounded by its length.
-    of_row = named.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("at", "surrogate"))).alias("_new"))
-    of_row = written(of_row.select("_row", F.col("_new.surrogate").alias("_new")), "pii-rows")
+    of_row = named.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "surrogate"))).alias("new"))
+    of_row = of_row.join(bare_names(named), "row", "left").select("row", F.col("new.surrogate").alias("new"), "known", "pattern")
+    of_row = written(of_row, "pii-rows")
+
     # Every row is joined, so no pattern scan tells rows apart here; only rows with entities are split. Merged at every
     # size: rows are shuffled once, in proportion to the input, with or without personal data.
     rest = docs.drop("n_replaced")
-    joined = rest.withColumn("_row", row).join(of_row.hint("merge"), "_row", "left")
-    between = F.split(F.col(text_col), PATTERN, -1)
-    merged = F.array_join(F.zip_with(between, F.col("_new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    text = F.when(F.col("_new").isNull(), F.col(text_col)).otherwise(merged)
-    return joined.withColumn(text_col, text).select(*rest.columns, F.when(F.col("_new").isNull(), 0).otherwise(F.size("_new")).cast("long").alias("n_replaced"))
+    own = {c: f"{c}_{'_' * max(map(len, rest.columns))}" for c in ("row", "new", "known", "pattern", "parts", "bare")}  # longer than any column of theirs
+    joined = rest.withColumn(own["row"], row).join(of_row.withColumnsRenamed({c: own[c] for c in of_row.columns}).hint("merge"), own["row"], "left")
+    new, known, pattern, parts, bare = (F.col(own[c]) for c in ("new", "known", "pattern", "parts", "bare"))
+    between = F.when(new.isNotNull(), F.split(F.col(text_col), PATTERN, -1))
+    joined = joined.withColumn(own["parts"], between)
+    joined = joined.withColumn(own["bare"], F.when(pattern.isNotNull(), F.transform(parts, lambda p: F.regexp_extract_all(p, pattern, F.lit(0)))))
+
+    def filled(gaps: Column, values: Column) -> Column:
+        return F.array_join(F.zip_with(gaps, values, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    renamed = F.zip_with(parts, bare, lambda p, ws: filled(F.split(p, pattern, -1), F.transform(ws, lambda w: F.element_at(known, w))))
+    text = F.when(new.isNull(), F.col(text_col)).otherwise(filled(F.coalesce(renamed, parts), new))
+    count = F.when(new.isNull(), 0).otherwise(F.size(new) + F.coalesce(F.size(F.flatten(bare)), F.lit(0))).cast("long")
+    return joined.withColumn("n_replaced", count).withColumn(text_col, text).select(*rest.columns, "n_replaced")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str, key: str = "surrogates") -> DataFrame:
