@@ -1,15 +1,16 @@
 """Exact deduplication by a log-structured merge index of digests (DataFrame functions only).
 
-Every task is a memtable: it flushes the digests of its rows as a sorted run, without a shuffle.
-Compaction merges the runs with map-side combining, keeps the smallest identifier of a digest and
-drops digests seen once. A bitmap filter over what is left, of fixed size, lets the second pass
-over the texts skip rows that hit nothing. Hits are then verified: grouping by digest *and* bytes
-parts texts that only share a digest, whatever the digest function.
+Every task is a memtable: it flushes the digests of its rows as a sorted part of one of the runs, without a shuffle.
+Compaction merges runs level by level with map-side combining, keeps the smallest identifier and the count of every
+digest, and at the last level drops digests seen once. A bitmap filter over what is left, sized by it, lets the second pass
+over the texts skip rows that hit nothing; where it would be too large to broadcast, texts are joined to the hits by a plain shuffle.
+Hits are then verified: grouping by digest *and* bytes parts texts that only share a digest, whatever the digest function.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,40 +23,51 @@ def sha256_digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """Sorted digest runs, their compaction and their filter.
+    """Sorted digest runs, their levels, and the filter of what repeats.
 
     ``flush`` may be called for any number of batches before ``compact``; ``hits`` are the digests
     that more than one row carries.
     """
 
-    def __init__(self, filter_bits: int = 25) -> None:
-        self.filter_bits = filter_bits
+    #: Runs of a flush, runs that are merged into one of the next level, filter bits for each hit, and bytes of a filter that is broadcast.
+    RUNS, FAN, BITS, BROADCAST = 8, 4, 16, 64 << 20
+
+    def __init__(self, broadcast: int = BROADCAST) -> None:
+        self.broadcast = broadcast
+        self.rows: DataFrame | None = None
         self.runs: list[DataFrame] = []
         self.hits: DataFrame | None = None
 
     def flush(self, batch: DataFrame) -> DataFrame:
-        """Write one batch (digest, ident, and what tells colliding texts apart) as sorted runs, one a task."""
-        self.runs.append(written(batch.sortWithinPartitions("digest", "ident"), "dedup-run"))
-        return self.runs[-1]
+        """Write one batch (digest, ident, and what tells colliding texts apart) as sorted runs, dealt by the tasks that write them."""
+        runs = written(batch.withColumn("run", F.spark_partition_id() % self.RUNS).sortWithinPartitions("digest", "ident"), "dedup-run")
+        self.rows = runs if self.rows is None else self.rows.unionByName(runs)
+        self.runs += [runs.where(F.col("run") == k).select("digest", "ident", F.lit(1).cast("long").alias("n")) for k in range(self.RUNS)]
+        return self.rows
 
     def compact(self) -> DataFrame:
         """Merge all runs: the smallest identifier and the row count of every digest that repeats."""
-        runs = self.runs[0]
-        for run in self.runs[1:]:
-            runs = runs.unionByName(run)
-        merged = runs.groupBy("digest").agg(F.min("ident").alias("ident"), F.count(F.lit(1)).alias("n"))
-        self.hits = written(merged.where("n > 1").sortWithinPartitions("digest"), "dedup-level")
+        level = self.runs
+        while len(level) > 1:
+            level = [self._merge(level[k : k + self.FAN], last=len(level) <= self.FAN) for k in range(0, len(level), self.FAN)]
+        self.hits = level[0]
         return self.hits
 
-    def _place(self, digest: Column) -> Column:
-        return F.pmod(F.xxhash64(digest), F.lit(1 << self.filter_bits))
+    def _merge(self, runs: list[DataFrame], last: bool) -> DataFrame:
+        merged = reduce(DataFrame.unionByName, runs).groupBy("digest").agg(F.min("ident").alias("ident"), F.sum("n").alias("n"))
+        return written((merged.where("n > 1") if last else merged).sortWithinPartitions("digest"), "dedup-level")
 
     def may_hit(self, rows: DataFrame) -> DataFrame:
         """The rows whose digest the filter has: all hits, and few others.
 
-        The filter is at most 2**filter_bits / 8 bytes (4 MB), whatever the input: that bounds the broadcast.
+        The filter has BITS bits for every hit, so it stays as sharp at any size of the input. It is broadcast up to BROADCAST bytes;
+        beyond that rows meet the hits themselves, and each text is shuffled once.
         """
-        place = self._place(F.col("digest"))
+        size = self.hits.count() * self.BITS
+        if size > self.broadcast * 8:
+            return rows.join(self.hits.select("digest"), "digest", "left_semi")
+        bits = max(1 << 15, 1 << max(0, size - 1).bit_length())
+        place = F.pmod(F.xxhash64("digest"), F.lit(bits))
         bitmap = (
             self.hits.select(place.alias("p"))
             .groupBy(F.expr("bitmap_bucket_number(p)").alias("bucket"))
@@ -75,6 +87,7 @@ def exact_duplicates(
     keep: str = "smallest",
     normalise: Callable[[Column], Column] | None = None,
     digest: Callable[[Column], Column] = sha256_digest,
+    broadcast: int = DigestIndex.BROADCAST,
 ) -> DataFrame:
     """One row per input row: ``id_col, keep_id, group_size, kept, digest, text_sha256``.
 
@@ -93,7 +106,7 @@ def exact_duplicates(
     own = [] if digest is sha256_digest else [F.unhex(F.sha2(F.col("body").cast("binary"), 256)).alias("sha")]
     keyed = base.select("ident", "body", digest(F.col("body")).alias("digest"), F.xxhash64("body").alias("second"), F.octet_length("body").alias("bytes"), *own)
 
-    index = DigestIndex()
+    index = DigestIndex(broadcast)
     run = index.flush(keyed.drop("body"))
     index.compact()
 
@@ -127,8 +140,8 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     twice = written(marks.where("kept").groupBy(F.col(id_col).alias("_twice")).count().where("count > 1 and _twice is not null").select("_twice"), "dedup-twice")
     # Only ids that occur twice are grouped, on id and the text's digest: the rest is not shuffled where the list is small.
     again = stay.join(twice, stay[id_col] == twice["_twice"], "left_semi")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    again = again.withColumn("_text", text).dropDuplicates([id_col, "_text"]).drop("_text")
+    own = "text_" + "_" * max(map(len, docs.columns))  # longer than any column of theirs
+    again = again.withColumn(own, F.coalesce(F.col(text_col), F.lit(""))).dropDuplicates([id_col, own]).drop(own)
     return stay.join(twice, stay[id_col] == twice["_twice"], "left_anti").unionByName(again)
 
 

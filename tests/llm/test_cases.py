@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chronolith.llm import common, language_id, ngram_join, packing, pii, substring_dedup
+from chronolith.llm import common, exact_dedup, language_id, ngram_join, packing, pii, substring_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -202,3 +202,12 @@ def test_packing_is_near_its_bound(spark):
         own = bins == b
         order = np.argsort(offsets[own])
         assert (np.cumsum([0, *lengths[own][order][:-1]]) == offsets[own][order]).all()
+
+
+def test_exact_without_a_filter(spark, hot):
+    rows = docs(spark, hot).withColumn("_text", F.lit("mine")).withColumn("digest", F.lit("mine")).repartition(20)
+    same = [sorted(exact_dedup.exact_duplicates(rows, keep="largest", broadcast=b).collect()) for b in (64 << 20, 0)]
+    assert same[0] == same[1] and len(same[0]) == len(hot)
+    texts = dict(hot)
+    kept = exact_dedup.drop_exact_duplicates(rows, keep="largest")
+    assert kept.columns == rows.columns and Counter(r.text for r in kept.collect()) == Counter(set(texts.values()))
