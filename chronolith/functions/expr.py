@@ -98,19 +98,30 @@ def evidence_supported(evidence: Column, text: Column, least: int = 8, head: int
 
 
 def split_chunks(text: Column, size: int = 6000, overlap: int = 400) -> Column:
-    """Chunks of whole paragraphs, each led by the end of the one before; a long paragraph is not cut."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("held"))
+    """Chunks of whole paragraphs, each led by the end of the one before; a long paragraph is not cut.
 
+    The fold carries only where chunks begin and end, so a paragraph costs the same wherever it stands.
+    """
+    n = F.length(text)
+    start = F.struct(F.array().cast("array<struct<s:int,e:int>>").alias("out"), F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit(0).alias("at"), F.lit(0).alias("lead"))
+
+    # s, e: where the held text begins and ends; lead: what it repeats of the chunk before, and the line break behind that.
     def step(a: Column, p: Column) -> Column:
-        full = (F.length(a["held"]) > 0) & (F.length(a["held"]) + F.length(p) + 1 > size)
-        tail = F.when(F.length(a["held"]) > overlap, F.right(a["held"], F.lit(overlap))).otherwise(a["held"])
-        held = F.when(full, F.concat(tail, F.lit("\n"), p)).when(F.length(a["held"]) > 0, F.concat(a["held"], F.lit("\n"), p)).otherwise(p)
-        return F.struct(F.when(full, F.array_append(a["out"], a["held"])).otherwise(a["out"]).alias("out"), held.alias("held"))
+        end = a["at"] + p
+        held = a["e"] - a["s"] + a["lead"]
+        full = (held > 0) & (held + p + 1 > size)
+        lead = F.least(F.lit(overlap), held) + 1
+        out = F.when(full, F.array_append(a["out"], F.struct((a["s"] - a["lead"]).alias("s"), a["e"].alias("e")))).otherwise(a["out"])
+        s = F.when(full | (held <= 0), a["at"]).otherwise(a["s"])
+        return F.struct(out.alias("out"), s.alias("s"), end.alias("e"), (end + 1).alias("at"), F.when(full, lead).when(held <= 0, 0).otherwise(a["lead"]).alias("lead"))
 
     def finish(a: Column) -> Column:
-        return F.when(strip(a["held"]) != "", F.array_append(a["out"], a["held"])).otherwise(a["out"])
+        last = F.struct((a["s"] - a["lead"]).alias("s"), a["e"].alias("e"))
+        blank = strip(F.substr(text, last["s"] + 1, last["e"] - last["s"])) == ""
+        return F.when(blank, a["out"]).otherwise(F.array_append(a["out"], last))
 
-    return F.when(F.length(text) <= size, F.array(text)).otherwise(F.aggregate(F.split(text, "\n"), start, step, finish))
+    cuts = F.aggregate(F.transform(F.split(text, "\n"), lambda p: F.length(p)), start, step, finish)
+    return F.when(n <= size, F.array(text)).otherwise(F.transform(cuts, lambda c: F.substr(text, c["s"] + 1, c["e"] - c["s"])))
 
 
 def redact(x: Column) -> Column:
@@ -134,8 +145,13 @@ def to_double(x: Column) -> Column:
 
 
 def url_title(x: Column) -> Column:
-    """A page title in a URL's form: like percent-encoding that leaves slashes alone."""
-    return F.replace(F.replace(F.url_encode(F.replace(x, F.lit(" "), F.lit("_"))), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))
+    """A page title in a URL's form: percent-encoding that leaves slashes and ``~`` alone."""
+    return F.replace(F.replace(F.replace(F.replace(F.url_encode(x), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/")), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
+
+
+def title_of_url(x: Column) -> Column:
+    """The title that a page's URL names: its last part decoded, underscores as spaces."""
+    return F.replace(F.try_url_decode(F.replace(F.substring_index(x, "/wiki/", -1), F.lit("+"), F.lit("%2B"))), F.lit("_"), F.lit(" "))
 
 
 def json_set(props: Column, key: str, value: Column) -> Column:

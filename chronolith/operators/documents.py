@@ -92,3 +92,20 @@ def extraction_quality(edges: DataFrame) -> DataFrame:
     """``type, n, linked``: extracted relations and how many of them touch no new node."""
     linked = F.sum(F.when(~F.startswith("src", F.lit("ex:")) & ~F.startswith("dst", F.lit("ex:")), 1).otherwise(0)).cast("long")
     return edges.groupBy("type").agg(F.count(F.lit(1)).alias("n"), linked.alias("linked"))
+
+
+def quality_report(edges: DataFrame, texts: DataFrame, head: int = 30) -> DataFrame:
+    """``metric, n``: extracted relations, those with a new node at an end, and those whose evidence starts in its text.
+
+    ``edges`` carry their evidence and source in ``props``; ``texts``: node_id, text.
+    """
+    rows = edges.select(F.get_json_object("props", "$.extracted_from").alias("node_id"), F.get_json_object("props", "$.evidence").alias("evidence"), (F.startswith("src", F.lit("ex:")) | F.startswith("dst", F.lit("ex:"))).alias("orphan"))
+    rows = rows.join(texts, "node_id", "left").withColumn("supported", F.coalesce(expr.evidence_supported(F.col("evidence"), F.col("text"), 0, head), F.lit(False)))
+    one = rows.agg(F.count(F.lit(1)).alias("relations"), F.count_if("orphan").alias("orphans"), F.count_if("supported").alias("supported"))
+    return one.select(F.explode(F.map_from_arrays(F.array(*(F.lit(c) for c in one.columns)), F.array(*one.columns))).alias("metric", "n"))
+
+
+def texts_of(chunks: DataFrame) -> DataFrame:
+    """``node_id, text``: the chunks of every node, joined in their order."""
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "text"))), lambda c: c["text"]), "")
+    return chunks.groupBy("node_id").agg(joined.alias("text"))

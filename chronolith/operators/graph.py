@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import counted, cut
 
 
 @dataclass
@@ -23,51 +23,60 @@ def incidence(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("id"), F.col("dst").alias("other")).unionAll(edges.where("src <> dst").select(F.col("dst").alias("id"), F.col("src").alias("other")))
 
 
-def _hop(frontier: DataFrame, edges: DataFrame, same_as: DataFrame | None) -> DataFrame:
-    links = incidence(edges)
-    if same_as is not None:
-        links = links.unionAll(incidence(same_as.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
-    return links.join(frontier, "id", "left_semi").select(F.col("other").alias("id")).distinct()
+def _touching(table: DataFrame, a: str, b: str, frontier: DataFrame) -> DataFrame:
+    """Rows with an end in the frontier. Semi joins reach the scan below a union or a distinct; rows with both ends there come twice."""
+    return table.join(frontier.select(F.col("id").alias(a)), a, "left_semi").unionByName(table.join(frontier.select(F.col("id").alias(b)), b, "left_semi"))
+
+
+def _ends(table: DataFrame, a: str, b: str) -> DataFrame:
+    return table.select(F.col(a).alias("id")).union(table.select(F.col(b).alias("id")))
 
 
 def neighbors(nodes: DataFrame, edges: DataFrame, same_as: DataFrame, node_id: str, depth: int = 1, max_nodes: int = 3000, follow_same_as: bool = True) -> Subgraph:
     """Everything within ``depth`` steps of a node, at most ``max_nodes`` ids, the smallest of the last layer first.
 
     Edges between two nodes of the outermost layer were never met on the way and are not part of it; parallel edges of
-    one type come back once, from the greatest source.
+    one type come back once, from the greatest source. The edges that a hop touches are stored, so every hop scans the graph once
+    and the result is made of what was stored.
     """
     spark = nodes.sparkSession
     seen = frontier = spark.createDataFrame([(node_id,)], "id string")
-    walked = seen.limit(0)
-    size, truncated = 1, False
+    met, same = edges.limit(0), same_as.limit(0)
+    size, layer, truncated = 1, 1, False
     for _ in range(depth):
-        walked = walked.union(frontier)
-        fresh = cut(_hop(frontier, edges, same_as if follow_same_as else None).join(seen, "id", "left_anti"))
-        found = fresh.count()
-        if size + found > max_nodes:
-            fresh, truncated = fresh.orderBy("id").limit(max_nodes - size), True
-        seen, frontier, size = seen.union(fresh), fresh, size + found
-        if truncated or not found:
+        near = counted(frontier, layer)
+        touched = cut(_touching(edges, "src", "dst", near))
+        met, ends = met.union(touched), _ends(touched, "src", "dst")
+        if follow_same_as:
+            linked = cut(_touching(same_as, "a", "b", near))
+            same, ends = same.union(linked), ends.union(_ends(linked, "a", "b"))
+        fresh = cut(ends.distinct().join(counted(seen, size), "id", "left_anti"))
+        layer = fresh.count()
+        if size + layer > max_nodes:
+            fresh, truncated, layer = fresh.orderBy("id").limit(max_nodes - size), True, max_nodes - size
+        seen, frontier, size = seen.union(fresh), fresh, size + layer
+        if truncated or not layer:
             break
-    seen = cut(seen)
+    seen = counted(cut(seen), size)
 
-    def within(table: DataFrame, a: str, b: str) -> DataFrame:
-        met = table.join(walked.select(F.col("id").alias(a)), a, "left_semi").unionByName(table.join(walked.select(F.col("id").alias(b)), b, "left_semi")).distinct()
-        return met.join(seen.select(F.col("id").alias(a)), a, "left_semi").join(seen.select(F.col("id").alias(b)), b, "left_semi").select(*table.columns)
+    def inside(table: DataFrame, a: str, b: str) -> DataFrame:
+        return table.join(seen.select(F.col("id").alias(a)), a, "left_semi").join(seen.select(F.col("id").alias(b)), b, "left_semi").select(*table.columns)
 
     rest = [c for c in edges.columns if c not in ("src", "dst", "type")]
-    kept = within(edges, "src", "dst").groupBy("src", "dst", "type").agg(F.max_by(F.struct(*rest), "source").alias("r")).select("src", "dst", "type", *(F.col(f"r.{c}").alias(c) for c in rest))
-    links = within(same_as, "a", "b") if follow_same_as else same_as.limit(0)
-    return Subgraph(nodes.join(seen, "id", "left_semi"), kept.select(*edges.columns), links, truncated)
+    kept = inside(met, "src", "dst").groupBy("src", "dst", "type").agg(F.max_by(F.struct(*rest), "source").alias("r")).select("src", "dst", "type", *(F.col(f"r.{c}").alias(c) for c in rest))
+    return Subgraph(nodes.join(seen, "id", "left_semi"), kept.select(*edges.columns), inside(same, "a", "b").distinct(), truncated)
 
 
 def expand(seeds: DataFrame, edges: DataFrame, same_as: DataFrame, hops: int = 1) -> DataFrame:
     """Seeds (id) and all within ``hops`` steps, identity links included."""
-    seen = frontier = seeds.select("id").distinct()
+    seen = frontier = cut(seeds.select("id").distinct())
+    size = layer = seen.count() if hops else 0
     for _ in range(hops):
-        fresh = _hop(frontier, edges, same_as).join(seen, "id", "left_anti")
-        frontier = cut(fresh)
-        seen = cut(seen.union(frontier))
+        near = counted(frontier, layer)
+        ends = _ends(_touching(edges.select("src", "dst"), "src", "dst", near), "src", "dst").union(_ends(_touching(same_as.select("a", "b"), "a", "b", near), "a", "b"))
+        frontier = cut(ends.distinct().join(counted(seen, size), "id", "left_anti"))
+        layer = frontier.count()
+        seen, size = seen.union(frontier), size + layer
     return seen
 
 

@@ -3,13 +3,34 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+_own_dir: str | None = None
+
+#: Rows of a frontier (an id each) that are sent to all tasks; a larger one is shuffled.
+SMALL = 100_000
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed to the shared folder of the session (``spark.checkpoint.dir``); one of our own only where none is set."""
+    """``df`` written to the shared folder of the session (``spark.checkpoint.dir``) and read again: computed once, and whole if executors are lost.
+
+    A local master that names no folder gets one of its own; a cluster must name one that driver and executors share.
+    """
+    global _own_dir
     context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chronolith-"))
-    return df.checkpoint()
+    where = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if where is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        where = _own_dir = _own_dir or tempfile.mkdtemp(prefix="chronolith-")
+    path = f"{where.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def counted(ids: DataFrame, rows: int) -> DataFrame:
+    """``ids``, known to have so many rows, to be broadcast if these are few."""
+    return F.broadcast(ids) if rows <= SMALL else ids

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr
+from .store import delete_nodes
 
 
 def link_periods(nodes: DataFrame, source: str = "khs") -> DataFrame:
@@ -67,6 +68,36 @@ def year_nodes(years: DataFrame) -> DataFrame:
     return years.select("year").distinct().select(F.concat(F.lit("time:"), y.cast("string")).alias("id"), F.lit("period").alias("type"), label.alias("label"), F.lit("timeline").alias("source"), start.alias("start_date"))
 
 
+def timeline(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and identity links of the timeline, and its report (metric, n).
+
+    Year nodes are made for every year that a label or a date names. The report counts period labels with and without a year,
+    dated edges, and the first and last year.
+    """
+    links, dated = year_links(nodes), dated_edges(nodes)
+    year = F.substring_index(F.col("id"), ":", -1).cast("int").alias("year")
+    years = year_nodes(links.select(F.col("b").alias("id")).union(dated.select(F.col("dst").alias("id"))).select(year))
+    periods = nodes.where("type = 'period'").where(~F.startswith("id", F.lit("time:")))
+    labels = periods.select(F.explode(F.array(F.lit("labels_linked"), F.lit("labels_unparsed"))).alias("metric"), (F.size(expr.parse_years(F.col("label"))) > 0).alias("has"))
+    labels = labels.groupBy("metric").agg(F.sum(((F.col("metric") == "labels_linked") == F.col("has")).cast("long")).alias("n"))
+    span = years.select(year).agg(F.min("year").alias("from_year"), F.max("year").alias("to_year"), F.count(F.lit(1)).alias("years"))
+    span = span.select(F.explode(F.map_from_arrays(F.array(*(F.lit(c) for c in span.columns)), F.array(*(F.col(c).cast("long") for c in span.columns)))).alias("metric", "n"))
+    report = labels.union(span).union(dated.agg(F.count(F.lit(1)).alias("n")).select(F.lit("dated"), "n"))
+    return years, dated, links, report
+
+
+def prune(nodes: DataFrame, edges: DataFrame, aliases: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The tables without the nodes ``gone`` (id), and how many nodes and edges went (metric, n)."""
+    kept = delete_nodes(nodes, edges, aliases, gone)
+    lost = [x.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("metric"), "n") for name, x in (("nodes", nodes.join(gone.select("id"), "id", "left_semi")), ("edges", edges.join(_ends_in(edges, gone), ["src", "dst", "type", "source"], "left_semi")))]
+    return *kept, lost[0].union(lost[1])
+
+
+def _ends_in(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    key = edges.select("src", "dst", "type", "source")
+    return key.join(gone.select(F.col("id").alias("src")), "src", "left_semi").unionByName(key.join(gone.select(F.col("id").alias("dst")), "dst", "left_semi")).distinct()
+
+
 def whats_in(nodes: DataFrame, edges: DataFrame, same_as: DataFrame, year: int, limit: int = 20) -> DataFrame:
     """What is dated to a year or is the same as it, in a fixed order."""
     own = f"time:{year}"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,10 +51,23 @@ def counts(table: DataFrame, by: str) -> DataFrame:
 
 
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges an end of which is no node."""
-    ids = nodes.select("id")
-    known = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    return edges.join(known.select("src", "dst", "type", "source"), ["src", "dst", "type", "source"], "left_anti").select(*edges.columns)
+    """Edges an end of which is no node, or null: one pass over the edges, with a flag for each end."""
+    out = edges
+    for end in ("src", "dst"):
+        out = out.join(nodes.select(F.col("id").alias(end)).distinct().withColumn(f"{end}_known", F.lit(True)), end, "left")
+    return out.where("src_known is null or dst_known is null").select(*edges.columns)
+
+
+def stats(nodes: DataFrame, edges: DataFrame, same_as: DataFrame) -> DataFrame:
+    """``metric, key, n``: totals, counts by type and source, and edges an end of which is missing."""
+    def total(name: str, table: DataFrame) -> DataFrame:
+        return table.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("metric"), F.lit("").alias("key"), "n")
+
+    def by(name: str, table: DataFrame, key: str) -> DataFrame:
+        return counts(table, key).select(F.lit(name).alias("metric"), F.col(key).alias("key"), "n")
+
+    parts = [total("nodes", nodes), total("edges", edges), total("same_as", same_as), by("node_type", nodes, "type"), by("edge_type", edges, "type"), by("source", nodes, "source"), total("dangling", dangling(edges, nodes))]
+    return reduce(DataFrame.union, parts)
 
 
 def first_by(table: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -58,6 +58,8 @@ TRIPLES = (
         ("Q11", "P31", "Q5", None), ("Q11", "label", "Soheon", "en"), ("Q11", "P27", "Q28208", None), ("Q50", "P31", "Q515", None), ("Q60", "P31", "Q4164871", None),
         ("Q80", "P31", "Q11424", None), ("Q80", "P495", "Q884", None), ("Q80", "P921", "Q10", None), ("Q81", "P31", "Q5398426", None), ("Q81", "P495", "Q30", None), ("Q81", "P921", "Q10", None),
         ("Q90", "P31", "Q91", None), ("Q91", "P279", "Q92", None), ("Q92", "P279", "Q13406554", None), ("Q92", "P279", "Q91", None), ("Q93", "P31", "Q178561", None),
+        ("Q93", "P17", "Q28179", None), ("Q94", "P31", "Q625298", None), ("Q94", "P17", "Q28179", None), ("Q94", "label", "강화도 조약", "ko"), ("Q94", "P580", "1876-02-26T00:00:00Z", None), ("Q94", "P276", "Q50", None),
+        ("Q95", "P31", "Q13418847", None), ("Q95", "P17", "Q28179", None), ("Q96", "P31", "Q625298", None), ("Q96", "P17", "Q30", None),
     ],
     "s string, p string, o string, lang string",
 )
@@ -71,4 +73,5 @@ NORMALIZED = ([("b", "B")], "from string, to string")
 REDIRECTS = ([("B", "Bee"), ("A", "Aye")], "from string, to string")
 ANSWERS = ([(1, '{"relations":[{"subject":"a","relation":"created","object":"b"}]}'), (2, 'Sure:\n```json\n[{"subject":"c","relation":"created","object":"d"}]\n```'), (3, '{"subject":"e","relation":"related_to","object":"f"}'), (4, "no json"), (5, 'x [{"subject":"g","relation":"r","object":"h"}] y'), (6, '{"other":1}')], "id int, text string")
 ITEMS = ([("11", "11", "<r><item><ccbaAsno>0001</ccbaAsno><ccbaMnm1> 숭례문 </ccbaMnm1><longitude>126.97</longitude><latitude>37.56</latitude><ccbaCtcdNm>서울</ccbaCtcdNm><ccsiName>중구</ccsiName><ccbaAsdt>19621220</ccbaAsdt><ccceName>조선시대</ccceName></item><item><ccbaAsno>0002</ccbaAsno></item></r>")], "kdcd string, ctcd string, text string")
-EXTRACTS = ([("wd:Q37682", "세종 대왕", "조선의 제4대 국왕이다."), ("khs:1", "숭례문/역사", "한양도성의 남쪽 문이다.")], "id string, title string, extract string")
+SITELINKS = ([("Q37682", "세종 대왕"), ("Q9", "없는 문서")], "qid string, title string")
+EXTRACTS = ([("세종 대왕", "조선의 제4대 국왕이다."), ("숭례문", "한양도성의 남쪽 문이다.")], "title string, extract string")

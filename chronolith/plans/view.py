@@ -31,9 +31,10 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
         of("customer", "c:", "c_custkey", F.col("c_name"), "person", "cust", props=F.concat(F.lit('{"polity":"'), "c_mktsegment", F.lit('"}'))),
         of("supplier", "s:", "s_suppkey", F.col("s_name"), "org", "supp"),
         of("part", "p:", "p_partkey", F.col("p_name"), "artwork", "part"),
-        of("orders", "o:", "o_orderkey", F.concat(F.lit("order "), F.col("o_orderkey").cast("string")), "event", "ord", start_date=F.date_format("o_orderdate", "yyyy-MM-dd")),
+        of("orders", "o:", "o_orderkey", F.concat(F.lit("order "), F.col("o_orderkey").cast("string")), "event", "ord", start_date=F.date_format("o_orderdate", "yyyy-MM-dd"), props=F.when(F.col("o_orderkey") % 100 == 0, '{"seed_era":"BUILDING"}').otherwise("{}")),
         of("nation", "n:", "n_nationkey", F.col("n_name"), "place", "nat"),
         of("region", "r:", "r_regionkey", F.col("r_name"), "place", "reg"),
+        of("region", "z:", "r_regionkey", F.concat("r_name", F.lit(" alone")), "place", "reg"),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -55,6 +56,8 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
         of(items.select("l_suppkey", "l_partkey").distinct(), ("s:", "l_suppkey"), ("p:", "l_partkey"), "created", F.lit("li")),
         of(items.select("l_orderkey", "l_partkey", "l_returnflag").distinct(), ("o:", "l_orderkey"), ("p:", "l_partkey"), "related_to", F.col("l_returnflag")),
         of(orders.join(customers.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey"), ("o:", "o_orderkey"), ("n:", "c_nationkey"), "occurred_at", F.lit("ord")),
+        of(orders.where("o_orderkey % 50 = 0").withColumn("era", F.lit(1)), ("o:", "o_orderkey"), ("s:", "era"), "from_period", F.lit("ord")),
+        of(orders.where("o_orderkey % 51 = 0").withColumn("era", F.lit(2)), ("o:", "o_orderkey"), ("s:", "era"), "from_period", F.lit("ord")),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -63,9 +66,9 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def same_as(spark: SparkSession, d: str) -> DataFrame:
-    """Every third nation is the same as a node of another source."""
+    """Every third nation is the same as a node of another source, which is missing; two suppliers are the same as other nodes."""
     k = F.col("n_nationkey").cast("string")
-    return read(spark, d, "nation").where("n_nationkey % 3 = 0").select(F.concat(F.lit("n:"), k).alias("a"), F.concat(F.lit("x:"), k).alias("b"), F.lit("name").alias("method"), F.lit(0.9).alias("score"))
+    return read(spark, d, "nation").where("n_nationkey % 3 = 0").select(F.concat(F.lit("n:"), k).alias("a"), F.concat(F.lit("x:"), k).alias("b"), F.lit("name").alias("method"), F.lit(0.9).alias("score")).union(literal(spark, [("s:2", "s:1", "name", 0.9), ("s:3", "c:1", "name", 0.9)], "a string, b string, method string, score double"))
 
 
 GRAPH = """
@@ -73,9 +76,10 @@ nodes AS (
   SELECT 'c:' || c_custkey AS id, 'person' AS type, c_name AS label, 'cust' AS source, NULL::VARCHAR AS start_date, '{"polity":"' || c_mktsegment || '"}' AS props FROM customer
   UNION ALL SELECT 's:' || s_suppkey, 'org', s_name, 'supp', NULL, '{}' FROM supplier
   UNION ALL SELECT 'p:' || p_partkey, 'artwork', p_name, 'part', NULL, '{}' FROM part
-  UNION ALL SELECT 'o:' || o_orderkey, 'event', 'order ' || o_orderkey, 'ord', strftime(o_orderdate, '%Y-%m-%d'), '{}' FROM orders
+  UNION ALL SELECT 'o:' || o_orderkey, 'event', 'order ' || o_orderkey, 'ord', strftime(o_orderdate, '%Y-%m-%d'), CASE WHEN o_orderkey % 100 = 0 THEN '{"seed_era":"BUILDING"}' ELSE '{}' END FROM orders
   UNION ALL SELECT 'n:' || n_nationkey, 'place', n_name, 'nat', NULL, '{}' FROM nation
   UNION ALL SELECT 'r:' || r_regionkey, 'place', r_name, 'reg', NULL, '{}' FROM region
+  UNION ALL SELECT 'z:' || r_regionkey, 'place', r_name || ' alone', 'reg', NULL, '{}' FROM region
 ), edges AS (
   SELECT 'c:' || o_custkey AS src, 'o:' || o_orderkey AS dst, 'participated_in' AS type, 'ord' AS source, o_orderstatus AS label FROM orders
   UNION ALL SELECT 'c:' || c_custkey, 'n:' || c_nationkey, 'born_in', 'cust', NULL FROM customer
@@ -83,8 +87,11 @@ nodes AS (
   UNION ALL SELECT DISTINCT 's:' || l_suppkey, 'p:' || l_partkey, 'created', 'li', NULL FROM lineitem
   UNION ALL SELECT DISTINCT 'o:' || l_orderkey, 'p:' || l_partkey, 'related_to', l_returnflag, NULL FROM lineitem
   UNION ALL SELECT 'o:' || o_orderkey, 'n:' || c_nationkey, 'occurred_at', 'ord', NULL FROM orders JOIN customer ON c_custkey = o_custkey
+  UNION ALL SELECT 'o:' || o_orderkey, 's:1', 'from_period', 'ord', NULL FROM orders WHERE o_orderkey % 50 = 0
+  UNION ALL SELECT 'o:' || o_orderkey, 's:2', 'from_period', 'ord', NULL FROM orders WHERE o_orderkey % 51 = 0
 ), same_as AS (
   SELECT 'n:' || n_nationkey AS a, 'x:' || n_nationkey AS b, 'name' AS method, 0.9::DOUBLE AS score FROM nation WHERE n_nationkey % 3 = 0
+  UNION ALL SELECT * FROM (VALUES ('s:2', 's:1', 'name', 0.9::DOUBLE), ('s:3', 'c:1', 'name', 0.9::DOUBLE)) AS v
 ), inc AS (
   SELECT src AS id, dst AS other FROM edges UNION ALL SELECT dst, src FROM edges WHERE src <> dst
 ), links AS (

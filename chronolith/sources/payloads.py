@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr, ontology
+from ..operators.graph import closure, degree
 from ..operators.store import first_by
 
 ITEM = "ccbaAsno string, ccbaMnm1 string, ccbaMnm2 string, longitude string, latitude string, ccbaCtcdNm string, ccsiName string, content string, ccbaAsdt string, ccceName string"
@@ -35,7 +36,7 @@ CLASS_TYPES = {
     "media": ["Q11424", "Q5398426"],
     "artwork": ["Q838948", "Q3305213"],
 }
-EVENT_ROOTS = ["Q1190554", "Q178561", "Q198", "Q13418847"]
+EVENT_ROOTS = {"Q1190554": "사건", "Q178561": "전투", "Q198": "전쟁", "Q625298": "조약"}
 
 
 def _map(values: dict[str, str], key: Column) -> Column:
@@ -144,10 +145,84 @@ def media(triples: DataFrame) -> DataFrame:
     return triples.where("p = 'P921'").join(works, "s", "left_semi").select(F.concat(F.lit("wd:"), "s").alias("src"), F.concat(F.lit("wd:"), "o").alias("dst"), F.lit("depicts").alias("type")).distinct()
 
 
-def enrich(nodes: DataFrame, extracts: DataFrame, least: int = 100) -> DataFrame:
-    """Nodes (id, description, props) with the text of ``extracts`` (id, title, extract) where theirs is shorter than ``least``."""
-    lacking = F.length(F.coalesce("description", F.lit(""))) < least
+def bindings(payloads: DataFrame, names: list[str]) -> DataFrame:
+    """Rows of SPARQL JSON answers (key columns and ``text``): one column per variable, null where it is unbound.
+
+    Answers that are no JSON, or hold no bindings, give no row.
+    """
+    kind = f"array<struct<{','.join(f'`{n}`:struct<value:string>' for n in names)}>>"
+    rows = F.try_variant_get(F.try_parse_json("text"), "$.results.bindings", kind)
+    found = payloads.select(*(c for c in payloads.columns if c != "text"), F.explode(rows).alias("_b"))
+    return found.select(*(c for c in found.columns if c != "_b"), *(F.col(f"_b.`{n}`.value").alias(n) for n in names))
+
+
+def unfetched(wanted: DataFrame, payloads: DataFrame) -> DataFrame:
+    """Requests (url, body) whose payload (key, ...) is not stored yet, with the ``key`` they will have."""
+    keyed = wanted.withColumn("key", expr.cache_key(F.col("url"), F.col("body"))).dropDuplicates(["key"])
+    return keyed.join(payloads.select("key"), "key", "left_anti")
+
+
+def classified(payloads: DataFrame) -> DataFrame:
+    """Payloads with ``error``: why an answer that came as a success is none, or null."""
+    return payloads.withColumn("error", auth_error(F.col("text")))
+
+
+def events(triples: DataFrame, polities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of events: whatever is of an event class, up any number of subclass steps, in one of the polities (qid, label, seq).
+
+    Of several dates or classes the smallest counts. Places become nodes, and edges ``occurred_at``.
+    """
+    classes = closure(triples.where("p = 'P31'").select(F.col("s").alias("id"), F.col("o").alias("class")), triples.where("p = 'P279'").select(F.col("s").alias("class"), F.col("o").alias("parent")))
+    kinds = classes.where(F.col("class").isin(list(EVENT_ROOTS))).groupBy("id").agg(F.min("class").alias("root"))
+    near = triples.where("p = 'P17'").join(polities.select(F.col("qid").alias("o")), "o", "left_semi").select(F.col("s").alias("id")).distinct()
+    found = kinds.join(near, "id", "left_semi").join(labels(triples).select("id", "label"), "id", "left")
+    for p, name in (("P580", "start_date"), ("P582", "end_date")):
+        found = found.join(triples.where(F.col("p") == p).groupBy(F.col("s").alias("id")).agg(F.min(expr.iso_date(F.col("o"))).alias(name)), "id", "left")
+    nid = F.concat(F.lit("wd:"), F.col("id"))
+    nodes = found.select(nid.alias("id"), F.lit("event").alias("type"), F.coalesce("label", "id").alias("label"), "start_date", "end_date", _map(EVENT_ROOTS, F.col("root")).alias("event_class"))
+    held = triples.where("p = 'P276'").join(found.select(F.col("id").alias("s")), "s", "left_semi").select("s", "o").distinct()
+    places = held.select(F.col("o").alias("id")).distinct().join(labels(triples).select("id", "label"), "id", "left")
+    none = F.lit(None).cast("string")
+    places = places.select(nid.alias("id"), F.lit("place").alias("type"), F.coalesce("label", "id").alias("label"), none, none, none)
+    edges = held.select(F.concat(F.lit("wd:"), "s").alias("src"), F.concat(F.lit("wd:"), "o").alias("dst"), F.lit("occurred_at").alias("type"))
+    return nodes.union(places.join(nodes.select("id"), "id", "left_anti")), edges
+
+
+def extracts(payloads: DataFrame) -> DataFrame:
+    """``title, extract`` of the pages of MediaWiki answers (text); pages that are missing or empty are left out."""
+    page = "map<string,struct<title:string,missing:string,extract:string>>"
+    found = payloads.select(F.explode(F.map_values(F.from_json(F.get_json_object("text", "$.query.pages"), page))).alias("p"))
+    return found.where("p.missing is null and p.extract <> ''").select("p.title", "p.extract").distinct()
+
+
+def first_mapped_class(triples: DataFrame) -> DataFrame:
+    """``qid, type``: of the classes that stand for a type, the smallest."""
+    own = triples.where("p = 'P31'").withColumn("type", class_type(F.col("o"))).where("type is not null")
+    return own.groupBy(F.col("s").alias("qid")).agg(F.min_by("type", "o").alias("type"))
+
+
+def infobox_nodes(edges: DataFrame, titles: DataFrame, fetched: DataFrame, known: DataFrame) -> DataFrame:
+    """``id, type, label`` of the ends of infobox edges that the graph has not yet."""
+    ends = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct().join(known.select("id"), "id", "left_anti")
+    named = titles.groupBy(F.concat(F.lit("wd:"), "qid").alias("id")).agg(F.min("title").alias("label"))
+    return ends.join(named, "id").join(fetched.select(F.concat(F.lit("wd:"), "qid").alias("id"), "type"), "id").select("id", "type", "label")
+
+
+def to_enrich(nodes: DataFrame, edges: DataFrame, types: tuple[str, ...] = ("person", "event"), limit: int = 500, refresh: bool = False, scope: DataFrame | None = None, least: int = 100) -> DataFrame:
+    """Nodes of the linked-data source that lack a text, the best connected first; ties go by id."""
+    own = nodes.where((F.col("source") == "wd") & F.col("type").isin(*types))
+    if not refresh:
+        own = own.where(F.length(F.coalesce("description", F.lit(""))) < least)
+    if scope is not None:
+        own = own.join(scope.select("id"), "id", "left_semi")
+    return degree(own, edges).orderBy(F.desc("degree"), "id").limit(limit)
+
+
+def enrich(nodes: DataFrame, wanted: DataFrame, titles: DataFrame, texts: DataFrame) -> DataFrame:
+    """``nodes`` with description and URL from ``texts`` (title, extract) for those ``wanted`` (id) that a title (qid, title) leads to."""
+    found = wanted.select("id").join(titles.select(F.concat(F.lit("wd:"), "qid").alias("id"), "title"), "id").join(texts, "title")
+    found = found.groupBy("id").agg(F.max(F.struct("title", "extract")).alias("x")).select("id", "x.title", "x.extract")
     url = F.concat(F.lit("https://ko.wikipedia.org/wiki/"), expr.url_title(F.col("title")))
-    joined = nodes.join(extracts, "id", "left")
-    take = lacking & F.col("extract").isNotNull()
-    return joined.select("id", F.when(take, F.col("extract")).otherwise(F.col("description")).alias("description"), F.when(take, expr.json_set(F.col("props"), "kowiki_url", url)).otherwise(F.col("props")).alias("props"))
+    take = F.col("extract").isNotNull()
+    changed = {"description": F.when(take, F.col("extract")).otherwise(F.col("description")), "props": F.when(take, expr.json_set(F.coalesce(F.nullif("props", F.lit("")), F.lit("{}")), "kowiki_url", url)).otherwise(F.col("props"))}
+    return nodes.join(found, "id", "left").withColumns(changed).select(*nodes.columns)

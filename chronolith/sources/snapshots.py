@@ -15,7 +15,9 @@ class Snapshots:
         """The newest whole version, -1 if there is none; the pointer is written after the data."""
         try:
             found = self.spark.read.schema("v long").json(f"{self.root}/{table}/_pointer").agg(F.max("v")).first()[0]
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return -1
         return -1 if found is None else int(found)
 
@@ -24,6 +26,6 @@ class Snapshots:
 
     def write(self, table: str, df: DataFrame) -> DataFrame:
         v = self.version(table) + 1
-        df.write.mode("overwrite").parquet(f"{self.root}/{table}/v={v}")
+        df.write.parquet(f"{self.root}/{table}/v={v}")
         self.spark.range(1).select(F.lit(v).alias("v")).coalesce(1).write.mode("append").json(f"{self.root}/{table}/_pointer")
         return self.read(table)

@@ -7,10 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronolith.functions import expr, ontology
-from chronolith.operators import documents, graph, store
+from chronolith.operators import documents, extraction, graph, resolve, store
 from chronolith.plans import fixtures as X
 from chronolith.plans import registry
 from chronolith.plans.view import literal
+from chronolith.sources import payloads
 from chronolith.sources.snapshots import Snapshots
 from chronolith.streaming.ingest import merge_batch, stream_nodes
 
@@ -75,7 +76,8 @@ def test_scalars(spark):
     one = spark.range(1)
     assert one.select(expr.narrative_score(F.lit("정몽주는 조선의 학자로 왕이 즉위한 뒤 처형되었다"))).first()[0] > 2
     assert one.select(expr.evidence_supported(F.lit("짧다"), F.lit("짧다"))).first()[0] is False
-    assert one.select(expr.url_title(F.lit("a b/c"))).first()[0] == "a_b/c"
+    assert one.select(expr.url_title(F.lit("a b/c"))).first()[0] == "a%20b/c"
+    assert one.select(expr.title_of_url(F.lit("https://ko.wikipedia.org/wiki/a%20b_c"))).first()[0] == "a b c"
 
 
 def test_snapshots_and_stream(spark, tmp_path):
@@ -88,3 +90,48 @@ def test_snapshots_and_stream(spark, tmp_path):
     stream_nodes(stream, s, str(tmp_path / "c")).awaitTermination(60)
     merge_batch(s)(batch, 1)
     assert s.version("nodes") == 1 and s.read("nodes").count() == 1
+
+
+def test_salvaged_answers(spark):
+    answers = {r.id: r.relations for r in registry.queries()["json_coerce"](spark, SMALL).collect()}
+    assert [answers[k] and '"subject"' in answers[k] for k in range(1, 7)] == [True, True, True, None, True, None]
+
+
+def test_sources(spark):
+    links = {(r.event, r.field, r.target) for r in registry.queries()["infobox_links"](spark, SMALL).collect()}
+    assert links == {("wd:E1", "지휘관1", "이순신"), ("wd:E1", "지휘관1", "권율"), ("wd:E1", "지휘관2", "도요토미"), ("wd:E1", "장소", "한산도")}
+    one = spark.createDataFrame([("k", '{"results":{"bindings":[{"e":{"value":"Q1"}},{"e":{"value":"Q2"},"l":{"value":"x"}}]}}'), ("bad", "no json")], "key string, text string")
+    assert {tuple(r) for r in payloads.bindings(one, ["e", "l"]).collect()} == {("k", "Q1", None), ("k", "Q2", "x")}
+    items = spark.createDataFrame([('{"response":{"body":{"items":{"item":{"a":"1"}}}}}',), ('{"response":{"body":{"items":{"item":[{"a":"2"},{"a":"3"}]}}}}',)], "text string")
+    assert {r.a for r in payloads.json_items(items, "struct<a:string>").collect()} == {"1", "2", "3"}
+    errors = spark.createDataFrame([("<x><returnReasonCode>30</returnReasonCode></x>",), ("<x><errMsg>no</errMsg></x>",), ("<ok/>",)], "text string")
+    assert [r.error for r in payloads.classified(errors).collect()] == ["30", "no", None]
+    wanted = spark.createDataFrame([("u", None), ("v", None)], "url string, body string")
+    stored = wanted.where("url = 'u'").select(expr.cache_key(F.col("url"), F.col("body")).alias("key"))
+    assert [r.url for r in payloads.unfetched(wanted, stored).collect()] == ["v"]
+
+
+def test_models_that_fail_or_need_repair(spark):
+    class Broken:
+        name, asked = "broken", 0
+
+        def complete(self, system, user):
+            self.asked += 1
+            if "fail" in user:
+                raise RuntimeError("no answer")
+            return "{" if self.asked < 2 else '{"relations":[{"subject":"a","relation":"created","object":"b"}]}'
+
+    chunks = spark.createDataFrame([("n:1", "x", 0, "text"), ("n:2", "x", 0, "fail")], "node_id string, label string, chunk int, text string").coalesce(1)
+    names = spark.createDataFrame([("person", 1, "a")], "type string, rank int, label string")
+    got = extraction.extract(chunks, names, "system", lambda: extraction.Repairing(Broken())).collect()
+    assert [(r.node_id, r.subject) for r in got] == [("n:1", "a")]
+
+
+def test_quality_and_pruning(spark):
+    n, e, a = (literal(spark, *t) for t in (X.NODES, X.EDGES, X.ALIASES))
+    left, _, _, report = resolve.prune(n, e, a, resolve.sports_by_label(n))
+    assert left.where("id = 'wd:Q9'").isEmpty() and {r.metric: r.n for r in report.collect()} == {"nodes": 1, "edges": 1}
+    props = [('{"extracted_from":"k:1","evidence":"만든 문"}', "ex:a"), ('{"extracted_from":"k:1","evidence":"없다"}', "b:1")]
+    edges = spark.createDataFrame(props, "props string, src string").withColumn("dst", F.lit("c:1"))
+    texts = documents.texts_of(spark.createDataFrame([("k:1", 1, "문 앞"), ("k:1", 0, "그가 만든 ")], "node_id string, chunk int, text string"))
+    assert {r.metric: r.n for r in documents.quality_report(edges, texts).collect()} == {"relations": 2, "orphans": 1, "supported": 1}
