@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,6 +135,16 @@ def _powers_to(k: int, n: int) -> list[np.ndarray]:
     return _powers[k]
 
 
+def text_slices(column: pa.Array, size: int) -> Iterator[tuple[slice, list[str]]]:
+    """Slices of about ``size`` bytes of a batch's texts, of one text at least; only a slice becomes Python strings. Null is empty."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, "right")))
+        yield slice(lo, hi), [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
+        lo = hi
+
+
 def cuts_of(keys: np.ndarray) -> list[tuple[int, int]]:
     """Where each run of equal keys begins and ends."""
     if not len(keys):

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, id_remainder, sample_by_hash, table, worker_slot
+from .common import batches_of, id_remainder, release, sample_by_hash, table, text_slices, worker_slot
 
 #: Documents of each language that the probabilities are learned from, chosen by the hash of their id, and their characters at most.
 SAMPLE, LONGEST_TEXT = 400, 100_000
@@ -273,8 +273,11 @@ def in_known_language(docs: DataFrame, model: Model, text_col: str = "text", lea
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = worker_slot(key, lambda: Scorer(Model(*shared.value)))
         for b in batches:
-            langs, scores = scorer.score([t or "" for t in b.column(text_col).to_pylist()])
-            yield b.filter(pa.array([lang != UNKNOWN and s >= least for lang, s in zip(langs, scores, strict=True)], pa.bool_()))
+            for part, texts in text_slices(b.column(text_col), 4_000_000):
+                langs, scores = scorer.score(texts)
+                keep = [lang != UNKNOWN and s >= least for lang, s in zip(langs, scores, strict=True)]
+                yield b.slice(part.start, len(texts)).filter(pa.array(keep, pa.bool_()))
+        release()  # the stages behind this one need the memory
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -22,16 +22,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordBatch, batches_of, cuts_of, gram_hashes, mixed, parts_for, release, table, written
+from .common import WordBatch, batches_of, cuts_of, gram_hashes, mixed, parts_for, release, table, text_slices, written
 from .components import components
 
 #: Words of a shingle; similarity in percent.
 WORDS, PERCENT = 5, 80
-#: Characters of a chunk of texts; bytes of the input that one block of columns stands for.
+#: Bytes of a chunk of texts; bytes of the input that one block of columns stands for.
 CHUNK, PART = 4_000_000, 16 << 20
 #: Partners of a pivot that are multiplied in one task, and rows of a block of one column.
 PARTNERS, BLOCK = 256, 512
@@ -43,6 +44,7 @@ PIECES, ENTRIES = 8, 1_000_000
 _DOC = np.dtype([("id", "<i8"), ("null", "?"), ("n", "<i8"), ("class", "<i8"), ("check", "<i8")])
 _COLUMNS = ["part", "chunk", "docs", "hashes", "rows", "counts"]
 _SENT = "part int, chunk long, docs binary, hashes binary, rows binary, counts binary"
+_ARROW = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), *((c, pa.binary()) for c in _COLUMNS[2:])])
 _ROWS = "id long, n long, class long, check long, columns array<long>, sketch binary"
 
 
@@ -96,21 +98,21 @@ def blocks_of_columns(words: int, parts: int) -> Callable:
     head keeps. So a block gets no more of a common shingle than there are chunks. Sets that the task has sent go without columns.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         task, number, seen = TaskContext.get().partitionId(), 0, set()
         for b in batches:
-            ids, lost, texts = b["id"].tolist(), b["lost"].tolist(), b["text"].tolist()
-            for part in batches_of(texts, CHUNK):
-                docs, fresh, rows = np.zeros(len(texts[part]), _DOC), [], []
-                for k, (doc, null, s) in enumerate(zip(ids[part], lost[part], shingle_sets(texts[part], words), strict=True)):
+            ids, lost = b.column("id").to_numpy(), b.column("lost").to_pylist()
+            for part, texts in text_slices(b.column("text"), CHUNK):
+                docs, fresh, rows = np.zeros(len(texts), _DOC), [], []
+                for k, (doc, null, s) in enumerate(zip(ids[part], lost[part], shingle_sets(texts, words), strict=True)):
                     key = class_of(s)
                     docs[k] = (doc, null, len(s), *key)
                     if len(s) and key not in seen:
                         seen.add(key)
                         fresh.append(k)
                         rows.append(s)
-                yield sent((task << 32) | number, docs, np.array(fresh, np.int32), rows, parts)
+                yield pa.RecordBatch.from_pandas(sent((task << 32) | number, docs, np.array(fresh, np.int32), rows, parts), _ARROW, preserve_index=False)
                 number += 1
 
     return run
@@ -224,7 +226,7 @@ def incidence(docs: DataFrame, id_col: str, text_col: str, words: int, percent:
     parts = parts_for(docs, PART)
     own = F.col(id_col).cast("long")
     rows = docs.select(F.coalesce(own, F.lit(0)).alias("id"), own.isNull().alias("lost"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = rows.mapInPandas(blocks_of_columns(words, parts), _SENT).repartition(parts, "part").sortWithinPartitions("part").mapInPandas(counted, _SENT)
+    found = rows.mapInArrow(blocks_of_columns(words, parts), _SENT).repartition(parts, "part").sortWithinPartitions("part").mapInPandas(counted, _SENT)
     return found.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInPandas(shared_columns(percent), _ROWS)
 
 
