@@ -11,19 +11,18 @@ document's score is its worst sentence's, made a probability.
 from __future__ import annotations
 
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, id_remainder, sample_by_hash, table, worker_slot, written
+from .common import id_remainder, table, written
 
-#: Labelled documents of each class that are learned from, chosen by the hash of their id, and their characters at most.
-SAMPLE, LONGEST_TEXT = 700, 100_000
+#: Labelled documents of each class that are learned from, chosen by the hash of their id.
+SAMPLE = 700
 #: Length of the subsequences, decay of each character they span, and the kernel's power.
 ORDER, DECAY, POWER = 4, 0.75, 3
 #: Landmarks at most, the lengths of their strings, and rounds of training.
@@ -36,9 +35,6 @@ WORD = 24
 FAINT = 0.02
 THRESHOLD = 0.7
 
-#: What stands at the ends of a short word.
-MARKS = "\x02\x03"
-
 SENTENCE = re.compile(r"[.!?]+\s+|\n+")
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -76,10 +72,10 @@ def codes(strings: list[str], width: int, pad: int) -> np.ndarray:
 
 
 def units(chunk: str) -> list[str]:
-    """A word without punctuation at its edges, in windows if it is long; one too short for a subsequence gets marks at its ends."""
+    """A word without punctuation at its edges, in windows if it is long."""
     word = EDGES.sub("", chunk)
     if len(word) <= WORD:
-        return [word] if len(word) >= ORDER else [word.join(MARKS)] if len(word) >= ORDER - 2 else []
+        return [word] if len(word) >= ORDER else []
     return [word[i : i + WORD] for i in range(0, len(word) - WORD // 2, WORD // 2)]
 
 
@@ -133,8 +129,7 @@ class Landmarks:
 class Words:
     """Rows of kernel values by chunk (what stands between white space), remembered in bounded memory; row 0 is faint everywhere."""
 
-    #: Bytes of the memory.
-    LIMIT = 100_000_000
+    LIMIT = 500_000
 
     def __init__(self, landmarks: Landmarks) -> None:
         self.landmarks = landmarks
@@ -142,12 +137,12 @@ class Words:
 
     def _clear(self) -> None:
         self.row: dict[str, int] = {}
-        self.bytes = 0
         self.values = np.zeros((256, len(self.landmarks.strings)), np.float32)
         self.used = 1
 
     def learn(self, chunks: list[str]) -> None:
-        self.bytes += sum(map(len, chunks)) + 150 * len(chunks)
+        if len(self.row) > self.LIMIT:
+            self._clear()
         own = [units(c) for c in chunks]
         words = list({w for ws in own for w in ws})
         found = self.landmarks.values(words)
@@ -163,12 +158,11 @@ class Words:
             self.values[self.used] = found[rows].max(0)
             self.row[c] = self.used
             self.used += 1
-            self.bytes += 4 * self.values.shape[1]
 
     def sentences(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Pooled kernel values of the sentences that have any, and the number of the text of each."""
         split = [[chunks_of(s) for s in SENTENCE.split(t.lower())] for t in texts]
-        if self.bytes > self.LIMIT:
+        if len(self.row) > self.LIMIT:
             self._clear()
         self.learn(list({c for own in split for s in own for c in s if c not in self.row}))
         get = self.row.__getitem__
@@ -205,10 +199,10 @@ class Model:
 
     def scores(self, texts: list[str], words: Words) -> np.ndarray:
         worst = np.full(len(texts), self.bias)
-        for part in batches_of(texts):
-            x, of = words.sentences(texts[part])
+        for lo in range(0, len(texts), 500):
+            x, of = words.sentences(texts[lo : lo + 500])
             if len(of):
-                np.maximum.at(worst, part.start + of, x @ self.weights + self.bias)
+                np.maximum.at(worst, lo + of, x @ self.weights + self.bias)
         return 1.0 / (1.0 + np.exp(-np.clip(self.slope * worst + self.shift, -30, 30)))
 
 
@@ -230,29 +224,25 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray) -> list[str]:
     least = max(3, n_bad // 200)
     candidates = {s for s, n in count.items() if n >= least and n / n_bad > CLEANER * clean[s] / n_clean}
     bad = [own & candidates for own in bad]
+    holders: dict[str, list[int]] = {}
+    for i, own in enumerate(bad):
+        for s in own:
+            holders.setdefault(s, []).append(i)
     weight = np.ones(n_bad)
+    worth = {s: float(len(h)) for s, h in holders.items()}
     chosen: list[str] = []
-    # Short words, which hold marks, speak for documents that nothing longer speaks for.
-    for short in (False, True):
-        holders: dict[str, list[int]] = {}
-        for i, own in enumerate(bad):
-            if not short or weight[i] == 1:
-                for s in own:
-                    if any(m in s for m in MARKS) == short:
-                        holders.setdefault(s, []).append(i)
-        worth = {s: float(weight[h].sum()) for s, h in holders.items()}
-        while worth and len(chosen) < LANDMARKS:
-            best = max(worth, key=lambda s: (worth[s] / n_bad - CLEANER * clean[s] / n_clean, len(s), s))
-            if worth[best] / n_bad - CLEANER * clean[best] / n_clean < WORTH:
-                break
-            chosen.append(best)
-            for i in holders[best]:
-                for s in bad[i]:
-                    if s in worth:
-                        worth[s] -= weight[i] / 2
-                weight[i] /= 2
-            for s in [s for s in worth if s in best or best in s or _overlap(s, best)]:
-                del worth[s]
+    while worth and len(chosen) < LANDMARKS:
+        best = max(worth, key=lambda s: (worth[s] / n_bad - CLEANER * clean[s] / n_clean, len(s), s))
+        if worth[best] / n_bad - CLEANER * clean[best] / n_clean < WORTH:
+            break
+        chosen.append(best)
+        for i in holders[best]:
+            for s in bad[i]:
+                if s in worth:
+                    worth[s] -= weight[i] / 2
+            weight[i] /= 2
+        for s in [s for s in worth if s in best or best in s or _overlap(s, best)]:
+            del worth[s]
     return chosen
 
 
@@ -330,15 +320,13 @@ def platt(out: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float
 
 
 def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """A model from about ``sample`` labelled documents of each class, of at most LONGEST_TEXT characters: that bounds what the driver gets.
-
-    Null labels and ids teach nothing; an id with several labels is toxic if one of them says so.
-    """
-    marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
+    """A model from at most ``sample`` labelled documents of each class. Null labels and ids teach nothing."""
+    marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     marked = written(marked, "toxicity-labels")
-    chosen = F.broadcast(written(sample_by_hash(marked, "id", "y", sample), "toxicity-sample"))  # about 2 * sample ids
-    text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text).where(F.length("text") <= LONGEST_TEXT).join(chosen, "id").dropDuplicates(["id"]).orderBy("id").toPandas()
+    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id"))
+    # Ranked in each task first, so that a task passes on no more than the sample: at most 2 * sample ids are broadcast.
+    chosen = F.broadcast(written(marked.withColumn("rank", rank).where(F.col("rank") <= sample).select("id", "y"), "toxicity-sample"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, "id").dropDuplicates(["id"]).orderBy("id").toPandas()
     share = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     y = rows["y"].to_numpy() > 0
     return train(rows["text"].tolist(), y, share.get(1, 0) / max(1, int(y.sum())), share.get(0, 0) / max(1, int((~y).sum())))
@@ -351,18 +339,23 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     gives an empty result; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    key = uuid.uuid4().hex  # a worker that is reused must not take the words of another model
+    key = id(shared)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = worker_slot(key, lambda: Words(Landmarks(shared.value.landmarks)))
+        if key not in _words:
+            _words.clear()
+            _words[key] = Words(Landmarks(shared.value.landmarks))
         for b in batches:
-            p = shared.value.scores([t or "" for t in b["text"]], words)
+            p = shared.value.scores([t or "" for t in b["text"]], _words[key])
             yield pd.DataFrame({id_col: b[id_col], "score": p, "predicted": (p >= threshold).astype(np.int32)})
 
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text"))
     return rows.mapInPandas(run, f"`{id_col}` long, score double, predicted int")
 
 
+_words: dict[int, Words] = {}
+
+
 def held_out(doc_id: Column) -> Column:
     return id_remainder(doc_id, 3) == 1
 
