@@ -11,18 +11,19 @@ document's score is its worst sentence's, made a probability.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_remainder, table, written
+from .common import batches_of, id_remainder, sample_by_hash, table, worker_slot, written
 
-#: Labelled documents of each class that are learned from, chosen by the hash of their id.
-SAMPLE = 700
+#: Labelled documents of each class that are learned from, chosen by the hash of their id, and their characters at most.
+SAMPLE, LONGEST_TEXT = 700, 100_000
 #: Length of the subsequences, decay of each character they span, and the kernel's power.
 ORDER, DECAY, POWER = 4, 0.75, 3
 #: Landmarks at most, the lengths of their strings, and rounds of training.
@@ -129,7 +130,8 @@ class Landmarks:
 class Words:
     """Rows of kernel values by chunk (what stands between white space), remembered in bounded memory; row 0 is faint everywhere."""
 
-    LIMIT = 500_000
+    #: Bytes of the memory.
+    LIMIT = 100_000_000
 
     def __init__(self, landmarks: Landmarks) -> None:
         self.landmarks = landmarks
@@ -139,10 +141,10 @@ class Words:
         self.row: dict[str, int] = {}
         self.values = np.zeros((256, len(self.landmarks.strings)), np.float32)
         self.used = 1
+        self.bytes = 0
 
     def learn(self, chunks: list[str]) -> None:
-        if len(self.row) > self.LIMIT:
-            self._clear()
+        self.bytes += sum(map(len, chunks)) + 150 * len(chunks)
         own = [units(c) for c in chunks]
         words = list({w for ws in own for w in ws})
         found = self.landmarks.values(words)
@@ -158,11 +160,12 @@ class Words:
             self.values[self.used] = found[rows].max(0)
             self.row[c] = self.used
             self.used += 1
+            self.bytes += self.values.itemsize * self.values.shape[1]
 
     def sentences(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Pooled kernel values of the sentences that have any, and the number of the text of each."""
         split = [[chunks_of(s) for s in SENTENCE.split(t.lower())] for t in texts]
-        if len(self.row) > self.LIMIT:
+        if self.bytes > self.LIMIT:
             self._clear()
         self.learn(list({c for own in split for s in own for c in s if c not in self.row}))
         get = self.row.__getitem__
@@ -199,10 +202,10 @@ class Model:
 
     def scores(self, texts: list[str], words: Words) -> np.ndarray:
         worst = np.full(len(texts), self.bias)
-        for lo in range(0, len(texts), 500):
-            x, of = words.sentences(texts[lo : lo + 500])
+        for part in batches_of(texts):
+            x, of = words.sentences(texts[part])
             if len(of):
-                np.maximum.at(worst, lo + of, x @ self.weights + self.bias)
+                np.maximum.at(worst, part.start + of, x @ self.weights + self.bias)
         return 1.0 / (1.0 + np.exp(-np.clip(self.slope * worst + self.shift, -30, 30)))
 
 
@@ -269,10 +272,12 @@ def train(texts: list[str], toxic: np.ndarray, weight_toxic: float = 1.0, weight
     keep = np.ones(len(y), bool)
     w = np.zeros(len(strings) + 1)
     w[-1] = -1.0
+    # Where clean documents are many, what they share with toxic ones says less; in full the share would drown rare insults.
+    rarer = float(np.sqrt(max(1.0, (~toxic).sum() * weight_clean / (toxic.sum() * weight_toxic))))
     for _ in range(ROUNDS):
         if not keep.any():
             break
-        w = squared_hinge(np.r_[z[keep], blank], np.r_[y[keep], -1.0])
+        w = squared_hinge(np.r_[z[keep], blank], np.r_[y[keep], -1.0], rarer)
         out = z @ w
         worst = np.full(len(texts), -np.inf)
         np.maximum.at(worst, of, out)
@@ -285,9 +290,9 @@ def train(texts: list[str], toxic: np.ndarray, weight_toxic: float = 1.0, weight
     return Model(strings, weights, bias, slope, shift)
 
 
-def squared_hinge(z: np.ndarray, y: np.ndarray, c: float = 10.0) -> np.ndarray:
-    """A linear machine with squared hinge loss, by Newton's method; classes weigh the same."""
-    cost = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * c * 100
+def squared_hinge(z: np.ndarray, y: np.ndarray, clean: float = 1.0, c: float = 10.0) -> np.ndarray:
+    """A linear machine with squared hinge loss, by Newton's method; the clean class weighs ``clean`` times the toxic one."""
+    cost = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), clean * 0.5 / max(1, (y < 0).sum())) * c * 100
     w = np.zeros(z.shape[1])
     ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-6
@@ -320,13 +325,16 @@ def platt(out: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float
 
 
 def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` labelled documents of each class. Null labels and ids teach nothing."""
+    """A model from about ``sample`` labelled documents of each class, of at most LONGEST_TEXT characters.
+
+    Null labels and ids teach nothing; of repeated rows of an id, one does, and of its labels the largest counts. What the driver
+    gets follows ``sample`` and not the documents.
+    """
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     marked = written(marked, "toxicity-labels")
-    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id"))
-    # Ranked in each task first, so that a task passes on no more than the sample: at most 2 * sample ids are broadcast.
-    chosen = F.broadcast(written(marked.withColumn("rank", rank).where(F.col("rank") <= sample).select("id", "y"), "toxicity-sample"))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, "id").dropDuplicates(["id"]).orderBy("id").toPandas()
+    chosen = written(sample_by_hash(marked, "id", "y", sample), "toxicity-sample")
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.length("text") <= LONGEST_TEXT)
+    rows = texts.join(chosen, "id").dropDuplicates(["id"]).orderBy("id").toPandas()
     share = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     y = rows["y"].to_numpy() > 0
     return train(rows["text"].tolist(), y, share.get(1, 0) / max(1, int(y.sum())), share.get(0, 0) / max(1, int((~y).sum())))
@@ -339,23 +347,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     gives an empty result; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    key = id(shared)
+    key = uuid.uuid4().hex  # a worker that is reused must not take the words of another model
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if key not in _words:
-            _words.clear()
-            _words[key] = Words(Landmarks(shared.value.landmarks))
+        words = worker_slot(key, lambda: Words(Landmarks(shared.value.landmarks)))
         for b in batches:
-            p = shared.value.scores([t or "" for t in b["text"]], _words[key])
+            p = shared.value.scores([t or "" for t in b["text"]], words)
             yield pd.DataFrame({id_col: b[id_col], "score": p, "predicted": (p >= threshold).astype(np.int32)})
 
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text"))
     return rows.mapInPandas(run, f"`{id_col}` long, score double, predicted int")
 
 
-_words: dict[int, Words] = {}
-
-
 def held_out(doc_id: Column) -> Column:
     return id_remainder(doc_id, 3) == 1
 
