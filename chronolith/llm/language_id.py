@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, id_remainder, release, sample_by_hash, table, text_slices, worker_slot
+from .common import batches_of, id_remainder, sample_by_hash, table, text_slices, worker_slot
 
 #: Documents of each language that the probabilities are learned from, chosen by the hash of their id, and their characters at most.
 SAMPLE, LONGEST_TEXT = 400, 100_000
@@ -51,21 +51,40 @@ class Lattice:
     """The pieces that can end at each character of each word; piece 0 is none, piece 1 any single unknown character."""
 
     def __init__(self, pieces: list[str]) -> None:
-        self.number = {p: i + 2 for i, p in enumerate(pieces)}
         self.size = len(pieces) + 2
+        after: dict[int, int] = {}
+        piece = [0]
+        for number, text in enumerate(pieces, 2):
+            state = 0
+            for c in text:
+                key = state << 21 | ord(c)
+                if key not in after:
+                    after[key] = len(piece)
+                    piece.append(0)
+                state = after[key]
+            piece[state] = number
+        self.piece = np.array(piece, np.int32)  # the piece that a state of the trie completes
+        # The trie's steps, by state and character; the last one is no step of any text.
+        self.steps = np.array([*sorted(after), np.iinfo(np.int64).max], np.int64)
+        self.after = np.array([*(after[k] for k in sorted(after)), 0], np.int64)
 
     def ends(self, words: list[str]) -> np.ndarray:
-        """Of words of one length: piece numbers by word, end and length of the piece."""
+        """Of words of one length: piece numbers by word, end and length of the piece. All places walk the trie side by side."""
         n = len(words[0])
+        characters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64).reshape(-1, n)
         out = np.zeros((len(words), n, LONGEST), np.int32)
-        get = self.number.get
-        for row, w in zip(out, words, strict=True):
-            for end in range(1, n + 1):
-                for size in range(1, min(LONGEST, end) + 1):
-                    if (p := get(w[end - size : end])) is not None:
-                        row[end - 1, size - 1] = p
-                if not row[end - 1, 0]:
-                    row[end - 1, 0] = 1
+        row, end = (x.ravel() for x in np.indices(characters.shape))
+        state = np.zeros(len(row), np.int64)
+        for size in range(LONGEST):
+            key = state << 21 | characters[row, end]
+            at = np.searchsorted(self.steps, key)
+            on = self.steps[at] == key
+            row, end, state = row[on], end[on], self.after[at[on]]
+            out[row, end, size] = self.piece[state]
+            inside = end + 1 < n
+            row, end, state = row[inside], end[inside] + 1, state[inside]
+        alone = out[:, :, 0]
+        alone[alone == 0] = 1
         return out
 
     def forward(self, ends: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,8 +158,9 @@ def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
     order = np.argsort(sizes, kind="stable")
     cuts = np.flatnonzero(np.diff(sizes[order])) + 1
     for group in np.split(order, cuts):
-        for at in range(0, len(group), 4096):
-            part = group[at : at + 4096]
+        side_by_side = max(1, min(4096, 100_000 // max(1, sizes[group[0]]))) if len(group) else 1
+        for at in range(0, len(group), side_by_side):
+            part = group[at : at + side_by_side]
             if len(part):
                 yield part, [words[i] for i in part]
 
@@ -277,7 +297,6 @@ def in_known_language(docs: DataFrame, model: Model, text_col: str = "text", lea
                 langs, scores = scorer.score(texts)
                 keep = [lang != UNKNOWN and s >= least for lang, s in zip(langs, scores, strict=True)]
                 yield b.slice(part.start, len(texts)).filter(pa.array(keep, pa.bool_()))
-        release()  # the stages behind this one need the memory
 
     return docs.mapInArrow(run, docs.schema)
 
