@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embedding_dedup, exact_dedup, language_id, merkle, ngram_join, packing, pii, substring_dedup, toxicity, vector_codes
+from . import bpe, chat, embedding_dedup, exact_dedup, language_id, merkle, ngram_join, packing, pii, substring_dedup, suffix_dedup, toxicity, vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,10 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": bpe.op8_bpe,
         "op9_language_id": language_id.op9_language_id,
         "op10_chat": chat.op10_chat,
+        "op11_suffix_dedup": suffix_dedup.op11_suffix_dedup,
         "op12_vector_codes": vector_codes.op12_vector_codes,
         "op13_merkle": merkle.op13_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.SQL, "op3_substring_dedup": substring_dedup.SQL, "op12_vector_codes": vector_codes.SQL, "op13_merkle": merkle.SQL}
+    return {"op1_exact_dedup": exact_dedup.SQL, "op3_substring_dedup": substring_dedup.SQL, "op11_suffix_dedup": suffix_dedup.SQL, "op12_vector_codes": vector_codes.SQL, "op13_merkle": merkle.SQL}

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronolith.llm import merkle, vector_codes
+from chronolith.llm import induced, merkle, suffix_dedup, vector_codes
 
 
 def brute_codes(rows, parts=8, entries=16, rounds=6):
@@ -135,3 +135,83 @@ def test_walk_keeps_one_run_of_each_level():
         levels = merkle.levels_of(n, 3)
         root = merkle.root_of(leaves, levels)
         assert all(merkle.folded(leaf, path) == root for leaf, path in zip(leaves, merkle.walk(leaves, levels), strict=True))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_induced_order(monkeypatch, seed):
+    """Suffixes and common prefixes to any depth: recursion down to the last name, tuples on disk, steps of a few."""
+    rng = np.random.default_rng(seed)
+    for it in range(60):
+        depth, letters = int(rng.choice([3, 5, 8, 20])), int(rng.choice([1, 2, 3, 250]))
+        parts = [bytes(rng.integers(0, letters, int(rng.integers(0, 40))).astype(np.uint8)) for _ in range(int(rng.integers(1, 12)))]
+        parts += [parts[0] * 3] * (it % 2)
+        monkeypatch.setattr(induced, "STEP", int(rng.choice([3, 7, 1 << 20])))
+        monkeypatch.setattr(induced.Tuples.__init__, "__defaults__", (int(rng.choice([0, 100, 1 << 27])),))
+        text = [b for p in parts for b in [*(x + 2 for x in p), 1]] + [0]
+        _, found = induced.sorted_suffixes(parts, depth, int(rng.choice([0, 3, 10**6])))
+        found = list(found)
+        pos, near = (np.concatenate([f[k] for f in found]).tolist() for k in (0, 1))
+        assert sorted(pos) == list(range(len(text)))
+        for a, b, n in zip(pos[:-1], pos[1:], near[1:], strict=True):
+            x, y = text[a : a + depth], text[b : b + depth]
+            assert x >= y and n == next((k for k, (c, d) in enumerate(zip(x, y, strict=False)) if c != d), min(len(x), len(y)))
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, id string, starts string, hits string"
+
+
+def brute_repeats(rows, window):
+    first, out = {}, []
+    rows = [(i, (t or "").encode()) for i, t in rows]
+    for i, x in rows:
+        if i is not None:
+            for p in range(len(x) - window + 1):
+                first[x[p : p + window]] = min(first.get(x[p : p + window], (i, p)), (i, p))
+    for i, x in rows:
+        gone = np.zeros(len(x) + 1, bool)
+        for p in range(len(x) - window + 1 if i is not None else 0):
+            if first[x[p : p + window]] < (i, p):
+                gone[p : p + window] = True
+        kept = bytes(b for b, g in zip(x, gone, strict=False) if not g)
+        out.append((i, len(x), len(x) - len(kept), int((gone[1:-1] > gone[:-2]).sum() + gone[0]) if len(x) else 0, kept))
+    return sorted(out, key=str)
+
+
+@pytest.fixture(scope="module")
+def passages():
+    """Periodic texts, passages at all places, a common line between differing neighbours, copies, odd rows."""
+    rng = np.random.default_rng(5)
+
+    def words(n):
+        return " ".join("".join(rng.choice(list("abcdeé"), 4)) for _ in range(n))
+
+    line, shared = words(30), words(60)
+    texts = ["a" * 700, "ab" * 300, "a" * 150, "abc" * 90 + words(9)] + [words(20) + line + words(20) for _ in range(40)]
+    texts += [words(8) + shared[k * 3 :] + words(3) for k in range(40)] + [shared] * 10 + [words(2000)[:9000] * 2, "x" * 99, "y" * 100, "", None]
+    rows = list(enumerate(texts))
+    return rows + [rows[4], rows[50], (7, words(5) + line), (None, line), (None, None), (60, None)]
+
+
+@pytest.mark.parametrize("hot", [2, 1000])
+@pytest.mark.parametrize("window", [100, 40])
+def test_repeats_of_bytes(spark, monkeypatch, passages, hot, window):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 3000)
+    df = spark.createDataFrame([(i, t, "", "", 0, "k", "i", "s", "h") for i, t in passages], DOCS).repartition(6)
+    got = suffix_dedup.drop_repeats(df, window=window, hot=hot, base=0 if hot == 2 else induced.BASE).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got), key=str) == brute_repeats(passages, window)
+
+
+def test_runs_of_long_texts(monkeypatch, passages):
+    """A text has the same runs alone and in company, also where it is cut into segments, and every window is in one run."""
+    texts = [(t or "").encode() for _, t in passages]
+    for segment in (500, 1 << 20):
+        monkeypatch.setattr(suffix_dedup, "SEGMENT", segment)
+        runs = suffix_dedup.Runs(texts, 100, 24)
+        for k, t in enumerate(texts):
+            own, alone = slice(runs.first[k], runs.first[k + 1]), suffix_dedup.Runs([t], 100, 24)
+            assert (runs.start[own] == alone.start).all() and (runs.size[own] == alone.size).all() and (runs.least[own] == alone.least).all()
+            assert alone.size.sum() == max(0, len(t) - 99) and (runs.twice[own] == alone.twice).all()
+
+
+def test_repeats_of_nothing(spark):
+    assert suffix_dedup.drop_repeats(spark.createDataFrame([], DOCS)).count() == 0
