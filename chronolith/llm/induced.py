@@ -315,10 +315,16 @@ def minima(text: np.ndarray, kind: np.ndarray, base: int, depth: int) -> np.ndar
     pieces = [pos[least[pos]] for pos, _ in Induction(text, kind).run(by_symbol, np.zeros(len(own), np.uint8))]
     order = np.concatenate(pieces)[::-1]
     # Equal substrings, from one minimum to the next, get equal names.
-    place = np.searchsorted(own, order)
+    number = cells(len(text), np.int32)
+    number[own] = np.arange(len(own))
+    place = number[order]
     size = np.diff(own, append=own[-1:])[place] + 1
     same = np.zeros(len(order), bool)
     live = np.flatnonzero(size[1:] == size[:-1]) + 1
+    short = live[size[live] <= 254] if text.dtype == np.uint16 else live[:0]
+    if len(short):
+        same[short] = common_prefixes(text, order[short], order[short - 1], int(size[short].max())) >= size[short]
+        live = live[size[live] > 254]
     k = 0
     while len(live):
         live = live[text[order[live] + k] == text[order[live - 1] + k]]

@@ -37,7 +37,7 @@ _BASE = 0x9E3779B97F4A7C17
 
 _PRINTS = "part int, chunk long, ids binary, keys binary, first binary, hashes binary, places binary, common binary, numbers binary"
 _FOUND = "id long, key long, hits binary, hot binary"
-_STRETCHES = "part int, text binary, sizes binary, ids binary, keys binary, starts binary"
+_STRETCHES = "part int, text binary, sizes binary, ids binary, keys binary, starts binary, prints binary"
 _MARKS = "part int, ids binary, keys binary, starts binary, counts binary"
 
 
@@ -285,19 +285,21 @@ def stretches(parts: int, window: int, gram: int) -> Callable:
                     own = unpacked(found[i])
                     hot = unpacked(hots[i]) if hots[i] is not None else own[:0]
                     at = runs.first[k] + np.setdiff1d(own, hot)
-                    start, count, least = runs.start[at], runs.size[at], runs.least[at]
+                    start, count, least, twice = runs.start[at], runs.size[at], runs.least[at], runs.twice[at]
                     if len(hot) and windows[i] is not None:
                         w, of = hot_windows(runs, k, hot)
                         kept = unpacked(windows[i])
                         w, of = w[kept], of[kept]
                         new = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1] + 1) | (of[1:] != of[:-1])]))
                         start, count, least = np.append(start, w[new]), np.append(count, np.diff(np.append(new, len(w)))), np.append(least, runs.least[of[new]])
+                        twice = np.append(twice, runs.twice[of[new]])
                     shard = ((least >> np.uint64(20)) % np.uint64(parts)).tolist()
-                    for s, n, p in zip(start.tolist(), count.tolist(), shard, strict=True):
+                    prints = (least.astype(np.uint32) & np.uint32(0xFFFFFFFE) | twice).tolist()
+                    for s, n, p, f in zip(start.tolist(), count.tolist(), shard, prints, strict=True):
                         x = text[s : s + n + window - 1]
                         held = seen.get(x)
                         if held is None:
-                            seen[x] = [p, (ids[i], s, keys[i])]
+                            seen[x] = [p, f, (ids[i], s, keys[i])]
                             size += len(x) + 150
                         else:
                             held.append((ids[i], s, keys[i]))
@@ -314,23 +316,24 @@ def stretches(parts: int, window: int, gram: int) -> Callable:
 def sent(seen: dict[bytes, list], parts: int, window: int) -> Iterator[pd.DataFrame]:
     shards: dict[int, list] = {}
     done: list[tuple] = []
-    for text, (shard, *places) in seen.items():
+    for text, (shard, print_, *places) in seen.items():
         first = min(places)
         for p in places:
             if p[:2] == first[:2]:  # rows that share an id also share its place
-                shards.setdefault(shard, []).append((text, p))
+                shards.setdefault(shard, []).append((text, p, print_))
             else:
                 done.append((p[0], p[2], p[1], len(text) - window + 1))
     rows = []
     for shard, own in shards.items():
-        sizes = np.array([len(t) for t, _ in own], np.int32)
-        ids, starts, keys = (np.array(x) for x in zip(*(p for _, p in own), strict=True))
-        rows.append((shard, b"".join(t for t, _ in own), sizes.tobytes(), ids.astype(np.int64).tobytes(), keys.astype(np.int64).tobytes(), starts.astype(np.int32).tobytes()))
+        texts, places, prints = zip(*own, strict=True)
+        sizes = np.array([len(t) for t in texts], np.int32)
+        ids, starts, keys = (np.array(x) for x in zip(*places, strict=True))
+        rows.append((shard, b"".join(texts), sizes.tobytes(), ids.astype(np.int64).tobytes(), keys.astype(np.int64).tobytes(), starts.astype(np.int32).tobytes(), np.array(prints, np.uint32).tobytes()))
     if rows:
         yield pd.DataFrame(rows, columns=columns_of(_STRETCHES))
     if done:
         for m in marks(*(np.array(x, np.int64) for x in zip(*done, strict=True)), parts):
-            yield pd.DataFrame({"part": m["part"], "text": None, "sizes": m["counts"], "ids": m["ids"], "keys": m["keys"], "starts": m["starts"]})
+            yield pd.DataFrame({"part": m["part"], "text": None, "sizes": m["counts"], "ids": m["ids"], "keys": m["keys"], "starts": m["starts"], "prints": None})
 
 
 def marks(ids: np.ndarray, keys: np.ndarray, starts: np.ndarray, counts: np.ndarray, parts: int) -> Iterator[pd.DataFrame]:
@@ -377,6 +380,12 @@ def repeated(b: pd.DataFrame, window: int, parts: int, base: int) -> Iterator[pd
     own = np.flatnonzero(twin < 0)
     gone = np.flatnonzero(twin >= 0)
     yield from marks(ids[gone], keys[gone], starts[gone].astype(np.int64), size[gone] - window + 1, parts)
+    # A stretch that is alone with its minimizer and does not hold it twice has no equal window anywhere.
+    prints = joined(b["prints"], np.uint32)[own]
+    _, group, count = np.unique(prints & np.uint32(0xFFFFFFFE), return_inverse=True, return_counts=True)
+    own = own[(count[group] > 1) | (prints & 1 > 0)]
+    if not len(own):
+        return
     begin, suffixes = induced.sorted_suffixes([texts[i] for i in own], window, base)
     del texts, first
     ids, keys, starts, last = ids[own], keys[own], starts[own].astype(np.int64), begin + size[own] - window
