@@ -78,8 +78,12 @@ def sample_by_hash(rows: DataFrame, id_col: str, class_col: str, sample: int) ->
     varies by a few of its square root.
     """
     counts = written(rows.groupBy(F.col(class_col).alias("_class")).agg(F.count(F.lit(1)).alias("_n")), "sample-classes")
-    chosen = F.pmod(F.xxhash64(id_col, F.lit("sample")), F.lit(1 << 40)) * F.col("_n") < F.lit(sample).cast("double") * (1 << 40)
-    return rows.join(counts, rows[class_col] == counts["_class"]).where(chosen).select(*rows.columns)
+    return rows.join(counts, rows[class_col] == counts["_class"]).where(in_sample(F.col(id_col), F.col("_n"), sample)).select(*rows.columns)
+
+
+def in_sample(id_: Column, n: Column, sample: int) -> Column:
+    """Whether an id's hash lies in the share that ``sample`` is of ``n`` rows; in doubles, as any number of rows may be counted."""
+    return F.pmod(F.xxhash64(id_, F.lit("sample")), F.lit(1 << 40)).cast("double") * n < float(sample) * (1 << 40)
 
 
 #: Odd 64-bit multipliers, fixed so that every worker and every run agrees.

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import batches_of, id_remainder, sample_by_hash, table, text_slices, worker_slot
 
-#: Documents of each language that the probabilities are learned from, chosen by the hash of their id, and their characters at most.
-SAMPLE, LONGEST_TEXT = 400, 100_000
+#: Documents of each language that the probabilities are learned from, chosen by the hash of their id.
+SAMPLE = 400
 #: Rounds of expectation maximisation, and what is added to every expected count.
 ROUNDS, ADDED = 3, 0.05
 #: Characters of the longest piece that is used, and of the words that are scored side by side.
@@ -175,12 +175,12 @@ class Model:
 
 
 def learn(labelled: DataFrame, pieces: list[str], id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE) -> Model:
-    """Piece probabilities by language from about ``sample`` documents of each, of at most LONGEST_TEXT characters.
+    """Piece probabilities by language from about ``sample`` documents of each, whatever their length.
 
-    The model, and what the driver gets, grows with the number of languages and not with the documents.
+    Words are counted in tasks; the driver gets counts of different words. These grow with the number of languages, not of documents.
     """
     own = labelled.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    rows = sample_by_hash(own.where("lang is not null and id is not null").where(F.length("text") <= LONGEST_TEXT), "id", "lang", sample)
+    rows = sample_by_hash(own.where("lang is not null and id is not null"), "id", "lang", sample)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from collections import Counter

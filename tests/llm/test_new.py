@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronolith.llm import induced, merkle, suffix_dedup, vector_codes
+from chronolith.llm import common, induced, language_id, merkle, suffix_dedup, vector_codes
 
 
 def brute_codes(rows, parts=8, entries=16, rounds=6):
@@ -215,3 +215,19 @@ def test_runs_of_long_texts(monkeypatch, passages):
 
 def test_repeats_of_nothing(spark):
     assert suffix_dedup.drop_repeats(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_samples_of_any_count(spark):
+    """A share of very many rows is computed, not overflown, and about as many are chosen as it says."""
+    ids = spark.range(100_000).select(F.col("id"), F.lit(10**10).alias("n"))
+    assert 800 < ids.where(common.in_sample(F.col("id"), F.col("n"), 10**8)).count() < 1200
+    assert ids.where(common.in_sample(F.col("id"), F.lit(2**62), 400)).count() == 0
+
+
+def test_language_of_long_texts_only(spark):
+    """A language whose documents are all very long is learned as any other."""
+    rows = [(i, "the house and the garden of the man " * 5, "en") for i in range(40)]
+    rows += [(100 + i, "der garten und das haus des mannes ist " * 3000, "de") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(docs, language_id.public_pieces(), "doc_id", "text", "lang")
+    assert model.languages == ["de", "en"]
