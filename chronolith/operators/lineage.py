@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: str | None = None
@@ -14,19 +14,24 @@ _own_dir: str | None = None
 SMALL = 100_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder of the session (``spark.checkpoint.dir``) and read again: computed once, and whole if executors are lost.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of the session (``spark.checkpoint.dir``).
 
     A local master that names no folder gets one of its own; a cluster must name one that driver and executors share.
     """
     global _own_dir
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     where = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if where is None:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = _own_dir = _own_dir or tempfile.mkdtemp(prefix="chronolith-")
-    path = f"{where.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: computed once, and whole if executors are lost."""
+    path = shared_path(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr, ontology
 from ..operators import documents, extraction, graph, resolve, store
-from ..operators.lineage import cut
-from ..sources import payloads
+from ..operators.lineage import cut, shared_path
+from ..sources import payloads, persist
+from ..sources.graphstore import GraphStore
+from ..streaming import ingest
 from . import fixtures as X
 from .view import edges, literal, nodes, read, same_as, sql, values
 
@@ -166,6 +170,104 @@ query("store_stats", sql("SELECT 'nodes' AS metric, '' AS key, count(*) AS n FRO
     lambda s, d: store.stats(nodes(s, d), edges(s, d), same_as(s, d))
 )
 
+# --- the store ---------------------------------------------------------------------------------
+
+
+def new_store(s: SparkSession, buckets: int = 16) -> GraphStore:
+    """A store of its own in the folder that the cluster shares."""
+    return GraphStore(s, shared_path(s, "store"), buckets)
+
+
+@query("store_merge", sql(_UPSERT))
+def _store_merge(s: SparkSession, d: str) -> DataFrame:
+    """The batches of ``upsert_nodes``, the later one appended first, folded bucket by bucket."""
+    store_, old = new_store(s), nodes(s, d)
+    again = old.where("cast(substr(id, 3) as bigint) % 3 = 0").withColumn("source", F.lit("new")).withColumn("type", F.lit("role"))
+    first = again.withColumn("start_date", F.coalesce("start_date", F.lit("2000")))
+    second = again.withColumn("start_date", F.lit(None).cast("string")).withColumn("label", F.concat("label", F.lit("*"))).withColumn("props", F.lit('{"v":2}'))
+    tx = store_.begin()
+    tx.append("nodes", second, F.lit(3))
+    tx.append("nodes", old, F.lit(1))
+    tx.compact("nodes")
+    tx.merge("nodes", first, F.lit(2))
+    tx.merge("nodes", second, F.lit(3))
+    tx.commit()
+    return store_.read("nodes").select("id", "type", "label", "source", "start_date", "props")
+
+
+@query("store_small_batch", sql("SELECT 'rows' AS metric, count(*) AS n FROM nodes UNION ALL SELECT 'changed', count(*) FROM nodes WHERE id = (SELECT min(id) FROM nodes WHERE type = 'event') UNION ALL SELECT 'buckets_rewritten', 1 UNION ALL SELECT 'rows_before', count(*) FROM nodes WHERE label = 'changed'"))
+def _store_small(s: SparkSession, d: str) -> DataFrame:
+    """A batch of one key rewrites one bucket; the version before it can still be read."""
+    store_ = new_store(s)
+    tx = store_.begin()
+    tx.merge("nodes", nodes(s, d))
+    before = tx.commit()
+    tx = store_.begin()
+    one = nodes(s, d).where("type = 'event'").agg(F.min("id").alias("id"))
+    tx.merge("nodes", one.withColumn("label", F.lit("changed")).withColumn("type", F.lit("event")).withColumn("source", F.lit("x")))
+    after = tx.commit()
+    rewritten = sum(after.tables["nodes"][b] != segments for b, segments in before.tables["nodes"].items())
+    now, then = store_.read("nodes"), store_.read("nodes", before.version)
+    parts = [now.agg(F.lit("rows").alias("metric"), F.count(F.lit(1)).alias("n")), now.where("label = 'changed'").agg(F.lit("changed"), F.count(F.lit(1))), s.range(1).select(F.lit("buckets_rewritten"), F.lit(rewritten).cast("long")), then.where("label = 'changed'").agg(F.lit("rows_before"), F.count(F.lit(1)))]
+    return reduce(DataFrame.union, parts)
+
+
+@query("store_delete", sql("SELECT src, dst, type, source FROM edges WHERE src NOT IN (SELECT id FROM nodes WHERE type = 'event' AND substr(id, 3)::BIGINT % 7 = 0) AND dst NOT IN (SELECT id FROM nodes WHERE type = 'event' AND substr(id, 3)::BIGINT % 7 = 0)"))
+def _store_delete(s: SparkSession, d: str) -> DataFrame:
+    """Every seventh event goes with its edges."""
+    store_ = new_store(s)
+    tx = store_.begin()
+    for name, rows in (("nodes", nodes(s, d)), ("edges", edges(s, d)), ("aliases", nodes(s, d).select(F.col("id").alias("node_id"), F.col("label").alias("alias")))):
+        tx.merge(name, rows)
+    tx.commit()
+    tx = store_.begin()
+    tx.delete_nodes(nodes(s, d).where("type = 'event' and cast(substr(id, 3) as bigint) % 7 = 0"))
+    tx.commit()
+    return store_.read("edges").select("src", "dst", "type", "source")
+
+
+query("store_scope", sql(f"{_ALL}, n AS (SELECT id, type, source FROM nodes WHERE id IN (SELECT id FROM kept)), e AS (SELECT src, dst, edges.type, edges.source FROM edges JOIN (SELECT id AS src FROM kept) USING (src) JOIN (SELECT id AS dst FROM kept) USING (dst)) SELECT 'nodes' AS metric, '' AS key, count(*) AS n FROM n UNION ALL SELECT 'edges', '', count(*) FROM e UNION ALL SELECT 'same_as', '', count(*) FROM same_as WHERE a IN (SELECT id FROM kept) AND b IN (SELECT id FROM kept) UNION ALL SELECT 'node_type', type, count(*) FROM n GROUP BY type UNION ALL SELECT 'edge_type', type, count(*) FROM e GROUP BY type UNION ALL SELECT 'source', source, count(*) FROM n GROUP BY source UNION ALL SELECT 'dangling', '', count(*) FROM e WHERE src NOT IN (SELECT id FROM n) OR dst NOT IN (SELECT id FROM n)"))(
+    lambda s, d: persist.save_scope(_stored(s, d), new_store(s), "BUILDING", "s:1")[1]
+)
+
+
+def _stored(s: SparkSession, d: str) -> GraphStore:
+    """The view as a store."""
+    store_ = new_store(s)
+    tx = store_.begin()
+    for name, rows in (("nodes", nodes(s, d)), ("edges", edges(s, d)), ("same_as", same_as(s, d))):
+        tx.merge(name, rows)
+    tx.commit()
+    return store_
+
+
+@query("persist_report", sql("SELECT 'nodes' AS metric, '' AS key, count(*) AS n FROM nodes UNION ALL SELECT 'edges', '', count(*) FROM edges UNION ALL SELECT 'problem', CASE type WHEN 'occurred_at' THEN 'created: src event' ELSE 'participated_in: dst place' END, count(*) FROM edges WHERE type IN ('occurred_at', 'born_in') GROUP BY type UNION ALL SELECT 'stored', '', count(*) FROM edges UNION ALL SELECT 'logged', 'view', count(*) FROM edges"))
+def _persist(s: SparkSession, d: str) -> DataFrame:
+    """Two edge types misnamed: what the pass that stores them tells, and what is stored."""
+    store_ = new_store(s)
+    wrong = edges(s, d).withColumn("type", F.when(F.col("type") == "occurred_at", "created").when(F.col("type") == "born_in", "participated_in").otherwise(F.col("type")))
+    r = persist.persist(store_, "view", nodes(s, d), wrong, datetime(2024, 1, 1))
+    told = [("nodes", "", r.nodes), ("edges", "", r.edges), *(("problem", k, n) for k, n in r.named)]
+    stored = store_.read("edges").agg(F.lit("stored").alias("metric"), F.lit("").alias("key"), F.count(F.lit(1)).alias("n"))
+    return literal(s, told, "metric string, key string, n long").union(stored).union(store_.read("ingest_log").select(F.lit("logged"), "source", "edges"))
+
+
+@query("stream_events", "WITH e AS (SELECT DISTINCT ON (event_id) * FROM events) SELECT 'u:' || user_id AS id, 'person' AS type, arg_max(event_type, epoch_us(ts)) AS label, arg_max(strftime(ts, '%Y-%m-%d'), epoch_us(ts)) AS start_date, arg_max(strftime(ts, '%Y-%m-%d'), epoch_us(ts)) FILTER (WHERE value > 20) AS end_date FROM e GROUP BY user_id")
+def _stream_events(s: SparkSession, d: str) -> DataFrame:
+    """Events as a stream: in four batches out of their order, one of them twice, each user's newest kind and dates."""
+    where, store_ = shared_path(s, "stream"), new_store(s)
+    events = read(s, d, "events").withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(4)))
+    for k in (2, 0, 3, 1, 0):
+        events.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{where}/in")
+    stream = s.readStream.schema(events.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in")
+    day = F.date_format("ts", "yyyy-MM-dd")
+    rows = ingest.deduplicated(stream.withColumn("at", F.col("ts").cast("timestamp")), "at", ["event_id"], "36500 days").select(
+        F.concat(F.lit("u:"), F.col("user_id").cast("string")).alias("id"), F.lit("person").alias("type"), F.col("event_type").alias("label"), F.lit("events").alias("source"), day.alias("start_date"), F.when(F.col("value") > 20, day).alias("end_date"), F.unix_micros("at").alias("at")
+    )
+    ingest.stream_into(rows, store_, "nodes", "events", F.col("at"), f"{where}/checkpoint", compact=3).awaitTermination()
+    return store_.read("nodes").select("id", "type", "label", "start_date", "end_date")
+
+
 # --- checks -----------------------------------------------------------------------------------
 
 query("validate_nodes", sql("SELECT violation, count(*) AS n FROM (SELECT CASE WHEN id LIKE 's:%' THEN 'type' WHEN id LIKE 'r:%' THEN 'id' WHEN id LIKE 'n:%' THEN 'label' END AS violation FROM nodes) GROUP BY violation"))(

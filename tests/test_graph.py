@@ -12,8 +12,6 @@ from chronolith.plans import fixtures as X
 from chronolith.plans import registry
 from chronolith.plans.view import literal
 from chronolith.sources import payloads
-from chronolith.sources.snapshots import Snapshots
-from chronolith.streaming.ingest import merge_batch, stream_nodes
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -80,18 +78,6 @@ def test_scalars(spark):
     assert one.select(expr.title_of_url(F.lit("https://ko.wikipedia.org/wiki/a%20b_c"))).first()[0] == "a b c"
 
 
-def test_snapshots_and_stream(spark, tmp_path):
-    s = Snapshots(spark, str(tmp_path / "g"))
-    assert s.version("nodes") == -1
-    fields = ontology.NODE_FIELDS
-    batch = literal(spark, [("a:1", "person", "x", "s", None, None, None, None, None, None, "{}")], fields)
-    batch.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in"))
-    stream_nodes(stream, s, str(tmp_path / "c")).awaitTermination(60)
-    merge_batch(s)(batch, 1)
-    assert s.version("nodes") == 1 and s.read("nodes").count() == 1
-
-
 def test_salvaged_answers(spark):
     answers = {r.id: r.relations for r in registry.queries()["json_coerce"](spark, SMALL).collect()}
     assert [answers[k] and '"subject"' in answers[k] for k in range(1, 7)] == [True, True, True, None, True, None]
