@@ -430,3 +430,6 @@ def _canned() -> extraction.Backend:
 def _model_extract(s: SparkSession, d: str) -> DataFrame:
     n = fixture_nodes(s).where("description is not null")
     return extraction.extract(documents.split_documents(n), graph.gazetteer(fixture_nodes(s), lit(s, X.EDGES)), "relations", _canned).select("node_id", "subject", "relation", "object", "confidence")
+
+
+from . import ingested  # noqa: E402, F401  its queries are added to those above
