@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import counted, cut
+from .lineage import SMALL, counted, cut
 
 
 @dataclass
@@ -23,8 +23,15 @@ def incidence(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("id"), F.col("dst").alias("other")).unionAll(edges.where("src <> dst").select(F.col("dst").alias("id"), F.col("src").alias("other")))
 
 
-def _touching(table: DataFrame, a: str, b: str, frontier: DataFrame) -> DataFrame:
-    """Rows with an end in the frontier. Semi joins reach the scan below a union or a distinct; rows with both ends there come twice."""
+def _touching(table: DataFrame, a: str, b: str, frontier: DataFrame, rows: int) -> DataFrame:
+    """Rows with an end in a frontier of so many ids: one pass over the table if the frontier can be sent to all tasks.
+
+    A larger one is shuffled: its semi joins reach the scan below a union, and rows with both ends in it come twice.
+    """
+    if rows <= SMALL:
+        own = F.broadcast(frontier.select("id").distinct())
+        hit = table.join(own.select(F.col("id").alias("_a")), F.col(a) == F.col("_a"), "left").join(own.select(F.col("id").alias("_b")), F.col(b) == F.col("_b"), "left")
+        return hit.where("_a is not null or _b is not null").drop("_a", "_b")
     return table.join(frontier.select(F.col("id").alias(a)), a, "left_semi").unionByName(table.join(frontier.select(F.col("id").alias(b)), b, "left_semi"))
 
 
@@ -36,19 +43,18 @@ def neighbors(nodes: DataFrame, edges: DataFrame, same_as: DataFrame, node_id: s
     """Everything within ``depth`` steps of a node, at most ``max_nodes`` ids, the smallest of the last layer first.
 
     Edges between two nodes of the outermost layer were never met on the way and are not part of it; parallel edges of
-    one type come back once, from the greatest source. The edges that a hop touches are stored, so every hop scans the graph once
-    and the result is made of what was stored.
+    one type come back once, from the greatest source. The edges that a hop touches are stored, and the result is made of these. A hop
+    scans the edges once, so edges that are costly to compute should be stored first.
     """
     spark = nodes.sparkSession
     seen = frontier = spark.createDataFrame([(node_id,)], "id string")
     met, same = edges.limit(0), same_as.limit(0)
     size, layer, truncated = 1, 1, False
     for _ in range(depth):
-        near = counted(frontier, layer)
-        touched = cut(_touching(edges, "src", "dst", near))
+        touched = cut(_touching(edges, "src", "dst", frontier, layer))
         met, ends = met.union(touched), _ends(touched, "src", "dst")
         if follow_same_as:
-            linked = cut(_touching(same_as, "a", "b", near))
+            linked = cut(_touching(same_as, "a", "b", frontier, layer))
             same, ends = same.union(linked), ends.union(_ends(linked, "a", "b"))
         fresh = cut(ends.distinct().join(counted(seen, size), "id", "left_anti"))
         layer = fresh.count()
@@ -72,8 +78,8 @@ def expand(seeds: DataFrame, edges: DataFrame, same_as: DataFrame, hops: int = 1
     seen = frontier = cut(seeds.select("id").distinct())
     size = layer = seen.count() if hops else 0
     for _ in range(hops):
-        near = counted(frontier, layer)
-        ends = _ends(_touching(edges.select("src", "dst"), "src", "dst", near), "src", "dst").union(_ends(_touching(same_as.select("a", "b"), "a", "b", near), "a", "b"))
+        touched, linked = _touching(edges.select("src", "dst"), "src", "dst", frontier, layer), _touching(same_as.select("a", "b"), "a", "b", frontier, layer)
+        ends = _ends(touched, "src", "dst").union(_ends(linked, "a", "b"))
         frontier = cut(ends.distinct().join(counted(seen, size), "id", "left_anti"))
         layer = frontier.count()
         seen, size = seen.union(frontier), size + layer

@@ -56,7 +56,7 @@ TRIPLES = (
         ("Q10", "P31", "Q5", None), ("Q10", "label", "세종", "ko"), ("Q10", "label", "Sejong", "en"), ("Q10", "altLabel", "이도", "ko"), ("Q10", "P27", "Q28179", None), ("Q10", "P27", "Q28208", None),
         ("Q10", "P569", "1397-05-15T00:00:00Z", None), ("Q10", "P570", "1450-04-08T00:00:00Z", None), ("Q10", "P19", "Q50", None), ("Q10", "P26", "Q11", None), ("Q10", "P39", "Q60", None), ("Q10", "P170", "Q70", None),
         ("Q11", "P31", "Q5", None), ("Q11", "label", "Soheon", "en"), ("Q11", "P27", "Q28208", None), ("Q50", "P31", "Q515", None), ("Q60", "P31", "Q4164871", None),
-        ("Q80", "P31", "Q11424", None), ("Q80", "P495", "Q884", None), ("Q80", "P921", "Q10", None), ("Q81", "P31", "Q5398426", None), ("Q81", "P495", "Q30", None), ("Q81", "P921", "Q10", None),
+        ("Q80", "P31", "Q11424", None), ("Q80", "P495", "Q884", None), ("Q80", "P921", "Q10", None), ("Q80", "P577", "2014-07-30T00:00:00Z", None), ("Q80", "label", "명량", "ko"), ("Q81", "P31", "Q5398426", None), ("Q81", "P495", "Q30", None), ("Q81", "P921", "Q10", None),
         ("Q90", "P31", "Q91", None), ("Q91", "P279", "Q92", None), ("Q92", "P279", "Q13406554", None), ("Q92", "P279", "Q91", None), ("Q93", "P31", "Q178561", None),
         ("Q93", "P17", "Q28179", None), ("Q94", "P31", "Q625298", None), ("Q94", "P17", "Q28179", None), ("Q94", "label", "강화도 조약", "ko"), ("Q94", "P580", "1876-02-26T00:00:00Z", None), ("Q94", "P276", "Q50", None),
         ("Q95", "P31", "Q13418847", None), ("Q95", "P17", "Q28179", None), ("Q96", "P31", "Q625298", None), ("Q96", "P17", "Q30", None),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ontology import EDGE_FIELDS, NODE_FIELDS
@@ -108,6 +108,51 @@ def literal(spark: SparkSession, rows: list[tuple], fields: str) -> DataFrame:
     return spark.createDataFrame(rows, fields)
 
 
+def _cells(rows: list[tuple], fields: str) -> Column:
+    """The rows as one array of structs; a table's rows are made of it without a join."""
+    names, types = zip(*(f.split(" ") for f in fields.split(", ")), strict=True)
+    return F.array(*(F.struct(*((F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)).cast(t).alias(n) for n, t, v in zip(names, types, r, strict=True))) for r in rows))
+
+
+def copies(spark: SparkSession, d: str, fixture: tuple, own: tuple[str, ...] = ()) -> DataFrame:
+    """A small table once for every supplier; the values ``own`` get the supplier's number, so each has entities of its own."""
+    out = read(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("_k"), F.explode(_cells(*fixture)).alias("_r")).select("_k", "_r.*")
+    for name, kind in out.dtypes:
+        if kind == "string" and name != "_k" and own:
+            out = out.withColumn(name, F.when(F.col(name).isin(*own), F.concat(name, F.lit("-"), "_k")).otherwise(F.col(name)))
+    return out
+
+
+def copies_sql(fixture: tuple, own: tuple[str, ...] = ()) -> str:
+    listed = ", ".join(f"'{x}'" for x in own)
+    columns = [f"CASE WHEN {n} IN ({listed}) THEN {n} || '-' || s_suppkey ELSE {n} END AS {n}" if t == "string" and own else n for n, t in (f.split(" ") for f in fixture[1].split(", "))]
+    return f"(SELECT s_suppkey::VARCHAR AS _k, {', '.join(columns)} FROM supplier, {values(*fixture)})"
+
+
+def spread(spark: SparkSession, d: str, fixture: tuple, table: str, key: str, filled: tuple[tuple[str, str, str], ...] = ()) -> DataFrame:
+    """``_k`` and one row of a small table for every row of a given one, by its key; marks in its texts are filled with what the row holds (mark, Spark's expression, SQL's)."""
+    n = len(fixture[0])
+    out = read(spark, d, table).select(F.col(key).alias("_k"), F.element_at(_cells(*fixture), (F.col(key) % n + 1).cast("int")).alias("_r"), *(F.expr(v).cast("string").alias(f"_f{i}") for i, (_, v, _) in enumerate(filled)))
+    out = out.select("_k", "_r.*", *(f"_f{i}" for i in range(len(filled))))
+    for name, kind in out.dtypes:
+        if kind == "string" and not name.startswith("_"):
+            for i, (mark, _, _) in enumerate(filled):
+                out = out.withColumn(name, F.replace(F.col(name), F.lit(mark), F.col(f"_f{i}")))
+    return out.drop(*(f"_f{i}" for i in range(len(filled))))
+
+
+def spread_sql(fixture: tuple, table: str, key: str, filled: tuple[tuple[str, str, str], ...] = ()) -> str:
+    columns = []
+    for n, t in (f.split(" ") for f in fixture[1].split(", ")):
+        x = f"v.{n}"
+        for i, (mark, _, _) in enumerate(filled if t == "string" else ()):
+            x = f"replace({x}, '{mark}', b._f{i})"
+        columns.append(f"{x} AS {n}")
+    fills = "".join(f", ({by})::VARCHAR AS _f{i}" for i, (_, _, by) in enumerate(filled))
+    numbered = values([(i, *r) for i, r in enumerate(fixture[0])], "i long, " + fixture[1])
+    return f"(SELECT b._k, {', '.join(columns)} FROM (SELECT {key} AS _k{fills} FROM {table}) AS b JOIN {numbered} AS v ON v.i = b._k % {len(fixture[0])})"
+
+
 def values(rows: list[tuple], fields: str) -> str:
     """The same rows as an SQL sub-select."""
     kinds = {"string": "VARCHAR", "int": "INTEGER", "long": "BIGINT", "double": "DOUBLE", "array<string>": "VARCHAR[]"}

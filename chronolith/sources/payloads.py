@@ -28,13 +28,33 @@ LINK_SKIP = r"^(파일|파일명|이미지|File|Image|틀|Template|분류|Catego
 PERSON_PROPERTIES = {"P22": "child_of", "P25": "child_of", "P26": "spouse_of", "P19": "born_in", "P20": "died_in", "P1344": "participated_in", "P39": "held_position", "P463": "member_of", "P170": "created"}
 INFERRED = {"born_in": "place", "died_in": "place", "participated_in": "event", "held_position": "org", "member_of": "org"}
 CLASS_TYPES = {
-    "person": ["Q5"],
-    "place": ["Q515", "Q486972", "Q56061", "Q82794", "Q3957", "Q532", "Q6256", "Q1549591"],
-    "event": ["Q1190554", "Q178561", "Q198", "Q625298", "Q13418847", "Q1656682"],
-    "org": ["Q43229", "Q7278", "Q3024240", "Q34770"],
-    "role": ["Q4164871", "Q294414", "Q216107", "Q12737077"],
-    "media": ["Q11424", "Q5398426"],
-    "artwork": ["Q838948", "Q3305213"],
+    "Q5": "person",
+    "Q515": "place",
+    "Q486972": "place",
+    "Q56061": "place",
+    "Q82794": "place",
+    "Q3957": "place",
+    "Q532": "place",
+    "Q6256": "place",
+    "Q1549591": "place",
+    "Q1190554": "event",
+    "Q178561": "event",
+    "Q198": "event",
+    "Q625298": "event",
+    "Q13418847": "event",
+    "Q1656682": "event",
+    "Q43229": "org",
+    "Q7278": "org",
+    "Q3024240": "org",
+    "Q34770": "org",
+    "Q4164871": "role",
+    "Q294414": "role",
+    "Q216107": "role",
+    "Q12737077": "role",
+    "Q11424": "media",
+    "Q5398426": "media",
+    "Q838948": "artwork",
+    "Q3305213": "artwork",
 }
 EVENT_ROOTS = {"Q1190554": "사건", "Q178561": "전투", "Q198": "전쟁", "Q625298": "조약"}
 
@@ -44,7 +64,7 @@ def _map(values: dict[str, str], key: Column) -> Column:
 
 
 def class_type(class_id: Column) -> Column:
-    return _map({c: t for t, cs in CLASS_TYPES.items() for c in cs}, class_id)
+    return _map(CLASS_TYPES, class_id)
 
 
 def xml_items(payloads: DataFrame, schema: str = ITEM) -> DataFrame:
@@ -145,6 +165,18 @@ def media(triples: DataFrame) -> DataFrame:
     return triples.where("p = 'P921'").join(works, "s", "left_semi").select(F.concat(F.lit("wd:"), "s").alias("src"), F.concat(F.lit("wd:"), "o").alias("dst"), F.lit("depicts").alias("type")).distinct()
 
 
+def media_nodes(triples: DataFrame) -> DataFrame:
+    """``id, type, label, start_date, url`` of works and of what they depict; a subject that is no work is taken for an event."""
+    pairs = media(triples)
+    works = pairs.select(F.col("src").alias("id")).distinct().withColumn("type", F.lit("media"))
+    ids = works.union(pairs.select(F.col("dst").alias("id")).distinct().join(works.select("id"), "id", "left_anti").withColumn("type", F.lit("event")))
+    qid = F.regexp_replace("id", "^wd:", "")
+    named = ids.withColumn("qid", qid).join(labels(triples).select(F.col("id").alias("qid"), "label"), "qid", "left")
+    dated = triples.where("p = 'P577'").groupBy(F.col("s").alias("qid")).agg(F.min(expr.iso_date(F.col("o"))).alias("date"))
+    start = F.when(F.col("type") == "media", F.col("date")).alias("start_date")
+    return named.join(dated, "qid", "left").select("id", "type", F.coalesce("label", "qid").alias("label"), start, F.concat(F.lit("http://www.wikidata.org/entity/"), "qid").alias("url"))
+
+
 def bindings(payloads: DataFrame, names: list[str]) -> DataFrame:
     """Rows of SPARQL JSON answers (key columns and ``text``): one column per variable, null where it is unbound.
 
@@ -190,9 +222,17 @@ def events(triples: DataFrame, polities: DataFrame) -> tuple[DataFrame, DataFram
 
 def extracts(payloads: DataFrame) -> DataFrame:
     """``title, extract`` of the pages of MediaWiki answers (text); pages that are missing or empty are left out."""
-    page = "map<string,struct<title:string,missing:string,extract:string>>"
-    found = payloads.select(F.explode(F.map_values(F.from_json(F.get_json_object("text", "$.query.pages"), page))).alias("p"))
-    return found.where("p.missing is null and p.extract <> ''").select("p.title", "p.extract").distinct()
+    page = "struct<title:string,missing:string,extract:string>"
+    pages = F.get_json_object("text", "$.query.pages")  # a list, or in the older format a map by page number
+    found = payloads.select(F.explode(F.when(F.startswith(pages, F.lit("[")), F.from_json(pages, f"array<{page}>")).otherwise(F.map_values(F.from_json(pages, f"map<string,{page}>")))).alias("p"))
+    found = found.select("p.title", "p.missing", expr.strip(F.col("p.extract")).alias("extract"))
+    return found.where("missing is null and extract <> ''").select("title", "extract").distinct()
+
+
+def titles(rows: DataFrame) -> DataFrame:
+    """``qid, title`` of sitelink bindings (item, title, seq): the last title of every item."""
+    own = rows.where("item <> '' and title <> ''").groupBy(expr.last_segment(F.col("item")).alias("qid"))
+    return own.agg(F.max_by("title", F.struct("seq", "title")).alias("title"))
 
 
 def first_mapped_class(triples: DataFrame) -> DataFrame:
