@@ -31,6 +31,8 @@ from .substring_dedup import by_key, columns_of, joined, packed, unpacked
 WINDOW, GRAM = 100, 24
 #: Bytes of a chunk of texts, of the texts hashed at once, of the stretches a task holds, and of the input that a shard stands for.
 CHUNK, SEGMENT, SEND, PART = 4_000_000, 1 << 20, 24_000_000, 12 << 20
+#: Shards for each partition: where hashes put several into one, each is sorted on its own, and loads even out.
+SHARDS = 4
 #: Chunks that hold a minimizer from which on its windows are counted one by one.
 HOT = 48
 _BASE = 0x9E3779B97F4A7C17
@@ -267,7 +269,7 @@ def by_document(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=columns_of(_FOUND))
 
 
-def stretches(parts: int, window: int, gram: int) -> Callable:
+def stretches(shards: int, parts: int, window: int, gram: int) -> Callable:
     """The texts of candidate runs, dealt by minimizer: equal ones once, from the earliest place; later ones are settled."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -293,7 +295,7 @@ def stretches(parts: int, window: int, gram: int) -> Callable:
                         new = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1] + 1) | (of[1:] != of[:-1])]))
                         start, count, least = np.append(start, w[new]), np.append(count, np.diff(np.append(new, len(w)))), np.append(least, runs.least[of[new]])
                         twice = np.append(twice, runs.twice[of[new]])
-                    shard = ((least >> np.uint64(20)) % np.uint64(parts)).tolist()
+                    shard = ((least >> np.uint64(20)) % np.uint64(shards)).tolist()
                     prints = (least.astype(np.uint32) & np.uint32(0xFFFFFFFE) | twice).tolist()
                     for s, n, p, f in zip(start.tolist(), count.tolist(), shard, prints, strict=True):
                         x = text[s : s + n + window - 1]
@@ -432,7 +434,7 @@ def repeats(rows: DataFrame, window: int, gram: int, hot: int, base: int) -> Dat
     near = rows.join(first, on).select("id", "key", "text", "hits", "hot")
     again = found(near.where("hot is not null").mapInPandas(window_prints(parts, window, gram), _PRINTS))
     near = near.join(again.select("id", "key", F.col("hits").alias("windows")), on, "left").select("id", "key", "text", "hits", "hot", "windows")
-    sent_ = dealt(near.mapInPandas(stretches(parts, window, gram), _STRETCHES), "part")
+    sent_ = dealt(near.mapInPandas(stretches(parts * SHARDS, parts, window, gram), _STRETCHES), "part")
     return dealt(sent_.mapInPandas(shard(parts, window, base), _MARKS), "part").mapInPandas(ranges, "id long, key long, starts binary, counts binary")
 
 
