@@ -180,7 +180,7 @@ def learn(labelled: DataFrame, pieces: list[str], id_col: str, text_col: str, la
     Words are counted in tasks; the driver gets counts of different words. These grow with the number of languages, not of documents.
     """
     own = labelled.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    rows = sample_by_hash(own.where("lang is not null and id is not null"), "id", "lang", sample)
+    rows = sample_by_hash(own.where("lang is not null and id is not null and text is not null"), "id", "lang", sample)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from collections import Counter

@@ -228,6 +228,7 @@ def test_language_of_long_texts_only(spark):
     """A language whose documents are all very long is learned as any other."""
     rows = [(i, "the house and the garden of the man " * 5, "en") for i in range(40)]
     rows += [(100 + i, "der garten und das haus des mannes ist " * 3000, "de") for i in range(4)]
+    rows += [(200, None, "fr"), (201, "", "fr"), (None, "la maison", "fr"), (202, "el campo", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = language_id.learn(docs, language_id.public_pieces(), "doc_id", "text", "lang")
     assert model.languages == ["de", "en"]
