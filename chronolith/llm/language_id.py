@@ -190,7 +190,8 @@ def learn(labelled: DataFrame, pieces: list[str], id_col: str, text_col: str, la
             for lang, text in zip(b["lang"], b["text"], strict=True):
                 total.setdefault(lang, Counter()).update(w for c in text.split() for w in words_of(c))
         for lang, own in total.items():
-            yield pd.DataFrame({"lang": lang, "word": list(own), "n": list(own.values())})
+            if own:
+                yield pd.DataFrame({"lang": lang, "word": list(own), "n": list(own.values())})
 
     counted = rows.select("lang", "text").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
     lattice = Lattice(pieces)
