@@ -2,9 +2,10 @@
 
 Entities are found by one pattern. Each distinct entity gets a surrogate from a keyed hash: the same
 entity always gets the same one (coreference), digits stay digits, letters stay in their script and
-case, card numbers and IBANs keep valid check digits, and given names keep the gender that their title
-tells. A name that a document has given with a title is found there without it, too. Surrogates that meet, or that equal
-an entity of the corpus, are drawn again, and made longer where their form is too narrow, until all are distinct.
+case, card numbers and IBANs keep valid check digits. Of a name, every given name and surname is an entity by itself,
+whatever its title, letter case and neighbours; hyphens and apostrophes stay, and given names keep the gender that their
+titles tell. A name that a document has given with a title is found there without it, too. Surrogates that meet, or that
+equal an entity of the corpus, are drawn again, and made longer where their form is too narrow, until all are distinct.
 """
 
 from __future__ import annotations
@@ -26,15 +27,18 @@ _NAME = rf"{_PART}(?:-{_PART})?"
 #: Kind and pattern, the first that matches an entity names its kind. All but names and what follows a keyword start
 #: where no ASCII letter or digit stands before; PATTERN checks that once for all of them.
 _KEYED = r"(?i:token|secret|passwd|password|api_?key)\s{0,2}[=:]\s{0,2}[\"'][^\s\"']{8,}+[\"']"
+_TOLD = r"(?<=(?i:\bssn|social security number|passport|passport number|passport no)[ .:#]{1,3})"
 _BARE = r"[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])|AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"
 KINDS = {
     "secret": f"{_KEYED}|{_BARE}",
     # The host is one run of characters: a group that repeats would recurse for every label of a long one.
     "email": r"(?<![._%+-])[A-Za-z0-9._%+-]++@(?=[A-Za-z0-9])[A-Za-z0-9.-]+(?<=\.[A-Za-z]{2,24})(?![A-Za-z0-9-])",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
-    "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?![0-9A-Za-z])|(?<!\()\(\d{3}\) ?\d{3}[ .-]\d{4}(?![0-9A-Za-z])|(?<![.-])\d{3}[.-]\d{3}[.-]\d{4}(?![0-9A-Za-z])"
+    "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?![0-9A-Za-z])|(?<!\()\(\d{3}\) ?\d{3}[ .-]\d{4}(?![0-9A-Za-z])|(?<![.-])\d{3}[.-]\d{3}[.-]\d{4}(?![0-9A-Za-z])|(?<![.-]|\d )\d{3} \d{3} \d{4}(?![0-9A-Za-z]| \d|[.-]\d)"
     r"|(?<![./-])0\d{2,4}[ /-]\d{5,8}(?![0-9A-Za-z]|-\d)|(?<![./-])\d{3}-\d{4}(?![0-9A-Za-z]|-\d)",
     "ip": r"(?<!\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![0-9A-Za-z]|\.\d)",
+    # Numbers that only a word before them tells; PATTERN asks for it.
+    "number": r"[A-Z]{0,2}\d{6,9}(?![0-9A-Za-z])",
     "ssn": r"(?<!-)\d{3}-\d{2}-\d{4}(?![0-9A-Za-z]|-\d)",
     "card": r"(?<![.-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![0-9A-Za-z]|[.-]\d)",
     "name": rf"(?<!\p{{L}})(?:{_TITLES})\.? {_NAME}(?: {_NAME})?(?!\p{{L}})",
@@ -44,12 +48,16 @@ KINDS = {
 def _pattern() -> str:
     """One pattern for all kinds, in their order; cheap checks of a character spare most places the rest."""
     digits = "|".join(KINDS[k] for k in ("phone", "ip", "ssn", "card"))
-    start = rf"(?=[0-9A-Za-z._%+(-])(?<![0-9A-Za-z])(?:{_BARE}|{KINDS['email']}|{KINDS['iban']}|(?=[\d+(])(?:{digits}))"
+    start = rf"(?=[0-9A-Za-z._%+(-])(?<![0-9A-Za-z])(?:{_BARE}|{KINDS['email']}|{KINDS['iban']}|(?=[A-Z\d]){_TOLD}{KINDS['number']}|(?=[\d+(])(?:{digits}))"
     initials = "".join(sorted({t[0] for t in MALE + FEMALE + NEUTRAL}))
     return f"(?=[aApPsStT]){_KEYED}|{start}|(?=[{initials}]){KINDS['name']}"
 
 
 PATTERN = _pattern()
+#: Words that may be a name without its title, and what makes a place before one the beginning of a sentence.
+WORD = r"(?<!\p{L})\p{Lu}\p{L}*+"
+_BEGIN = r"(?:[.!?…][\"'”’)]{0,2}\s{1,4}[\"'“‘(¿¡]{0,2})"
+_TITLE = rf"^(?:{_TITLES})\.? "
 #: What a surrogate keeps of each kind: a head that is matched here.
 _HEADS = {"secret": r"^(?i:token|secret|passwd|password|api_?key)\s{0,2}[=:]\s{0,2}[\"']", "phone": r"^\+\d{1,3}(?=[ .(-])", "iban": r"^[A-Z]{2}\d{2}", "card": r"^\d"}
 #: Scripts: what a letter of one becomes, lower case and upper case.
@@ -78,8 +86,13 @@ def kind_of(entity: Column) -> Column:
 
 
 def canonical(entity: Column, kind: Column) -> Column:
-    """The form under which mentions are one entity: letter case of e-mail addresses does not part them."""
-    return F.when(kind == "email", F.lower(entity)).otherwise(entity)
+    """The form under which mentions are one entity: letter case does not part e-mail addresses or parts of names."""
+    return F.when((kind == "email") | of_name(kind), F.lower(entity)).otherwise(entity)
+
+
+def of_name(kind: Column) -> Column:
+    """Kinds of parts of names: surnames, and given names by gender."""
+    return kind.isin("surname", "given-f", "given-m", "given-n")
 
 
 def _pick(alphabet: str, h: Column) -> Column:
@@ -139,19 +152,12 @@ def _syllables(seed: Column, n: Column) -> Column:
     return F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), n - 1), syllable), ""))
 
 
-def _name(entity: Column, key: str, draw: Column) -> Column:
-    """Title, given name and surname: each part hashed alone, so that parts of a name stay the same across mentions."""
-    title = F.regexp_extract(entity, rf"^(?:{_TITLES})\.? ", 0)
-    words = F.split(F.regexp_replace(entity, rf"^(?:{_TITLES})\.? ", ""), " ")
-    gender = F.when(title.rlike(f"^(?:{'|'.join(FEMALE)})[. ]"), "f").when(title.rlike(f"^(?:{'|'.join(MALE)})[. ]"), "m").otherwise("n")
-
-    def word(w: Column, i: Column) -> Column:
-        given = (F.size(words) == 2) & (i == 0)
-        seed = F.concat_ws("|", F.lit(key), F.when(given, gender).otherwise("s"), w, draw.cast("string"))
-        latin = F.concat(_syllables(seed, F.least(F.lit(16), draw + 2)), F.when(~given, "r").when(gender == "f", "na").when(gender == "m", "ro").otherwise("ne"))
-        return F.when(w.rlike(r"^[\p{IsLatin}'’-]+$"), latin).otherwise(_drawn(w, seed))
-
-    return F.concat(title, F.array_join(F.transform(words, word), " "))
+def _name(entity: Column, kind: Column, seed: Column, draw: Column) -> Column:
+    """A surname, or a given name of its gender; Latin ones get a syllable more with every further drawing."""
+    ending = F.when(kind == "surname", "r").when(kind == "given-f", "na").when(kind == "given-m", "ro").otherwise("ne")
+    latin = F.concat(_syllables(seed, F.least(F.lit(16), draw + 2)), ending)
+    more = F.repeat(F.substr(entity, F.length(entity), F.lit(1)), F.greatest(draw - F.lit(SAME_LENGTH - 1), F.lit(0)))
+    return F.when(entity.rlike(r"^\p{IsLatin}+$"), latin).otherwise(_drawn(F.initcap(F.concat(entity, more)), seed))
 
 
 def surrogate(entity: Column, kind: Column, key: str, draw: Column) -> Column:
@@ -161,7 +167,7 @@ def surrogate(entity: Column, kind: Column, key: str, draw: Column) -> Column:
     # A form that is too narrow for all its entities gets longer with every further drawing.
     more = F.repeat(F.lit("0"), F.greatest(draw - F.lit(SAME_LENGTH - 1), F.lit(0)))
     body = F.substr(entity, F.length(head) + 1)
-    body = F.when(kind.isin("phone", "ssn", "card"), F.concat(body, more)).otherwise(F.concat(more, body))
+    body = F.when(kind.isin("phone", "ssn", "card", "number"), F.concat(body, more)).otherwise(F.concat(more, body))
     drawn = _drawn(body, seed)
     secret = F.when(body.rlike(r"^[0-9A-Fa-f]+[\"']?$"), _hex_only(drawn)).otherwise(drawn)
     # The part after the last dot of an address stays; its other labels are drawn by themselves, so that hosts keep together.
@@ -182,25 +188,26 @@ def surrogate(entity: Column, kind: Column, key: str, draw: Column) -> Column:
         .when(kind == "ip", F.array_join(octets, "."))
         .when(kind == "card", card)
         .when(kind == "iban", iban)
-        .when(kind == "name", _name(entity, key, draw))
+        .when(of_name(kind), _name(entity, kind, seed, draw))
         .when(kind == "secret", F.concat(head, secret))
         .otherwise(F.concat(head, drawn))
     )
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """``kind, entity, surrogate``: all distinct within a kind, and none an entity itself."""
+    """``kind, entity, surrogate``: all distinct within a kind (within all parts of names), and none an entity itself."""
     entities = written(entities.select("kind", "entity").distinct(), "pii-entities")
+    family = F.when(of_name(F.col("kind")), "name").otherwise(F.col("kind")).alias("family")
     left = entities.withColumn("draw", F.lit(0))
     done: DataFrame | None = None
     for draw in range(DRAWS):
         drawn = written(left.withColumn("surrogate", surrogate(F.col("entity"), F.col("kind"), key, F.col("draw"))), "pii-drawn")
-        taken = entities.select("kind", F.col("entity").alias("surrogate"))
+        taken = entities.select(family, F.col("entity").alias("surrogate"))
         if done is not None:
-            taken = taken.union(done.select("kind", canonical(F.col("surrogate"), F.col("kind")))).distinct()
+            taken = taken.union(done.select(family, canonical(F.col("surrogate"), F.col("kind")))).distinct()
         same = canonical(F.col("surrogate"), F.col("kind"))
-        first = drawn.groupBy("kind", same.alias("surrogate")).agg(F.min("entity").alias("entity"))
-        first = first.join(taken, ["kind", "surrogate"], "left_anti").select("kind", "entity").withColumn("_won", F.lit(True))
+        first = drawn.groupBy(family, same.alias("surrogate")).agg(F.min(F.struct("kind", "entity")).alias("first"))
+        first = first.join(taken, ["family", "surrogate"], "left_anti").select("first.*", F.lit(True).alias("_won"))
         marked = written(drawn.join(first, ["kind", "entity"], "left"), "pii-marked")
         won = marked.where("_won").select("kind", "entity", "surrogate")
         done = won if done is None else written(done.union(won), "pii-surrogates")
@@ -210,20 +217,73 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     raise RuntimeError(f"surrogates still meet after {DRAWS} draws")
 
 
-def bare_names(named: DataFrame) -> DataFrame:
-    """``row, known, pattern`` of rows whose names have a title: their words with surrogates, and a pattern of these words.
+def name_parts(names: DataFrame) -> DataFrame:
+    """``row, at, pos, gap, part, kind, entity`` of titled names ``row, at, entity``: a row for every run of letters.
+
+    ``gap`` is what stands before it. A single letter before an apostrophe belongs to the form and has no kind. The gender of a
+    given name after a neutral title is the one that other titles tell in the same document, else in all documents.
+    """
+    body = names.select("row", "at", F.regexp_extract("entity", _TITLE, 0).alias("title"), F.regexp_replace("entity", _TITLE, "").alias("body"))
+    letters = r"\p{L}+"
+    body = body.select(
+        "row",
+        "at",
+        "title",
+        F.regexp_extract_all("body", F.lit(letters), F.lit(0)).alias("parts"),
+        F.split("body", letters, -1).alias("gaps"),
+        F.when(F.contains("body", F.lit(" ")), F.size(F.split(F.substring_index("body", " ", 1), letters, -1)) - 1).otherwise(0).alias("given"),
+    )
+    told = F.when(F.col("title").rlike(f"^(?:{'|'.join(FEMALE)})[. ]"), "f").when(F.col("title").rlike(f"^(?:{'|'.join(MALE)})[. ]"), "m")
+    parts = body.select("row", "at", "title", "gaps", "given", told.alias("told"), F.posexplode("parts").alias("pos", "part"))
+    kept = (F.length("part") == 1) & F.get("gaps", F.col("pos") + 1).rlike("^['’]")
+    parts = parts.select(
+        "row",
+        "at",
+        "pos",
+        F.when(F.col("pos") == 0, F.col("title")).otherwise(F.get("gaps", "pos")).alias("gap"),
+        "part",
+        "told",
+        F.when(kept, None).when(F.col("pos") < F.col("given"), "given").otherwise("surname").alias("kind"),
+        F.lower("part").alias("entity"),
+    )
+    parts = written(parts, "pii-parts")
+    votes = parts.where("kind = 'given'").groupBy("row", "entity").agg(F.count_if(F.col("told") == "f").alias("f"), F.count_if(F.col("told") == "m").alias("m"))
+    votes = written(votes, "pii-genders")
+    most = F.when((F.col("f") >= F.col("m")) & (F.col("f") > 0), "f").when(F.col("m") > 0, "m")
+    here = votes.select("row", "entity", most.alias("here"))
+    there = votes.groupBy("entity").agg(F.sum("f").alias("f"), F.sum("m").alias("m")).select("entity", most.alias("there"))
+    given = parts.where("kind = 'given'").join(here, ["row", "entity"]).join(there, "entity")
+    given = given.withColumn("kind", F.concat(F.lit("given-"), F.coalesce("told", "here", "there", F.lit("n"))))
+    columns = ["row", "at", "pos", "gap", "part", "kind", "entity"]
+    return given.select(columns).union(parts.where("kind is null or kind <> 'given'").select(columns))
+
+
+def _cased(surrogate: Column, like: Column) -> Column:
+    """A part of a name in capitals gets a surrogate in capitals."""
+    return F.when(like.rlike(r"^\p{Lu}{2,}$"), F.upper(surrogate)).otherwise(surrogate)
+
+
+def bare_names(found: DataFrame, known: DataFrame) -> DataFrame:
+    """``row, bare, n_bare``: the capitalised words of every gap between a row's entities, with surrogates for known parts of names.
 
-    Words of one or two Latin letters are left out: as words they are too common.
+    Words of one or two Latin letters are left as they are, and so are words at the beginning of a sentence that the same
+    document also has in lower case. Words meet names by a join on row and word, so cost is linear in both. A part that is both
+    given name and surname there takes the smaller surrogate.
     """
-    title = rf"^(?:{_TITLES})\.? "
-    old, new = (F.split(F.regexp_replace(c, title, ""), " ") for c in ("entity", "surrogate"))
-    word = named.where("kind = 'name'").select("row", F.explode(F.arrays_zip(old.alias("old"), new.alias("new"))).alias("w"))
-    word = word.where((F.length("w.old") > 2) | ~F.col("w.old").rlike(r"^[\p{IsLatin}'’-]+$"))
-    one = word.groupBy("row", F.col("w.old").alias("old")).agg(F.min("w.new").alias("new"))
-    known = one.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("old", "new"))).alias("known"))
-    # Longer words first: no shorter one may take their beginning.
-    words = F.reverse(F.array_sort(F.transform(F.map_keys("known"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))))
-    return known.withColumn("pattern", F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.transform(words, lambda x: x["w"]), "|"), F.lit(r")(?!\p{L})")))
+    titled = found.where(F.exists("entities", lambda e: e.rlike(_TITLE)))
+    lower = titled.select("row", F.explode(F.array_distinct("lower")).alias("entity"), F.lit(True).alias("lower"))
+    known = known.where((F.length("entity") > 2) | ~F.col("entity").rlike(r"^\p{IsLatin}+$"))
+    known = known.groupBy("row", "entity").agg(F.min("surrogate").alias("surrogate")).join(lower, ["row", "entity"], "left")
+    gaps = titled.select("row", F.posexplode("words").alias("gap", "words"))
+    words = gaps.select("row", "gap", F.posexplode_outer("words").alias("pos", "found"))
+    word = F.regexp_extract("found", r"\p{L}+$", 0)
+    words = words.select("row", "gap", "pos", word.alias("word"), F.lower(word).alias("entity"), F.col("found").rlike(rf"^{_BEGIN}").alias("begins"))
+    new = F.when(~(F.col("begins") & F.col("lower").isNotNull()), _cased(F.col("surrogate"), F.col("word")))
+    words = words.join(known, ["row", "entity"], "left").select("row", "gap", "pos", "word", new.alias("new"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("new", "word").alias("new")))))
+    of_gap = words.groupBy("row", "gap").agg(listed.alias("words"), F.count("new").alias("n"))
+    of_row = of_gap.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("gap", F.col("words.new").alias("new")))).alias("bare"), F.sum("n").alias("n_bare"))
+    return of_row.select("row", F.col("bare.new").alias("bare"), "n_bare")
 
 
 def replace_private(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,35 +295,46 @@ def replace_private(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
     mentions by two plain shuffles, which Spark splits where they are skewed.
     """
     row = F.unhex(F.sha2(F.concat_ws("|", F.col(id_col).cast("string"), F.length(text_col).cast("string"), F.col(text_col)).cast("binary"), 256))
+    text = F.col(text_col)
+    # Only texts with a title have names to look for between their entities.
+    titled = text.rlike(rf"(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}")
+    opened = F.transform(F.split(text, PATTERN, -1), lambda p, i: F.when(i == 0, F.concat(F.lit(". "), p)).otherwise(p))
+    words = F.transform(opened, lambda p: F.regexp_extract_all(p, F.lit(f"{_BEGIN}?{WORD}"), F.lit(0)))
+    begun = F.transform(F.regexp_extract_all(F.concat(F.lit(". "), text), F.lit(_BEGIN + WORD), F.lit(0)), lambda w: F.lower(F.regexp_extract(w, r"\p{L}+$", 0)))
+    lower = F.array_intersect(begun, F.split(text, r"[^\p{L}]+"))
     # Written before it is filtered: a filter on top would be pushed below and extract again.
-    found = written(docs.select(row.alias("row"), entities_in(F.col(text_col)).alias("entities")), "pii-found")
-    found = found.where(F.size("entities") > 0).dropDuplicates(["row"])
+    found = docs.select(row.alias("row"), entities_in(text).alias("entities"), F.when(titled, words).alias("words"), F.when(titled, lower).alias("lower"))
+    found = written(found, "pii-found").where(F.size("entities") > 0).dropDuplicates(["row"])
     one = found.select("row", F.posexplode("entities").alias("at", "entity"))
     one = one.withColumn("kind", kind_of(F.col("entity")))
     one = written(one.withColumn("entity", canonical(F.col("entity"), F.col("kind"))), "pii-mentions")
-    named = written(one.join(surrogates(one, key), ["kind", "entity"]), "pii-named")
+    parts = written(name_parts(one.where("kind = 'name'")), "pii-names")
+    others = one.where("kind <> 'name'")
+    made = surrogates(others.select("kind", "entity").union(parts.where("kind is not null").select("kind", "entity")), key)
+    parts = written(parts.join(made, ["kind", "entity"], "left"), "pii-named")
+    spelt = F.concat("gap", F.coalesce(_cased(F.col("surrogate"), F.col("part")), F.col("part"))).alias("spelt")
+    names = parts.groupBy("row", "at").agg(F.array_sort(F.collect_list(F.struct("pos", spelt))).alias("parts"))
+    mentions = others.join(made, ["kind", "entity"]).select("row", "at", "surrogate").union(names.select("row", "at", F.array_join("parts.spelt", "")))
     # A document's own mentions are bounded by its length.
-    of_row = named.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "surrogate"))).alias("new"))
-    of_row = of_row.join(bare_names(named), "row", "left").select("row", F.col("new.surrogate").alias("new"), "known", "pattern")
-    of_row = written(of_row, "pii-rows")
+    of_row = mentions.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "surrogate"))).alias("new"))
+    bare = bare_names(found, parts.where("surrogate is not null").select("row", "entity", "surrogate"))
+    of_row = written(of_row.join(bare, "row", "left").select("row", F.col("new.surrogate").alias("new"), "bare", "n_bare"), "pii-rows")
 
     # Every row is joined, so no pattern scan tells rows apart here; only rows with entities are split. Merged at every
     # size: rows are shuffled once, in proportion to the input, with or without personal data.
     rest = docs.drop("n_replaced")
-    own = {c: f"{c}_{'_' * max(map(len, rest.columns))}" for c in ("row", "new", "known", "pattern", "parts", "bare")}  # longer than any column of theirs
+    own = {c: f"{c}_{'_' * max(map(len, rest.columns))}" for c in ("row", "new", "bare", "n_bare", "parts")}  # longer than any column of theirs
     joined = rest.withColumn(own["row"], row).join(of_row.withColumnsRenamed({c: own[c] for c in of_row.columns}).hint("merge"), own["row"], "left")
-    new, known, pattern, parts, bare = (F.col(own[c]) for c in ("new", "known", "pattern", "parts", "bare"))
-    between = F.when(new.isNotNull(), F.split(F.col(text_col), PATTERN, -1))
-    joined = joined.withColumn(own["parts"], between)
-    joined = joined.withColumn(own["bare"], F.when(pattern.isNotNull(), F.transform(parts, lambda p: F.regexp_extract_all(p, pattern, F.lit(0)))))
+    new, bare, n_bare, between = (F.col(own[c]) for c in ("new", "bare", "n_bare", "parts"))
+    joined = joined.withColumn(own["parts"], F.when(new.isNotNull(), F.split(text, PATTERN, -1)))
 
     def filled(gaps: Column, values: Column) -> Column:
         return F.array_join(F.zip_with(gaps, values, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
-    renamed = F.zip_with(parts, bare, lambda p, ws: filled(F.split(p, pattern, -1), F.transform(ws, lambda w: F.element_at(known, w))))
-    text = F.when(new.isNull(), F.col(text_col)).otherwise(filled(F.coalesce(renamed, parts), new))
-    count = F.when(new.isNull(), 0).otherwise(F.size(new) + F.coalesce(F.size(F.flatten(bare)), F.lit(0))).cast("long")
-    return joined.withColumn("n_replaced", count).withColumn(text_col, text).select(*rest.columns, "n_replaced")
+    renamed = F.when(bare.isNotNull(), F.zip_with(between, bare, lambda p, ws: filled(F.split(p, WORD, -1), ws)))
+    clean = F.when(new.isNull(), text).otherwise(filled(F.coalesce(renamed, between), new))
+    count = F.when(new.isNull(), 0).otherwise(F.size(new) + F.coalesce(n_bare, F.lit(0))).cast("long")
+    return joined.withColumn("n_replaced", count).withColumn(text_col, clean).select(*rest.columns, "n_replaced")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str, key: str = "surrogates") -> DataFrame:

@@ -130,6 +130,47 @@ def test_private_names_without_titles(spark):
     assert "O'Neil" not in got[3].text and re.match(r"Mrs (\S+)'s dog\. \1 ran\.", got[3].text)
 
 
+def test_private_names_are_entities_by_parts(spark):
+    """One surname has one surrogate whatever stands around it, and no two share one."""
+    n = 4000
+    surname = ["".join("bcdfghjkmn"[int(c)] + "aeiou"[int(c) % 5] for c in f"{i:04d}").capitalize() for i in range(n)]
+    texts = [f"we met Mr {x} there" if i % 2 else f"we met Dr {x} and later Mr {x} and {x} and MR {x.upper()}, Mr {x.upper()}" for i, x in enumerate(surname)]
+    out = [r.text.split() for r in pii.replace_private(docs(spark, list(enumerate(texts))), "k").orderBy("doc_id").collect()]
+    new = [w[3] for w in out]
+    assert len(set(new)) == n and not set(new) & set(surname)
+    assert all(w[7] == w[9] == w[3] and w[12] == w[3].upper() + "," and w[14] == w[3].upper() for w in out[::2])
+
+
+def test_private_names_keep_form_and_gender(spark):
+    texts = ["Prof Ana O'Brien-Smith and Mr Brien met; then Ana and Smith left.", "here Mrs Ana Lee spoke", "with Dr Kim Lee", "Mr Will said so. Will it rain? It will, said Will."]
+    out = [r.text for r in pii.replace_private(docs(spark, list(enumerate(texts))), "k").orderBy("doc_id").collect()]
+    first = re.fullmatch(r"Prof (\w+na) O'(\w+r)-(\w+r) and Mr (\w+) met; then (\w+) and (\w+) left\.", out[0])
+    assert first and first[2] == first[4] and first[1] == first[5] and first[3] == first[6]
+    lee = re.fullmatch(r"here Mrs (\w+) (\w+) spoke", out[1])
+    kim = re.fullmatch(r"with Dr (\w+ne) (\w+)", out[2])
+    assert lee[1] == first[1] and lee[2] == kim[2]
+    will = re.fullmatch(r"Mr (\w+r) said so\. Will it rain\? It will, said (\w+)\.", out[3])
+    assert will and will[1] == will[2]
+
+
+def test_private_numbers_told_by_a_word(spark):
+    texts = ["SSN: 123456789 and ssn 123456789", "passport no. AB1234567 of 2020", "call 555 123 4567 now", "in 123456789 cases", "1 555 123 4567 8 of them"]
+    out = [r.text for r in pii.replace_private(docs(spark, list(enumerate(texts))), "k").orderBy("doc_id").collect()]
+    same = re.fullmatch(r"SSN: (\d{9}) and ssn (\d{9})", out[0])
+    assert same and same[1] == same[2] != "123456789"
+    assert re.fullmatch(r"passport no\. [A-Z]{2}\d{7} of 2020", out[1]) and out[1] != texts[1]
+    assert re.fullmatch(r"call \d{3} \d{3} \d{4} now", out[2]) and out[2] != texts[2]
+    assert out[3:] == texts[3:]
+
+
+def test_private_names_of_a_long_document(spark):
+    names = ["".join("bcdfghjkmn"[int(c)] + "aeiou"[int(c) % 5] for c in f"{i:04d}").capitalize() for i in range(3000)]
+    text = " ".join(f"then Mr {x} came, and {names[(7 * i) % 3000]} too." for i, x in enumerate(names))
+    got = pii.replace_private(docs(spark, [(1, text)]), "k").collect()[0]
+    words = re.findall(r"Mr (\w+) came, and (\w+) too", got.text)
+    assert got.n_replaced == 6000 and [b for _, b in words] == [words[(7 * i) % 3000][0] for i in range(3000)]
+
+
 def test_private_columns_of_any_name(spark):
     df = docs(spark, [(1, "x@y.org"), (2, "none")]).withColumns({c: F.lit("mine") for c in ("row", "new", "_new", "_row", "entities", "known", "parts")})
     out = pii.replace_private(df, "k")
