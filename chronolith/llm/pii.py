@@ -22,6 +22,7 @@ MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Don")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Doña")
 NEUTRAL = ("Dr", "Prof", "Professor")
 _TITLES = "|".join(MALE + FEMALE + NEUTRAL)
+_INITIALS = "".join(sorted({t[0] for t in MALE + FEMALE + NEUTRAL}))
 _PART = r"\p{Lu}\p{L}{0,40}+(?:['’]\p{Lu}\p{L}{0,40}+)?"
 _NAME = rf"{_PART}(?:-{_PART})?"
 #: Kind and pattern, the first that matches an entity names its kind. All but names and what follows a keyword start
@@ -48,9 +49,8 @@ KINDS = {
 def _pattern() -> str:
     """One pattern for all kinds, in their order; cheap checks of a character spare most places the rest."""
     digits = "|".join(KINDS[k] for k in ("phone", "ip", "ssn", "card"))
-    start = rf"(?=[0-9A-Za-z._%+(-])(?<![0-9A-Za-z])(?:{_BARE}|{KINDS['email']}|{KINDS['iban']}|(?=[A-Z\d]){_TOLD}{KINDS['number']}|(?=[\d+(])(?:{digits}))"
-    initials = "".join(sorted({t[0] for t in MALE + FEMALE + NEUTRAL}))
-    return f"(?=[aApPsStT]){_KEYED}|{start}|(?=[{initials}]){KINDS['name']}"
+    start = rf"(?=[0-9A-Za-z._%+(-])(?<![0-9A-Za-z])(?:{_BARE}|{KINDS['email']}|{KINDS['iban']}|(?=[A-Z]{{0,2}}\d{{6}}){_TOLD}{KINDS['number']}|(?=[\d+(])(?:{digits}))"
+    return f"(?=[aApPsStT]){_KEYED}|{start}|(?=[{_INITIALS}]){KINDS['name']}"
 
 
 PATTERN = _pattern()
@@ -297,7 +297,7 @@ def replace_private(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
     row = F.unhex(F.sha2(F.concat_ws("|", F.col(id_col).cast("string"), F.length(text_col).cast("string"), F.col(text_col)).cast("binary"), 256))
     text = F.col(text_col)
     # Only texts with a title have names to look for between their entities.
-    titled = text.rlike(rf"(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}")
+    titled = text.rlike(rf"(?=[{_INITIALS}])(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}")
     opened = F.transform(F.split(text, PATTERN, -1), lambda p, i: F.when(i == 0, F.concat(F.lit(". "), p)).otherwise(p))
     words = F.transform(opened, lambda p: F.regexp_extract_all(p, F.lit(f"{_BEGIN}?{WORD}"), F.lit(0)))
     begun = F.transform(F.regexp_extract_all(F.concat(F.lit(". "), text), F.lit(_BEGIN + WORD), F.lit(0)), lambda w: F.lower(F.regexp_extract(w, r"\p{L}+$", 0)))
