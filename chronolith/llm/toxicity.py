@@ -1,11 +1,13 @@
 """Toxicity by a string-kernel support vector machine with Nyström landmarks.
 
 The kernel counts common subsequences of characters, with a decay for every character they span, so
-an insult still matches when characters are inserted or left between. A sentence is compared with a
-landmark by its best word, in powers of the kernel; landmarks are strings that tell labelled toxic
+an insult still matches when characters are inserted or left between. A word is compared with marks
+of its beginning and end, as a string may be an insult only where a word begins. A sentence is
+compared with a landmark by its best word, in powers of the kernel; landmarks are strings that tell labelled toxic
 documents from others, and the Nyström map whitens their kernel matrix. The machine is trained on the
 sentences of labelled documents: of a toxic document, those that the last round finds worst. A
-document's score is its worst sentence's, made a probability.
+document's score is a probability from its strongest words: what one leaves open, a second one of
+its kind decides.
 """
 
 from __future__ import annotations
@@ -23,15 +25,19 @@ from pyspark.sql import functions as F
 from .common import batches_of, id_remainder, sample_by_hash, table, worker_slot, written
 
 #: Labelled documents of each class that are learned from, chosen by the hash of their id, and their characters at most.
-SAMPLE, LONGEST_TEXT = 700, 100_000
+SAMPLE, LONGEST_TEXT = 1000, 100_000
 #: Length of the subsequences, decay of each character they span, and the kernel's power.
 ORDER, DECAY, POWER = 4, 0.75, 3
 #: Landmarks at most, the lengths of their strings, and rounds of training.
 LANDMARKS, SHORTEST, LONGEST, ROUNDS = 64, 4, 8, 4
 #: A landmark's share of toxic documents, weighted by what earlier landmarks leave open, exceeds so many times its share of clean ones, by so much.
-CLEANER, WORTH = 15, 0.015
-#: Characters of a word that are compared at once; longer ones slide by half of it.
-WORD = 24
+CLEANER, WORTH = 5, 0.003
+#: Places in a document at which a string counts, each for its part of one; and the strongest words a score is made of.
+PLACES = 3
+#: Characters of a word that are compared at once, its marks included; longer ones slide by half of it.
+WORD = 26
+#: Marks of a word's beginning and end; with them, words of two letters have a subsequence of the kernel's order.
+BEGIN, FINISH = "\x02", "\x03"
 #: Least kernel value that counts.
 FAINT = 0.02
 THRESHOLD = 0.7
@@ -73,8 +79,11 @@ def codes(strings: list[str], width: int, pad: int) -> np.ndarray:
 
 
 def units(chunk: str) -> list[str]:
-    """A word without punctuation at its edges, in windows if it is long."""
+    """A word without punctuation at its edges and with its marks, in windows if it is long."""
     word = EDGES.sub("", chunk)
+    if not word:
+        return []
+    word = BEGIN + word + FINISH
     if len(word) <= WORD:
         return [word] if len(word) >= ORDER else []
     return [word[i : i + WORD] for i in range(0, len(word) - WORD // 2, WORD // 2)]
@@ -162,8 +171,8 @@ class Words:
             self.used += 1
             self.bytes += self.values.itemsize * self.values.shape[1]
 
-    def sentences(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Pooled kernel values of the sentences that have any, and the number of the text of each."""
+    def sentences(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Pooled kernel values of the sentences that have any and the number of the text of each; rows of words likewise."""
         split = [[chunks_of(s) for s in SENTENCE.split(t.lower())] for t in texts]
         if self.bytes > self.LIMIT:
             self._clear()
@@ -177,8 +186,10 @@ class Words:
                     of.append(k)
                     rows += found
         if not rows:
-            return np.zeros((0, len(self.landmarks.strings)), np.float32), np.zeros(0, np.int64)
-        return np.maximum.reduceat(self.values[rows], starts, axis=0), np.array(of)
+            none = np.zeros(0, np.int64)
+            return np.zeros((0, len(self.landmarks.strings)), np.float32), none, none, none
+        of, rows = np.array(of), np.array(rows)
+        return np.maximum.reduceat(self.values[rows], starts, axis=0), of, rows, np.repeat(of, np.diff([*starts, len(rows)]))
 
 
 def chunks_of(sentence: str) -> list[str]:
@@ -197,53 +208,84 @@ def chunks_of(sentence: str) -> list[str]:
 
 
 class Model:
-    def __init__(self, landmarks: list[str], weights: np.ndarray, bias: float, slope: float, shift: float) -> None:
-        self.landmarks, self.weights, self.bias, self.slope, self.shift = landmarks, weights, bias, slope, shift
+    def __init__(self, landmarks: list[str], weights: np.ndarray, bias: float, slopes: np.ndarray, shift: float) -> None:
+        self.landmarks, self.weights, self.bias, self.slopes, self.shift = landmarks, weights, bias, slopes, shift
 
     def scores(self, texts: list[str], words: Words) -> np.ndarray:
-        worst = np.full(len(texts), self.bias)
-        for part in batches_of(texts):
-            x, of = words.sentences(texts[part])
-            if len(of):
-                np.maximum.at(worst, part.start + of, x @ self.weights + self.bias)
-        return 1.0 / (1.0 + np.exp(-np.clip(self.slope * worst + self.shift, -30, 30)))
+        out = [strongest(words, texts[part], self.weights, self.bias) @ self.slopes for part in batches_of(texts)]
+        return 1.0 / (1.0 + np.exp(-np.clip(np.concatenate([*out, np.zeros(0)]) + self.shift, -30, 30)))
+
+
+def strongest(words: Words, texts: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
+    """By text, decisions of its PLACES strongest words, each the worst of its sentence or next to it; of nothing, the bias."""
+    out = np.full((len(texts), PLACES), bias)
+    _, _, rows, of_row = words.sentences(texts)
+    if len(rows):
+        value = (words.values[: words.used] @ weights + bias)[rows]
+        order = np.lexsort((-value, of_row))
+        value, of_row = value[order], of_row[order]
+        first = np.searchsorted(of_row, of_row)
+        rank = np.arange(len(of_row)) - first
+        on = rank < PLACES
+        out[of_row[on], rank[on]] = np.maximum(value[on], bias)
+    return out
 
 
 def choose_landmarks(texts: list[str], toxic: np.ndarray) -> list[str]:
     """Strings that toxic documents hold and others do not, each new one worth most where the earlier ones say least."""
-    of_word: dict[str, set[str]] = {}
-    docs = []
-    for t in texts:
-        own: set[str] = set()
-        for c in set(t.lower().split()):
-            if c not in of_word:
-                of_word[c] = {w[i : i + k] for w in units(c) for k in range(SHORTEST, LONGEST + 1) for i in range(len(w) - k + 1)}
-            own |= of_word[c]
-        docs.append(own)
-    clean = Counter(s for own, y in zip(docs, toxic, strict=True) if not y for s in own)
-    bad = [own for own, y in zip(docs, toxic, strict=True) if y]
-    n_bad, n_clean = len(bad), len(docs) - len(bad)
-    count = Counter(s for own in bad for s in own)
+    known: dict[str, list[str]] = {}
+
+    def held(text: str) -> Counter[str]:
+        """At how many words the text holds each string; of all strings, as long as no candidates are known."""
+        own: Counter[str] = Counter()
+        for c, n in Counter(text.lower().split()).items():
+            if (found := known.get(c)) is None:
+                found = list({w[i : i + k] for w in units(c) for k in range(SHORTEST, LONGEST + 1) for i in range(len(w) - k + 1)})
+                if candidates is not None:
+                    known[c] = found = [s for s in found if s in candidates]
+            for s in found:
+                own[s] += n
+        return own
+
+    candidates: set[str] | None = None
+    toxic_texts = [t for t, y in zip(texts, toxic, strict=True) if y]
+    n_bad, n_clean = len(toxic_texts), len(texts) - len(toxic_texts)
     least = max(3, n_bad // 200)
-    candidates = {s for s, n in count.items() if n >= least and n / n_bad > CLEANER * clean[s] / n_clean}
-    bad = [own & candidates for own in bad]
+    count: Counter[str] = Counter()
+    for t in toxic_texts:
+        count.update(held(t).keys())
+    candidates = {s for s, n in count.items() if n >= least}
+    clean: Counter[str] = Counter()
+    for t, y in zip(texts, toxic, strict=True):
+        if not y:
+            for s, n in held(t).items():
+                clean[s] += min(n, PLACES)
+    clean = {s: clean[s] / PLACES for s in candidates}
+    bad = [{s: min(n, PLACES) / PLACES for s, n in held(t).items()} for t in toxic_texts]
+    worth = dict.fromkeys(candidates, 0.0)
+    for own in bad:
+        for s, n in own.items():
+            worth[s] += n
+    worth = {s: w for s, w in worth.items() if w / n_bad > CLEANER * clean[s] / n_clean}
+    bad = [{s: n for s, n in own.items() if s in worth} for own in bad]
     holders: dict[str, list[int]] = {}
     for i, own in enumerate(bad):
         for s in own:
             holders.setdefault(s, []).append(i)
     weight = np.ones(n_bad)
-    worth = {s: float(len(h)) for s, h in holders.items()}
     chosen: list[str] = []
     while worth and len(chosen) < LANDMARKS:
-        best = max(worth, key=lambda s: (worth[s] / n_bad - CLEANER * clean[s] / n_clean, len(s), s))
+        # Of strings worth the same, one without marks, as it is also met inside other words.
+        best = max(worth, key=lambda s: (worth[s] / n_bad - CLEANER * clean[s] / n_clean, BEGIN not in s and FINISH not in s, len(s), s))
         if worth[best] / n_bad - CLEANER * clean[best] / n_clean < WORTH:
             break
         chosen.append(best)
         for i in holders[best]:
-            for s in bad[i]:
+            met = weight[i] * bad[i][best] / 2
+            for s, n in bad[i].items():
                 if s in worth:
-                    worth[s] -= weight[i] / 2
-            weight[i] /= 2
+                    worth[s] -= n * met
+            weight[i] -= met
         for s in [s for s in worth if s in best or best in s or _overlap(s, best)]:
             del worth[s]
     return chosen
@@ -259,11 +301,14 @@ def train(texts: list[str], toxic: np.ndarray, weight_toxic: float = 1.0, weight
     toxic = np.asarray(toxic, bool)
     if toxic.all() or not toxic.any():
         p = 0.0 if not toxic.any() else 1.0
-        return Model([], np.zeros(0), 0.0, 0.0, 30.0 * (2 * p - 1))
+        return Model([], np.zeros(0), 0.0, np.zeros(PLACES), 30.0 * (2 * p - 1))
     strings = choose_landmarks(texts, toxic)
     marks = Landmarks(strings)
     words = Words(marks)
-    x, of = words.sentences(texts)
+    x, of, rows, of_row = words.sentences(texts)
+    # Words of a document stand beside its sentences, as one insult is enough, whatever words it is always met with.
+    alone = np.unique(np.c_[of_row, rows], axis=0)
+    x, of = np.r_[x, words.values[alone[:, 1]]], np.r_[of, alone[:, 0]]
     value, vector = np.linalg.eigh(marks.gram) if strings else (np.zeros(0), np.zeros((0, 0)))
     whiten = (vector / np.sqrt(np.maximum(value, 1e-3))) @ vector.T  # the Nyström map
     z = np.c_[x @ whiten, np.ones(len(x))]
@@ -283,11 +328,8 @@ def train(texts: list[str], toxic: np.ndarray, weight_toxic: float = 1.0, weight
         np.maximum.at(worst, of, out)
         keep = (y < 0) | (out >= worst[of] - 1e-9) | (out > 0)  # of a toxic document its worst sentences speak
     weights, bias = whiten @ w[:-1], float(w[-1])
-    out = np.full(len(texts), bias)
-    if len(of):
-        np.maximum.at(out, of, z @ w)
-    slope, shift = platt(out, toxic, np.where(toxic, weight_toxic, weight_clean))
-    return Model(strings, weights, bias, slope, shift)
+    slopes, shift = platt(strongest(words, texts, weights, bias), toxic, np.where(toxic, weight_toxic, weight_clean))
+    return Model(strings, weights, bias, slopes, shift)
 
 
 def squared_hinge(z: np.ndarray, y: np.ndarray, clean: float = 1.0, c: float = 10.0) -> np.ndarray:
@@ -306,22 +348,41 @@ def squared_hinge(z: np.ndarray, y: np.ndarray, clean: float = 1.0, c: float = 1
     return w
 
 
-def platt(out: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logistic curve over decisions, with softened targets."""
+def platt(out: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes, none below 0, and shift of the logistic curve over decisions, with softened targets.
+
+    The first decision speaks where all say the same, so that a document with one insult is as toxic as those learned from.
+    """
     n1, n0 = weight[toxic].sum(), weight[~toxic].sum()
     target = np.where(toxic, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    a, b = 1.0, float(np.log((n1 + 1) / (n0 + 1)))
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a * out + b, -30, 30)))
-        g = np.array([(weight * (p - target) * out).sum(), (weight * (p - target)).sum()])
-        h = weight * p * (1 - p)
-        m = np.array([[(h * out * out).sum() + 1e-3, (h * out).sum()], [(h * out).sum(), h.sum() + 1e-3]])
-        step = np.linalg.solve(m, g)
-        step *= min(1.0, 5 / max(np.abs(step).max(), 1e-12))
-        a, b = max(a - step[0], 0.1), b - step[1]
-        if np.abs(step).max() < 1e-7:
-            break
-    return float(a), float(b)
+    x = np.c_[out, np.ones(len(out))]
+    ridge = np.full(x.shape[1], 0.1)
+    ridge[[0, -1]] = 1e-3
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((weight * (np.logaddexp(0, z) - target * z)).sum() + 0.5 * (ridge * w * w).sum())
+
+    on = np.ones(x.shape[1], bool)
+    while True:
+        w = np.zeros(x.shape[1])
+        w[-1] = np.log((n1 + 1) / (n0 + 1))
+        for _ in range(100):  # Newton's method; a step that does not lower the loss is halved
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+            h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(ridge)
+            g = x.T @ (weight * (p - target)) + ridge * w
+            step = np.zeros(len(w))
+            step[on] = np.linalg.solve(h[np.ix_(on, on)], g[on])
+            before = loss(w)
+            while np.abs(step).max() > 1e-9 and loss(w - step) > before:
+                step /= 2
+            w = w - step
+            if np.abs(step).max() < 1e-7:
+                break
+        least = int(np.argmin(w[:-1]))
+        if w[least] >= 0:
+            return w[:-1], float(w[-1])
+        on[least] = False
 
 
 def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
