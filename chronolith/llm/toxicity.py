@@ -38,8 +38,8 @@ PLACES = 3
 WORD = 26
 #: Marks of a word's beginning and end; with them, words of two letters have a subsequence of the kernel's order.
 BEGIN, FINISH = "\x02", "\x03"
-#: Least kernel value that counts.
-FAINT = 0.02
+#: Least kernel value that counts, and pairs of strings that are compared at once.
+FAINT, PAIRS = 0.02, 8192
 THRESHOLD = 0.7
 
 SENTENCE = re.compile(r"[.!?]+\s+|\n+")
@@ -113,8 +113,21 @@ class Landmarks:
         return m
 
     def values(self, words: list[str]) -> np.ndarray:
+        """By word and landmark; a word's marks match nothing in landmarks that have none, and are left out there."""
         out = np.zeros((len(words), len(self.strings)), np.float32)
-        if not words or not self.strings:
+        marked = np.array([BEGIN in s or FINISH in s for s in self.strings], bool)
+        bare = [w.strip(BEGIN + FINISH) for w in words]
+        long_ = np.array([i for i, w in enumerate(bare) if len(w) >= ORDER], np.int64)
+        distinct = list(dict.fromkeys(bare[i] for i in long_))
+        at = {w: i for i, w in enumerate(distinct)}
+        if len(long_):
+            out[long_] = self._values(distinct, ~marked)[[at[bare[i]] for i in long_]]
+        out[:, marked] = self._values(words, marked)[:, marked]
+        return out
+
+    def _values(self, words: list[str], among: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(words), len(self.strings)), np.float32)
+        if not words or not among.any():
             return out
         masks = np.array([self._mask(w) for w in words], np.uint64)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -124,12 +137,12 @@ class Landmarks:
             common = np.bitwise_count(masks[part][:, None] & self.masks[None, :])
             need = np.minimum(self.least, np.bitwise_count(self.masks))
             lost = np.array([len(set(s)) for s in self.strings]) - np.bitwise_count(self.masks)
-            w, z = np.nonzero(common + lost[None, :] >= need[None, :])
+            w, z = np.nonzero((common + lost[None, :] >= need[None, :]) & among[None, :])
             if not len(w):
                 continue
             own = codes([words[i] for i in part], int(sizes[part[-1]]), -1)
-            for at in range(0, len(w), 8192):
-                ws, zs = w[at : at + 8192], z[at : at + 8192]
+            for at in range(0, len(w), PAIRS):
+                ws, zs = w[at : at + PAIRS], z[at : at + PAIRS]
                 width = max(len(self.strings[k]) for k in set(zs.tolist()))
                 out[part[ws], zs] = np.minimum(string_kernel(own[ws], self.codes[zs][:, :width]) / self.own[zs], 1.0) ** POWER
         out[out < FAINT] = 0
