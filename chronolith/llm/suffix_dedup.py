@@ -2,8 +2,9 @@
 
 Equal windows have equal minimizers (the least hash of the grams they hold), so the minimizer decides which shard settles a window:
 
-1. Runs of windows with one minimizer are fingerprinted, and only those whose minimizer occurs elsewhere are candidates. Windows of
-   minimizers that very many chunks hold are counted once more by the hash of the whole window, so that a common line
+1. Runs of windows with one minimizer are fingerprinted by it and what surely stands beside it in the window, to the left or to the
+   right, as a phrase of some words alone makes no repeat. Only runs whose print occurs elsewhere are candidates. Windows of
+   prints that very many chunks hold are counted once more by the hash of the whole window, so that a common line
    between differing neighbours does not draw all of these into one shard.
 2. The stretches of text that candidate runs cover go to the shard of their minimizer. A task sends equal stretches once, for the
    earliest place; the others are settled there.
@@ -33,7 +34,7 @@ WINDOW, GRAM = 100, 24
 CHUNK, SEGMENT, SEND, PART = 4_000_000, 1 << 20, 24_000_000, 12 << 20
 #: Shards for each partition: where hashes put several into one, each is sorted on its own, and loads even out.
 SHARDS = 4
-#: Chunks that hold a minimizer from which on its windows are counted one by one.
+#: Chunks that hold a print from which on its windows are counted one by one.
 HOT = 48
 _BASE = 0x9E3779B97F4A7C17
 
@@ -70,47 +71,69 @@ def sliding_least(h: np.ndarray, w: int) -> np.ndarray:
 
 
 class Runs:
-    """Runs of windows of some texts that share a minimizer: the text of each, where it starts, its windows and its minimizer.
+    """Runs of windows of some texts that share a minimizer and a print: the text of each, where it starts, its windows, minimizer and print.
 
-    ``texts`` are few enough to be hashed at once; a text that is longer than a segment is cut into segments from its own start, so that
-    its runs are the same in whatever company it comes.
+    A window's minimizer is the first of its least grams. Its print is of the minimizer and what is left of it, if the minimizer lies
+    far enough from the window's start, or else of what is right of it; so equal windows have equal prints. Runs that follow one
+    another with one minimizer have one ``family``. ``texts`` are few enough to be hashed at once; a text that is longer than a segment
+    is cut into segments from its own start, so that its runs are the same in whatever company it comes.
     """
 
+    #: Low bits of a gram's hash that its place in the segment takes, so that the first of the least grams is found with the least.
+    PLACE = np.uint64((1 << 21) - 1)
+
     def __init__(self, texts: list[bytes], window: int, gram: int) -> None:
-        found: list[list[np.ndarray]] = [[], [], [], [], []]
+        found: list[list[np.ndarray]] = [[], [], [], [], [], [], []]
+        beside = (window - gram) // 2
+        families = 0
         for lo, hi, begin, data in self._segments(texts, window):
             # begin: where in the segment each text begins, and its end; of a part of one text: where in it the segment begins.
             h = gram_hashes(data, gram)
             if len(h) < window - gram + 1:
                 continue
-            least = sliding_least(h, window - gram + 1)
+            key = sliding_least(h & ~self.PLACE | np.arange(len(h), dtype=np.uint64), window - gram + 1)
+            place = (key & self.PLACE).astype(np.int64)
+            key &= ~self.PLACE
+            side = place - np.arange(len(place)) >= beside
+            head = np.concatenate([[True], key[1:] != key[:-1]])  # of a family
+            edge = np.concatenate([[True], (place[1:] != place[:-1]) | (side[1:] != side[:-1])])
             if hi == lo + 1:
-                at = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-                text, start = np.full(len(at), lo), at + begin[0]
-                size = np.diff(np.append(at, len(least)))
+                of = None
+            else:
+                of = np.repeat(np.arange(hi - lo), np.diff(begin))[: len(key)]
+                inside = np.arange(len(key)) + window <= begin[of + 1]
+                head = inside & (head | np.concatenate([[True], of[1:] != of[:-1]]))
+                edge &= inside
+            at = np.flatnonzero(head | edge)
+            prints = self._prints(h, place[at], side[at], gram, beside)
+            new = np.concatenate([[True], prints[1:] != prints[:-1]])[: len(at)] | head[at]
+            at, prints = at[new], prints[new]
+            if of is None:
+                text, start, end = np.full(len(at), lo), at + begin[0], np.full(len(at), len(key))
             else:
-                of = np.repeat(np.arange(hi - lo), np.diff(begin))[: len(least)]
-                inside = np.arange(len(least)) + window <= begin[of + 1]
-                new = inside & np.concatenate([[True], (least[1:] != least[:-1]) | (of[1:] != of[:-1])])
-                at = np.flatnonzero(new)
-                text, start = of[at] + lo, at - begin[of[at]]
-                size = np.minimum(np.append(at[1:], len(least)), begin[of[at] + 1] - window + 1) - at
-            for k, x in enumerate((text, start, size, least[at], self._twice(h, least, at, size))):
+                text, start, end = of[at] + lo, at - begin[of[at]], begin[of[at] + 1] - window + 1
+            size = np.minimum(np.append(at[1:], len(key)), end) - at
+            family = np.cumsum(head[at]) - 1
+            first = np.flatnonzero(head[at])
+            last = np.append(first[1:], len(at)) - 1
+            # A family that holds its minimizer at several places may repeat itself.
+            twice = place[at[last] + size[last] - 1] > place[at[first]]
+            for k, x in enumerate((text, start, size, family + families, mixed(key[at]), prints, twice[family])):
                 found[k].append(x)
-        self.text, self.start, self.size = (np.concatenate([np.empty(0, np.int64), *x]).astype(np.int64) for x in found[:3])
-        self.twice = np.concatenate([np.empty(0, bool), *found[4]])
-        self.least = np.concatenate([np.empty(0, np.uint64), *found[3]])
+            families += len(first)
+        self.text, self.start, self.size, self.family = (np.concatenate([np.empty(0, np.int64), *x]).astype(np.int64) for x in found[:4])
+        self.least, self.prints = (np.concatenate([np.empty(0, np.uint64), *x]) for x in found[4:6])
+        self.twice = np.concatenate([np.empty(0, bool), *found[6]])
         self.first = np.searchsorted(self.text, np.arange(len(texts) + 1))
 
     @staticmethod
-    def _twice(h: np.ndarray, least: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Which runs hold their minimizer twice, in the first window or by one that comes in later: they may repeat themselves."""
-        w = len(h) - len(least) + 1
-        if not len(at):
-            return np.empty(0, bool)
-        out = np.concatenate([(np.lib.stride_tricks.sliding_window_view(h, w)[at[k : k + 4096]] == least[at[k : k + 4096], None]).sum(axis=1) > 1 for k in range(0, len(at), 4096)])
-        comes = np.cumsum(h[w - 1 :] == least)
-        return out | (comes[at + size - 1] > comes[at])
+    def _prints(h: np.ndarray, place: np.ndarray, left: np.ndarray, gram: int, beside: int) -> np.ndarray:
+        """Hashes of ``beside`` bytes and the gram to their right (``left``), or of the gram and as many bytes right of it, from those of grams."""
+        begin = np.where(left, place - beside, place)
+        out = left.astype(np.uint64)
+        for at in [*range(0, beside, gram), beside]:
+            out = out * np.uint64(_BASE) + h[begin + at]
+        return mixed(out)
 
     @staticmethod
     def _segments(texts: list[bytes], window: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -166,7 +189,7 @@ def chunk_prints(chunk: int, ids: np.ndarray, keys: np.ndarray, first: np.ndarra
 
 
 def run_prints(parts: int, window: int, gram: int) -> Callable:
-    """Of chunks of texts: the minimizer of every run."""
+    """Of chunks of texts: the print of every run."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         release()
@@ -175,7 +198,7 @@ def run_prints(parts: int, window: int, gram: int) -> Callable:
             texts = encoded(b.pop("text"))
             for part in byte_batches(texts, CHUNK):
                 runs = Runs(texts[part], window, gram)
-                yield chunk_prints((task << 32) | number, b["id"].to_numpy(np.int64)[part], b["key"].to_numpy(np.int64)[part], runs.first, runs.least, parts, runs.twice)
+                yield chunk_prints((task << 32) | number, b["id"].to_numpy(np.int64)[part], b["key"].to_numpy(np.int64)[part], runs.first, runs.prints, parts, runs.twice)
                 number += 1
 
     return run
@@ -288,11 +311,14 @@ def stretches(shards: int, parts: int, window: int, gram: int) -> Callable:
                     hot = unpacked(hots[i]) if hots[i] is not None else own[:0]
                     at = runs.first[k] + np.setdiff1d(own, hot)
                     start, count, least, twice = runs.start[at], runs.size[at], runs.least[at], runs.twice[at]
+                    if len(at):  # what follows one another in a family is one stretch
+                        new = np.flatnonzero(np.concatenate([[True], (start[1:] != start[:-1] + count[:-1]) | (runs.family[at[1:]] != runs.family[at[:-1]])]))
+                        start, count, least, twice = start[new], np.add.reduceat(count, new), least[new], twice[new]
                     if len(hot) and windows[i] is not None:
                         w, of = hot_windows(runs, k, hot)
                         kept = unpacked(windows[i])
                         w, of = w[kept], of[kept]
-                        new = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1] + 1) | (of[1:] != of[:-1])]))
+                        new = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1] + 1) | (runs.family[of[1:]] != runs.family[of[:-1]])]))
                         start, count, least = np.append(start, w[new]), np.append(count, np.diff(np.append(new, len(w)))), np.append(least, runs.least[of[new]])
                         twice = np.append(twice, runs.twice[of[new]])
                     shard = ((least >> np.uint64(20)) % np.uint64(shards)).tolist()

@@ -213,6 +213,20 @@ def test_runs_of_long_texts(monkeypatch, passages):
             assert alone.size.sum() == max(0, len(t) - 99) and (runs.twice[own] == alone.twice).all()
 
 
+def test_runs_of_phrases():
+    """A phrase too short for a repeat gives texts a minimizer in common, but no print; a longer passage gives both."""
+    rng = np.random.default_rng(9)
+    for size, met in ((45, False), (160, True)):
+        both = 0
+        for _ in range(20):
+            texts = [bytes(rng.integers(97, 123, 300).astype(np.uint8)) for _ in range(2)]
+            phrase = bytes(rng.integers(97, 123, size).astype(np.uint8))
+            a, b = (suffix_dedup.Runs([t[:150] + phrase + t[150:]], 100, 24) for t in texts)
+            both += len(np.intersect1d(a.least, b.least))
+            assert (len(np.intersect1d(a.prints, b.prints)) > 0) == met
+        assert both
+
+
 def test_repeats_of_nothing(spark):
     assert suffix_dedup.drop_repeats(spark.createDataFrame([], DOCS)).count() == 0
 
