@@ -39,7 +39,7 @@ WORD = 26
 #: Marks of a word's beginning and end; with them, words of two letters have a subsequence of the kernel's order.
 BEGIN, FINISH = "\x02", "\x03"
 #: Least kernel value that counts, and pairs of strings that are compared at once.
-FAINT, PAIRS = 0.02, 8192
+FAINT, PAIRS = 0.02, 512
 THRESHOLD = 0.7
 
 SENTENCE = re.compile(r"[.!?]+\s+|\n+")
@@ -51,30 +51,32 @@ def string_kernel(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay: float
 
     ``s`` pads with -1 and ``t`` with -2. Follows the recursion of Lodhi et al. (2002), over all pairs at once.
     """
-    n, a = s.shape
-    b = t.shape[1]
-    before = np.ones((a + 1, b + 1, n))  # K'_0
-    total = np.zeros(n)
-    for k in range(1, order + 1):
-        now = np.zeros((a + 1, b + 1, n))
-        if k == order:
-            for i in range(1, a + 1):
-                for j in range(1, b + 1):
-                    total += before[i - 1, j - 1] * (s[:, i - 1] == t[:, j - 1])
-            return total * decay * decay
-        for i in range(1, a + 1):
-            run = np.zeros(n)  # K''_k
-            for j in range(1, b + 1):
-                run = decay * run + decay * decay * before[i - 1, j - 1] * (s[:, i - 1] == t[:, j - 1])
-                now[i, j] = decay * now[i - 1, j] + run
-        before = now
-    return total
+    same = (s.T[:, None, :] == t.T[None, :, :]).astype(np.float64)  # by place in s, place in t, and pair
+    if not len(s) or min(same.shape[:2]) < order:
+        return np.zeros(len(s))
+    square = decay * decay
+    run = same * square
+    for k in range(1, order):
+        # Subsequences of k characters, by where they may still end: K'_k. Sums over t's places give K''_k, over those of s then K'_k.
+        for j in range(1, run.shape[1]):
+            run[:, j] += decay * run[:, j - 1]
+        for i in range(1, len(run)):
+            run[i] += decay * run[i - 1]
+        run = run[:-1, :-1] * same[k:, k:]
+        run *= square
+    return run.reshape(-1, len(s)).sum(axis=0)
+
+
+def letters(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all strings, one after another, and the length of each."""
+    points = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return points, np.fromiter(map(len, strings), np.int64, len(strings))
 
 
 def codes(strings: list[str], width: int, pad: int) -> np.ndarray:
+    points, sizes = letters(strings)
     out = np.full((len(strings), width), pad, np.int32)
-    for row, s in zip(out, strings, strict=True):
-        row[: len(s)] = [ord(c) for c in s]
+    out[np.arange(width) < sizes[:, None]] = points
     return out
 
 
@@ -97,20 +99,35 @@ class Landmarks:
         self.codes = codes(strings, max([LONGEST, *map(len, strings)]), -2)
         other = np.where(self.codes == -2, -1, self.codes)
         self.own = string_kernel(other, self.codes)
-        self.letters = [self._mask(s) for s in strings]
-        # Any ORDER characters of a landmark hold at least so many different ones: words that share fewer have kernel 0.
-        self.least = np.array([max(1, len(set(s)) - (len(s) - ORDER)) for s in strings])
-        self.masks = np.array(self.letters, np.uint64)
         a, b = np.meshgrid(np.arange(len(strings)), np.arange(len(strings)), indexing="ij")
         gram = string_kernel(other[a.ravel()], self.codes[b.ravel()]).reshape(len(strings), -1) if strings else np.zeros((0, 0))
         self.gram = (gram / np.sqrt(np.outer(self.own, self.own))) ** POWER
 
     @staticmethod
-    def _mask(s: str) -> int:
-        m = 0
-        for c in s:
-            m |= 1 << (ord(c) * 2654435761 % 2**32 >> 26)
-        return m
+    def _slots(points: np.ndarray) -> np.ndarray:
+        """One of 64 slots for each letter."""
+        return (points.astype(np.uint64) * np.uint64(2654435761) % np.uint64(2**32) >> np.uint64(26)).astype(np.int64)
+
+    def _counts(self, strings: list[str]) -> np.ndarray:
+        """How many letters of each string fall into each slot."""
+        points, sizes = letters(strings)
+        at = np.repeat(np.arange(len(strings)) * 64, sizes) + self._slots(points)
+        return np.bincount(at, minlength=64 * len(strings)).reshape(-1, 64)
+
+    def _most(self, words: list[str], among: np.ndarray) -> np.ndarray:
+        """By word and landmark of these, what the kernel cannot exceed: every choice of a landmark's letters is spelt by the word as often
+        as its letters' counts allow, each time without a gap."""
+        count = np.concatenate([self._counts(words), np.zeros((len(words), 1), np.int64)], axis=1).astype(np.float64)
+        slots = np.where(self.codes >= 0, self._slots(self.codes), 64)[among]  # of padding: none
+        total = np.zeros((len(words), len(slots)))
+        held = [np.zeros_like(total) for _ in range(ORDER)]  # choices of so many letters, decayed to the place
+        held[0] += 1.0
+        for slot in slots.T:
+            n = count[:, slot]
+            total += held[-1] * n
+            for k in range(ORDER - 1, 0, -1):
+                held[k] = DECAY * (held[k] + held[k - 1] * n)
+        return total * DECAY ** (1 + ORDER)
 
     def values(self, words: list[str]) -> np.ndarray:
         """By word and landmark; a word's marks match nothing in landmarks that have none, and are left out there."""
@@ -129,17 +146,14 @@ class Landmarks:
         out = np.zeros((len(words), len(self.strings)), np.float32)
         if not words or not among.any():
             return out
-        masks = np.array([self._mask(w) for w in words], np.uint64)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(sizes, kind="stable")
+        least = FAINT ** (1 / POWER) * (1 - 1e-6) * self.own  # what is less counts as 0
         for part in np.array_split(order, -(-len(order) // 2000)):
-            # Letters may share a bit of the mask; then a word may seem to share fewer letters, so shared bits count for the landmark's own bits.
-            common = np.bitwise_count(masks[part][:, None] & self.masks[None, :])
-            need = np.minimum(self.least, np.bitwise_count(self.masks))
-            lost = np.array([len(set(s)) for s in self.strings]) - np.bitwise_count(self.masks)
-            w, z = np.nonzero((common + lost[None, :] >= need[None, :]) & among[None, :])
+            w, z = np.nonzero(self._most([words[i] for i in part], among) >= least[among])
             if not len(w):
                 continue
+            z = np.flatnonzero(among)[z]
             own = codes([words[i] for i in part], int(sizes[part[-1]]), -1)
             for at in range(0, len(w), PAIRS):
                 ws, zs = w[at : at + PAIRS], z[at : at + PAIRS]

@@ -111,3 +111,22 @@ def test_a_second_word_decides():
     model = toxicity.train([t for _, t, _ in rows], np.array([y for *_, y in rows]))
     p = model.scores(["the zwackel house", "the zwackel house. of zwackels, zwackel"], toxicity.Words(toxicity.Landmarks(model.landmarks)))
     assert p[1] >= toxicity.THRESHOLD > p[0]
+
+
+def test_kernel_only_where_it_may_count(monkeypatch):
+    """Values are those of all pairs, letter by letter, and most pairs that share some letters are never compared."""
+    rng = np.random.default_rng(3)
+    landmarks = ["idiot", "trash", "worthles", "aabbaa", toxicity.BEGIN + "scum", "loser" + toxicity.FINISH]
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(n))) for n in rng.integers(2, 15, 1500)]
+    words = random_ = [toxicity.BEGIN + w + toxicity.FINISH for w in words]
+    near = [w[:k] + x + w[k + j :] for w in ("idiot", "trash", "worthless", "aabbaabb", "scum", "loser") for k in range(len(w)) for x in ("", "i", "ss") for j in (0, 1)]
+    words = random_ + [toxicity.BEGIN + w + toxicity.FINISH for w in [*near, "i.d.i.o.t", "iiddiioott", "wrothles", "", "ab", "🙂" * 9]]
+    marks, pairs, kernel = toxicity.Landmarks(landmarks), [], toxicity.string_kernel
+    own = toxicity.codes(words, 22, -1)
+    want = np.array([kernel(own, np.repeat(marks.codes[[k]], len(words), 0)) / marks.own[k] for k in range(len(landmarks))]).T
+    want = np.minimum(want, 1.0) ** toxicity.POWER
+    want[want < toxicity.FAINT] = 0
+    assert np.abs(marks.values(words) - want).max() < 1e-6 and (want > 0).sum() > 100
+    monkeypatch.setattr(toxicity, "string_kernel", lambda s, t: pairs.append(len(s)) or kernel(s, t))
+    marks.values(random_)
+    assert sum(pairs) < 0.08 * len(random_) * len(landmarks)
