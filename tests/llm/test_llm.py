@@ -130,6 +130,20 @@ def test_packing(spark, odd):
     assert packing.pack(docs(spark, []), tokenizer).count() == 0
 
 
+def test_new_words_of_packing(monkeypatch):
+    """Latin words go to the tokenizer's model alone, all others through the whole tokenizer; the ids are the library's."""
+    tok = packing.Tokens(packing.word_tokenizer())
+    letters = [chr(c) for c in range(0x250) if not chr(c).isspace()]
+    texts = [" ".join(a + "é" + b for a, b in zip(letters, reversed(letters), strict=True)), " ".join(letters), "".join(letters)]
+    texts += ["Straße, l'été — qu'il N'EST 3½²x; ÀÉÎ ŒUVRE ǅ İSTANBUL ſ K Å", "e\u0301te\u0301 été 日本語 мир 🙂🙂 a\u00adb \x00\x07\x7f", "don''t '' 's'll<|x|>", ""]
+    whole, met = tok._plain, []
+    want = whole(texts)
+    monkeypatch.setattr(tok, "_plain", lambda words: met.extend(words) or whole(words))
+    assert [tok.encode([t])[0] for t in texts] == want
+    assert not any(max(w) < "\u0250" for w in met if w not in texts) and {"日本語", "мир"} <= set(met)
+
+
+
 def test_best_two_fit_uses_all_lengths():
     lengths = np.random.default_rng(1).integers(1, 100, 500)
     used = Counter()
