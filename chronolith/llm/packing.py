@@ -12,6 +12,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import filterfalse
 from unicodedata import is_normalized
 
 import numpy as np
@@ -107,8 +108,8 @@ def byte_letters() -> dict[int, int]:
 class Tokens:
     """Ids of texts by a public byte-level tokenizer whose pre-tokens never hold white space; chunks are remembered, in bounded memory."""
 
-    #: Bytes of each of two memories.
-    LIMIT = 100_000_000
+    #: Bytes of the memory of chunks and words.
+    LIMIT = 200_000_000
     #: Letters below this one are composed, and lowered alike by all; words of them are what the tokenizer's model gets.
     BEYOND_LATIN = "\u0250"
     LETTERS = byte_letters()
@@ -128,7 +129,7 @@ class Tokens:
         # space, and the letter whose lower case Python chooses by its place in a word.
         self.odd = [*(t.content for t in self.tokenizer.get_added_tokens_decoder().values()), "\x1c", "\x1d", "\x1e", "\x1f", "Σ"]
         self.words = regex.compile(self.WORDS)
-        self.of_chunk, self.of_word = Memo(self.LIMIT), Memo(self.LIMIT)
+        self.memo = Memo(self.LIMIT)
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -150,29 +151,38 @@ class Tokens:
         return out
 
     def _learn(self, chunks: list[str]) -> None:
-        """Chunks by their words, so that punctuation around a word makes nothing new; composed characters only."""
-        self.of_word.tidy()
-        split = {c: [c] if c.isascii() and c.isalpha() or not is_normalized("NFC", c) else self.words.findall(c) for c in chunks}
-        new = list({w for own in split.values() for w in own if w not in self.of_word})
-        self.of_word.learn(new, self._of_words(new))
-        get = self.of_word.__getitem__
-        self.of_chunk.learn(list(split), [get(own[0]) if len(own) == 1 else b"".join(map(get, own)) for own in split.values()])
+        """Chunks by their words, so that punctuation around a word makes nothing new; composed characters only.
+
+        A word by itself is a chunk like any other, so both are remembered together.
+        """
+        memo, new, split = self.memo, set(), {}
+        for c in chunks:
+            if not c.isascii():
+                own = self.words.findall(c) if is_normalized("NFC", c) else [c]
+            elif c.isalpha():
+                own = [c]
+            elif (head := c[:-1]).isalpha() and not c[-1].isalnum():  # the most common kind
+                own = [head, c[-1]]
+            else:
+                own = self.words.findall(c)
+            if own == [c]:
+                new.add(c)
+            else:
+                split[c] = own
+                new.update([w for w in own if w not in memo])
+        words = list(new)
+        memo.learn(words, self._of_words(words))
+        memo.learn(list(split), [b"".join(map(memo.__getitem__, own)) for own in split.values()])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        self.of_chunk.tidy()
-        get, new, found = self.of_chunk.get, set(), []
+        self.memo.tidy()
+        new, split = set(), []
         for text in texts:
-            if any(map(text.__contains__, self.odd)):
-                found.append((self._plain([text]), None))
-                continue
-            chunks = text.lower().split()
-            ids = list(map(get, chunks))
-            if missing := None in ids:
-                new.update(c for c, i in zip(chunks, ids, strict=True) if i is None)
-            found.append((ids, chunks if missing else None))
+            split.append(chunks := None if any(map(text.__contains__, self.odd)) else text.lower().split())
+            new.update(filterfalse(self.memo.__contains__, chunks or ()))
         self._learn(list(new))
-        get = self.of_chunk.__getitem__
-        return [b"".join(ids if chunks is None else map(get, chunks)) for ids, chunks in found]
+        get = self.memo.__getitem__
+        return [self._plain([text])[0] if chunks is None else b"".join(map(get, chunks)) for text, chunks in zip(texts, split, strict=True)]
 
 
 def tokens(path: str) -> Tokens:
