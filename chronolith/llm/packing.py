@@ -110,6 +110,8 @@ class Tokens:
 
     #: Bytes of the memory of chunks and words.
     LIMIT = 200_000_000
+    #: Characters of texts that are looked up at once: so few that what the first look met is still at hand for the second.
+    STEP = 50_000
     #: Letters below this one are composed, and lowered alike by all; words of them are what the tokenizer's model gets.
     BEYOND_LATIN = "\u0250"
     LETTERS = byte_letters()
@@ -175,6 +177,9 @@ class Tokens:
         memo.learn(list(split), [b"".join(map(memo.__getitem__, own)) for own in split.values()])
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        return [ids for part in batches_of(texts, self.STEP) for ids in self._encode(texts[part])]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         self.memo.tidy()
         new, split = set(), []
         for text in texts:
