@@ -158,28 +158,28 @@ query("payload_due", f"{_LOG}, f AS (SELECT key, count(*) AS failures, max(l.t)
 # --- degrees and statistics from what changed --------------------------------------------------
 
 
-def _versions(s: SparkSession, d: str) -> tuple[GraphStore, DataFrame, int, int]:
+def _versions(s: SparkSession, d: str) -> tuple[GraphStore, int, int]:
     """Edges in two versions: first without those of every third customer or order, then with these and without sevenths."""
     out, e = GraphStore(s, shared_path(s, "versions"), 16), edges(s, d)
     number = F.substring_index("src", ":", -1).cast("long")
-    first = e.where(number % 3 != 0)
     tx = out.begin()
-    tx.merge("edges", first)
+    tx.merge("edges", e.where(number % 3 != 0))
     one = tx.commit()
     tx = out.begin()
     tx.merge("edges", e.where(number % 3 == 0))
     tx.delete("edges", e.where(number % 7 == 0))
-    return out, first, one.version, tx.commit().version
+    return out, one.version, tx.commit().version
 
 
 def _degrees(s: SparkSession, d: str) -> DataFrame:
-    out, _, one, two = _versions(s, d)
-    before = incremental.degrees(s.createDataFrame([], "id string, degree long"), incremental.changes(out, "edges", 0, one))
-    return incremental.degrees(before, incremental.changes(out, "edges", one, two))
+    out, one, two = _versions(s, d)
+    before = incremental.degrees(s.createDataFrame([], "id string, degree long"), incremental.signed(out, "edges", 0, one))
+    return incremental.degrees(before, incremental.signed(out, "edges", one, two))
 
 
 def _counts(s: SparkSession, d: str) -> DataFrame:
-    out, first, one, two = _versions(s, d)
+    out, one, two = _versions(s, d)
+    first = edges(s, d).where(F.substring_index("src", ":", -1).cast("long") % 3 != 0)
     before = store.counts(first, "type").select(F.lit("edge_type").alias("metric"), F.col("type").alias("key"), "n").union(first.agg(F.count(F.lit(1)).alias("n")).select(F.lit("edges"), F.lit(""), "n"))
     return incremental.counts(before, incremental.changes(out, "edges", one, two), {"edge_type": "type", "edges": ""})
 

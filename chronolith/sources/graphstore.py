@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ontology import EDGE_FIELDS, NODE_FIELDS
+from ..operators.lineage import released
 
 
 @dataclass(frozen=True)
@@ -53,6 +54,10 @@ TABLES = {
 }
 
 
+#: Of all buckets together, what rows are dealt out by when they are written.
+PARTS = 64
+
+
 class Conflict(RuntimeError):
     """Another writer committed since this transaction began."""
 
@@ -68,22 +73,28 @@ def numbered(rows: DataFrame, table: Table, seq: Column) -> DataFrame:
     return rows.select(*out, F.struct(*(numbers or [F.lit(None).cast("long").alias("none")])).alias("_n"))
 
 
-def folded(rows: DataFrame, table: Table) -> DataFrame:
-    """One row for every key; of equal numbers the greater values count."""
+def folded(rows: DataFrame, table: Table, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row for every key; of equal numbers the greater values count.
+
+    ``by``: columns that follow from the key and are kept. A key that any row marks as ``_gone``, where there is that column, has no row.
+    """
     aggs = []
     if table.first:
         aggs.append(F.min(F.struct(F.col("_n.first").alias("n"), *table.first)).alias("_first"))
     if table.last:
         aggs.append(F.max(F.struct(F.col("_n.last").alias("n"), *table.last)).alias("_last"))
     aggs += [F.expr(f"max(struct(_n.`{c}` as n, `{c}` as v)) filter (where `{c}` is not null)").alias(f"_f_{c}") for c in table.filled]
-    one = rows.groupBy(*table.keys).agg(*aggs) if aggs else rows.select(*table.keys).distinct()
+    if marked := "_gone" in rows.columns:
+        aggs.append(F.max("_gone").alias("_gone"))
+    one = rows.groupBy(*by, *table.keys).agg(*aggs) if aggs else rows.select(*by, *table.keys).distinct()
+    one = one.where("not _gone") if marked else one
 
     def value(c: str) -> Column:
         own = F.col(c) if c in table.keys else F.col(f"_first.{c}") if c in table.first else F.col(f"_last.{c}") if c in table.last else F.col(f"_f_{c}.v")
         return own.alias(c)
 
     numbers = [*([F.col("_first.n").alias("first")] if table.first else []), *([F.col("_last.n").alias("last")] if table.last else []), *(F.col(f"_f_{c}.n").alias(c) for c in table.filled)]
-    return one.select(*map(value, table.columns), F.struct(*(numbers or [F.lit(None).cast("long").alias("none")])).alias("_n"))
+    return one.select(*by, *map(value, table.columns), F.struct(*(numbers or [F.lit(None).cast("long").alias("none")])).alias("_n"))
 
 
 def bucket_of(table: Table, buckets: int) -> Column:
@@ -175,6 +186,7 @@ class Transaction:
 
     def __init__(self, store: GraphStore, base: Manifest) -> None:
         self.store, self.base = store, base
+        self.due: dict[str, set[str]] = {}  # buckets that the commit folds
         self.next = Manifest(base.version + 1, {t: {b: list(s) for b, s in own.items()} for t, own in base.tables.items()}, dict(base.marks))
 
     @property
@@ -182,21 +194,49 @@ class Transaction:
         return self.next.version
 
     def _write(self, name: str, rows: DataFrame, kind: str) -> tuple[str, list[str]]:
-        """A new segment and the buckets that it has."""
+        """A new segment, folded if it is a whole one, and the buckets that it has.
+
+        Rows are dealt out once, by bucket and a part of it, for folding and writing alike. The parts of all buckets are two for
+        every shuffle partition of the session, and PARTS at least, so that tasks are even and follow these and not the number of buckets.
+        """
         table, segment = TABLES[name], f"{name}-{uuid.uuid4().hex}-{kind}"
-        out = rows.withColumn("bucket", bucket_of(table, self.store.buckets)).repartition("bucket").sortWithinPartitions("bucket", *table.keys)
-        out.write.partitionBy("bucket").parquet(f"{self.store.root}/segments/{segment}")
+        parts = -(-max(PARTS, 2 * int(self.store.spark.conf.get("spark.sql.shuffle.partitions"))) // self.store.buckets)
+        part = F.pmod(F.shiftrightunsigned(F.xxhash64(*table.keys), 32), F.lit(parts)).cast("int")
+        out = rows.withColumn("bucket", bucket_of(table, self.store.buckets))
+        if kind == "whole":
+            out = folded(out.withColumn("_part", part).repartition("bucket", "_part"), table, ("bucket", "_part"))
+            out = out.sortWithinPartitions("bucket", "_part", *table.keys).drop("_part")
+        else:  # no column more, so that Spark keeps what observes an empty batch
+            out = out.repartition(F.col("bucket"), part).sortWithinPartitions("bucket", *table.keys)
+        with released(self.store.spark):
+            out.write.partitionBy("bucket").parquet(f"{self.store.root}/segments/{segment}")
         return segment, [n.removeprefix("bucket=") for n in self.store._names(f"segments/{segment}") if n.startswith("bucket=")]
 
+    def _numbered(self, name: str, rows: DataFrame, seq: Column | None) -> DataFrame:
+        local = F.col("seq").cast("long") if "seq" in rows.columns else F.lit(0).cast("long")
+        order = seq if seq is not None else F.lit(self.version << 40) + local
+        return numbered(rows, TABLES[name], order.cast("long"))
+
+    def _fold(self, name: str, todo: list[str], gone: str | None = None) -> None:
+        """Fold buckets into one segment, without the keys of the segment ``gone``."""
+        table, own = TABLES[name], self.next.tables[name]
+        rows = self.store._load([f"{s}/bucket={b}" for b in todo for s in own[b]], table)
+        if gone:
+            keys = self.store._load([f"{gone}/bucket={b}" for b in todo], table)
+            rows = rows.withColumn("_gone", F.lit(False)).unionByName(keys.withColumn("_gone", F.lit(True)))
+        segment, made = self._write(name, rows, "whole")
+        for b in todo:
+            own.pop(b)
+        own.update({b: [segment] for b in made})
+        self.due.get(name, set()).difference_update(todo)
+
     def append(self, name: str, rows: DataFrame, seq: Column | None = None) -> list[str]:
         """Add a batch to its buckets, which are returned; nothing that is stored is read.
 
         ``seq`` is a long that orders values of a key over all batches; by default later versions come after earlier ones, and
         within one the column ``seq`` decides, where there is one.
         """
-        local = F.col("seq").cast("long") if "seq" in rows.columns else F.lit(0).cast("long")
-        order = seq if seq is not None else F.lit(self.version << 40) + local
-        segment, buckets = self._write(name, numbered(rows, TABLES[name], order.cast("long")), "delta")
+        segment, buckets = self._write(name, self._numbered(name, rows, seq), "delta")
         own = self.next.tables.setdefault(name, {})
         for b in buckets:
             own.setdefault(b, []).append(segment)
@@ -207,36 +247,40 @@ class Transaction:
         own = self.next.tables.get(name, {})
         todo = sorted(b for b, s in own.items() if len(s) >= least or (least <= 1 and not s[0].endswith("-whole")))
         if todo:
-            segment, made = self._write(name, self.store.rows(name, self.next, todo), "whole")
-            own.update({b: [segment] for b in made})
+            self._fold(name, todo)
         return todo
 
     def merge(self, name: str, rows: DataFrame, seq: Column | None = None) -> list[str]:
-        """Append a batch and fold the buckets that it touched, and no others."""
-        before = {b: list(s) for b, s in self.next.tables.get(name, {}).items()}
-        buckets = self.append(name, rows, seq)
-        own = self.next.tables[name]
-        segment, _ = self._write(name, self.store.rows(name, self.next, buckets), "whole")
-        own.update({b: [segment] for b in buckets})
-        assert all(own[b] == s for b, s in before.items() if b not in buckets)
+        """Add a batch and fold the buckets that it touched, and no others; returns them.
+
+        Where the table is empty the batch is folded as it is written, else by the commit, or by a deletion before it: batches of
+        one transaction are folded at once.
+        """
+        own = self.next.tables.setdefault(name, {})
+        if own:
+            buckets = self.append(name, rows, seq)
+            self.due.setdefault(name, set()).update(buckets)
+        else:
+            segment, buckets = self._write(name, self._numbered(name, rows, seq), "whole")
+            own.update({b: [segment] for b in buckets})
         return buckets
 
     def replace(self, name: str, rows: DataFrame) -> None:
         """The whole table anew."""
         self.next.tables[name] = {}
-        self.append(name, rows)
+        self.merge(name, rows)
 
     def delete(self, name: str, gone: DataFrame) -> list[str]:
-        """Take out the rows whose keys are in ``gone``; only the buckets of these keys are rewritten. Returns them."""
+        """Take out the rows whose keys are in ``gone``; only the buckets of these keys are rewritten. Returns them.
+
+        The keys are computed once and stored by bucket; they meet the rows while these are folded, in no further shuffle.
+        """
         table, own = TABLES[name], self.next.tables.get(name, {})
-        keys = gone.select(*table.keys).distinct()
-        found = {str(r[0]) for r in keys.select(bucket_of(table, self.store.buckets)).distinct().collect()}  # at most as many as buckets
-        todo = sorted(found & set(own))
+        keys = gone.select(*table.keys).dropna()  # a null equals no key
+        segment, found = self._write(name, numbered(keys, table, F.lit(None).cast("long")), "gone")
+        todo = sorted({*found} & own.keys())
         if todo:
-            segment, made = self._write(name, self.store.rows(name, self.next, todo).join(keys, list(table.keys), "left_anti"), "whole")
-            for b in todo:
-                own.pop(b)
-            own.update({b: [segment] for b in made})
+            self._fold(name, todo, segment)
         return todo
 
     def delete_nodes(self, ids: DataFrame) -> None:
@@ -253,6 +297,9 @@ class Transaction:
         """Put the manifest in place; Conflict if another one of this version is there."""
         if self.store.manifest().version != self.base.version:
             raise Conflict(f"version {self.store.manifest().version} came in between")
+        for name, buckets in self.due.items():
+            if todo := sorted(buckets & self.next.tables.get(name, {}).keys()):
+                self._fold(name, todo)
         fs, path = self.store._path(f"manifests/{self.version:012d}")
         try:
             out = fs.create(path, False)

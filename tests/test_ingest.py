@@ -1,6 +1,7 @@
 """Paged lists, redirects, the log of requests and incremental statistics on small cases."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,3 +127,32 @@ def test_degrees_after_any_batches(spark, tmp_path):
         assert {r.id: r.degree for r in degree.collect()} == want
         own = {t: sum(e[2] == t for e in edges) for t in {e[2] for e in edges}}
         assert {(r.metric, r.key): r.n for r in counts.collect()} == {("edge_type", t): n for t, n in own.items()} | {("edges", ""): len(edges)}
+
+
+def test_signed_rows_are_summed_without_a_shuffle_of_rows(spark, tmp_path):
+    """A transaction that merges and deletes folds once; degrees and counts of signed rows are those of the changes."""
+    out = GraphStore(spark, str(tmp_path / "g"), 4)
+    fields = "src string, dst string, type string, source string, label string"
+    rows = [(f"a:{k % 7}", f"a:{k * k % 11}", "part_of", str(k % 3), "x") for k in range(60)] + [("a:1", "a:1", "related_to", "s", "loop")]
+    tx = out.begin()
+    tx.merge("edges", spark.createDataFrame(rows[:30], fields))
+    tx.commit()
+    tx = out.begin()
+    tx.merge("edges", spark.createDataFrame([(*r[:4], "y") for r in rows[20:]], fields))
+    tx.delete("edges", spark.createDataFrame([(*r[:4], "") for r in rows[10:50:3]], fields))
+    tx.commit()
+    kinds = Counter(n.rpartition("-")[2] for n in out._names("segments"))
+    assert kinds == {"whole": 2, "delta": 1, "gone": 1}
+    none, keys = spark.createDataFrame([], "id string, degree long"), {"edges": "", "edge_type": "type"}
+    start = spark.createDataFrame([], "metric string, key string, n long")
+    got = {}
+    for of in (incremental.signed, incremental.changes):
+        degree = incremental.degrees(incremental.degrees(none, of(out, "edges", 0, 1)), of(out, "edges", 1, 2))
+        counts = incremental.counts(incremental.counts(start, of(out, "edges", 0, 1), keys), of(out, "edges", 1, 2), keys)
+        got[of] = {tuple(r) for r in degree.collect()}, {tuple(r) for r in counts.collect()}
+    edges = {(r.src, r.dst, r.type, r.source) for r in out.read("edges").collect()}
+    assert edges == {r[:4] for r in rows} - {r[:4] for r in rows[10:50:3]}
+    want = Counter(x for e in edges for x in {e[0], e[1]})
+    assert got[incremental.signed] == got[incremental.changes] and got[incremental.signed][0] == set(want.items())
+    plan = incremental.degrees(none, incremental.signed(out, "edges", 1, 2))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "label" not in plan
