@@ -179,9 +179,9 @@ def _degrees(s: SparkSession, d: str) -> DataFrame:
 
 def _counts(s: SparkSession, d: str) -> DataFrame:
     out, one, two = _versions(s, d)
-    first = edges(s, d).where(F.substring_index("src", ":", -1).cast("long") % 3 != 0)
-    before = store.counts(first, "type").select(F.lit("edge_type").alias("metric"), F.col("type").alias("key"), "n").union(first.agg(F.count(F.lit(1)).alias("n")).select(F.lit("edges"), F.lit(""), "n"))
-    return incremental.counts(before, incremental.changes(out, "edges", one, two), {"edge_type": "type", "edges": ""})
+    keys = {"edge_type": "type", "edges": ""}
+    before = incremental.counts(s.createDataFrame([], "metric string, key string, n long"), incremental.signed(out, "edges", 0, one), keys)
+    return incremental.counts(before, incremental.signed(out, "edges", one, two), keys)
 
 
 _LEFT = "left_ AS (SELECT * FROM edges WHERE split_part(src, ':', 2)::BIGINT % 7 <> 0)"

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronolith.operators import incremental, redirects
+from chronolith.plans import ingested
 from chronolith.plans.view import literal
 from chronolith.sources import heritage, payload_log
 from chronolith.sources.graphstore import GraphStore
@@ -156,3 +157,9 @@ def test_signed_rows_are_summed_without_a_shuffle_of_rows(spark, tmp_path):
     assert got[incremental.signed] == got[incremental.changes] and got[incremental.signed][0] == set(want.items())
     plan = incremental.degrees(none, incremental.signed(out, "edges", 1, 2))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "label" not in plan
+
+
+def test_counts_begin_with_the_stored_version(spark):
+    """The view of the tables is computed for each batch, and not again for the counts before it."""
+    plan = ingested._counts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "o_orderkey" not in plan
