@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ontology import EDGE_FIELDS, NODE_FIELDS
-from ..operators.lineage import released
+from ..operators.lineage import cut, released
 
 
 @dataclass(frozen=True)
@@ -285,7 +285,7 @@ class Transaction:
 
     def delete_nodes(self, ids: DataFrame) -> None:
         """Take out nodes (id) with their edges and aliases; identity links stay."""
-        ids = ids.select("id").distinct()
+        ids = cut(ids.select("id").distinct())
         edges = self.store.rows("edges", self.next)
         touched = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").select(*TABLES["edges"].keys).unionByName(edges.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*TABLES["edges"].keys))
         aliases = self.store.rows("aliases", self.next).join(ids.withColumnRenamed("id", "node_id"), "node_id", "left_semi")

@@ -70,6 +70,38 @@ def test_versions_buckets_and_deletes(spark, tmp_path):
         store.manifest(99)
 
 
+def test_deletions_compute_their_keys_once(spark, tmp_path):
+    """Keys are computed once however many buckets they are in; null keys equal none; untouched buckets stay; what goes is written no more."""
+    store = GraphStore(spark, str(tmp_path / "g"), 8)
+    fields = "src string, dst string, type string, source string, label string"
+    rows = [(f"a:{k}", f"b:{k % 5}", "part_of", "s", "x") for k in range(40)] + [(None, "b:9", "part_of", "s", "x")]
+    tx = store.begin()
+    tx.merge("edges", spark.createDataFrame(rows, fields))
+    tx.merge("nodes", spark.createDataFrame([(f"a:{k}", "person", "x", "s") for k in range(40)] + [("b:1", "place", "x", "s")], "id string, type string, label string, source string"))
+    tx.merge("aliases", spark.createDataFrame([("b:1", "n"), ("a:1", "m")], "node_id string, alias string"))
+    before = tx.commit()
+    assert all(n.endswith("-whole") for n in store._names("segments"))
+    tx, seen = store.begin(), spark.sparkContext.accumulator(0)
+
+    def key(r):
+        seen.add(1)
+        return r
+
+    gone = [("a:1", "b:1", "part_of", "s"), ("a:2", "b:2", "part_of", "s"), (None, "b:9", "part_of", "s"), ("z:1", "b:1", "part_of", "s")]
+    todo = tx.delete("edges", spark.createDataFrame(spark.sparkContext.parallelize(gone, 2).map(key), "src string, dst string, type string, source string"))
+    after = tx.commit()
+    assert seen.value == len(gone)
+    assert {b for b, s in before.tables["edges"].items() if after.tables["edges"].get(b) != s} <= set(todo) and len(todo) <= 3
+    assert {r.src for r in store.read("edges").collect()} == {r[0] for r in rows} - {"a:1", "a:2"}
+    seen.value = 0
+    tx = store.begin()
+    tx.delete_nodes(spark.createDataFrame(spark.sparkContext.parallelize([("b:1",), ("a:4",)], 1).map(key), "id string"))
+    tx.commit()
+    assert seen.value == 2
+    assert {(r.src, r.dst) for r in store.read("edges").collect()} == {r[:2] for r in rows if r[1] != "b:1" and r[0] not in ("a:2", "a:4")}
+    assert {r.node_id for r in store.read("aliases").collect()} == {"a:1"} and store.read("nodes").count() == 39
+
+
 def test_only_touched_buckets_are_rewritten(spark, tmp_path):
     store = GraphStore(spark, str(tmp_path / "g"), 32)
     many = spark.range(400).select(F.concat(F.lit("a:"), F.col("id")).alias("id"), F.lit("person").alias("type"), F.lit("x").alias("label"), F.lit("s").alias("source"))
