@@ -73,16 +73,27 @@ def neighbors(nodes: DataFrame, edges: DataFrame, same_as: DataFrame, node_id: s
     return Subgraph(nodes.join(seen, "id", "left_semi"), kept.select(*edges.columns), inside(same, "a", "b").distinct(), truncated)
 
 
-def expand(seeds: DataFrame, edges: DataFrame, same_as: DataFrame, hops: int = 1) -> DataFrame:
-    """Seeds (id) and all within ``hops`` steps, identity links included."""
+def expand(seeds: DataFrame, edges: DataFrame, same_as: DataFrame, hops: int = 1, only_linked: bool = False) -> DataFrame:
+    """Seeds (id) and all within ``hops`` steps, identity links included.
+
+    ``only_linked``: without seeds that no edge or link touches. The first hop meets all others, so there is no further scan; without
+    hops all seeds stay.
+    """
     seen = frontier = cut(seeds.select("id").distinct())
     size = layer = seen.count() if hops else 0
-    for _ in range(hops):
+    for hop in range(hops):
         touched, linked = _touching(edges.select("src", "dst"), "src", "dst", frontier, layer), _touching(same_as.select("a", "b"), "a", "b", frontier, layer)
         ends = _ends(touched, "src", "dst").union(_ends(linked, "a", "b"))
-        frontier = cut(ends.distinct().join(counted(seen, size), "id", "left_anti"))
-        layer = frontier.count()
-        seen, size = seen.union(frontier), size + layer
+        if only_linked and hop == 0:
+            met = cut(ends.distinct())
+            if hops == 1:
+                return met
+            frontier = cut(met.join(counted(seen, size), "id", "left_anti"))
+            layer, seen, size = frontier.count(), met, met.count()
+        else:
+            frontier = cut(ends.distinct().join(counted(seen, size), "id", "left_anti"))
+            layer = frontier.count()
+            seen, size = seen.union(frontier), size + layer
     return seen
 
 
@@ -114,13 +125,17 @@ def isolated(ids: DataFrame, edges: DataFrame, same_as: DataFrame) -> DataFrame:
     return ids.join(touched, "id", "left_anti")
 
 
-def scope(nodes: DataFrame, edges: DataFrame, same_as: DataFrame, polity: str, polity_id: str, hops: int = 1, drop_isolated: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The induced subgraph of an era: nodes, edges and identity links whose ends are both kept."""
-    seeds = era_seeds(nodes, edges, same_as, polity, polity_id)
+def scope(nodes: DataFrame, edges: DataFrame, same_as: DataFrame, polity: str, polity_id: str, hops: int = 1, drop_isolated: bool = True, seeds: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The induced subgraph of an era: nodes, edges and identity links whose ends are both kept; ``seeds``: the era's, if they are known."""
+    seeds = era_seeds(nodes, edges, same_as, polity, polity_id) if seeds is None else seeds
     own = nodes.sparkSession.createDataFrame([(polity_id,)], "id string")
-    keep = expand(seeds, edges, same_as, hops).union(own).distinct()
-    if drop_isolated:
-        keep = keep.join(isolated(keep, edges, same_as), "id", "left_anti")
+    if drop_isolated and hops:  # what hops reach is not isolated, which leaves the polity to be looked up
+        linked = _ends(edges, "src", "dst").union(_ends(same_as, "a", "b")).where(F.col("id") == polity_id)
+        keep = expand(seeds, edges, same_as, hops, only_linked=True).union(linked).distinct()
+    else:
+        keep = expand(seeds, edges, same_as, hops).union(own).distinct()
+        if drop_isolated:
+            keep = keep.join(isolated(keep, edges, same_as), "id", "left_anti")
     keep = cut(keep)
 
     def both(table: DataFrame, a: str, b: str) -> DataFrame:

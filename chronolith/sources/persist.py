@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ontology
 from ..operators import graph, store
+from ..operators.lineage import cut
 from .graphstore import GraphStore, Manifest
 
 #: Problems that a report names.
@@ -73,9 +74,10 @@ def save_scope(source: GraphStore, target: GraphStore, polity: str, polity_id: s
     What the target held is replaced. An era without seeds is an error.
     """
     nodes, edges, same_as = (source.read(t) for t in ("nodes", "edges", "same_as"))
-    if graph.era_seeds(nodes, edges, same_as, polity, polity_id).isEmpty():
+    seeds = cut(graph.era_seeds(nodes, edges, same_as, polity, polity_id))
+    if seeds.isEmpty():
         raise LookupError(f"no node belongs to {polity}")
-    own = graph.scope(nodes, edges, same_as, polity, polity_id, hops, drop_isolated)
+    own = graph.scope(nodes, edges, same_as, polity, polity_id, hops, drop_isolated, seeds)
     tx = target.begin()
     for name, rows in zip(("nodes", "edges", "same_as"), own, strict=True):
         tx.replace(name, rows)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronolith.functions import ontology
+from chronolith.operators import graph
 from chronolith.plans import fixtures as X
 from chronolith.plans.view import literal
 from chronolith.sources import persist
@@ -168,6 +169,34 @@ def test_scope_as_a_store(spark, tmp_path):
     with pytest.raises(LookupError):
         persist.save_scope(source, target, "none", "wd:none")
     assert target.manifest().version == 1
+    assert target._names("segments") and all(n.endswith("-whole") for n in target._names("segments"))  # nothing to fold when it is read
+    plan = target.read("edges")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+
+
+@pytest.mark.parametrize("hops", [0, 1, 2])
+def test_scope_without_what_nothing_touches(spark, hops):
+    """Seeds and a polity without an edge or link go, by the same rule whether hops meet the others or not."""
+    node = "id string, type string, label string, source string, props string"
+    ids = [("p:1", "person"), ("p:2", "person"), ("p:3", "person"), ("p:4", "person"), ("e:1", "event"), ("e:2", "event"), ("x:1", "place"), ("x:2", "place"), ("x:3", "place"), ("q:1", "org")]
+    nodes = literal(spark, [(i, t, i, "s", '{"polity":"A","seed_era":"A"}' if t in ("person", "event") else "{}") for i, t in ids], node)
+    edges = [("p:1", "x:1"), ("x:1", "x:2"), ("x:2", "x:3"), ("p:3", "p:3"), ("e:1", "p:1")]
+    same = [("p:4", "y:1")]
+    e = literal(spark, [(a, b, "related_to", "s") for a, b in edges], "src string, dst string, type string, source string")
+    s = literal(spark, [(a, b, "hand", 1.0) for a, b in same], "a string, b string, method string, score double")
+    for polity in ("q:1", "x:3"):
+        keep = {i for i, t in ids if t in ("person", "event")}
+        for _ in range(hops):
+            keep |= {y for a, b in edges + same for x, y in ((a, b), (b, a)) if x in keep}
+        keep |= {polity}
+        for drop in (False, True):
+            own = {x for x in keep if not drop or any(x in pair for pair in edges + same)}
+            n, ee, ss = graph.scope(nodes, e, s, "A", polity, hops, drop)
+            assert {r.id for r in n.collect()} == own & {i for i, _ in ids}
+            assert {(r.src, r.dst) for r in ee.collect()} == {(a, b) for a, b in edges if {a, b} <= own}
+            assert {(r.a, r.b) for r in ss.collect()} == {(a, b) for a, b in same if {a, b} <= own}
+            keep_plan = graph.expand(graph.era_seeds(nodes, e, s, "A", polity), e, s, hops, only_linked=True) if hops else None
+            assert keep_plan is None or "p:2" not in {r.id for r in keep_plan.collect()}
 
 
 def test_epochs_come_once(spark, tmp_path):
