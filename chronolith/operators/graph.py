@@ -83,7 +83,7 @@ def expand(seeds: DataFrame, edges: DataFrame, same_as: DataFrame, hops: int = 1
     size = layer = seen.count() if hops else 0
     for hop in range(hops):
         touched, linked = _touching(edges.select("src", "dst"), "src", "dst", frontier, layer), _touching(same_as.select("a", "b"), "a", "b", frontier, layer)
-        ends = _ends(touched, "src", "dst").union(_ends(linked, "a", "b"))
+        ends = touched.select(F.explode(F.array("src", "dst")).alias("id")).union(linked.select(F.explode(F.array("a", "b"))))  # joins run once for both ends
         if only_linked and hop == 0:
             met = cut(ends.distinct())
             if hops == 1:
